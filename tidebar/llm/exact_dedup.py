@@ -14,7 +14,7 @@ from tidebar.llm.store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the first digit, how much wider each next one is, and the widest.
-FIRST_DIGIT, WIDER, WIDEST = 48, 8, 1 << 18
+FIRST_DIGIT, WIDER, WIDEST = 256, 16, 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = active.groupBy("node", "digit").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "tie")).alias("keep"))
         split = written(split.where("group_size > 1").withColumn("child", F.monotonically_increasing_id()), "radix-groups")
         over = F.col("child").isNull() | (F.length("digit") < width)
-        state = active.join(split, ["node", "digit"], "left").withColumn("over", over).drop("digit", "node")
+        state = active.join(split.hint("merge"), ["node", "digit"], "left").withColumn("over", over).drop("digit", "node")
         if not carry:  # a text that is placed is not needed any longer
             state = state.withColumn("body", F.when(~F.col("over"), F.col("body")))
         state = written(state, "radix")
