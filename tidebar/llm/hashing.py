@@ -77,15 +77,25 @@ def chunks(at: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of the rows that bounds marks in raw, A-Z lower-cased: their hashes, and how many each row has."""
+_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: Also ASCII punctuation and symbols.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def words(raw: np.ndarray, bounds: np.ndarray, marks: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Words [^\\x20\\x09-\\x0D]+ of the rows that bounds marks in raw, A-Z lower-cased: their hashes, and how many each row has.
+
+    marks: ASCII punctuation separates words too. prefix: also gives hashes of each word's first bytes, that many.
+    """
     lo, hi = int(bounds[0]), int(bounds[-1])
     data = raw[lo:hi]
     rows = len(bounds) - 1
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(rows, dtype=np.int64)
-    data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
+        none = np.zeros(0, dtype=np.uint64), np.zeros(rows, dtype=np.int64)
+        return (*none, none[0]) if prefix else none
+    data = _LOWER[data]
+    gap = (_MARKS if marks else _SPACE)[data]
     begins = ~gap
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds - lo] = True
@@ -94,8 +104,10 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = begins.copy()
     ends[:-1] &= gap[1:] | edge[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(ends) + 1
-    h = mix(window_hash(prefix_sums(data), s, e) + (e - s).astype(np.uint64))
-    return h, np.diff(np.searchsorted(s, bounds - lo))
+    q = prefix_sums(data)
+    h = mix(window_hash(q, s, e) + (e - s).astype(np.uint64))
+    counts = np.diff(np.searchsorted(s, bounds - lo))
+    return (h, counts, mix(window_hash(q, s, np.minimum(s + prefix, e)))) if prefix else (h, counts)
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
