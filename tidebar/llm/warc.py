@@ -7,6 +7,7 @@ format), and an index row maps each record to its frame and the place inside it,
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.store import new_folder, written
+from tidebar.llm.store import new_folder, small, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
+#: Another kind of skippable frame, before the seek table: the bundle's own index.
+INDEX_FRAME = 0x184D2A50
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 1000
 #: Uncompressed bytes of a frame and of a bundle, at which the next one begins.
@@ -75,6 +78,18 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def index_frame(records: list[tuple[int | None, int, int, int]]) -> bytes:
+    body = json.dumps(records).encode()
+    return struct.pack("<II", INDEX_FRAME, len(body) + 4) + body + struct.pack("<I", len(body))
+
+
+def read_index(bundle: bytes) -> list[tuple[int | None, int, int, int]]:
+    """(record, frame, start, length) of every record, from the frame before the seek table."""
+    end = len(bundle) - 17 - 8 * struct.unpack("<IBI", bundle[-9:])[0]
+    size = struct.unpack("<I", bundle[end - 4 : end])[0]
+    return [tuple(x) for x in json.loads(bytes(bundle[end - 4 - size : end - 4]))]
+
+
 class _Bundle:
     """Writes one bundle; nothing is visible under its name before close()."""
 
@@ -101,8 +116,9 @@ class _Bundle:
             self.sizes.append((len(packed), len(self.frame)))
             self.frame = bytearray()
 
-    def close(self) -> None:
+    def close(self, records: list[tuple[int | None, int, int, int]]) -> None:
         self.flush()
+        self.out.write(index_frame(records))
         self.out.write(seek_table(self.sizes))
         self.out.close()
 
@@ -112,7 +128,7 @@ def _writer(folder: str):
         bundle, rows = None, []
 
         def done() -> pa.RecordBatch:
-            bundle.close()
+            bundle.close([(r["page_id"], r["frame"], r["start"], r["length"]) for r in rows])
             return pa.RecordBatch.from_pylist([{"path": bundle.name} | r for r in rows], schema=schema)
 
         schema = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
@@ -143,7 +159,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     base = base.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
     first = base.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = base.join(first, ["digest", "size"], "left")
+    rows = base.join(first.hint("merge"), ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select(
         "page_id", "url", "size", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"),
@@ -160,10 +176,12 @@ def read_bundles(spark, folder: str, index: DataFrame, take=None) -> DataFrame:
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to and payload (null for a revisit). take:
     a condition on index rows; frames that hold none of the asked records are not decompressed.
     """
-    wanted = index if take is None else index.where(take)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    per = wanted.groupBy("path").agg(F.collect_list(F.struct("page_id", "frame", "start", "length")).alias("records"))  # a bundle's own records: bounded by its size
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content").join(per, "path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    if take is None:  # all records, by the bundles' own indexes; a retried task may have left bundles that are not listed
+        rows = files.join(small(index.select("path").distinct()), "path", "left_semi").withColumn("records", F.lit(None).cast("array<struct<frame:int,start:int,length:int>>"))
+    else:
+        per = index.where(take).groupBy("path").agg(F.collect_list(F.struct("frame", "start", "length")).alias("records"))  # of one bundle
+        rows = files.join(small(per), "path")
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return rows.mapInArrow(_reader, schema)
 
@@ -177,11 +195,13 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = read_seek_table(bundle)
             unpack = zstandard.ZstdDecompressor()
             held, plain, out = -1, b"", []
-            for r in sorted(batch.column("records")[k].as_py(), key=lambda r: (r["frame"], r["start"])):
-                if r["frame"] != held:
-                    at, packed, size = table[held := r["frame"]]
+            asked = batch.column("records")[k].as_py()
+            places = [x[1:] for x in read_index(bundle)] if asked is None else [(r["frame"], r["start"], r["length"]) for r in asked]
+            for frame, start, length in sorted(places):
+                if frame != held:
+                    at, packed, size = table[held := frame]
                     plain = unpack.decompress(bundle[at : at + packed], max_output_size=size)
-                x = parse(plain[r["start"] : r["start"] + r["length"]])
+                x = parse(plain[start : start + length])
                 own = x["warc-type"] == "response"
                 out.append({
                     "page_id": number(x["warc-record-id"]), "url": x["warc-target-uri"], "record_type": x["warc-type"], "payload_bytes": len(x[""]) if own else int(x["x-payload-length"]),
