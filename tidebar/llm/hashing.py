@@ -123,11 +123,12 @@ def shingles(h: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[np.ndarray,
             s = mix(s * _BASE + h[k : len(h) - n + 1 + k])
         pick = ranges(starts[full], each[full])
         out[ranges(to[full], each[full])] = s[pick]
-    for r in np.flatnonzero((counts > 0) & (counts < n)):
-        x = h[starts[r]]
-        for k in range(1, int(counts[r])):
-            x = mix(np.array([x * _BASE + h[starts[r] + k]], dtype=np.uint64))[0]
-        out[to[r]] = mix(np.array([x + np.uint64(counts[r])], dtype=np.uint64))[0]
+    for few in range(1, n):  # short rows: all their words as one run
+        rows = np.flatnonzero(counts == few)
+        x = h[starts[rows]]
+        for k in range(1, few):
+            x = mix(x * _BASE + h[starts[rows] + k])
+        out[to[rows]] = mix(x + np.uint64(few))
     return out, each
 
 

@@ -214,7 +214,7 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     region_postings = sets.mapInArrow(_post(False), _POSTING)
     counts = written(region_postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
     stats = counts.agg(F.sum(F.col("df") * F.col("df")).alias("met"), F.sum("df").alias("shared")).first()
-    found = written(region_postings.join(counts, "token").select("token", "doc_id", "n", "idx", (F.col("df") > FREQUENT).alias("frequent")), "postings")
+    found = written(region_postings.join(counts.hint("shuffle_hash"), "token").select("token", "doc_id", "n", "idx", (F.col("df") > FREQUENT).alias("frequent")), "postings")
     # a set's own frequent tokens move back, so its prefix reaches further by as many
     moved = found.where("frequent").groupBy("doc_id").agg(F.array_sort(F.collect_list("idx")).alias("at"), F.first("n").alias("n"))  # of one document
     moved = moved.withColumn("moved", F.aggregate("at", F.lit(0).cast("long"), lambda h, i: F.when(i - h < p, h + 1).otherwise(h)))

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, exact_dedup, licenses, mixing, packing, topk, warc
+from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select(F.col("mix_doc.doc_id").alias("doc_id"), F.col("mix_doc.source").alias("source"), F.col("mix_copy").cast("int").alias("copy"), F.col("mix_copies").cast("int").alias("copies"), F.round("mix_key", 12).alias("mix_key"))
@@ -41,12 +49,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "speaker", "turn", F.col("seq").cast("long").alias("seq"), "role", "name", F.md5("segment").alias("segment_md5"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("train_start").cast("long").alias("train_start"), F.col("train_end").cast("long").alias("train_end"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
