@@ -8,6 +8,7 @@ places, and pieces take their places by rank, on the executors.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from tidebar.llm.store import partitions_for, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers before it drops the older half.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,6 +31,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks: never letters or digits.
+_MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
+
+
+def _shown() -> dict[int, str]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
+
+
 class WordCache:
     """Ids of texts, by words.
 
@@ -42,6 +57,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
@@ -58,14 +74,28 @@ class WordCache:
             return b"".join(map(self.new.__getitem__, parts))
 
     def learn(self, missing: set[bytes]) -> None:
-        unknown = []
+        unknown, joint = set(), []
         for w in missing:
-            if (ids := self.old.get(w)) is None:
-                unknown.append(w)
-            else:
+            if (ids := self.old.get(w)) is not None:
                 self.new[w] = ids
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-        self.new.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(unknown, found, strict=True))
+                continue
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem[-1:].isalpha():  # letters and the marks after them are merged apart
+                joint.append((w, stem, w[len(stem) :]))
+                unknown.update(x for x in joint[-1][1:] if x not in self.new)
+            else:
+                unknown.add(w)
+        others = []
+        for w in unknown:
+            text = w.decode()
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):  # nothing to normalise or split
+                ids = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(_SHOWN))]
+                self.new[w] = np.array(ids, dtype="<u4").tobytes()
+            else:
+                others.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        self.new.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(others, found, strict=True))
+        self.new.update((w, self.new[a] + self.new[b]) for w, a, b in joint)
 
 
 _CACHES: dict[str, WordCache] = {}
