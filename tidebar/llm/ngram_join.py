@@ -170,6 +170,31 @@ def spanning(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> list[tup
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label) if i != k]
 
 
+def shorten(raw: bytes) -> bytes:
+    """A set's tokens as differences of three bytes, for sending: as many bits as make two tokens of a pair of sets equal by chance once in 2**21 / n."""
+    token = _tokens(raw)
+    bits = min(8 * TOKEN_BYTES, 21 + len(token).bit_length())
+    step = np.diff(token >> (8 * TOKEN_BYTES - bits), prepend=0)
+    width = 3 if not len(step) or step.max() < 1 << 24 else TOKEN_BYTES
+    return bytes([bits, width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def expand(sets: list[bytes]) -> list[np.ndarray]:
+    """Sets sent by shorten, cut to as many bits as all of them have."""
+    bits = min(raw[0] for raw in sets)
+    out = []
+    for raw in sets:
+        step = np.zeros(((len(raw) - 2) // raw[1], 8), dtype=np.uint8)
+        step[:, : raw[1]] = np.frombuffer(raw, dtype=np.uint8, offset=2).reshape(-1, raw[1])
+        out.append(np.cumsum(step.reshape(-1).view(np.int64)) >> (raw[0] - bits))
+    return out
+
+
+def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([shorten(raw) for raw in batch.column("tokens").to_pylist()], type=pa.binary())], names=["doc_id", "n", "tokens"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit; compares each unit's sets when its last row has come."""
     unit, ids, n, sets, seen = None, [], [], [], set()
@@ -178,7 +203,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish() -> None:
         if len(ids) > 1:
             order = np.argsort(ids)
-            out.extend(spanning(np.array(ids)[order], np.array(n, dtype=np.float64)[order], [sets[i] for i in order]))
+            out.extend(spanning(np.array(ids)[order], np.array(n, dtype=np.float64)[order], expand([sets[i] for i in order])))
 
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -194,7 +219,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(doc)
                 ids.append(doc)
                 n.append(batch.column("n")[k].as_py())
-                sets.append(_tokens(batch.column("tokens")[k].as_py()))
+                sets.append(batch.column("tokens")[k].as_py())
         if len(out) > 100_000:
             yield rows()
             out.clear()
@@ -245,9 +270,10 @@ def links(sets: DataFrame) -> DataFrame:
     light = keys.join(least, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     # lists by token and band of sizes: linked sets are of the same band or of neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    entries = postings.where(5 * F.col("n") >= 4 * (most + 1)).withColumn("band", F.explode(F.array(band, band + 1)))
-    entries = written(entries.select("token", "band", "doc_id"), "entries")
-    heads = entries.groupBy("token", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").drop("last")
+    entries = postings.where(5 * F.col("n") >= 4 * (most + 1)).withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    entries = written(entries.select("token", "band", "own", "doc_id"), "entries")
+    heads = entries.groupBy("token", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.max("own").alias("most"))
+    heads = heads.where("head < last and most = band").select("token", "band", "head")  # without the greater band, the list of the band below has it all
     # all lists with the same head are one unit, so sets that share many tokens are compared once
     unit = entries.join(heads, ["token", "band"]).select("head", "band", "doc_id").distinct()
     unit = written(unit, "units")
@@ -256,7 +282,8 @@ def links(sets: DataFrame) -> DataFrame:
     unit = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = unit.select("head", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id")
     needed = written(unit.select("doc_id").distinct(), "needed")
-    rows = unit.join(sets.join(small(needed), "doc_id", "left_semi").select("doc_id", "n", "tokens"), "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
+    brief = sets.join(small(needed), "doc_id", "left_semi").select("doc_id", "n", "tokens").mapInArrow(_brief, "doc_id long, n long, tokens binary")
+    rows = unit.join(brief, "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
     rows = rows.repartition("head", "band", "left", "right").sortWithinPartitions("head", "band", "left", "right")
     return light.unionByName(rows.mapInArrow(_compare, "u long, v long").distinct())
 
