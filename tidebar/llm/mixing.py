@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.store import small, written
+
 
 def uniform(*parts: Column | str | int) -> Column:
     """A value in [0, 1) fixed by the parts: 52 bits of their MD5."""
@@ -53,7 +55,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17
     A row with a null id draws as the id ''. Rows of equal ids draw equally. Sources with no text have rate 0. Empty
     tables give no rows. Column names of docs stay inside the struct, so they cannot clash.
     """
-    table = rates(docs, weights, source_col=source_col, text_col=text_col, **kw).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    table = rates(docs, weights, source_col=source_col, text_col=text_col, **kw)
+    table = small(written(table, "rates"), 10_000).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
     rows = docs.select(F.struct("*").alias("mix_doc"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
     u = uniform(F.col("mix_id"), seed)
     copies = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
