@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
-from tidebar.operators.sessions import W, contiguous_runs, gap_seconds, new_date
+from tidebar.operators.sessions import by_time, contiguous_runs, gap_seconds, new_date
 from tidebar.sources.bars import hard_error, is_night
 
-_DAY = Window.partitionBy("symbol").orderBy("trading_date")
+
+def _by_day() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("trading_date")
+
+
 
 
 def duplicates(bars: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def night_attribution(bars: DataFrame) -> DataFrame:
 def night_by_gap(bars: DataFrame) -> DataFrame:
     """Whether a date has night bars, by how many days after the previous date it comes."""
     per = bars.groupBy("symbol", "trading_date").agg(F.bool_or(is_night("ts")).alias("has_night"), F.sum(F.when(is_night("ts"), F.col("volume"))).alias("night_volume"))
-    gap = F.datediff("trading_date", F.lag("trading_date").over(_DAY))
+    gap = F.datediff("trading_date", F.lag("trading_date").over(_by_day()))
     bucket = F.when(gap == 1, "1").when(gap <= 3, "2-3").when(gap > 3, "4+").otherwise("first")
     return per.withColumn("gap", bucket).groupBy("symbol", "gap").agg(F.count("*").alias("dates"), F.count_if("has_night").alias("with_night"), F.count_if(F.col("night_volume") == 0).alias("night_without_volume"))
 
@@ -98,7 +102,7 @@ def fake_survivors(bars: DataFrame, jump: float = 0.01) -> DataFrame:
     """Bars that jump to the price at which the next bar opens, in runs that hardly trade."""
     from tidebar.operators.sessions import with_dead
 
-    df = with_dead(bars).withColumns({"r": F.col("close") / F.lag("close").over(W) - 1, "next_open": F.lead("open").over(W)})
+    df = with_dead(bars).withColumns({"r": F.col("close") / F.lag("close").over(by_time()) - 1, "next_open": F.lead("open").over(by_time())})
     return df.where((F.abs("r") >= jump) & F.col("dead") & (F.abs(F.col("close") / F.col("next_open") - 1) < jump / 10)).select("symbol", "ts", "r", "run")
 
 
@@ -107,7 +111,7 @@ def tail_evidence(bars: DataFrame, night_minute: int, open_minute: int, close_mi
     m = F.hour("ts") * 60 + F.minute("ts")
     at = lambda k, x: F.max(F.when(m == k, F.col(x)))
     day = bars.groupBy("symbol", "trading_date").agg(at(night_minute, "close").alias("tail"), at(open_minute, "open").alias("morning"), at(close_minute, "close").alias("shut"))
-    day = day.withColumn("shut_before", F.lag("shut").over(_DAY))
+    day = day.withColumn("shut_before", F.lag("shut").over(_by_day()))
     return day.groupBy("symbol").agg(F.count("tail").alias("nights"), F.count_if(F.col("tail") == F.col("morning")).alias("as_morning"), F.count_if(F.col("tail") == F.col("shut_before")).alias("as_close_before"))
 
 
@@ -118,7 +122,7 @@ def auction_shape(bars: DataFrame, minutes: Sequence[int]) -> DataFrame:
 
 def rolls(bars: DataFrame) -> DataFrame:
     """Bars at which the contract changes: jump and ratio of K in logs, whether at a date's edge, and the jump three ways."""
-    before = {f"{x}_before": F.lag(x).over(W) for x in ("contract", "close", "K")}
+    before = {f"{x}_before": F.lag(x).over(by_time()) for x in ("contract", "close", "K")}
     df = bars.withColumns(before | {"at_edge": new_date()}).where(F.col("contract") != F.col("contract_before"))
     ways = X.log_jumps("open", "close_before", "K", "K_before")
     return df.withColumns({"gap": F.col("open") / F.col("close_before") - 1, "jump": F.log(F.col("open") / F.col("close_before")), "k_ratio": F.log(F.col("K") / F.col("K_before"))} | ways)
@@ -134,7 +138,7 @@ def roll_continuity(bars: DataFrame) -> DataFrame:
 
 def k_changes(bars: DataFrame) -> DataFrame:
     """K changing inside a contract, contracts changing inside a date, and contracts that come back."""
-    df = bars.withColumns({"c0": F.lag("contract").over(W), "k0": F.lag("K").over(W), "edge": new_date()})
+    df = bars.withColumns({"c0": F.lag("contract").over(by_time()), "k0": F.lag("K").over(by_time()), "edge": new_date()})
     runs = df.where("c0 is null or contract <> c0").groupBy("symbol", "contract").agg(F.count("*").alias("runs"))
     back = runs.groupBy("symbol").agg(F.count_if(F.col("runs") > 1).alias("coming_back"))
     return df.groupBy("symbol").agg(F.count_if((F.col("contract") == F.col("c0")) & (F.col("K") != F.col("k0"))).alias("k_inside"), F.count_if((F.col("contract") != F.col("c0")) & ~F.col("edge")).alias("intraday")).join(back, "symbol")
@@ -153,7 +157,7 @@ def turnover_identity(bars: DataFrame, multipliers: Sequence[float] = (1, 5, 10,
 
 def cross_section_steps(daily: DataFrame, x: str = "volume", drop: float = 0.4) -> DataFrame:
     """Per date the median log change over symbols, and the share that fell by more than drop."""
-    r = F.log(F.col(x) / F.lag(x).over(_DAY))
+    r = F.log(F.col(x) / F.lag(x).over(_by_day()))
     df = daily.where(F.col(x) > 0).withColumn("r", r).where("r is not null")
     return df.groupBy("trading_date").agg(F.count("*").alias("n"), F.median("r").alias("median_change"), F.avg(F.when(F.col("r") < F.log(F.lit(1 - drop)), 1.0).otherwise(0.0)).alias("share_dropping"))
 
@@ -163,7 +167,7 @@ def locked_days(daily: DataFrame) -> DataFrame:
 
 
 def large_moves(daily: DataFrame, th: float = 0.15) -> DataFrame:
-    return daily.withColumn("r", F.col("close") / F.lag("close").over(_DAY) - 1).where(F.abs("r") > th).select("symbol", "trading_date", "r")
+    return daily.withColumn("r", F.col("close") / F.lag("close").over(_by_day()) - 1).where(F.abs("r") > th).select("symbol", "trading_date", "r")
 
 
 def night_by_week(bars: DataFrame) -> DataFrame:
@@ -184,15 +188,15 @@ def thin_days(daily: DataFrame, lots: float = 100) -> DataFrame:
 
 
 def zero_prices(bars: DataFrame) -> DataFrame:
-    df = bars.withColumns({"pattern": X.zero_pattern(), "close_before": F.lag("close").over(W), "open_after": F.lead("open").over(W)})
+    df = bars.withColumns({"pattern": X.zero_pattern(), "close_before": F.lag("close").over(by_time()), "open_after": F.lead("open").over(by_time())})
     return df.where(F.col("pattern") != "").select("symbol", "ts", "pattern", "close_before", "open_after", "volume")
 
 
 def stale_runs(bars: DataFrame) -> DataFrame:
     """Longest and 99th percentile run of bars without volume, and the longest contiguous run."""
     df = contiguous_runs(bars)
-    edge = F.when((F.col("volume") == 0) == F.coalesce(F.lag("volume").over(W) == 0, F.lit(False)), 0).otherwise(1)
-    df = df.withColumn("e", edge).withColumn("z", F.sum("e").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = F.when((F.col("volume") == 0) == F.coalesce(F.lag("volume").over(by_time()) == 0, F.lit(False)), 0).otherwise(1)
+    df = df.withColumn("e", edge).withColumn("z", F.sum("e").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     idle = df.where("volume = 0").groupBy("symbol", "run", "z").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.max("n").alias("longest_idle"), F.percentile("n", F.lit(0.99)).alias("p99_idle"))
     all_ = df.groupBy("symbol", "run").agg(F.count("*").alias("n"), F.count_if(F.col("volume") > 0).alias("t")).groupBy("symbol").agg(F.max("n").alias("longest_run"), (F.sum("t") / F.sum("n")).alias("traded_share"))
     return all_.join(idle, "symbol", "left")
@@ -207,31 +211,31 @@ def zero_atr(bars: DataFrame, size: int = 1, n: int = 14) -> DataFrame:
     """Bars whose ATR is 0, on bars of size rows."""
     from tidebar.operators.indicators import with_atr
 
-    df = bars.withColumn("_g", F.floor((F.row_number().over(W) - 1) / size)).groupBy("symbol", "_g").agg(F.max("ts").alias("ts"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
+    df = bars.withColumn("_g", F.floor((F.row_number().over(by_time()) - 1) / size)).groupBy("symbol", "_g").agg(F.max("ts").alias("ts"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
     return with_atr(df, n).groupBy("symbol").agg(F.count("atr").alias("warm"), F.count_if(F.col("atr") == 0).alias("zero"), F.median("atr").alias("median_atr"))
 
 
 def jumps(bars: DataFrame, th: float = 0.05) -> DataFrame:
     """Moves of more than th from one minute to the next, but for rolls."""
-    df = bars.withColumns({"r": F.col("close") / F.lag("close").over(W) - 1, "gap": gap_seconds(), "c0": F.lag("contract").over(W)})
+    df = bars.withColumns({"r": F.col("close") / F.lag("close").over(by_time()) - 1, "gap": gap_seconds(), "c0": F.lag("contract").over(by_time())})
     return df.where((F.abs("r") > th) & (F.col("gap") == 60) & (F.col("contract") == F.col("c0"))).select("symbol", "ts", "r")
 
 
 def spikes(bars: DataFrame, th: float = 0.03, back: float = 0.5) -> DataFrame:
     """Moves of more than th of which the next bar takes back more than half."""
-    df = bars.withColumn("r", F.col("close") / F.lag("close").over(W) - 1).withColumn("next", F.lead("r").over(W))
+    df = bars.withColumn("r", F.col("close") / F.lag("close").over(by_time()) - 1).withColumn("next", F.lead("r").over(by_time()))
     return df.where((F.abs("r") > th) & (F.signum("r") == -F.signum("next")) & (F.abs("next") > back * F.abs("r"))).select("symbol", "ts", "r", F.col("next").alias("next_r"))
 
 
 def k_deviation(bars: DataFrame) -> DataFrame:
-    w = W
+    w = by_time()
     df = bars.withColumn("e", F.when(F.col("K") == F.lag("K").over(w), 0).otherwise(1))
     return df.groupBy("symbol").agg(F.greatest(F.abs(1 / F.min("K") - 1), F.abs(1 / F.max("K") - 1)).alias("deviation"), F.min_by("K", "ts").alias("k_first"), F.max_by("K", "ts").alias("k_last"), F.sum("e").alias("k_runs"))
 
 
 def usable_from_forward(daily: DataFrame, share: float = 0.1, window: int = 250, least: int = 60) -> DataFrame:
     """First date from which the median volume of the dates ahead is a share of the overall median."""
-    w = _DAY.rowsBetween(0, window - 1)
+    w = _by_day().rowsBetween(0, window - 1)
     df = daily.withColumns({"ahead": F.expr(f"percentile(volume, 0.5) over (partition by symbol order by trading_date rows between current row and {window - 1} following)"), "n": F.count("volume").over(w)})
     whole = daily.groupBy("symbol").agg(F.median("volume").alias("whole"))
     return df.join(whole, "symbol").where((F.col("n") >= least) & (F.col("ahead") >= share * F.col("whole"))).groupBy("symbol").agg(F.min("trading_date").alias("usable_from"))
@@ -239,14 +243,14 @@ def usable_from_forward(daily: DataFrame, share: float = 0.1, window: int = 250,
 
 def last_padded_day(day_pads: DataFrame, limit: float = 0.5, window: int = 60, least: int = 30) -> DataFrame:
     """Last date on which the rolling median share of padding exceeds limit."""
-    w = _DAY.rowsBetween(-(window - 1), 0)
+    w = _by_day().rowsBetween(-(window - 1), 0)
     df = day_pads.withColumns({"m": F.expr(f"percentile(share, 0.5) over (partition by symbol order by trading_date rows between {window - 1} preceding and current row)"), "n": F.count("share").over(w)})
     return df.groupBy("symbol").agg(F.max(F.when((F.col("n") >= least) & (F.col("m") > limit), F.col("trading_date"))).alias("last_bad"))
 
 
 def drop_rows_mask(bars: DataFrame, jump: float = 0.05) -> DataFrame:
     """bars with the reason a row would be dropped for, or NULL."""
-    r = F.abs(F.col("close") / F.lag("close").over(W) - 1)
+    r = F.abs(F.col("close") / F.lag("close").over(by_time()) - 1)
     shape = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
     price = (F.least("open", "high", "low", "close") <= 0) | F.col("close").isNull()
     return bars.withColumn("drop_reason", F.when(price, "price").when(shape, "shape").when(hard_error(), "amount").when((r > jump) & (gap_seconds() == 60), "jump"))

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.operators.sessions import W
+from tidebar.operators.sessions import by_time
 
 
 def _rows(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def sma(x: Column | str, n: int) -> Column:
@@ -20,7 +20,7 @@ def sma(x: Column | str, n: int) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(by_time())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -37,7 +37,7 @@ def with_ema(df: DataFrame, x: str, span: int, name: str) -> DataFrame:
     a = 2 / (span + 1)
     b = 1 - a
     size = max(8, math.ceil(math.log(1e-7) / math.log(b)))
-    df = df.withColumn("_at", F.row_number().over(W) - 1)
+    df = df.withColumn("_at", F.row_number().over(by_time()) - 1)
     df = df.withColumns({"_block": F.floor(F.col("_at") / size), "_j": F.col("_at") % size})
     weight = F.when(F.col("_at") == 0, F.lit(1.0)).otherwise(F.lit(a))
     inside = Window.partitionBy("symbol", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,7 +58,7 @@ def with_macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, s
 def macd_cross(df: DataFrame, min_bars: int = 36) -> DataFrame:
     """cross: 1 where macd less its signal turns positive, -1 where it turns negative, else 0."""
     diff = F.col("macd") - F.col("macd_signal")
-    df = df.withColumns({"_d": diff, "_n": F.row_number().over(W)}).withColumn("_b", F.lag("_d").over(W))
+    df = df.withColumns({"_d": diff, "_n": F.row_number().over(by_time())}).withColumn("_b", F.lag("_d").over(by_time()))
     cross = F.when(F.col("_n") < min_bars, 0).when((F.col("_b") <= 0) & (F.col("_d") > 0), 1).when((F.col("_b") >= 0) & (F.col("_d") < 0), -1).otherwise(0)
     return df.withColumn("cross", cross).drop("_d", "_b", "_n")
 
@@ -81,7 +81,7 @@ def structure_break(*averages: str) -> Column:
 
 def with_swings(df: DataFrame, k: int = 2) -> DataFrame:
     """swing_high and swing_low: extremes of the k bars on either side, ties included; never within k of the ends."""
-    w = W.rowsBetween(-k, k)
+    w = by_time().rowsBetween(-k, k)
     full = F.count("*").over(w) == 2 * k + 1
     return df.withColumns({"swing_high": full & (F.col("high") == F.max("high").over(w)), "swing_low": full & (F.col("low") == F.min("low").over(w))})
 
@@ -98,7 +98,7 @@ def rolling_vol(daily: DataFrame, n: int = 20) -> DataFrame:
 def atr_vol(daily: DataFrame, n: int = 14) -> DataFrame:
     """Daily ATR over close, as known the day before. daily needs ts or trading_date in order."""
     df = daily if "ts" in daily.columns else daily.withColumn("ts", F.col("trading_date"))
-    return with_atr(df, n).withColumn("vol", F.lag(F.col("atr") / F.col("close")).over(W))
+    return with_atr(df, n).withColumn("vol", F.lag(F.col("atr") / F.col("close")).over(by_time()))
 
 
 def inverse_vol_weights(vols: DataFrame) -> DataFrame:

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import price_lines
 
-W = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
 MODES = ("night", "day", "night_day", "day_night", "split")
 SPLIT_GAP_SECONDS = 3 * 3600
 
 
 def gap_seconds() -> Column:
-    return F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(W).cast("timestamp"))
+    return F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(by_time()).cast("timestamp"))
 
 
 def new_date() -> Column:
-    return F.coalesce(F.col("trading_date") != F.lag("trading_date").over(W), F.lit(True))
+    return F.coalesce(F.col("trading_date") != F.lag("trading_date").over(by_time()), F.lit(True))
 
 
 def _numbered(df: DataFrame, name: str, edge: Column) -> DataFrame:
     """0-based running number of edges."""
-    running = F.sum("edge").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("edge").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("edge", F.when(edge, 1).otherwise(0)).withColumn(name, (running - 1).cast("long")).drop("edge")
 
 
@@ -65,9 +69,9 @@ def session_mode(bars: DataFrame, mode: str = "split") -> DataFrame:
     key = {"night_day": rank, "day_night": F.when(F.col("night"), rank - 1).otherwise(rank)}.get(mode, F.col("segment_id"))
     tradable = {"night": F.col("night"), "day": ~F.col("night")}.get(mode, F.lit(True))
     df = df.withColumns({"key": key, "tradable": tradable})
-    before, after = F.lag("key").over(W), F.lead("key").over(W)
+    before, after = F.lag("key").over(by_time()), F.lead("key").over(by_time())
     df = df.withColumns({"is_session_first": F.coalesce(F.col("key") != before, F.lit(True)), "is_session_last": F.coalesce(F.col("key") != after, F.lit(True))})
-    count = F.sum(F.col("is_session_first").cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    count = F.sum(F.col("is_session_first").cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("session_id", count.cast("long")).drop("key")
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
 
-_S = Window.partitionBy("symbol", "session_id").orderBy("ts")
-_BEFORE = _S.rowsBetween(Window.unboundedPreceding, -1)
+
+def _in_session() -> WindowSpec:
+    return Window.partitionBy("symbol", "session_id").orderBy("ts")
+
+
+def _before() -> WindowSpec:
+    return _in_session().rowsBetween(Window.unboundedPreceding, -1)
+
+
 TRADE = ("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", "extreme", "stop_at_exit", "gapped", "pnl")
 
 
@@ -18,7 +25,7 @@ def _allowed() -> Column:
 
 def breakout_entries(bars: DataFrame, on_range: bool = True) -> DataFrame:
     """bars (with lines) with signal: 1 or -1 on the one bar of a session that enters, at its open, as the bar before broke a line."""
-    up, down = (F.lag("high" if on_range else "close").over(_S) > F.col("Bbreak")), (F.lag("low" if on_range else "close").over(_S) < F.col("Sbreak"))
+    up, down = (F.lag("high" if on_range else "close").over(_in_session()) > F.col("Bbreak")), (F.lag("low" if on_range else "close").over(_in_session()) < F.col("Sbreak"))
     df = bars.withColumn("hit", F.when(_allowed() & up, 1).when(_allowed() & down, -1))
     first = F.min(F.when(F.col("hit").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol", "session_id"))
     return df.withColumn("signal", F.when(F.col("ts") == first, F.col("hit"))).drop("hit")
@@ -29,21 +36,21 @@ def arm_events(bars: DataFrame, arm_first: bool = False) -> DataFrame:
 
     arm_first: armed as of one bar earlier.
     """
-    high, low = F.max("high").over(_BEFORE), F.min("low").over(_BEFORE)
+    high, low = F.max("high").over(_before()), F.min("low").over(_before())
     df = bars.withColumns({"at_s": F.col("valid") & F.coalesce(high >= F.col("Ssetup"), F.lit(False)), "at_l": F.col("valid") & F.coalesce(low <= F.col("Bsetup"), F.lit(False))})
-    new = lambda x: F.col(x) & ~F.coalesce(F.lag(x).over(_S), F.lit(False))  # noqa: E731  both stay true once reached
+    new = lambda x: F.col(x) & ~F.coalesce(F.lag(x).over(_in_session()), F.lit(False))  # noqa: E731  both stay true once reached
     df = df.withColumns({"new_s": new("at_s"), "new_l": new("at_l")})
     event = F.when(F.col("new_s") & F.col("new_l"), 0).when(F.col("new_s"), -1).when(F.col("new_l"), 1)
     df = df.withColumn("event", event)
-    armed = F.last("event", ignorenulls=True).over(_S.rowsBetween(Window.unboundedPreceding, -1 if arm_first else 0))
+    armed = F.last("event", ignorenulls=True).over(_in_session().rowsBetween(Window.unboundedPreceding, -1 if arm_first else 0))
     return df.withColumn("armed", F.coalesce(armed, F.lit(0))).drop("at_s", "at_l", "new_s", "new_l", "event")
 
 
 def reversal_entries(bars: DataFrame, on_range: bool = True, arm_first: bool = False) -> DataFrame:
     """signal: -1 where armed short and the bar before fell below Senter, 1 where armed long and it rose above Benter; once a session."""
     df = arm_events(bars, arm_first)
-    down = (F.col("armed") == -1) & (F.lag("low" if on_range else "close").over(_S) < F.col("Senter"))
-    up = (F.col("armed") == 1) & (F.lag("high" if on_range else "close").over(_S) > F.col("Benter"))
+    down = (F.col("armed") == -1) & (F.lag("low" if on_range else "close").over(_in_session()) < F.col("Senter"))
+    up = (F.col("armed") == 1) & (F.lag("high" if on_range else "close").over(_in_session()) > F.col("Benter"))
     df = df.withColumn("hit", F.when(_allowed() & down, -1).when(_allowed() & up, 1))
     first = F.min(F.when(F.col("hit").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol", "session_id"))
     return df.withColumn("signal", F.when(F.col("ts") == first, F.col("hit"))).drop("hit")
@@ -60,10 +67,10 @@ def trade_path(entered: DataFrame, kind: str = "breakout", d: float = 2.0, fill_
     df = df.where("ts >= entry_ts")
     long = F.col("side") == 1
     if kind == "breakout":
-        best = F.when(long, F.greatest(F.max("high").over(_BEFORE), F.col("Bbreak"))).otherwise(F.least(F.min("low").over(_BEFORE), F.col("Sbreak")))
+        best = F.when(long, F.greatest(F.max("high").over(_before()), F.col("Bbreak"))).otherwise(F.least(F.min("low").over(_before()), F.col("Sbreak")))
         stop = X.breakout_stop(long, "extreme", d)
     else:
-        best = F.greatest(F.lit(0.0), F.when(long, F.max("high").over(_BEFORE) - F.col("Benter")).otherwise(F.col("Senter") - F.min("low").over(_BEFORE)))
+        best = F.greatest(F.lit(0.0), F.when(long, F.max("high").over(_before()) - F.col("Benter")).otherwise(F.col("Senter") - F.min("low").over(_before())))
         stop = X.reversal_stop(long, "extreme", d)
     df = df.withColumn("extreme", best).withColumn("stop", F.when(F.col("ts") > F.col("entry_ts"), stop))
     hit = F.coalesce(F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.lit(False))

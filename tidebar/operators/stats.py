@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_DAY = Window.partitionBy("symbol").orderBy("trading_date")
+
+def _by_day() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("trading_date")
+
+
 
 
 def trade_stats(trades: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
@@ -30,7 +34,7 @@ def pooled_stats(trades: DataFrame) -> DataFrame:
 
 
 def exit_counts(trades: DataFrame, reasons: list[str]) -> DataFrame:
-    return trades.groupBy("symbol").pivot("reason", reasons).agg(F.count("*")).fillna(0, reasons)
+    return trades.groupBy("symbol").pivot("reason", reasons).agg(F.count(F.lit(1))).fillna(0, reasons)
 
 
 def max_drawdown(equity: DataFrame, order: str = "ts") -> DataFrame:
@@ -42,7 +46,7 @@ def max_drawdown(equity: DataFrame, order: str = "ts") -> DataFrame:
 def session_returns(equity: DataFrame, start_capital: float | None = None) -> DataFrame:
     """Returns from the last equity of each trading date; the first date's is against start_capital, or missing."""
     last = equity.groupBy("symbol", "trading_date").agg(F.max_by("equity", "ts").alias("equity"))
-    before = F.coalesce(F.lag("equity").over(_DAY), F.lit(start_capital))
+    before = F.coalesce(F.lag("equity").over(_by_day()), F.lit(start_capital))
     return last.withColumn("ret", F.col("equity") / before - 1)
 
 
@@ -62,7 +66,7 @@ def strategy_stats(trades: DataFrame, equity: DataFrame, periods: int = 243) ->
 
 def benchmark_stats(daily: DataFrame) -> DataFrame:
     """Buy and hold per symbol: return, up, down and flat days, and average moves; the first day is against its own open."""
-    ret = F.col("close") / F.coalesce(F.lag("close").over(_DAY), F.col("open")) - 1
+    ret = F.col("close") / F.coalesce(F.lag("close").over(_by_day()), F.col("open")) - 1
     df = daily.withColumn("ret", ret)
     r = F.col("ret")
     return df.groupBy("symbol").agg(
@@ -75,7 +79,7 @@ def turnover(weights: DataFrame) -> DataFrame:
     """Per date the sum of absolute weight changes over all symbols; an absent weight is 0."""
     grid = weights.select("trading_date").distinct().crossJoin(F.broadcast(weights.select("symbol").distinct()))  # dates by symbols, the size of the result
     w = grid.join(weights, ["trading_date", "symbol"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return w.withColumn("moved", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(_DAY), F.lit(0.0)))).groupBy("trading_date").agg(F.sum("moved").alias("turnover"))
+    return w.withColumn("moved", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(_by_day()), F.lit(0.0)))).groupBy("trading_date").agg(F.sum("moved").alias("turnover"))
 
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, fee: float = 0.0) -> DataFrame:
@@ -105,7 +109,7 @@ def direction_by_day(trades: DataFrame) -> DataFrame:
 
 def direction_contribution(equity: DataFrame, trades: DataFrame, capital: float = 1.0) -> DataFrame:
     """Each day's change of equity over the start capital, by the direction of the trades on that day; it adds up to the total return."""
-    day = session_returns(equity, capital).withColumn("change", (F.col("equity") - F.coalesce(F.lag("equity").over(_DAY), F.lit(capital))) / capital)
+    day = session_returns(equity, capital).withColumn("change", (F.col("equity") - F.coalesce(F.lag("equity").over(_by_day()), F.lit(capital))) / capital)
     sides = trades.select("symbol", "session_id", "direction")
     dated = equity.select("symbol", "session_id", "trading_date").distinct().join(sides, ["symbol", "session_id"]).groupBy("symbol", "trading_date").agg(F.max("direction").alias("direction"))
     return day.join(dated, ["symbol", "trading_date"], "left").groupBy("symbol", F.coalesce("direction", F.lit("none")).alias("direction")).agg(F.sum("change").alias("contribution"))
@@ -115,7 +119,7 @@ def rebalance_targets(weights: DataFrame, equity: DataFrame, opens: DataFrame, s
     """Per date and symbol the target shares, side * weight * equity / open, and the change from the day before; closed where the weight is 0."""
     df = opens.join(sides, ["symbol", "trading_date"]).join(weights, ["symbol", "trading_date"], "left").join(equity.select("trading_date", "equity"), "trading_date")
     target = F.col("side") * F.coalesce("weight", F.lit(0.0)) * F.col("equity") / F.col("open")
-    df = df.withColumn("target", target).withColumn("resize", F.col("target") - F.coalesce(F.lag("target").over(_DAY), F.lit(0.0)))
+    df = df.withColumn("target", target).withColumn("resize", F.col("target") - F.coalesce(F.lag("target").over(_by_day()), F.lit(0.0)))
     return df.withColumn("event", F.when((F.col("target") == 0) & (F.col("resize") != 0), "close").when(F.col("resize") != 0, "resize"))
 
 

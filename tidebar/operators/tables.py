@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_DAY = Window.partitionBy("symbol").orderBy("trading_date")
+
+def _by_day() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("trading_date")
+
+
 
 
 def filter_pool(df: DataFrame, pool: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +51,7 @@ def align_common(bars: DataFrame) -> DataFrame:
 
 def day_compare(daily: DataFrame, date: str) -> DataFrame:
     """Each symbol's day against its previous one: ratios of close and volume."""
-    df = daily.withColumns({"close_before": F.lag("close").over(_DAY), "volume_before": F.lag("volume").over(_DAY)}).where(F.col("trading_date") == F.lit(date).cast("date"))
+    df = daily.withColumns({"close_before": F.lag("close").over(_by_day()), "volume_before": F.lag("volume").over(_by_day())}).where(F.col("trading_date") == F.lit(date).cast("date"))
     return df.select("symbol", "trading_date", (F.col("close") / F.col("close_before")).alias("close_ratio"), F.try_divide(F.col("volume"), F.col("volume_before")).alias("volume_ratio"))
 
 
@@ -109,8 +113,9 @@ def quantiles(df: DataFrame, x: str, at: Sequence[float] = (0.01, 0.5, 0.99), ke
 
 
 def roll_regression(rolls: DataFrame) -> DataFrame:
-    """Slope and correlation of the log jump at rolls on the log ratio of K."""
-    return rolls.agg(F.count("*").alias("n"), F.regr_slope("jump", "k_ratio").alias("slope"), F.corr("jump", "k_ratio").alias("corr"))
+    """Slope and correlation of the log jump at rolls on the log ratio of K; NULL where either does not vary."""
+    cov, vx, vy = F.covar_pop("jump", "k_ratio"), F.var_pop("k_ratio"), F.var_pop("jump")
+    return rolls.agg(F.count("*").alias("n"), F.try_divide(cov, vx).alias("slope"), F.try_divide(cov, F.sqrt(vx * vy)).alias("corr"))
 
 
 def vintage(daily: DataFrame) -> DataFrame:

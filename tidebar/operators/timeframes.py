@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import floor_time
-from tidebar.operators.sessions import W, segments
+from tidebar.operators.sessions import by_time, segments
+
+
+
+def _in_segment() -> WindowSpec:
+    return Window.partitionBy("symbol", "segment_id").orderBy("ts")
+
 
-_SEGMENT = Window.partitionBy("symbol", "segment_id").orderBy("ts")
 _OHLCV = ("open", "high", "low", "close", "volume")
 
 
@@ -17,8 +22,8 @@ def bin_start(bars: DataFrame, minutes: int, merge_leading: bool = True) -> Data
     start = floor_time(F.col("ts") - F.expr("INTERVAL 1 MINUTE"), minutes)
     df = bars.withColumn("bin", start)
     if merge_leading:
-        first = F.lag("bin").over(_SEGMENT).isNull()
-        after = F.lead("bin").over(_SEGMENT)
+        first = F.lag("bin").over(_in_segment()).isNull()
+        after = F.lead("bin").over(_in_segment())
         df = df.withColumn("bin", F.when(first & after.isNotNull() & (after != F.col("bin")), after).otherwise(F.col("bin")))
     return df
 
@@ -91,4 +96,4 @@ def last_of_window(rows: DataFrame, minutes: int, columns: list[str]) -> DataFra
 def bad_bins(tf: DataFrame) -> DataFrame:
     """Bars whose high or low does not enclose open and close, or whose stamp does not grow: should be empty."""
     shape = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
-    return tf.withColumn("bad", shape | F.coalesce(F.col("ts") <= F.lag("ts").over(W), F.lit(False))).where("bad").drop("bad")
+    return tf.withColumn("bad", shape | F.coalesce(F.col("ts") <= F.lag("ts").over(by_time()), F.lit(False))).where("bad").drop("bad")

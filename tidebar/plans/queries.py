@@ -172,9 +172,9 @@ def _(spark, d):
 @query(
     "w5_modes",
     with_bars(_SEG + """, n AS (SELECT *, segment_id < max(segment_id) OVER (PARTITION BY symbol, trading_date) AS night, dense_rank() OVER (PARTITION BY symbol ORDER BY trading_date) AS rk FROM seg),
-m AS (SELECT n.*, mode, CASE mode WHEN 'night_day' THEN rk WHEN 'day_night' THEN CASE WHEN night THEN rk - 1 ELSE rk END ELSE segment_id END AS k,
+m AS (SELECT n.*, mode, CASE mode WHEN 'night_day' THEN rk WHEN 'day_night' THEN CASE WHEN night THEN rk - 1 ELSE rk END ELSE segment_id END AS ky,
   CASE mode WHEN 'night' THEN night WHEN 'day' THEN NOT night ELSE true END AS tradable FROM n, (VALUES ('night'), ('day'), ('night_day'), ('day_night'), ('split')) v(mode)),
-f AS (SELECT *, coalesce(k <> lag(k) OVER w, true) AS is_session_first, coalesce(k <> lead(k) OVER w, true) AS is_session_last FROM m WINDOW w AS (PARTITION BY mode, symbol ORDER BY ts))
+f AS (SELECT *, coalesce(ky <> lag(ky) OVER w, true) AS is_session_first, coalesce(ky <> lead(ky) OVER w, true) AS is_session_last FROM m WINDOW w AS (PARTITION BY mode, symbol ORDER BY ts))
 SELECT mode, symbol, ts, tradable, is_session_first, is_session_last, sum(is_session_first::INT) OVER (PARTITION BY mode, symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session_id FROM f"""),
 )
 def _(spark, d):
@@ -516,3 +516,340 @@ def _(spark, d):
 def _(spark, d):
     bars = _bars(spark, d)
     return bars.where("symbol = 'ALL'").select("ts").exceptAll(bars.where("symbol = 'view'").select("ts")).distinct()
+
+
+# --- signals and trades
+_ALLOWED = "valid AND NOT is_first AND NOT is_last"
+_ENTRY = _SEG + _LINES + _SESSION + f""",
+bh AS (SELECT *, CASE WHEN {_ALLOWED} AND lag(high) OVER w > Bbreak THEN 1 WHEN {_ALLOWED} AND lag(low) OVER w < Sbreak THEN -1 END AS hit FROM lined WINDOW w AS (PARTITION BY symbol, session_id ORDER BY ts)),
+be AS (SELECT symbol, session_id, min(ts) AS entry_ts, min_by(hit, ts) AS side, min_by(open, ts) AS entry_price FROM bh WHERE hit IS NOT NULL GROUP BY 1, 2)
+"""
+_TRADES = _ENTRY + """,
+bp AS (SELECT l.*, e.side, e.entry_ts, e.entry_price, CASE WHEN side = 1 THEN greatest(max(high) OVER w, Bbreak) ELSE least(min(low) OVER w, Sbreak) END AS extreme FROM lined l JOIN be e ON l.symbol = e.symbol AND l.session_id = e.session_id WHERE l.ts >= e.entry_ts
+  WINDOW w AS (PARTITION BY l.symbol, l.session_id ORDER BY l.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bs AS (SELECT *, CASE WHEN ts > entry_ts THEN CASE WHEN side = 1 THEN Senter + (extreme - Ssetup) / 2 ELSE Benter - (Bsetup - extreme) / 2 END END AS stop FROM bp),
+bx AS (SELECT *, CASE WHEN (side = 1 AND low <= stop) OR (side = -1 AND high >= stop) THEN 'TRAIL' WHEN is_last AND ts > entry_ts THEN 'SESSION_END' END AS reason FROM bs),
+bf AS (SELECT *, CASE WHEN reason = 'TRAIL' THEN CASE WHEN side = 1 THEN least(stop, open) ELSE greatest(stop, open) END ELSE close END AS px, row_number() OVER (PARTITION BY symbol, session_id ORDER BY ts) AS i FROM bx WHERE reason IS NOT NULL),
+trades AS (SELECT symbol, session_id::BIGINT AS session_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, entry_price, ts AS exit_ts, px AS exit_price, reason, (reason = 'TRAIL' AND px <> stop) AS gapped, side * (px - entry_price) / entry_price AS pnl FROM bf WHERE i = 1)
+"""
+
+
+@query("g1_breakout_entries", with_bars(_ENTRY + " SELECT symbol, session_id::BIGINT AS session_id, entry_ts AS ts, side::INTEGER AS signal, entry_price AS open FROM be"))
+def _(spark, d):
+    return G.breakout_entries(_lined(spark, d)).where("signal is not null").select("symbol", "session_id", "ts", "signal", "open")
+
+
+@query("g2_breakout_trades", with_bars(_TRADES + " SELECT symbol, session_id, direction, entry_ts, entry_price, exit_ts, round(exit_price, 6) AS exit_price, reason, gapped, round(pnl, 8) AS pnl FROM trades"))
+def _(spark, d):
+    return G.breakout_trades(_lined(spark, d)).select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", *r("exit_price"), "reason", "gapped", *r("pnl", digits=8))
+
+
+_ARM = _SEG + _LINES + _SESSION + """,
+a1 AS (SELECT *, coalesce(valid AND max(high) OVER w >= Ssetup, false) AS at_s, coalesce(valid AND min(low) OVER w <= Bsetup, false) AS at_l FROM lined WINDOW w AS (PARTITION BY symbol, session_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a2 AS (SELECT *, at_s AND NOT coalesce(lag(at_s) OVER w, false) AS ns, at_l AND NOT coalesce(lag(at_l) OVER w, false) AS nl FROM a1 WINDOW w AS (PARTITION BY symbol, session_id ORDER BY ts)),
+a3 AS (SELECT *, CASE WHEN ns AND nl THEN 0 WHEN ns THEN -1 WHEN nl THEN 1 END AS ev FROM a2),
+arm AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol, session_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS armed FROM a3)
+"""
+_REV = _ARM + f""",
+rh AS (SELECT *, CASE WHEN {_ALLOWED} AND armed = -1 AND lag(low) OVER w < Senter THEN -1 WHEN {_ALLOWED} AND armed = 1 AND lag(high) OVER w > Benter THEN 1 END AS hit FROM arm WINDOW w AS (PARTITION BY symbol, session_id ORDER BY ts)),
+re AS (SELECT symbol, session_id, min(ts) AS entry_ts, min_by(hit, ts) AS side, min_by(open, ts) AS entry_price FROM rh WHERE hit IS NOT NULL GROUP BY 1, 2),
+rp AS (SELECT l.*, e.side, e.entry_ts, e.entry_price, greatest(0, CASE WHEN side = 1 THEN max(high) OVER w - Benter ELSE Senter - min(low) OVER w END) AS ext FROM lined l JOIN re e ON l.symbol = e.symbol AND l.session_id = e.session_id WHERE l.ts >= e.entry_ts
+  WINDOW w AS (PARTITION BY l.symbol, l.session_id ORDER BY l.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rs AS (SELECT *, CASE WHEN ts > entry_ts THEN CASE WHEN side = 1 THEN Sbreak + (Bsetup - Sbreak + ext) / 2 ELSE Bbreak - (Bbreak - Ssetup + ext) / 2 END END AS stop FROM rp),
+rx AS (SELECT *, CASE WHEN (side = 1 AND low <= stop) OR (side = -1 AND high >= stop) THEN 'TRAIL' WHEN is_last AND ts > entry_ts THEN 'SESSION_END' END AS reason FROM rs),
+rf AS (SELECT *, CASE WHEN reason = 'TRAIL' THEN CASE WHEN side = 1 THEN least(stop, open) ELSE greatest(stop, open) END ELSE close END AS px, row_number() OVER (PARTITION BY symbol, session_id ORDER BY ts) AS i FROM rx WHERE reason IS NOT NULL)
+"""
+
+
+@query("g3_arm_events", with_bars(_ARM + " SELECT symbol, ts, armed::INTEGER AS armed FROM arm"))
+def _(spark, d):
+    return G.arm_events(_lined(spark, d)).select("symbol", "ts", "armed")
+
+
+@query("g4_reversal_trades", with_bars(_REV + " SELECT symbol, session_id::BIGINT AS session_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, entry_price, ts AS exit_ts, round(px, 6) AS exit_price, reason, round(side * (px - entry_price) / entry_price, 8) AS pnl FROM rf WHERE i = 1"))
+def _(spark, d):
+    return G.reversal_trades(_lined(spark, d)).select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
+
+
+_MTM = _TRADES + """,
+tb AS (SELECT *, coalesce(exp(sum(ln(1 + pnl)) OVER (PARTITION BY symbol ORDER BY entry_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS before FROM trades),
+mm AS (SELECT l.symbol, l.ts, l.trading_date, l.session_id::BIGINT AS session_id, l.close, t.direction, t.before, t.entry_price, t.pnl, coalesce(l.ts >= t.entry_ts AND l.ts < t.exit_ts, false) AS open_, CASE WHEN l.ts >= t.exit_ts THEN t.before * (1 + t.pnl) END AS done FROM lined l LEFT JOIN tb t ON l.symbol = t.symbol AND l.session_id = t.session_id),
+eq AS (SELECT symbol, ts, trading_date, session_id, close, CASE WHEN open_ THEN CASE direction WHEN 'long' THEN 1 ELSE -1 END ELSE 0 END AS position,
+  CASE WHEN open_ THEN before * (1 + CASE direction WHEN 'long' THEN close - entry_price ELSE entry_price - close END / entry_price) ELSE coalesce(last_value(done IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) END AS equity FROM mm)
+"""
+
+
+def _equity(spark, d):
+    bars = _lined(spark, d)
+    trades = G.breakout_trades(bars)
+    return bars, trades, G.mark_to_market(bars, trades)
+
+
+@query("g5_mark_to_market", with_bars(_MTM + " SELECT symbol, ts, position::INTEGER AS position, round(equity, 8) AS equity FROM eq"))
+def _(spark, d):
+    return _equity(spark, d)[2].select("symbol", "ts", "position", *r("equity", digits=8))
+
+
+@query("c9_equity_steps", with_bars(_MTM + ", ch AS (SELECT symbol, ts, coalesce(equity - lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 0) AS c FROM eq) SELECT symbol, ts, round(c, 8) AS change, CASE WHEN abs(c) < 1e-12 THEN 'flat' WHEN c > 0 THEN 'up' ELSE 'down' END AS colour FROM ch"))
+def _(spark, d):
+    df = C.equity_steps(_equity(spark, d)[2])
+    return df.select("symbol", "ts", *r("change", digits=8), F.when(F.abs("change") < 1e-12, "flat").otherwise(F.col("colour")).alias("colour"))
+
+
+@query("w17_drawdown", with_bars(_MTM + ", dd AS (SELECT symbol, equity / max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS x FROM eq) SELECT symbol, round(min(x), 8) AS max_drawdown FROM dd GROUP BY 1"))
+def _(spark, d):
+    return P.max_drawdown(_equity(spark, d)[2]).select("symbol", *r("max_drawdown", digits=8))
+
+
+_RET = _MTM + ", le AS (SELECT symbol, trading_date, max_by(equity, ts) AS equity FROM eq GROUP BY 1, 2), rets AS (SELECT *, equity / coalesce(lag(equity) OVER w, 1) - 1 AS ret, equity - coalesce(lag(equity) OVER w, 1) AS change FROM le WINDOW w AS (PARTITION BY symbol ORDER BY trading_date))"
+
+
+@query("w18_session_returns", with_bars(_RET + " SELECT symbol, trading_date, round(ret, 8) AS ret FROM rets"))
+def _(spark, d):
+    return P.session_returns(_equity(spark, d)[2], 1.0).select("symbol", "trading_date", *r("ret", digits=8))
+
+
+@query("w19_sharpe", with_bars(_RET + " SELECT symbol, CASE WHEN count(ret) >= 2 AND stddev_samp(ret) > 1e-15 THEN round(avg(ret) / stddev_samp(ret) * sqrt(243), 6) END AS sharpe FROM rets GROUP BY 1"))
+def _(spark, d):
+    return P.sharpe(P.session_returns(_equity(spark, d)[2], 1.0), 243).select("symbol", *r("sharpe"))
+
+
+@query("a20_contribution", with_bars(_RET + ", dir AS (SELECT e.symbol, e.trading_date, max(t.direction) AS direction FROM (SELECT DISTINCT symbol, session_id, trading_date FROM eq) e JOIN trades t ON e.symbol = t.symbol AND e.session_id = t.session_id GROUP BY 1, 2) SELECT r.symbol, coalesce(direction, 'none') AS direction, round(sum(change), 8) AS contribution FROM rets r LEFT JOIN dir d ON r.symbol = d.symbol AND r.trading_date = d.trading_date GROUP BY 1, 2"))
+def _(spark, d):
+    _, trades, equity = _equity(spark, d)
+    return P.direction_contribution(equity, trades).select("symbol", "direction", *r("contribution", digits=8))
+
+
+_STATS = "count(*) AS n, count(*) FILTER (pnl > 0) AS wins, round(avg(pnl) FILTER (pnl > 0), 8) AS avg_win, round(avg(pnl) FILTER (pnl <= 0), 8) AS avg_loss, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate, round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl <= 0), 6) AS payoff"
+
+
+def _stats(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "n", "wins", *r("avg_win", "avg_loss", digits=8), *r("win_rate", "payoff"))
+
+
+@query("a13_trade_stats", with_bars(_TRADES + f" SELECT symbol, {_STATS} FROM trades GROUP BY 1"))
+def _(spark, d):
+    return _stats(P.trade_stats(G.breakout_trades(_lined(spark, d)), ["symbol"]), "symbol")
+
+
+@query("a16_direction_stats", with_bars(_TRADES + f" SELECT symbol, direction, {_STATS} FROM trades GROUP BY 1, 2"))
+def _(spark, d):
+    return _stats(P.direction_stats(G.breakout_trades(_lined(spark, d))), "symbol", "direction")
+
+
+@query("a17_pooled_stats", with_bars(_TRADES + f" SELECT {_STATS} FROM trades"))
+def _(spark, d):
+    return _stats(P.pooled_stats(G.breakout_trades(_lined(spark, d))))
+
+
+@query("a15_strategy_stats")
+def _(spark, d):
+    _, trades, equity = _equity(spark, d)
+    return P.strategy_stats(trades, equity)
+
+
+@query("a22_exits", with_bars(_TRADES + ' SELECT symbol, count(*) FILTER (reason = \'TRAIL\') AS "TRAIL", count(*) FILTER (reason = \'SESSION_END\') AS "SESSION_END" FROM trades GROUP BY 1'))
+def _(spark, d):
+    return P.exit_counts(G.breakout_trades(_lined(spark, d)), ["TRAIL", "SESSION_END"])
+
+
+@query("a18_benchmark", with_bars(_DAILY + ", x AS (SELECT *, close / coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trading_date), open) - 1 AS rr FROM daily) SELECT symbol, round(max_by(close, trading_date) / min_by(open, trading_date) - 1, 8) AS total_return, count(*) FILTER (rr > 0) AS up_days, count(*) FILTER (rr < 0) AS down_days, count(*) FILTER (rr = 0) AS flat_days, round(avg(rr), 8) AS avg_all FROM x GROUP BY 1"))
+def _(spark, d):
+    return P.benchmark_stats(S.daily_ohlc(_bars(spark, d))).select("symbol", *r("total_return", digits=8), "up_days", "down_days", "flat_days", *r("avg_all", digits=8))
+
+
+@query("g14_variants", with_bars(_TRADES + " SELECT variant, symbol, session_id, direction, entry_ts, exit_ts, round(CASE WHEN variant = 'exact' AND reason = 'TRAIL' THEN stop ELSE px END, 6) AS exit_price FROM (SELECT symbol, session_id::BIGINT AS session_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, ts AS exit_ts, reason, stop, px FROM bf WHERE i = 1), (VALUES ('base'), ('exact')) v(variant)"))
+def _(spark, d):
+    table = spark.createDataFrame([("base", 2.0, True, True), ("exact", 2.0, True, False)], "variant string, d double, on_range boolean, fill_gaps boolean")
+    return G.variants(_lined(spark, d), table, G.breakout_trades).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"))
+
+
+def _features(spark, d) -> DataFrame:
+    """Trend states of one, five and thirty minutes and of days, as known at each bar."""
+    bars = S.session_mode(_bars(spark, d))
+    df = _averages(bars).withColumn("S1", N.ma_state2("f", "m")).drop("f", "m", "s")
+    df = N.with_atr(df, 14, "ATR1")
+    for minutes, name in ((5, "S5"), (30, "S30")):
+        tf = _averages(TF.resample_segment(bars, minutes)).select("symbol", "ts", N.ma_state2("f", "m").alias(name))
+        df = TF.asof_closed(df, tf, [name], prefix="")
+    day = _averages(TF.resample_daily(bars)).select("symbol", "ts", N.ma_state3("f", "m", "s").alias("DSTATE"), N.structure_break("f", "m", "s").alias("DBREAK"))
+    return TF.asof_closed(df, day, ["DSTATE", "DBREAK"], prefix="")
+
+
+@query("g7_cascade")
+def _(spark, d):
+    return _features(spark, d).select("symbol", "ts", "S1", "S5", "S30", "DSTATE", "DBREAK", *r("ATR1"))
+
+
+@query("g8_pullback_events")
+def _(spark, d):
+    return G.pullback_events(_features(spark, d)).where("confirm or trigger").select("symbol", "ts", "bias_run", "confirm", "trigger")
+
+
+def _candidates(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every 40th bar as an entry, long and short in turn, with stop and target: for labelling apart from any signal."""
+    from pyspark.sql import Window
+
+    bars = N.with_atr(S.session_mode(_bars(spark, d)), 14)
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    df = bars.withColumn("n", n).where("n % 40 = 0 and atr is not null and not is_session_last")
+    long = F.col("n") % 80 == 0
+    df = df.select("symbol", "session_id", F.col("n").cast("long").alias("entry_id"), long.alias("is_long"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"), "atr")
+    df = df.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", F.lit(None).cast("double")))
+    return bars, df.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop", 1.0))
+
+
+@query("g10_brackets")
+def _(spark, d):
+    bars, cands = _candidates(spark, d)
+    return G.bracket_label(cands, bars).select("symbol", "entry_id", "leg", "reason", "exit_ts", *r("exit_price"), "fraction", *r("pnl", digits=8))
+
+
+@query("g12_one_at_a_time")
+def _(spark, d):
+    bars, cands = _candidates(spark, d)
+    return G.select_trades(P.batch_pnl(G.bracket_label(cands, bars))).select("symbol", "entry_id", "entry_ts", "exit_ts", *r("pnl", digits=8))
+
+
+@query("a14_batches")
+def _(spark, d):
+    bars, cands = _candidates(spark, d)
+    return P.batch_pnl(G.bracket_label(cands, bars)).select("symbol", "entry_id", "is_long", "legs", *r("pnl", "fraction", digits=8))
+
+
+@query("q38_invariants")
+def _(spark, d):
+    bars, cands = _candidates(spark, d)
+    legs = G.bracket_label(cands, bars)
+    return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)))
+
+
+@query("j11_platform", with_bars(_SEG + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), sw AS (SELECT symbol, i, high, low, count(*) OVER w = 5 AND high = max(high) OVER w AS sh, count(*) OVER w = 5 AND low = min(low) OVER w AS sl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+e AS (SELECT symbol, i AS entry_id, i % 200 = 0 AS is_long, open AS price FROM n WHERE i % 100 = 0)
+SELECT e.symbol, entry_id, is_long, price, CASE WHEN is_long THEN max(CASE WHEN sl AND i <= entry_id - 3 AND low < price THEN low END) ELSE min(CASE WHEN sh AND i <= entry_id - 3 AND high > price THEN high END) END AS platform FROM e LEFT JOIN sw ON e.symbol = sw.symbol GROUP BY 1, 2, 3, 4"""))
+def _(spark, d):
+    from pyspark.sql import Window
+
+    bars = N.with_swings(_bars(spark, d)).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
+    entries = bars.where("idx % 100 = 0").select("symbol", F.col("idx").alias("entry_id"), (F.col("idx") % 200 == 0).alias("is_long"), F.col("open").alias("price"), (F.col("idx") - 1).alias("closed_idx"))
+    return G.nearest_platform(entries, bars).select("symbol", "entry_id", "is_long", "price", "platform")
+
+
+def _cooling(spark, d) -> tuple[DataFrame, DataFrame]:
+    daily = S.daily_ohlc(_bars(spark, d)).withColumn("ts", F.col("trading_date"))
+    daily = _averages(daily).withColumns({"state": N.ma_state2("f", "m"), "broke": N.structure_break("f", "m", "s")})
+    stops = G.breakout_trades(_lined(spark, d)).where("pnl < 0").select("symbol", F.to_date("entry_ts").alias("trading_date"), F.when(F.col("direction") == "long", 1).otherwise(-1).alias("direction"), F.lit(1).alias("n"))
+    return daily, G.cooldown_spans(daily, stops)
+
+
+@query("g11_cooldown")
+def _(spark, d):
+    return _cooling(spark, d)[1]
+
+
+@query("j9_in_spans")
+def _(spark, d):
+    daily, spans = _cooling(spark, d)
+    return G.in_spans(daily.select("symbol", "trading_date", "close"), spans)
+
+
+@query("j10_direction_by_day", with_bars(_TRADES + " SELECT symbol, direction, unnest(generate_series(CAST(entry_ts AS DATE), CAST(exit_ts AS DATE), INTERVAL 1 DAY))::DATE AS day FROM trades"))
+def _(spark, d):
+    return P.direction_by_day(G.breakout_trades(_lined(spark, d)))
+
+
+@query("g16_portfolio")
+def _(spark, d):
+    rets = P.session_returns(_equity(spark, d)[2], 1.0)
+    return P.compound(P.portfolio_returns(_weights(spark, d), rets, 0.0005)).select("trading_date", *r("ret", "turnover", "equity", digits=8))
+
+
+@query("g17_rebalance")
+def _(spark, d):
+    _, trades, equity = _equity(spark, d)
+    folio = P.compound(P.portfolio_returns(_weights(spark, d), P.session_returns(equity, 1.0)), 1e6)
+    daily = S.daily_ohlc(_bars(spark, d)).select("symbol", "trading_date", "open")
+    sides = daily.select("symbol", "trading_date", F.lit(1).alias("side"))
+    return P.rebalance_targets(_weights(spark, d), folio, daily, sides).select("symbol", "trading_date", *r("target", "resize"), "event")
+
+
+# --- frames
+@query("c1_step_points")
+def _(spark, d):
+    return C.step_points(_lined(spark, d), "Bbreak").select("symbol", "ts", *r("value"), "hidden")
+
+
+@query("c2_stop_points", with_bars(_TRADES + " SELECT b.symbol, b.session_id::BIGINT AS session_id, b.ts, round(b.stop, 6) AS stop, b.ts = t.exit_ts AS hidden FROM bs b JOIN trades t ON b.symbol = t.symbol AND b.session_id = t.session_id WHERE b.ts <= t.exit_ts AND b.stop IS NOT NULL"))
+def _(spark, d):
+    bars = _lined(spark, d)
+    path = G.trade_path(G.breakout_entries(bars))
+    return C.stop_points(path, G.trades_of(path)).select("symbol", "session_id", "ts", *r("stop"), "hidden")
+
+
+@query("c3_markers")
+def _(spark, d):
+    return C.markers(G.breakout_trades(_lined(spark, d)))
+
+
+@query("c7_statistics")
+def _(spark, d):
+    _, trades, equity = _equity(spark, d)
+    return C.statistics_page(P.strategy_stats(trades, equity), ["total_return", "max_drawdown", "win_rate"], ["payoff", "sharpe"])
+
+
+# --- audit
+def audit_query(name: str, sql: str, run, dirty: bool = False):
+    query(name, with_bars(sql, dirty))(lambda spark, d: run((dirty_bars if dirty else _bars)(spark, d)))
+
+
+audit_query("q1_duplicates", " SELECT symbol, count(*) AS bars, count(*) - count(DISTINCT ts) AS duplicates FROM bars GROUP BY 1", Q.duplicates)
+audit_query("q2_coverage", " SELECT symbol, count(*) AS bars, min(trading_date) AS first, max(trading_date) AS last, count(DISTINCT trading_date) AS dates, (DATE '2024-03-01' - max(trading_date))::INTEGER AS stale_days, count(*) < 1000 AS too_short FROM bars GROUP BY 1", lambda b: Q.coverage(b, "2024-03-01"))
+audit_query("q3_ohlc", " SELECT symbol, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_below_body, count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS not_positive, 0::BIGINT AS missing FROM dirty GROUP BY 1", Q.ohlc_violations, True)
+audit_query("q4_amounts", " SELECT symbol, count(*) FILTER (volume < 0) AS volume_negative, count(*) FILTER (total_turnover < 0) AS turnover_negative, count(*) FILTER (open_interest < 0) AS oi_negative, count(*) FILTER ((volume = 0) <> (total_turnover = 0)) AS contradicting, avg((open_interest = 0)::INT) AS oi_zero_share FROM dirty GROUP BY 1", Q.amount_violations, True)
+audit_query("q5_k", " SELECT symbol, count(*) FILTER (K IS NULL OR isnan(K)) AS k_missing, count(*) FILTER (K <= 0) AS k_not_positive, quantile_cont(K, 0.5) AS k_median, min(K) AS k_min, max(K) AS k_max FROM bars GROUP BY 1", Q.k_availability)
+audit_query("q6_padding", ", p AS (SELECT symbol, CAST(ts AS DATE) AS d, sum(volume) AS v, count(*) FILTER (open = high AND high = low AND low = close AND volume = 0) AS pads, count(*) AS n FROM dirty GROUP BY 1, 2) SELECT symbol, sum(pads)::BIGINT AS padding, sum(n)::BIGINT AS bars, count(*) FILTER (v = 0) AS dead_dates FROM p GROUP BY 1", Q.padding, True)
+audit_query("q7_calendar", ", p AS (SELECT symbol, trading_date, count(DISTINCT CAST(ts AS DATE)) AS n FROM bars GROUP BY 1, 2), k AS (SELECT symbol, n, count(*) AS c FROM p GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, n) AS i FROM k) SELECT symbol, max(n) FILTER (i = 1) AS mode_days, max(n) AS max_days FROM o GROUP BY 1", Q.calendar_spread)
+audit_query("q8_fingerprint", """, m AS (SELECT DISTINCT symbol, trading_date, hour(ts) * 60 + minute(ts) AS m FROM bars), u AS (SELECT symbol, m FROM m GROUP BY 1, 2 HAVING count(*) >= 0.2 * (SELECT count(DISTINCT trading_date) FROM bars b WHERE b.symbol = m.symbol)),
+g AS (SELECT *, m - row_number() OVER (PARTITION BY symbol ORDER BY m) AS run FROM u), q AS (SELECT symbol, min(m) AS a, max(m) AS b FROM g GROUP BY symbol, run)
+SELECT symbol, string_agg(lpad((a // 60)::VARCHAR, 2, '0') || ':' || lpad((a % 60)::VARCHAR, 2, '0') || '-' || lpad((b // 60)::VARCHAR, 2, '0') || ':' || lpad((b % 60)::VARCHAR, 2, '0'), ' ' ORDER BY a) AS sessions, bool_or(b >= 1260 OR a < 180) AS has_night, bool_or(a < 180) AS crosses_midnight FROM q GROUP BY 1""", Q.session_fingerprint)
+audit_query("q9_breaks", " SELECT symbol, count(*) FILTER (hour(ts) * 60 + minute(ts) BETWEEN 616 AND 630) AS morning, count(*) FILTER (hour(ts) * 60 + minute(ts) BETWEEN 691 AND 810) AS noon FROM bars GROUP BY 1", Q.bars_in_breaks)
+audit_query("q10_night_tier", ", m AS (SELECT symbol, max(CASE WHEN hour(ts) < 3 THEN hour(ts) * 60 + minute(ts) + 1440 ELSE hour(ts) * 60 + minute(ts) END)::INTEGER AS last FROM bars WHERE hour(ts) >= 21 OR hour(ts) <= 2 GROUP BY 1) SELECT symbol, last, CASE WHEN last > 1560 THEN '02:30' WHEN last > 1380 THEN '01:00' ELSE '23:00' END AS tier FROM m", Q.night_close_tier)
+audit_query("q11_attribution", " SELECT symbol, count(*) FILTER (hour(ts) >= 21 AND trading_date <= CAST(ts AS DATE)) AS not_forward, count(*) FILTER (hour(ts) >= 21 AND dayofweek(ts) = 5 AND dayofweek(trading_date) <> 1) AS friday_not_monday, count(*) FILTER (dayofweek(trading_date) IN (0, 6)) AS weekend FROM bars GROUP BY 1", Q.night_attribution)
+audit_query("q12_night_by_gap", ", p AS (SELECT symbol, trading_date, bool_or(hour(ts) >= 21 OR hour(ts) <= 2) AS hn, sum(volume) FILTER (hour(ts) >= 21 OR hour(ts) <= 2) AS nv FROM bars GROUP BY 1, 2), g AS (SELECT *, trading_date - lag(trading_date) OVER (PARTITION BY symbol ORDER BY trading_date) AS gp FROM p) SELECT symbol, CASE WHEN gp = 1 THEN '1' WHEN gp <= 3 THEN '2-3' WHEN gp > 3 THEN '4+' ELSE 'first' END AS gap, count(*) AS dates, count(*) FILTER (hn) AS with_night, count(*) FILTER (nv = 0) AS night_without_volume FROM g GROUP BY 1, 2", Q.night_by_gap)
+audit_query("q14_fake_segments", " SELECT symbol, trading_date, CAST(ts AS DATE) AS calendar_date, hour(ts) >= 21 OR hour(ts) <= 2 AS night, count(*) AS bars FROM dirty GROUP BY 1, 2, 3, 4 HAVING sum(volume) = 0", Q.fake_segments, True)
+query("q15_survivors")(lambda spark, d: Q.fake_survivors(dirty_bars(spark, d)))
+audit_query("q17_tail", ", y AS (SELECT symbol, trading_date, max(close) FILTER (hour(ts) * 60 + minute(ts) = 150) AS tail, max(open) FILTER (hour(ts) * 60 + minute(ts) = 560) AS am, max(close) FILTER (hour(ts) * 60 + minute(ts) = 890) AS shut FROM bars GROUP BY 1, 2), z AS (SELECT *, lag(shut) OVER (PARTITION BY symbol ORDER BY trading_date) AS sb FROM y) SELECT symbol, count(tail) AS nights, count(*) FILTER (tail = am) AS as_morning, count(*) FILTER (tail = sb) AS as_close_before FROM z GROUP BY 1", lambda b: Q.tail_evidence(b, 150, 560, 890))
+audit_query("q18_auction", " SELECT symbol, year(ts)::INTEGER AS year, count(*) AS n, avg((high = low)::INT) AS flat_rate, round(avg((high - low) / close), 8) AS range, median(volume) AS median_volume FROM bars WHERE hour(ts) * 60 + minute(ts) IN (541, 1261) GROUP BY 1, 2", lambda b: Q.auction_shape(b, [541, 1261]).withColumn("range", F.round("range", 8)))
+_ROLL = ", o AS (SELECT *, lag(contract) OVER w AS c0, lag(close) OVER w AS p0, lag(K) OVER w AS k0, lag(trading_date) OVER w AS d0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), rolls AS (SELECT *, ln(open / p0) AS jump, ln(K / k0) AS kr FROM o WHERE contract <> c0)"
+audit_query("w26_rolls", _ROLL + " SELECT symbol, ts, contract, trading_date <> d0 AS at_edge, round(open / p0 - 1, 8) AS gap FROM rolls", lambda b: Q.rolls(b).select("symbol", "ts", "contract", "at_edge", *r("gap", digits=8)))
+audit_query("q19_roll_continuity", _ROLL + ", m AS (SELECT symbol, median(abs(jump)) AS raw, median(abs(jump + kr)) AS times_k, median(abs(jump - kr)) AS over_k, count(*) AS rolls FROM rolls GROUP BY 1) SELECT symbol, round(raw, 8) AS raw, round(times_k, 8) AS times_k, round(over_k, 8) AS over_k, rolls, k_first, k_last FROM m JOIN (SELECT symbol, min_by(K, ts) AS k_first, max_by(K, ts) AS k_last FROM bars GROUP BY 1) USING (symbol)", lambda b: Q.roll_continuity(b).select("symbol", *r("raw", "times_k", "over_k", digits=8), "rolls", "k_first", "k_last"))
+audit_query("a24_roll_regression", _ROLL + " SELECT count(*) AS n, round(regr_slope(jump, kr), 6) AS slope, round(corr(jump, kr), 6) AS corr FROM rolls", lambda b: T.roll_regression(Q.rolls(b)).select("n", *r("slope", "corr")))
+audit_query("q20_k_changes", _ROLL + ", b AS (SELECT symbol, contract, count(*) AS n FROM o WHERE c0 IS NULL OR contract <> c0 GROUP BY 1, 2) SELECT o.symbol, count(*) FILTER (contract = c0 AND K <> k0) AS k_inside, count(*) FILTER (contract <> c0 AND trading_date = d0) AS intraday, any_value(z.n) AS coming_back FROM o JOIN (SELECT symbol, count(*) FILTER (n > 1) AS n FROM b GROUP BY 1) z ON z.symbol = o.symbol GROUP BY 1", Q.k_changes)
+audit_query("q21_turnover", ", i AS (SELECT *, year(trading_date)::INTEGER AS y, total_turnover / volume / close AS im FROM bars WHERE volume > 0 AND close > 0), m AS (SELECT symbol, y, median(im) AS im FROM i GROUP BY 1, 2) SELECT symbol, y AS year, round(im, 6) AS implied, 10::DOUBLE AS multiplier, false AS changed FROM m", lambda b: Q.turnover_identity(b).select("symbol", "year", *r("implied"), "multiplier", "changed"))
+query("q22_steps", with_days(", l AS (SELECT *, ln(volume / lag(volume) OVER (PARTITION BY symbol ORDER BY trading_date)) AS rr FROM days WHERE volume > 0) SELECT trading_date, count(*) AS n, round(median(rr), 8) AS median_change, round(avg((rr < ln(0.6::DOUBLE))::INT), 6) AS share_dropping FROM l WHERE rr IS NOT NULL GROUP BY 1"))(lambda spark, d: Q.cross_section_steps(order_days(spark, d)).select("trading_date", "n", *r("median_change", digits=8), *r("share_dropping")))
+audit_query("q24_large_moves", _DAILY + ", m AS (SELECT symbol, trading_date, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS rr FROM daily) SELECT symbol, trading_date, round(rr, 8) AS r FROM m WHERE abs(rr) > 0.01", lambda b: Q.large_moves(S.daily_ohlc(b), 0.01).select("symbol", "trading_date", *r("r", digits=8)))
+audit_query("q25_night_by_week", ", p AS (SELECT symbol, trading_date, max((hour(ts) >= 21 OR hour(ts) <= 2)::INT)::DOUBLE AS n FROM bars GROUP BY 1, 2) SELECT symbol, date_trunc('week', trading_date)::DATE AS week, round(avg(n), 6) AS night_share, count(*) AS dates FROM p GROUP BY 1, 2", lambda b: Q.night_by_week(b).select("symbol", "week", *r("night_share"), "dates"))
+query("q27_dead_or_cut", with_days(", m AS (SELECT symbol, median(volume) AS mv, median(oi_end) AS mo, max_by(oi_end, trading_date) AS ol FROM days GROUP BY 1), f AS (SELECT symbol, avg(volume) AS v5 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date DESC) AS n FROM days) WHERE n <= 5 GROUP BY 1) SELECT symbol, round(ol / mo, 6) AS oi_ratio, round(v5 / mv, 6) AS volume_ratio FROM m JOIN f USING (symbol)"))(lambda spark, d: Q.dead_or_cut(order_days(spark, d)).select("symbol", *r("oi_ratio", "volume_ratio")))
+query("q28_thin_days", with_days(" SELECT symbol, count(*) FILTER (volume = 0) AS zero_days, count(*) FILTER (volume < 50) AS thin_days, max(trading_date) FILTER (volume < 50) AS last_thin FROM days GROUP BY 1"))(lambda spark, d: Q.thin_days(order_days(spark, d), 50))
+audit_query("q29_zero_prices", ", z AS (SELECT symbol, ts, CASE WHEN open = 0 THEN 'O' ELSE '' END || CASE WHEN high = 0 THEN 'H' ELSE '' END || CASE WHEN low = 0 THEN 'L' ELSE '' END || CASE WHEN close = 0 THEN 'C' ELSE '' END AS pattern, lag(close) OVER w AS close_before, lead(open) OVER w AS open_after, volume FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT * FROM z WHERE pattern <> ''", Q.zero_prices, True)
+audit_query("q30_stale_runs", _SEG.replace("FROM bars", "FROM dirty") + ", x AS (SELECT *, CASE WHEN (volume = 0) = coalesce(lag(volume) OVER w = 0, false) THEN 0 ELSE 1 END AS e FROM seg WINDOW w AS (PARTITION BY symbol ORDER BY ts)), y AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS z FROM x), i AS (SELECT symbol, max(n) AS longest_idle, round(quantile_cont(n, 0.99), 6) AS p99_idle FROM (SELECT symbol, run, z, count(*) AS n FROM y WHERE volume = 0 GROUP BY 1, 2, 3) GROUP BY 1), a AS (SELECT symbol, max(n) AS longest_run, round(sum(t) / sum(n)::DOUBLE, 6) AS traded_share FROM (SELECT symbol, run, count(*) AS n, count(*) FILTER (volume > 0) AS t FROM y GROUP BY 1, 2) GROUP BY 1) SELECT * FROM a LEFT JOIN i USING (symbol)", lambda b: Q.stale_runs(b).select("symbol", "longest_run", *r("traded_share"), "longest_idle", *r("p99_idle")), True)
+audit_query("q31_zero_atr", _ATR + " SELECT symbol, count(atr) AS warm, count(*) FILTER (atr = 0) AS zero, round(median(atr), 6) AS median_atr FROM atr GROUP BY 1", lambda b: Q.zero_atr(b).select("symbol", "warm", "zero", *r("median_atr")))
+audit_query("q32_traded_share", ", y AS (SELECT symbol, trading_date, avg((volume > 0)::INT) AS s FROM dirty GROUP BY 1, 2) SELECT symbol, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.5), 6) AS p50, round(avg((s = 0)::INT), 6) AS dead_share FROM y GROUP BY 1", lambda b: Q.traded_share_quantiles(b).select("symbol", *r("p10", "p50", "dead_share")), True)
+audit_query("w27_jumps", ", y AS (SELECT *, close / lag(close) OVER w - 1 AS rr, date_diff('second', lag(ts) OVER w, ts) AS g, lag(contract) OVER w AS c0 FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, round(rr, 8) AS r FROM y WHERE abs(rr) > 0.05 AND g = 60 AND contract = c0", lambda b: Q.jumps(b).select("symbol", "ts", *r("r", digits=8)), True)
+audit_query("w28_spikes", ", y AS (SELECT *, close / lag(close) OVER w - 1 AS rr FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)), z AS (SELECT *, lead(rr) OVER (PARTITION BY symbol ORDER BY ts) AS nr FROM y) SELECT symbol, ts, round(rr, 8) AS r, round(nr, 8) AS next_r FROM z WHERE abs(rr) > 0.03 AND sign(rr) = -sign(nr) AND abs(nr) > 0.5 * abs(rr)", lambda b: Q.spikes(b).select("symbol", "ts", *r("r", "next_r", digits=8)), True)
+audit_query("q39_k_deviation", ", y AS (SELECT *, CASE WHEN K = lag(K) OVER (PARTITION BY symbol ORDER BY ts) THEN 0 ELSE 1 END AS e FROM bars) SELECT symbol, round(greatest(abs(1 / min(K) - 1), abs(1 / max(K) - 1)), 8) AS deviation, min_by(K, ts) AS k_first, max_by(K, ts) AS k_last, sum(e)::BIGINT AS k_runs FROM y GROUP BY 1", lambda b: Q.k_deviation(b).select("symbol", *r("deviation", digits=8), "k_first", "k_last", "k_runs"))
+query("w30_usable_from", with_days(", a AS (SELECT *, quantile_cont(volume, 0.5) OVER w AS ahead, count(volume) OVER w AS n FROM days WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN CURRENT ROW AND 249 FOLLOWING)) SELECT a.symbol, min(trading_date) AS usable_from FROM a JOIN (SELECT symbol, median(volume) AS w FROM days GROUP BY 1) m ON a.symbol = m.symbol WHERE n >= 60 AND ahead >= w GROUP BY 1"))(lambda spark, d: Q.usable_from_forward(order_days(spark, d), 1.0))
+query("w31_last_padded", with_days(", a AS (SELECT *, quantile_cont(bars / 10.0::DOUBLE, 0.5) OVER w AS m, count(*) OVER w AS n FROM days WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS 59 PRECEDING)) SELECT symbol, max(trading_date) FILTER (n >= 30 AND m > 0.5) AS last_bad FROM a GROUP BY 1"))(lambda spark, d: Q.last_padded_day(order_days(spark, d).withColumn("share", F.col("bars") / 10.0)))
+audit_query("q37_single_day", _SEG + f", y AS (SELECT *, run - min(run) OVER () AS rn FROM seg WHERE symbol = 'ALL' AND trading_date = DATE '2024-01-10') SELECT symbol, trading_date, rn::BIGINT AS run, min(ts) AS start, max(ts) AS \"end\", count(*) AS bars, count(*) FILTER ({_BAD}) AS errors, sum(volume) AS volume FROM y GROUP BY 1, 2, 3", lambda b: Q.single_day(b, "ALL", "2024-01-10"))
+
+
+@query("j13_scorecard")
+def _(spark, d):
+    bars = dirty_bars(spark, d)
+    card = Q.scorecard([Q.coverage(bars, "2024-03-01"), Q.ohlc_violations(bars), Q.amount_violations(bars), Q.padding(bars).drop("bars"), Q.k_availability(bars)])
+    return Q.verdict(card, {"too short": F.col("too_short"), "prices not positive": F.col("not_positive") > 10, "negative volume": F.col("volume_negative") > 10})
+
+
+@query("x_scalars", with_bars(", t AS (SELECT symbol, ts, close, volume FROM bars) SELECT symbol, ts, CASE WHEN close >= 1000 THEN 1 WHEN close >= 100 THEN 2 WHEN close >= 1 THEN 3 ELSE 5 END AS decimals, round(least(close, 990), 6) AS filled, CASE WHEN volume <= 0 THEN NULL WHEN volume / 10 > 7.0710678118654755 THEN 10 WHEN volume / 10 > 2.23606797749979 THEN 5 ELSE 1 END::DOUBLE AS snapped FROM t"))
+def _(spark, d):
+    return _bars(spark, d).select("symbol", "ts", X.price_decimals("close").alias("decimals"), F.round(X.gap_fill(F.lit(True), "close", F.lit(990.0)), 6).alias("filled"), X.snap(F.col("volume") / 10, [1, 5, 10]).alias("snapped"))
