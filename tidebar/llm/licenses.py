@@ -36,34 +36,58 @@ def _tokens(text: str) -> list[str]:
     return [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split() if t]
 
 
-def _hits(tokens: Column, known: list[str]) -> Column:
-    return F.filter(tokens, lambda t: t.isin(known))
+def _known(templates) -> list[str]:
+    return sorted({t for _, text in templates for t in _tokens(text)})
 
 
-def idf_table(lines: DataFrame, templates=TEMPLATES) -> dict[str, float]:
-    """Smoothed inverse document frequency over all lines, of the templates' tokens and, under '', of any other token.
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, _SPLIT), lambda t: t != "")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def idf_table(files: DataFrame, templates=TEMPLATES) -> dict[str, float]:
+    """Smoothed inverse document frequency over all files (lower-case text), of the templates' tokens and, under '', of any other token.
 
     What reaches the driver is one row for each token of the templates.
     """
-    known = sorted({t for _, text in templates for t in _tokens(text)})
-    counts = lines.select(F.explode(F.array_distinct(F.array_append(_hits(F.col("tokens"), known), F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    df = {r["t"]: r["n"] for r in counts.collect()}
-    total = df.pop("", 0)
-    return {"": math.log((1 + total)) + 1.0} | {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1.0 for t in known}
+    known = _known(templates)
+    words = files.select(F.explode(F.array_distinct(F.split("text", _SPLIT))).alias("t")).where(F.col("t").isin(known))
+    df = {r["t"]: r["n"] for r in words.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    total = files.count()
+    return {"": math.log(1 + total) + 1.0} | {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1.0 for t in known}
+
 
+def _weights(text: str, idf: dict[str, float]) -> dict[str, float]:
+    """A template's vector, of length 1."""
+    tf = Counter(_tokens(text))
+    length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+    return {t: n * idf[t] / length for t, n in tf.items()}
 
-def _cosines(tokens: Column, hits: Column, idf: dict[str, float], templates=TEMPLATES) -> Column:
-    """Array of (score, license) to each template."""
+
+def telling(idf: dict[str, float], threshold: float, templates=TEMPLATES) -> list[str]:
+    """Tokens of which a text must have one to be like any template: the others, commonest first, cannot reach threshold together."""
+    vectors = [_weights(text, idf) for _, text in templates]
+    left = [0.0] * len(vectors)
+    out = []
+    for t in sorted((t for t in idf if t), key=lambda t: (idf[t], t)):
+        more = [x + v.get(t, 0.0) ** 2 for x, v in zip(left, vectors, strict=True)]
+        if max(more) < (threshold - 1e-3) ** 2:
+            left = more
+        else:
+            out.append(t)
+    return out
+
+
+def _best(tokens: Column, hits: Column, idf: dict[str, float], templates=TEMPLATES) -> Column:
+    """(score, license) of the most similar template."""
     norm2 = F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(hits, lambda u: u == t)) * _lookup(idf, t), F.lit(2.0)))
     norm2 = norm2 + (F.size(tokens) - F.size(hits)) * F.lit(idf[""] ** 2)
-    out = []
-    for name, text in templates:
-        tf = Counter(_tokens(text))
-        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
-        weights = {u: n * idf[u] * idf[u] / length for u, n in tf.items()}
-        dot = _sum(hits, weights)
-        out.append(F.struct(F.round(dot / F.sqrt(norm2), 6).alias("score"), F.lit(name).alias("license")))
-    return F.array(*out)
+    dots = [F.struct(_sum(hits, {t: w * idf[t] for t, w in _weights(text, idf).items()}).alias("dot"), F.lit(name).alias("license")) for name, text in templates]
+    return _let(F.sqrt(norm2), lambda length: _let(F.array_max(F.array(*dots)), lambda m: F.struct(F.round(m["dot"] / length, 6).alias("score"), m["license"].alias("license"))))
 
 
 def _sum(tokens: Column, weights: dict[str, float]) -> Column:
@@ -87,22 +111,18 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     """
     path = F.coalesce(path, F.lit(""))
     base = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.regexp_replace(path, "(^|/)[^/]*$", "").alias("dir"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    split = lambda c: F.filter(F.split(c, _SPLIT), lambda t: t != "")
-    lines = base.select(F.explode(F.split("text", "\n")).alias("line")).select(split(F.col("line")).alias("tokens")).where("size(tokens) > 0")
-    idf = idf_table(lines, templates)
-    known = sorted({t for _, text in templates for t in _tokens(text)})
-    # per row: the best line, and the whole text
-    per_line = F.transform(F.split("text", "\n"), lambda x: split(x))
-
-    def likely(t: Column) -> Column:
-        """Where a cosine of threshold is possible at all: known tokens outweigh the others, which only lengthen the vector."""
-        hits = _hits(t, known)
-        return (F.size(hits) > 0) & (F.pow(_sum(hits, idf), F.lit(2.0)) >= (F.size(t) - F.size(hits)) * F.lit((threshold * idf[""]) ** 2))
-
-    rows = base.withColumn("lines", F.filter(per_line, likely)).withColumn("whole", F.flatten(per_line))
-    own = F.array_max(F.transform("lines", lambda t: F.array_max(_cosines(t, _hits(t, known), idf, templates))))
-    file = F.when(likely(F.col("whole")), F.array_max(_cosines(F.col("whole"), _hits(F.col("whole"), known), idf, templates)))
-    rows = rows.select("doc_id", "path", "dir", own.alias("own"), file.alias("file"))
+    idf = idf_table(base, templates)
+    known = _known(templates)
+    pattern = "(^|[^a-z0-9])(" + "|".join(telling(idf, threshold, templates)) + ")($|[^a-z0-9])"
+    score = lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: _best(tokens, hits, idf, templates))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
+    own = F.array_max(F.transform(lines, lambda x: _let(_split(x), score)))
+    # of a whole text, known tokens must outweigh the others, which only lengthen its vector
+    outweighs = lambda tokens, hits: F.pow(_sum(hits, idf), F.lit(2.0)) >= (F.size(tokens) - F.size(hits)) * F.lit((threshold * idf[""]) ** 2)
+    whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, templates))))
+    likely = F.col("text").rlike(pattern)
+    rows = base.withColumns({"own": F.when(likely, own), "file": F.when(likely, whole)})
+    rows = rows.select("doc_id", "path", "dir", "own", "file")
     good = lambda c: F.when(F.col(f"{c}.score") >= threshold, F.col(c))
     rows = rows.withColumns({"own": good("own"), "file": good("file")})
     rows = written(rows, "licenses")
