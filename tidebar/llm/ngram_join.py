@@ -234,12 +234,18 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     """Postings token, doc_id, n of every set's prefix, as far as another set may post the same token; and entries met for each posting."""
-    p = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    region = F.least(F.col("n"), F.floor((F.col("n") + 3) / 4) + 4)
+    of_p = lambda n: n - F.floor((4 * n + 4) / 5) + 1
+    of_region = lambda n: F.least(n, F.floor((n + 3) / 4) + 4)
+    p, region = of_p(F.col("n")), of_region(F.col("n"))
     region_postings = sets.mapInArrow(_post(False), _POSTING)
     counts = written(region_postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
     stats = counts.agg(F.sum(F.col("df") * F.col("df")).alias("met"), F.sum("df").alias("shared")).first()
     found = written(region_postings.join(counts.hint("shuffle_hash"), "token").select("token", "doc_id", "n", "idx", (F.col("df") > FREQUENT).alias("frequent")), "postings")
+    # prefixes longer by k tokens share k more: a set is left with partners only if so many tokens of its region are met elsewhere
+    least = F.floor((4 * F.col("n") + 4) / 5)  # the size of the least partner
+    need = F.least(region - p, of_region(least) - of_p(least)) - 1
+    alive = written(found.groupBy("doc_id").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= need).select("doc_id"), "alive")
+    found = written(found.join(small(alive), "doc_id", "left_semi"), "postings")
     # a set's own frequent tokens move back, so its prefix reaches further by as many
     moved = found.where("frequent").groupBy("doc_id").agg(F.array_sort(F.collect_list("idx")).alias("at"), F.first("n").alias("n"))  # of one document
     moved = moved.withColumn("moved", F.aggregate("at", F.lit(0).cast("long"), lambda h, i: F.when(i - h < p, h + 1).otherwise(h)))
@@ -254,7 +260,7 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     full = written(full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p).select("token", "doc_id", "n"), "full-prefixes")
     # tokens that only these post beyond their region can be met once in a region: those entries are still needed
     extra = written(full.select("token").distinct().join(counts, "token", "left_anti"), "extra")
-    late = region_postings.join(small(extra), "token", "left_semi").join(small(moved), "doc_id", "left")
+    late = region_postings.join(small(extra), "token", "left_semi").join(small(alive), "doc_id", "left_semi").join(small(moved), "doc_id", "left")
     late = late.where((F.col("idx") < p + own) & ~F.coalesce("beyond", F.lit(False))).select("token", "doc_id", "n")
     met = float(stats["met"] or 0) / max(1, stats["shared"] or 0)
     return near.unionByName(full).unionByName(late), met
