@@ -63,6 +63,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, [x for x in regexp_split_to_array({_NORMAL}, '[\\x20\\x09-\\x0D]+') if x <> ''] AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+d AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT d.v, r.c FROM r JOIN d ON r.doc_id = d.u WHERE r.c < d.v)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2
+"""
+
 _OP3 = """
 WITH sizes AS (SELECT coalesce(source, '') AS source, sum(coalesce(strlen(text), 0)) AS n FROM documents GROUP BY 1),
 shares AS (SELECT source, sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () * sum(n::DOUBLE) OVER () / n::DOUBLE AS rate FROM sizes WHERE n > 0),
@@ -70,8 +82,8 @@ ks AS (SELECT source, rate, k FROM shares, LATERAL (SELECT unnest(generate_serie
 cdf AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM ks),
 tables AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
 drawn AS (
-  SELECT doc_id, d.source, len(list_filter(cs, c -> c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
-  FROM documents d JOIN tables t ON t.source = coalesce(d.source, '')),
+  SELECT doc_id, d.source, len([c for c in cs if c <= u]) AS copies
+  FROM (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents) d JOIN tables t ON t.source = coalesce(d.source, '')),
 many AS (SELECT doc_id, source, copies, unnest(generate_series(1, copies)) AS copy FROM drawn WHERE copies > 0)
 SELECT doc_id, source, copy::INTEGER AS copy, copies::INTEGER AS copies,
   round(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || copy || ':18'), 1, 13))::BIGINT / 4503599627370496.0, 12) AS mix_key
@@ -79,9 +91,9 @@ FROM many
 """
 
 _OP4 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)])::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
@@ -120,4 +132,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.x) AS tex
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10}
+    return {"op1_ngram_join": _OP1, "op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10}
