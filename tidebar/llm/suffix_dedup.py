@@ -97,9 +97,9 @@ def _contexts(length: int):
 
 
 def _rerank(rank: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts rank pairs: their order (earlier positions first among equal ones), where a new rank begins in it, and the size of each."""
+    """Sorts rank pairs: their order, where a new rank begins in it, and the size of each."""
     key = hashing.mix(rank * np.uint64(0x9E3779B97F4A7C15) + piece)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     begin = np.flatnonzero(new)
     return order, begin, np.diff(np.concatenate([begin, [len(key)]]))
@@ -123,8 +123,7 @@ def repeats(anchor: np.ndarray, pos: np.ndarray, first: np.ndarray, raw: np.ndar
         offset = done  # the next offset is the length ranked so far
         shared = np.repeat(sizes > 1, sizes)
         if done == length:
-            later = shared
-            later[begin] = False
+            later = order != np.repeat(np.minimum.reduceat(order, begin), sizes)  # all but the earliest of a rank
             live = live[np.sort(order[later])]
             break
         rank[live[order]] = np.repeat(begin, sizes).astype(np.uint64)
@@ -212,7 +211,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans rid, start, end that cover, per row of base (doc_id, rid, text), all bytes of strings of that length which also start earlier."""
     found = base.mapInArrow(_find(length), _ANCHORS)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
     shared = found.join(again.hint("shuffle_hash"), "anchor").withColumn("many", F.col("n") > SPREAD)
     per = shared.groupBy("rid").agg(F.collect_list(F.struct("anchor", "pos", "first", "last", "many")).alias("found"))  # of one document
     per = written(per, "anchors")
