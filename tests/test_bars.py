@@ -72,6 +72,56 @@ def test_breakout_trades_bar_by_bar(bars, mode):
     assert got and got == walk_breakout(df.orderBy("symbol", "ts").collect())
 
 
+def walk_many(rows, d=2.0):
+    out, by = [], {}
+    for r in rows:
+        by.setdefault((r["symbol"], r["session_id"]), []).append(r)
+    for key, session in by.items():
+        side = None
+        for i, b in enumerate(session):
+            if side:
+                stop = b["Senter"] + (best - b["Ssetup"]) / d if side == 1 else b["Benter"] - (b["Bsetup"] - best) / d
+                hit = b["low"] <= stop if side == 1 else b["high"] >= stop
+                if hit or b["is_session_last"]:
+                    out.append((*key, side, entry, b["ts"]))
+                    side = None
+                    continue
+                best = max(best, b["high"]) if side == 1 else min(best, b["low"])
+            elif b["valid"] and not b["is_session_first"] and not b["is_session_last"]:
+                before = session[i - 1]
+                side = 1 if before["high"] > b["Bbreak"] else -1 if before["low"] < b["Sbreak"] else None
+                if side:
+                    entry, best = b["ts"], max(b["Bbreak"], b["high"]) if side == 1 else min(b["Sbreak"], b["low"])
+    return sorted(out)
+
+
+def test_reentry_bar_by_bar(bars):
+    df = lined(bars)
+    got = sorted((r["symbol"], r["session_id"], 1 if r["direction"] == "long" else -1, r["entry_ts"], r["exit_ts"]) for r in G.reentry_trades(df).collect())
+    want = walk_many(df.orderBy("symbol", "ts").collect())
+    assert got == want and len(want) > len(walk_breakout(df.orderBy("symbol", "ts").collect()))
+
+
+def test_macd_trades_bar_by_bar(spark):
+    df = N.macd_cross(N.with_macd(N.with_atr(make_bars(spark, days=8, seed=9), 14))).select("symbol", "ts", "close", "atr", "cross").cache()
+    want, state = [], {}
+    for b in df.orderBy("symbol", "ts").collect():
+        s = state.setdefault(b["symbol"], {"i": 0, "open": None, "free": 0})
+        s["i"] += 1
+        i, t = s["i"], s["open"]
+        if t:
+            move = (b["close"] - t["price"]) * t["side"]
+            why = None if i - t["i"] < 2 else "TP" if move >= 2 * t["atr"] else "SL" if move <= -t["atr"] else None
+            why = why if not b["cross"] else "FLIP"
+            if why:
+                want.append((b["symbol"], t["ts"], b["ts"], why))
+                s["open"], s["free"] = None, i if why == "FLIP" else i + 5 + 1
+        if not s["open"] and b["cross"] and i >= s["free"] and b["atr"] is not None:
+            s["open"] = {"i": i, "side": b["cross"], "price": b["close"], "atr": b["atr"], "ts": b["ts"]}
+    got = [(r["symbol"], r["entry_ts"], r["exit_ts"], r["reason"]) for r in G.macd_trades(df).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def walk_reversal(rows, d=2.0):
     out, by = [], {}
     for r in rows:

@@ -99,6 +99,49 @@ def reversal_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, arm_
     return trades_of(trade_path(reversal_entries(bars, on_range, arm_first), "reversal", d, fill_gaps), cost_bps)
 
 
+def reentry_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, fill_gaps: bool = True, cost_bps: float = 0.0) -> DataFrame:
+    """Breakout trades that may follow one another in a session: every bar that could enter is labelled with its exit, then they are taken one at a time."""
+    high, low = F.lag("high" if on_range else "close").over(_in_session()), F.lag("low" if on_range else "close").over(_in_session())
+    hits = bars.withColumn("side", F.when(_allowed() & (high > F.col("Bbreak")), 1).when(_allowed() & (low < F.col("Sbreak")), -1)).where("side is not null")
+    hits = hits.select("symbol", "session_id", "side", F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"))
+    df = bars.join(hits, ["symbol", "session_id"]).where("ts >= entry_ts")  # within a session
+    w = Window.partitionBy("symbol", "session_id", "entry_ts").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col("side") == 1
+    df = df.withColumn("extreme", F.when(long, F.greatest(F.max("high").over(w), F.col("Bbreak"))).otherwise(F.least(F.min("low").over(w), F.col("Sbreak"))))
+    df = df.withColumn("stop", F.when(F.col("ts") > F.col("entry_ts"), X.breakout_stop(long, "extreme", d)))
+    hit = F.coalesce(F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.lit(False))
+    df = df.withColumn("exits", F.when(hit, "TRAIL").when(F.col("is_session_last") & (F.col("ts") > F.col("entry_ts")), "SESSION_END"))
+    df = df.withColumn("exit_price", F.when(F.col("exits") == "TRAIL", X.gap_fill(long, "stop", "open", fill_gaps)).when(F.col("exits") == "SESSION_END", F.col("close")))
+    return select_trades(trades_of(df, cost_bps))
+
+
+def macd_trades(df: DataFrame, take: float = 2.0, stop: float = 1.0, hold: int = 2, cooldown: int = 5) -> DataFrame:
+    """Trades at the close of bars with a MACD cross (columns cross and atr), one at a time.
+
+    They close at the first close, hold bars on or later, that gained take or lost stop times the ATR of the entry, or at
+    the next cross, which may enter the other way at once; after other exits, cooldown bars pass. As crosses alternate, a
+    bar belongs to the last cross before it.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    df = df.withColumns({"idx": F.row_number().over(w), "run": F.sum(F.when(F.col("cross") != 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    first = Window.partitionBy("symbol", "run").orderBy("ts")
+    df = df.withColumns({x: F.first(y).over(first) for x, y in (("side", "cross"), ("entry_ts", "ts"), ("entry_idx", "idx"), ("entry_price", "close"), ("entry_atr", "atr"))})
+    move = (F.col("close") - F.col("entry_price")) * F.col("side")
+    reason = F.when(F.col("idx") - F.col("entry_idx") < hold, None).when(move >= take * F.col("entry_atr"), "TP").when(move <= -stop * F.col("entry_atr"), "SL")
+    hit = F.min(F.when(reason.isNotNull(), F.struct("idx", "ts", "close", reason.alias("reason"))))
+    runs = df.where("run > 0").groupBy("symbol", "run", "side", "entry_ts", "entry_idx", "entry_price", "entry_atr").agg(hit.alias("hit"))
+    after = Window.partitionBy("symbol").orderBy("run")
+    flip = F.struct(F.lead("entry_idx").over(after).alias("idx"), F.lead("entry_ts").over(after).alias("ts"), F.lead("entry_price").over(after).alias("close"), F.lit("FLIP").alias("reason"))
+    runs = runs.withColumn("flip", flip).withColumn("x", F.coalesce("hit", F.when(F.col("flip.idx").isNotNull(), F.col("flip")))).where("x is not null and entry_atr is not null")
+    free = F.when(F.col("x.reason") == "FLIP", F.col("x.idx") - 1).otherwise(F.col("x.idx") + cooldown)
+    few = runs.select("symbol", F.col("entry_idx").alias("entry_ts"), free.alias("exit_ts"), F.struct("side", "entry_ts", "entry_price", "x").alias("t"))
+    long = F.col("t.side") == 1
+    return select_trades(few).select(
+        "symbol", F.when(long, "long").otherwise("short").alias("direction"), F.col("t.entry_ts").alias("entry_ts"), F.col("t.entry_price").alias("entry_price"), F.col("t.x.ts").alias("exit_ts"),
+        F.col("t.x.close").alias("exit_price"), F.col("t.x.reason").alias("reason"), X.trade_return(long, F.col("t.entry_price"), F.col("t.x.close")).alias("pnl"),
+    )
+
+
 def mark_to_market(bars: DataFrame, trades: DataFrame, start_capital: float = 1.0, cost_bps: float = 0.0) -> DataFrame:
     """Per bar: position and equity, the product of closed trades times the open one's move less cost."""
     w = Window.partitionBy("symbol").orderBy("entry_ts")

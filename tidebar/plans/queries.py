@@ -724,6 +724,17 @@ def _(spark, d):
     return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)))
 
 
+@query("g6_reentry")
+def _(spark, d):
+    return G.reentry_trades(_lined(spark, d)).select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
+
+
+@query("g13_macd_trades")
+def _(spark, d):
+    df = N.macd_cross(N.with_macd(N.with_atr(_bars(spark, d), 14)))
+    return G.macd_trades(df).select("symbol", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", *r("pnl", digits=8))
+
+
 @query("j11_platform", with_bars(_SEG + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), sw AS (SELECT symbol, i, high, low, count(*) OVER w = 5 AND high = max(high) OVER w AS sh, count(*) OVER w = 5 AND low = min(low) OVER w AS sl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 e AS (SELECT symbol, i AS entry_id, i % 200 = 0 AS is_long, open AS price FROM n WHERE i % 100 = 0)
 SELECT e.symbol, entry_id, is_long, price, CASE WHEN is_long THEN max(CASE WHEN sl AND i <= entry_id - 3 AND low < price THEN low END) ELSE min(CASE WHEN sh AND i <= entry_id - 3 AND high > price THEN high END) END AS platform FROM e LEFT JOIN sw ON e.symbol = sw.symbol GROUP BY 1, 2, 3, 4"""))
