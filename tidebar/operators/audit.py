@@ -93,6 +93,29 @@ def night_by_gap(bars: DataFrame) -> DataFrame:
     return per.withColumn("gap", bucket).groupBy("symbol", "gap").agg(F.count("*").alias("dates"), F.count_if("has_night").alias("with_night"), F.count_if(F.col("night_volume") == 0).alias("night_without_volume"))
 
 
+def fake_nights(bars: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """Nights without any volume by exchange (a dimension symbol, exchange), year and days since the date before."""
+    per = bars.groupBy("symbol", "trading_date").agg(F.count_if(is_night("ts")).alias("night_bars"), F.sum(F.when(is_night("ts"), F.col("volume"))).alias("night_volume"))
+    per = per.withColumn("gap", F.datediff("trading_date", F.lag("trading_date").over(_by_day()))).where("night_bars > 0").join(exchanges, "symbol", "left")
+    return per.groupBy("exchange", F.year("trading_date").alias("year"), "gap").agg(F.count("*").alias("nights"), F.count_if(F.col("night_volume") == 0).alias("fake"))
+
+
+def year_edges(bars: DataFrame) -> DataFrame:
+    """The first date of each year: its bars against the symbol's median, and how many have no volume."""
+    day = bars.groupBy("symbol", "trading_date").agg(F.count("*").alias("bars"), F.count_if(F.col("volume") == 0).alias("idle"))
+    usual = day.groupBy("symbol").agg(F.median("bars").alias("usual"))
+    w = Window.partitionBy("symbol", F.year("trading_date")).orderBy("trading_date")
+    return day.withColumn("n", F.row_number().over(w)).where("n = 1").join(usual, "symbol").select("symbol", "trading_date", "bars", "idle", (F.col("bars") / F.col("usual")).alias("times_usual"))
+
+
+def misdated_bars(bars: DataFrame) -> DataFrame:
+    """Day bars of another calendar date than their trading date, and bars after midnight that do not follow a Friday night: how many, and how many without volume."""
+    other = F.col("trading_date") != F.to_date("ts")
+    day, early = ~is_night("ts") & other, (F.hour("ts") <= 2) & other & (F.dayofweek("ts") != 7)
+    idle = F.col("volume") == 0
+    return bars.groupBy("symbol").agg(F.count_if(day).alias("day_bars"), F.count_if(day & idle).alias("day_idle"), F.count_if(early).alias("early_bars"), F.count_if(early & idle).alias("early_idle"))
+
+
 def fake_segments(bars: DataFrame) -> DataFrame:
     """(trading date, calendar date, night) stretches without any volume."""
     return bars.groupBy("symbol", "trading_date", F.to_date("ts").alias("calendar_date"), is_night("ts").alias("night")).agg(F.sum("volume").alias("volume"), F.count("*").alias("bars")).where("volume = 0").drop("volume")

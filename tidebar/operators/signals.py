@@ -279,3 +279,8 @@ def variants(bars: DataFrame, table: DataFrame, run) -> DataFrame:
         part = run(bars, d=v["d"], on_range=v["on_range"], fill_gaps=v["fill_gaps"]).withColumn("variant", F.lit(v["variant"]))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def custom_rule(bars: DataFrame, rule, schema: str) -> DataFrame:
+    """For rules that cannot be columns: rule takes and returns a pandas frame of one symbol's session, which is of bounded length."""
+    return bars.groupBy("symbol", "session_id").applyInPandas(rule, schema)

@@ -99,6 +99,11 @@ def _(spark, d):
     return T.filter_pool(_bars(spark, d), exclude=["error"]).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+@query("pf2_usable_from", with_bars(" SELECT symbol, min(trading_date) AS first, count(*) AS n FROM bars WHERE symbol <> 'view' OR trading_date >= DATE '2024-01-10' GROUP BY 1"))
+def _(spark, d):
+    return B.trim_usable_from(_bars(spark, d), {"view": "2024-01-10"}).groupBy("symbol").agg(F.min("trading_date").alias("first"), F.count("*").alias("n"))
+
+
 @query("pf3_hard_errors", with_bars(f" SELECT symbol, ts, open, high, low, close, volume FROM dirty WHERE {_BAD}", True))
 def _(spark, d):
     return dirty_bars(spark, d).where(B.hard_error()).select("symbol", "ts", "open", "high", "low", "close", "volume")
@@ -797,6 +802,19 @@ def _(spark, d):
     return C.stop_points(path, G.trades_of(path)).select("symbol", "session_id", "ts", *r("stop"), "hidden")
 
 
+@query("c4_tiles", with_bars(_ATR + " SELECT symbol, ts, close, round(atr, 6) AS atr FROM atr WHERE ts >= TIMESTAMP '2024-01-10'"))
+def _(spark, d):
+    return C.tiles(N.with_atr(_bars(spark, d)), "2024-01-10").select("symbol", "ts", "close", *r("atr"))
+
+
+@query("c5_shaded_bins")
+def _(spark, d):
+    daily, spans = _cooling(spark, d)
+    bars = S.segments(_bars(spark, d))
+    flagged = bars.join(G.in_spans(daily.select("symbol", "trading_date"), spans), ["symbol", "trading_date"])
+    return C.shaded_bins(flagged, TF.bin_start(bars, 30)).select("symbol", "ts", "shaded")
+
+
 @query("c3_markers")
 def _(spark, d):
     return C.markers(G.breakout_trades(_lined(spark, d)))
@@ -827,6 +845,12 @@ audit_query("q9_breaks", " SELECT symbol, count(*) FILTER (hour(ts) * 60 + minut
 audit_query("q10_night_tier", ", m AS (SELECT symbol, max(CASE WHEN hour(ts) < 3 THEN hour(ts) * 60 + minute(ts) + 1440 ELSE hour(ts) * 60 + minute(ts) END)::INTEGER AS last FROM bars WHERE hour(ts) >= 21 OR hour(ts) <= 2 GROUP BY 1) SELECT symbol, last, CASE WHEN last > 1560 THEN '02:30' WHEN last > 1380 THEN '01:00' ELSE '23:00' END AS tier FROM m", Q.night_close_tier)
 audit_query("q11_attribution", " SELECT symbol, count(*) FILTER (hour(ts) >= 21 AND trading_date <= CAST(ts AS DATE)) AS not_forward, count(*) FILTER (hour(ts) >= 21 AND dayofweek(ts) = 5 AND dayofweek(trading_date) <> 1) AS friday_not_monday, count(*) FILTER (dayofweek(trading_date) IN (0, 6)) AS weekend FROM bars GROUP BY 1", Q.night_attribution)
 audit_query("q12_night_by_gap", ", p AS (SELECT symbol, trading_date, bool_or(hour(ts) >= 21 OR hour(ts) <= 2) AS hn, sum(volume) FILTER (hour(ts) >= 21 OR hour(ts) <= 2) AS nv FROM bars GROUP BY 1, 2), g AS (SELECT *, trading_date - lag(trading_date) OVER (PARTITION BY symbol ORDER BY trading_date) AS gp FROM p) SELECT symbol, CASE WHEN gp = 1 THEN '1' WHEN gp <= 3 THEN '2-3' WHEN gp > 3 THEN '4+' ELSE 'first' END AS gap, count(*) AS dates, count(*) FILTER (hn) AS with_night, count(*) FILTER (nv = 0) AS night_without_volume FROM g GROUP BY 1, 2", Q.night_by_gap)
+_NIGHTS = ", p AS (SELECT symbol, trading_date, count(*) FILTER (hour(ts) >= 21 OR hour(ts) <= 2) AS nb, sum(volume) FILTER (hour(ts) >= 21 OR hour(ts) <= 2) AS nv FROM dirty GROUP BY 1, 2), g AS (SELECT *, (trading_date - lag(trading_date) OVER (PARTITION BY symbol ORDER BY trading_date))::INTEGER AS gap FROM p)"
+query("q13_fake_nights", with_bars(_NIGHTS + " SELECT CASE WHEN symbol = 'ALL' THEN 'X' WHEN symbol = 'view' THEN 'Y' END AS exchange, year(trading_date)::INTEGER AS year, gap, count(*) AS nights, count(*) FILTER (nv = 0) AS fake FROM g WHERE nb > 0 GROUP BY 1, 2, 3", True))(
+    lambda spark, d: Q.fake_nights(dirty_bars(spark, d), spark.createDataFrame([("ALL", "X"), ("view", "Y")], "symbol string, exchange string"))
+)
+audit_query("q16_year_edges", ", y AS (SELECT symbol, trading_date, count(*) AS bars, count(*) FILTER (volume = 0) AS idle FROM dirty GROUP BY 1, 2), m AS (SELECT symbol, median(bars) AS u FROM y GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, year(trading_date) ORDER BY trading_date) AS i FROM y) SELECT symbol, trading_date, bars, idle, round(bars / u, 6) AS times_usual FROM n JOIN m USING (symbol) WHERE i = 1", lambda b: Q.year_edges(b).select("symbol", "trading_date", "bars", "idle", *r("times_usual")), True)
+audit_query("q16_misdated", " SELECT symbol, count(*) FILTER (hour(ts) BETWEEN 3 AND 20 AND trading_date <> CAST(ts AS DATE)) AS day_bars, count(*) FILTER (hour(ts) BETWEEN 3 AND 20 AND trading_date <> CAST(ts AS DATE) AND volume = 0) AS day_idle, count(*) FILTER (hour(ts) <= 2 AND trading_date <> CAST(ts AS DATE) AND dayofweek(ts) <> 6) AS early_bars, count(*) FILTER (hour(ts) <= 2 AND trading_date <> CAST(ts AS DATE) AND dayofweek(ts) <> 6 AND volume = 0) AS early_idle FROM dirty GROUP BY 1", Q.misdated_bars, True)
 audit_query("q14_fake_segments", " SELECT symbol, trading_date, CAST(ts AS DATE) AS calendar_date, hour(ts) >= 21 OR hour(ts) <= 2 AS night, count(*) AS bars FROM dirty GROUP BY 1, 2, 3, 4 HAVING sum(volume) = 0", Q.fake_segments, True)
 query("q15_survivors")(lambda spark, d: Q.fake_survivors(dirty_bars(spark, d)))
 audit_query("q17_tail", ", y AS (SELECT symbol, trading_date, max(close) FILTER (hour(ts) * 60 + minute(ts) = 150) AS tail, max(open) FILTER (hour(ts) * 60 + minute(ts) = 560) AS am, max(close) FILTER (hour(ts) * 60 + minute(ts) = 890) AS shut FROM bars GROUP BY 1, 2), z AS (SELECT *, lag(shut) OVER (PARTITION BY symbol ORDER BY trading_date) AS sb FROM y) SELECT symbol, count(tail) AS nights, count(*) FILTER (tail = am) AS as_morning, count(*) FILTER (tail = sb) AS as_close_before FROM z GROUP BY 1", lambda b: Q.tail_evidence(b, 150, 560, 890))
