@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.store import written
+from tidebar.llm.store import scope, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is a written table; minima are combined map-side and joins on a node of very many edges can be split.
     """
+    keep: list[DataFrame] = []
+    with scope(edges.sparkSession, keep):
+        edges = _converged(edges)
+        keep.append(edges)
+    own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _converged(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("m")
     last = edges.agg(mark).first()["m"]
@@ -36,5 +45,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == last:
             break
         last = now
-    own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges

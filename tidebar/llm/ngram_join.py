@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import hashing
 from tidebar.llm.components import components
-from tidebar.llm.store import small, written
+from tidebar.llm.store import scope, small, written
 
 WORDS = 5
 #: Similarity 0.8: two sets of a and b tokens link if they share at least 4 * (a + b) / 9.
@@ -303,14 +303,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not looked at. Classes of equal sets are counted with map-side combining before any set is compared, frequent
     tokens are used only by sets that have hardly any others, and units of many sets are split in blocks.
     """
-    sets = written(shingle_sets(docs, id_col, text_col, words), "sets")
-    thin = sets.select("doc_id", "n", "sig1", "sig2")
-    classes = written(thin.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    again = thin.where("doc_id is not null and n > 0").join(classes.where("rep < last"), ["n", "sig1", "sig2"]).where("doc_id <> rep").select("doc_id", "rep")
-    again = written(again, "members")
-    reps = sets.where("n > 0 and doc_id is not null").join(small(again.select("doc_id")), "doc_id", "left_anti")
-    edges = links(reps).unionByName(again.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    found = written(components(edges), "components")
+    spark, keep = docs.sparkSession, []
+    with scope(spark, keep):
+        sets = written(shingle_sets(docs, id_col, text_col, words), "sets")
+        thin = written(sets.select("doc_id", "n", "sig1", "sig2"), "signatures")
+        classes = written(thin.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+        again = thin.where("doc_id is not null and n > 0").join(classes.where("rep < last"), ["n", "sig1", "sig2"]).where("doc_id <> rep").select("doc_id", "rep")
+        again = written(again, "members")
+        reps = sets.where("n > 0 and doc_id is not null").join(small(again.select("doc_id")), "doc_id", "left_anti")
+        edges = written(links(reps).unionByName(again.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "links")
+        found = written(components(edges), "components")
+        keep += [thin, found]
     return thin.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,42 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidebar-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written inside each open scope, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterator[list[str]]:
+    """Tables written inside are deleted at its end, but for those that were added to keep: use it where only these are read later. Without keep all stay, and their paths are given."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        paths = _SCOPES.pop()
+        if keep is not None:
+            kept = {p for df in keep for p in (df._tidebar_path,)}
+            delete(spark, [p for p in paths if p not in kept])
+            paths = [p for p in paths if p in kept]
+        if _SCOPES:
+            _SCOPES[-1] += paths
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidebar_path = path
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
