@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tidebar.llm.store import written
+from tidebar.llm.store import delete, scope, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,7 +33,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """f as a stage: tables that the stage before wrote on its way go, as its result has been written and read again."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _LEFT)
+        with scope(spark) as paths:
+            out = f(spark, docs, sf_dir)
+        _LEFT[:] = paths
+        return out
+
+    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
+    return run_stage
+
+
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("mixing sources", mix_sources), ("best-fit packing", pack)]
+STAGES = [(name, _stage(f)) for name, f in STAGES]
 
 #: The hashing, training and packing of the stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
