@@ -81,9 +81,10 @@ def components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("frequent", [2, 64])
-def test_ngram_join(docs, texts, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "most"), [(2, 500_000), (2, 0), (64, 500_000)])
+def test_ngram_join(docs, texts, monkeypatch, frequent, most):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "FREQUENT_MOST", most)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == components(texts)

@@ -25,6 +25,8 @@ WORDS = 5
 NEED, OF = 4, 9
 #: Lists longer than this hold a frequent token; frequent tokens come last in every set's order.
 FREQUENT = 64
+#: Up to so many frequent tokens (8 bytes each) are broadcast; more are joined.
+FREQUENT_MOST = 500_000
 #: The largest boundary considered, and sets compared at a time on either side.
 LIGHT_MOST, BLOCK = 12, 256
 TOKEN_BYTES = 5
@@ -86,6 +88,21 @@ def _post(whole: bool):
     return run
 
 
+def _ordered(frequent):
+    """Prefix postings token, doc_id, n of sets in full order, their frequent tokens (a broadcast sorted array) last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        for batch in batches:
+            for doc_id, n, raw in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                token = _tokens(raw)
+                usual = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] != token
+                token = np.concatenate([token[usual], token[~usual]])[: prefix_size(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), doc_id)), pa.array(np.full(len(token), n, dtype=np.int32))], names=["token", "doc_id", "n"])
+
+    return run
+
+
 _POSTING = "token long, doc_id long, n int, idx int"
 
 
@@ -252,12 +269,18 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     moved = written(moved.select("doc_id", "moved", (p + F.col("moved") > region).alias("beyond")), "moved")
     beyond = moved.where("beyond").select("doc_id")
     own = F.coalesce("moved", F.lit(0))
-    near = found.where("not frequent").join(moved, "doc_id", "left").where((F.col("idx") < p + own) & ~F.coalesce("beyond", F.lit(False))).select("token", "doc_id", "n")
+    near = found.where("not frequent").join(small(moved), "doc_id", "left").where((F.col("idx") < p + own) & ~F.coalesce("beyond", F.lit(False))).select("token", "doc_id", "n")
     # sets with too many frequent tokens for the margin: ordered in full
     frequent = written(counts.where(F.col("df") > FREQUENT).select("token", F.lit(True).alias("frequent")), "frequent")
-    full = sets.join(small(beyond), "doc_id", "left_semi").mapInArrow(_post(True), _POSTING).join(small(frequent), "token", "left")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("frequent", F.lit(False)), "token")
-    full = written(full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p).select("token", "doc_id", "n"), "full-prefixes")
+    full = sets.join(small(beyond), "doc_id", "left_semi")
+    if 0 < frequent.count() <= FREQUENT_MOST:
+        known = np.sort(np.array([r["token"] for r in frequent.select("token").collect()], dtype=np.int64))
+        full = full.mapInArrow(_ordered(sets.sparkSession.sparkContext.broadcast(known)), "token long, doc_id long, n int")
+    else:
+        order = Window.partitionBy("doc_id").orderBy(F.coalesce("frequent", F.lit(False)), "token")
+        full = full.mapInArrow(_post(True), _POSTING).join(frequent, "token", "left")
+        full = full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p).select("token", "doc_id", "n")
+    full = written(full, "full-prefixes")
     # tokens that only these post beyond their region can be met once in a region: those entries are still needed
     extra = written(full.select("token").distinct().join(counts, "token", "left_anti"), "extra")
     late = region_postings.join(small(extra), "token", "left_semi").join(small(alive), "doc_id", "left_semi").join(small(moved), "doc_id", "left")
@@ -279,17 +302,18 @@ def links(sets: DataFrame) -> DataFrame:
     entries = postings.where(5 * F.col("n") >= 4 * (most + 1)).withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     entries = written(entries.select("token", "band", "own", "doc_id"), "entries")
     heads = entries.groupBy("token", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.max("own").alias("most"))
-    heads = heads.where("head < last and most = band").select("token", "band", "head")  # without the greater band, the list of the band below has it all
+    heads = heads.where("head < last and most = band").select("token", "band", "head")
+    heads = written(heads, "heads")  # without the greater band, the list of the band below has it all
     # all lists with the same head are one unit, so sets that share many tokens are compared once
-    unit = entries.join(heads, ["token", "band"]).select("head", "band", "doc_id").distinct()
+    unit = entries.join(heads.hint("merge"), ["token", "band"]).select("head", "band", "doc_id").distinct()
     unit = written(unit, "units")
     blocks = unit.groupBy("head", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    unit = unit.join(blocks, ["head", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    unit = unit.join(blocks.hint("merge"), ["head", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     unit = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = unit.select("head", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id")
     needed = written(unit.select("doc_id").distinct(), "needed")
     brief = sets.join(small(needed), "doc_id", "left_semi").select("doc_id", "n", "tokens").mapInArrow(_brief, "doc_id long, n long, tokens binary")
-    rows = unit.join(brief, "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
+    rows = unit.join(brief.hint("merge"), "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
     rows = rows.repartition("head", "band", "left", "right").sortWithinPartitions("head", "band", "left", "right")
     return light.unionByName(rows.mapInArrow(_compare, "u long, v long").distinct())
 
