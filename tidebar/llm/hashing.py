@@ -10,7 +10,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

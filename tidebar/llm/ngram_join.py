@@ -78,7 +78,7 @@ def _post(whole: bool):
             ids, n = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
             take = n if whole else region_size(n)
             cuts = np.concatenate([[0], np.cumsum(take)])
-            for i, j in hashing.chunks(cuts, 1 << 19):
+            for i, j in hashing.chunks(cuts, 1 << 18):
                 token = [_tokens(batch.column("tokens")[k].as_py())[: take[k]] for k in range(i, j)]
                 idx = hashing.ranges(np.zeros(j - i, dtype=np.int64), take[i:j])
                 yield pa.RecordBatch.from_arrays(
