@@ -273,3 +273,74 @@ def test_audit_of_clean_bars_finds_nothing(bars):
 def test_empty_tables(spark, bars):
     none = bars.where("false")
     assert G.breakout_trades(lined(none)).count() == 0 and TF.resample_segment(none, 5).count() == 0 and N.with_macd(none).count() == 0
+
+
+def test_nearest_platform_is_exact(spark):
+    rng = random.Random(4)
+    price = lambda: rng.randint(90, 110) / 10
+    swings = [(s, i, rng.random() < 0.3, rng.random() < 0.3, price(), price()) for s in "AB" for i in range(1, 140)]
+    entries = [(s, e, rng.random() < 0.5, price(), rng.choice((-1, 0, 1, 2, 3, rng.randint(0, 200)))) for s in "ABC" for e in range(150)]
+    got = G.nearest_platform(spark.createDataFrame(entries, "symbol string, entry_id long, is_long boolean, price double, closed_idx long"), spark.createDataFrame(swings, "symbol string, idx long, swing_low boolean, swing_high boolean, low double, high double"))
+    want = {}
+    for s, e, long, p, closed in entries:
+        own = [(lo if long else hi) for t, i, is_lo, is_hi, lo, hi in swings if t == s and i <= closed - 2 and (is_lo if long else is_hi) and (lo < p if long else hi > p)]
+        want[s, e] = (max(own) if long else min(own)) if own else None
+    assert {(r["symbol"], r["entry_id"]): r["platform"] for r in got.collect()} == want
+
+
+def walk_candidates(rows, on_completed=True, fast_atr=False, discard=0):
+    """Bar by bar, with the state of one symbol."""
+    out, bias, seen = [], None, False
+    for i, b in enumerate(rows):
+        f = i if on_completed else i + 1
+        s1 = (rows[i - 1]["S1"] if i else None) if on_completed else b["S1"]
+        d = b["DSTATE"]
+        if d != bias:
+            bias, seen = d, False
+        if not d:
+            continue
+        if not seen:
+            seen = b["S30"] == -d and -d in (s1, b["S5"])
+            continue
+        if not (s1 == d and b["S5"] == d) or f >= len(rows) or not b["tradable"] or i < discard or rows[f]["is_session_last"]:
+            continue
+        seen = False
+        atr = b["ATR30"] if not fast_atr else rows[i - on_completed]["ATR1"]
+        if atr is not None:
+            out.append((f + 1, d == 1, rows[f]["ts"], rows[f]["open"], "reentry" if out else "open", atr))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"on_completed": False}, {"fast_atr": True}, {"discard": 200}, {"on_completed": False, "fast_atr": True}])
+def test_pullback_candidates_take_every_trigger(spark, options):
+    rng = random.Random(7)
+    t, rows, day = dt.datetime(2024, 1, 2, 9), [], 0
+    for i in range(600):
+        day = rng.choice((-1, 0, 1)) if i % 60 == 0 else day
+        rows.append(("A", t + dt.timedelta(minutes=i), i // 20, i % 20 == 19, rng.random() < 0.8, day, *(rng.choice((-1, 0, 1)) for _ in range(3)), 0.5 if i > 60 and i % 7 else None, 1.0 if i > 30 and i % 5 else None, i // 30, 100.0 + rng.randint(-20, 20) / 10))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, session_id long, is_session_last boolean, tradable boolean, DSTATE int, S1 int, S5 int, S30 int, ATR1 double, ATR30 double, P30 long, open double")
+    swings = spark.createDataFrame([("A", i, True, True, 99.0 + i % 3 / 10, 101.0 - i % 3 / 10) for i in range(1, 21)], "symbol string, idx long, swing_low boolean, swing_high boolean, low double, high double")
+    got = G.pullback_candidates(df, swings, **options).orderBy("entry_id").collect()
+    want = walk_candidates([r.asDict() for r in df.orderBy("ts").collect()], **options)
+    assert len(want) > 5 and [(r["entry_id"], r["is_long"], r["entry_ts"], r["entry_price"], r["signal"], r["atr"]) for r in got] == want
+    for r in got:
+        side = 1 if r["is_long"] else -1
+        by_atr = r["entry_price"] - side * 1.5 * r["atr"]
+        level = r["platform"] if r["platform"] is not None and abs(r["entry_price"] - r["platform"]) < abs(r["entry_price"] - by_atr) else by_atr
+        assert r["stop"] == pytest.approx(level - side * 0.003 * r["entry_price"]) and r["target"] == pytest.approx(r["entry_price"] + side * 2 * abs(r["entry_price"] - r["stop"]))
+    assert any(r["platform"] is not None for r in got)
+
+
+def test_bracket_switches(spark):
+    t = lambda m: dt.datetime(2024, 1, 2, 9, m)
+    rows = [(10, 11, 9, 10), (10, 12, 10, 12), (12, 15, 12, 15), (11, 15, 11, 11), (9, 10, 8, 10)]
+    b = spark.createDataFrame([("A", 1, t(i), *map(float, r), i == 4) for i, r in enumerate(rows)], "symbol string, session_id long, ts timestamp, open double, high double, low double, close double, is_session_last boolean")
+    c = spark.createDataFrame([("A", 1, 0, True, t(0), 10.0, 9.0, 12.0, 1.0)], "symbol string, session_id long, entry_id long, is_long boolean, entry_ts timestamp, entry_price double, stop double, target double, atr double")
+    legs = lambda **kw: sorted((r["leg"], r["reason"], r["exit_ts"].minute, r["exit_price"]) for r in G.bracket_label(c, b, **kw).collect())
+    assert legs() == [(1, "SL", 0, 9.0)]
+    assert legs(on_range=False) == [(1, "TP", 1, 12.0), (2, "TRAIL", 3, 11.0)]
+    assert legs(on_range=False, fill_gaps=False) == [(1, "TP", 1, 12.0), (2, "TRAIL", 3, 12.0)]
+    assert legs(on_range=False, atr_now=F.lit(2.0)) == [(1, "TP", 1, 12.0), (2, "END", 4, 10.0)]
+    c = c.withColumn("stop", F.lit(8.5))
+    assert legs() == [(1, "TP", 1, 12.0), (2, "TRAIL", 3, 11.0)]
+    assert legs(extreme_before=False) == [(1, "TP", 1, 12.0), (2, "TRAIL", 2, 12.0)]

@@ -164,12 +164,15 @@ def bias_runs(features: DataFrame, bias: str) -> DataFrame:
     return features.withColumn("_e", edge.cast("int")).withColumn("bias_run", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_e")
 
 
-def pullback_events(features: DataFrame, bias: str = "DSTATE", s1: str = "S1", s5: str = "S5", s30: str = "S30") -> DataFrame:
-    """confirm: S30 and one of S1, S5 against the bias; trigger: both S1 and S5 with it, as the bias run's last such event was a confirmation."""
+def pullback_events(features: DataFrame, bias: str = "DSTATE", s1: str = "S1", s5: str = "S5", s30: str = "S30", may: Column | None = None) -> DataFrame:
+    """confirm: S30 and one of S1, S5 against the bias; trigger: both S1 and S5 with it, as the bias run's last such event was a confirmation.
+
+    may: where triggers may act; one elsewhere is none and leaves the confirmation in force.
+    """
     df = bias_runs(features, bias)
     b = F.col(bias)
     confirm = (b != 0) & (F.col(s30) == -b) & ((F.col(s1) == -b) | (F.col(s5) == -b))
-    ready = (b != 0) & ~confirm & (F.col(s1) == b) & (F.col(s5) == b)
+    ready = (b != 0) & ~confirm & (F.col(s1) == b) & (F.col(s5) == b) & (F.lit(True) if may is None else may)
     w = Window.partitionBy("symbol", "bias_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     event = F.when(confirm, 1).when(ready, 0)
     df = df.withColumns({"confirm": F.coalesce(confirm, F.lit(False)), "_v": event})
@@ -177,38 +180,79 @@ def pullback_events(features: DataFrame, bias: str = "DSTATE", s1: str = "S1", s
 
 
 def nearest_platform(entries: DataFrame, swings: DataFrame, k: int = 2) -> DataFrame:
-    """Each entry (symbol, entry_id, is_long, price, closed_idx) with platform: the highest swing low below (lowest swing high above) the price, of swings up to closed_idx - k."""
-    s = swings.where("swing_low or swing_high").select("symbol", F.col("idx").alias("s_idx"), F.when(F.col("swing_low"), F.col("low")).alias("s_low"), F.when(F.col("swing_high"), F.col("high")).alias("s_high"))
-    df = entries.join(s, "symbol", "left")
-    ok = F.col("s_idx") <= F.col("closed_idx") - k
-    low, high = F.max(F.when(ok & (F.col("s_low") < F.col("price")), F.col("s_low"))), F.min(F.when(ok & (F.col("s_high") > F.col("price")), F.col("s_high")))
-    return df.groupBy("symbol", "entry_id", "is_long", "price", "closed_idx").agg(F.when(F.col("is_long"), low).otherwise(high).alias("platform"))
-
+    """Each entry (symbol, entry_id, is_long, price, closed_idx, any more) with platform: the highest swing low below (lowest swing high above) the price, of swings up to closed_idx - k.
 
-def bracket_label(candidates: DataFrame, bars: DataFrame, mult: float = 3.0, share: float = 0.5) -> DataFrame:
+    Swings up to an index are a union of stretches of 2^level of them, one for each bit set in their number, and in each
+    stretch the nearest price is a running last in order of price (of shorts, less the price): n log n rows, no pairs.
+    """
+    s = swings.select("symbol", F.col("idx").alias("at"), F.explode(F.array(F.when(F.col("swing_low"), F.struct(F.lit(True).alias("up"), F.col("low").alias("v"))), F.when(F.col("swing_high"), F.struct(F.lit(False).alias("up"), (-F.col("high")).alias("v"))))).alias("x")).where("x is not null")
+    s = s.select("symbol", "at", "x.up", "x.v", F.lit(None).cast(entries.select(F.struct("*")).schema[0].dataType).alias("row"))
+    up = F.coalesce(F.col("is_long"), F.lit(False))
+    e = entries.select("symbol", F.greatest(F.col("closed_idx") - k + 1, F.lit(0)).alias("at"), up.alias("up"), F.when(up, F.col("price")).otherwise(-F.col("price")).alias("v"), F.struct("*").alias("row"))
+    both = s.unionByName(e).withColumn("at", F.col("at").cast("long")).withColumn("top", F.length(F.bin(F.max("at").over(Window.partitionBy("symbol")))).cast("int"))
+    levels = F.sequence(F.lit(0), "top")
+    part = lambda l: F.call_function("shiftright", F.col("at"), l)
+    asked = F.transform(F.filter(levels, lambda l: part(l) % 2 == 1), lambda l: F.struct(l.alias("level"), (part(l) - 1).alias("node")))
+    held = F.transform(F.filter(levels, lambda l: part(l) % 2 == 0), lambda l: F.struct(l.alias("level"), part(l).alias("node")))
+    both = both.select("symbol", "up", "v", "row", F.explode_outer(F.when(F.col("row").isNull(), held).otherwise(asked)).alias("n"))
+    w = Window.partitionBy("symbol", "up", "n").orderBy("v", F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last(F.when(F.col("row").isNull(), F.col("v")), ignorenulls=True).over(w)
+    df = both.withColumn("near", F.when(F.col("n").isNotNull(), near)).where("row is not null").groupBy("row").agg(F.max("near").alias("near"))
+    return df.select("row.*", F.when(F.col("row.is_long"), F.col("near")).otherwise(-F.col("near")).alias("platform"))
+
+
+def pullback_candidates(features: DataFrame, swings: DataFrame, on_completed: bool = True, fast_atr: bool = False, discard: int = 0, k: int = 2) -> DataFrame:
+    """Every trigger of pullback_events as an entry with platform, stop and target, for bracket_label.
+
+    features: bars with session_id, tradable, is_session_last, DSTATE, S1, S5, S30, ATR1, ATR30 and P30, the index in
+    swings (30-minute bars with idx, swing_low, swing_high) of the last one closed at the bar's start. A bar reads S1 of
+    the bar before and enters at its own open; on_completed=False reads its own S1 and enters at the next open.
+    fast_atr: the risk ATR is that of bars (as far as S1 is read), not of 30 minutes. There is no entry on bars that are
+    not tradable, among a symbol's first discard ones or on the last bar of a session, and these leave the confirmation
+    in force; without an ATR there is none either, but the trigger is spent. signal: open, or reentry after a symbol's first.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    read = (lambda c: F.lag(c).over(w)) if on_completed else F.col
+    fill = F.col if on_completed else (lambda c: F.lead(c).over(w))
+    df = features.withColumns({"_i": F.row_number().over(w), "_s1": read("S1"), "_atr": read("ATR1") if fast_atr else F.col("ATR30"), "_last": F.coalesce(fill("is_session_last"), F.lit(True))})
+    df = df.withColumns({"_ts": fill("ts"), "_open": fill("open"), "_session": fill("session_id")})
+    df = pullback_events(df, s1="_s1", may=F.col("tradable") & (F.col("_i") > discard) & ~F.col("_last")).where("trigger and _atr is not null")
+    signal = F.when(F.row_number().over(w) == 1, "open").otherwise("reentry")
+    entry_id = (F.col("_i") + (0 if on_completed else 1)).cast("long")
+    df = df.select("symbol", F.col("_session").alias("session_id"), entry_id.alias("entry_id"), (F.col("DSTATE") == 1).alias("is_long"), F.col("_ts").alias("entry_ts"), F.col("_open").alias("price"), F.col("_atr").alias("atr"), signal.alias("signal"), F.col("P30").alias("closed_idx"))
+    df = nearest_platform(df, swings, k).drop("closed_idx").withColumnRenamed("price", "entry_price")
+    df = df.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", "platform"))
+    return df.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop"))
+
+
+def bracket_label(candidates: DataFrame, bars: DataFrame, mult: float = 3.0, share: float = 0.5, on_range: bool = True, fill_gaps: bool = True, extreme_before: bool = True, atr_now: Column | None = None) -> DataFrame:
     """Legs of each candidate (symbol, session_id, entry_id, is_long, entry_ts, entry_price, stop, target, atr) in its session.
 
     From the entry bar on: the stop (also if the target is met on the same bar) closes all; the target closes share, and
     a chandelier stop with the first stop as floor the rest, from the next bar on; what is open at the session's end is
     closed at its close. Leg columns: entry_id, reason (SL, TP, TRAIL, END), exit_ts, exit_price, fraction, pnl.
+    on_range=False: closes alone hit; fill_gaps=False: stops fill at their level; extreme_before=False: the chandelier's
+    best price has the bar's own; atr_now: over bars, the ATR that the chandelier reads at each, where not the entry's.
     """
-    b = bars.select("symbol", "session_id", "ts", "open", "high", "low", "close", "is_session_last")
+    b = bars.select("symbol", "session_id", "ts", "open", "high", "low", "close", "is_session_last", (F.lit(None).cast("double") if atr_now is None else atr_now).alias("atr_now"))
     df = candidates.join(b, ["symbol", "session_id"]).where("ts >= entry_ts")
     long = F.col("is_long")
-    sl = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    tp = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    down, up = (F.col("low"), F.col("high")) if on_range else (F.col("close"), F.col("close"))
+    sl = F.when(long, down <= F.col("stop")).otherwise(up >= F.col("stop"))
+    tp = F.when(long, up >= F.col("target")).otherwise(down <= F.col("target"))
     first = F.when(sl, "SL").when(tp, "TP").when(F.col("is_session_last"), "END")
     w = Window.partitionBy("symbol", "entry_id").orderBy("ts")
     df = df.withColumn("_e", first).withColumn("tp_ts", F.min(F.when(F.col("_e").isNotNull(), F.struct("ts", "_e"))).over(Window.partitionBy("symbol", "entry_id")))
     df = df.withColumns({"first_ts": F.col("tp_ts.ts"), "first": F.col("tp_ts._e")}).drop("tp_ts", "_e")
-    extreme = F.when(long, F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))).otherwise(F.min("low").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("trail", X.chandelier(long, extreme, "atr", "stop", mult))
-    trail_hit = F.when(long, F.col("low") <= F.col("trail")).otherwise(F.col("high") >= F.col("trail"))
+    w = w.rowsBetween(Window.unboundedPreceding, -1 if extreme_before else 0)
+    extreme = F.when(long, F.max("high").over(w)).otherwise(F.min("low").over(w))
+    df = df.withColumn("trail", X.chandelier(long, extreme, F.coalesce("atr_now", "atr"), "stop", mult))
+    trail_hit = F.when(long, down <= F.col("trail")).otherwise(up >= F.col("trail"))
     second = F.when((F.col("ts") > F.col("first_ts")) & trail_hit, "TRAIL").when((F.col("ts") >= F.col("first_ts")) & F.col("is_session_last"), "END")
     df = df.withColumn("second", F.when(F.col("first") == "TP", second))
     df = df.withColumn("second_ts", F.min(F.when(F.col("second").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol", "entry_id")))
-    price1 = F.when(F.col("first") == "SL", X.gap_fill(long, "stop", "open")).when(F.col("first") == "TP", F.col("target")).otherwise(F.col("close"))
-    price2 = F.when(F.col("second") == "TRAIL", X.gap_fill(long, "trail", "open")).otherwise(F.col("close"))
+    price1 = F.when(F.col("first") == "SL", X.gap_fill(long, "stop", "open", fill_gaps)).when(F.col("first") == "TP", F.col("target")).otherwise(F.col("close"))
+    price2 = F.when(F.col("second") == "TRAIL", X.gap_fill(long, "trail", "open", fill_gaps)).otherwise(F.col("close"))
     whole = F.when(F.col("first") == "TP", F.lit(share)).otherwise(F.lit(1.0))
     keys = ["symbol", "entry_id", "is_long", "entry_ts", "entry_price"]
     one = df.where("ts = first_ts").select(*keys, F.lit(1).alias("leg"), F.col("first").alias("reason"), F.col("ts").alias("exit_ts"), price1.alias("exit_price"), whole.alias("fraction"))

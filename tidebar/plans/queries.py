@@ -669,14 +669,20 @@ def _(spark, d):
     return G.variants(_lined(spark, d), table, G.breakout_trades).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"))
 
 
+def _thirty(tf: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return N.with_atr(tf, 14, "ATR30").withColumn("P30", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
+
+
 def _features(spark, d) -> DataFrame:
     """Trend states of one, five and thirty minutes and of days, as known at each bar."""
     bars = S.session_mode(_bars(spark, d))
     df = _averages(bars).withColumn("S1", N.ma_state2("f", "m")).drop("f", "m", "s")
     df = N.with_atr(df, 14, "ATR1")
     for minutes, name in ((5, "S5"), (30, "S30")):
-        tf = _averages(TF.resample_segment(bars, minutes)).select("symbol", "ts", N.ma_state2("f", "m").alias(name))
-        df = TF.asof_closed(df, tf, [name], prefix="")
+        tf = _averages(TF.resample_segment(bars, minutes)).withColumn(name, N.ma_state2("f", "m"))
+        df = TF.asof_closed(df, _thirty(tf) if minutes == 30 else tf, [name] + ["ATR30", "P30"] * (minutes == 30), prefix="")
     day = _averages(TF.resample_daily(bars)).select("symbol", "ts", N.ma_state3("f", "m", "s").alias("DSTATE"), N.structure_break("f", "m", "s").alias("DBREAK"))
     return TF.asof_closed(df, day, ["DSTATE", "DBREAK"], prefix="")
 
@@ -692,40 +698,40 @@ def _(spark, d):
 
 
 def _candidates(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Every 40th bar as an entry, long and short in turn, with stop and target: for labelling apart from any signal."""
-    from pyspark.sql import Window
+    """Bars with their features, and every pullback trigger as an entry with stop and target."""
+    bars = _features(spark, d)
+    swings = N.with_swings(_thirty(TF.resample_segment(S.session_mode(_bars(spark, d)), 30))).withColumnRenamed("P30", "idx")
+    return bars, G.pullback_candidates(bars, swings)
 
-    bars = N.with_atr(S.session_mode(_bars(spark, d)), 14)
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
-    df = bars.withColumn("n", n).where("n % 40 = 0 and atr is not null and not is_session_last")
-    long = F.col("n") % 80 == 0
-    df = df.select("symbol", "session_id", F.col("n").cast("long").alias("entry_id"), long.alias("is_long"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"), "atr")
-    df = df.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", F.lit(None).cast("double")))
-    return bars, df.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop", 1.0))
+
+def _legs(spark, d) -> DataFrame:
+    bars, cands = _candidates(spark, d)
+    return G.bracket_label(cands, bars, atr_now=F.col("ATR30"))
+
+
+@query("g9_candidates")
+def _(spark, d):
+    return _candidates(spark, d)[1].select("symbol", "session_id", "entry_id", "is_long", "entry_ts", "signal", *r("entry_price", "atr", "platform", "stop", "target"))
 
 
 @query("g10_brackets")
 def _(spark, d):
-    bars, cands = _candidates(spark, d)
-    return G.bracket_label(cands, bars).select("symbol", "entry_id", "leg", "reason", "exit_ts", *r("exit_price"), "fraction", *r("pnl", digits=8))
+    return _legs(spark, d).select("symbol", "entry_id", "leg", "reason", "exit_ts", *r("exit_price"), "fraction", *r("pnl", digits=8))
 
 
 @query("g12_one_at_a_time")
 def _(spark, d):
-    bars, cands = _candidates(spark, d)
-    return G.select_trades(P.batch_pnl(G.bracket_label(cands, bars))).select("symbol", "entry_id", "entry_ts", "exit_ts", *r("pnl", digits=8))
+    return G.select_trades(P.batch_pnl(_legs(spark, d))).select("symbol", "entry_id", "entry_ts", "exit_ts", *r("pnl", digits=8))
 
 
 @query("a14_batches")
 def _(spark, d):
-    bars, cands = _candidates(spark, d)
-    return P.batch_pnl(G.bracket_label(cands, bars)).select("symbol", "entry_id", "is_long", "legs", *r("pnl", "fraction", digits=8))
+    return P.batch_pnl(_legs(spark, d)).select("symbol", "entry_id", "is_long", "legs", *r("pnl", "fraction", digits=8))
 
 
 @query("q38_invariants")
 def _(spark, d):
-    bars, cands = _candidates(spark, d)
-    legs = G.bracket_label(cands, bars)
+    legs = _legs(spark, d)
     return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)))
 
 
@@ -751,6 +757,16 @@ def _(spark, d):
     return G.nearest_platform(entries, bars).select("symbol", "entry_id", "is_long", "price", "platform")
 
 
+@query("j11_platform_all")
+def _(spark, d):
+    """Every bar as a long and as a short entry; j11_platform takes a few, as its SQL compares all with all."""
+    from pyspark.sql import Window
+
+    bars = N.with_swings(_bars(spark, d)).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
+    entries = bars.select("symbol", F.col("idx").alias("entry_id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("is_long"), F.col("open").alias("price"), (F.col("idx") - 1).alias("closed_idx"))
+    return G.nearest_platform(entries, bars).select("symbol", "entry_id", "is_long", "price", "platform")
+
+
 def _cooling(spark, d) -> tuple[DataFrame, DataFrame]:
     daily = S.daily_ohlc(_bars(spark, d)).withColumn("ts", F.col("trading_date"))
     daily = _averages(daily).withColumns({"state": N.ma_state2("f", "m"), "broke": N.structure_break("f", "m", "s")})
