@@ -156,6 +156,19 @@ def test_poisson_inversion(spark):
         assert np.allclose(cdf, exact) and cdf[-1] > 1 - 1e-12
 
 
+@pytest.mark.parametrize("mean", [700.0, 1_000.0, 5_000.0])
+def test_poisson_inversion_of_large_means(spark, mean):
+    cdf = spark.createDataFrame([(mean,)], "m double").select(mixing.poisson_cdf(F.col("m")).alias("c")).first()["c"]
+    exact = list(itertools.accumulate(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(len(cdf))))
+    assert np.allclose(cdf, exact, rtol=1e-9, atol=1e-12) and abs(cdf[-1] - 1) < 1e-9
+
+
+def test_mixing_small_source_of_large_corpus(spark):
+    docs = spark.createDataFrame([(0, "x" * 3_000_000, "large"), *((i, "x", "small") for i in range(1, 4))], "doc_id long, text string, source string")
+    got = mixing.mix(docs).where("mix_doc.source = 'small'").groupBy("mix_doc.doc_id", "mix_rate").agg(F.count("*").alias("n")).collect()
+    assert len(got) == 3 and all(r["mix_rate"] > 990 and abs(r["n"] - r["mix_rate"]) < 6 * math.sqrt(r["mix_rate"]) for r in got)
+
+
 def test_mixing_follows_weights(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("usual").alias("source"))
     got = {r["source"]: r["n"] for r in mixing.mix(docs, {"rare": 1.0, "usual": 3.0}).groupBy("mix_doc.source").agg(F.count("*").alias("n")).collect()}

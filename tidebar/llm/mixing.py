@@ -22,11 +22,13 @@ def uniform(*parts: Column | str | int) -> Column:
 def poisson_cdf(mean: Column) -> Column:
     """Array of P(X <= k) for k = 0, 1, ... until far beyond the resolution of a double."""
     top = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
-    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("all"))
+    # terms are kept as logarithms: exp(-mean) alone is 0 for means over 745
+    zero = F.struct((-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * mean / k
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.array_append(acc["all"], acc["c"] + p).alias("all"))
+        p = F.when(mean > 0, acc["p"] + F.log(mean) - F.log(k.cast("double"))).otherwise(F.lit(float("-inf")))
+        c = acc["c"] + F.exp(p)
+        return F.struct(p.alias("p"), c.alias("c"), F.array_append(acc["all"], c).alias("all"))
 
     return F.aggregate(F.sequence(F.lit(1), top), zero, step, lambda acc: acc["all"])
 
