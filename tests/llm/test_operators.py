@@ -344,6 +344,35 @@ def test_toxicity_learns(spark):
     assert set(got.doc_id.dropna().astype(int)[got.held_out]) == {i for i in {r[0] for r in rows if r[0] is not None} if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", (60, 60))
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(3000):
+        marked = rng.random() < 0.2
+        rows.append((i, " ".join(["nasty"] * marked + [f"w{rng.randint(0, 300)}" for _ in range(20)]), "en" if i % 50 else "rare"))
+        labels.append((i, int(marked and rng.random() < 0.5)))
+    seen = []
+    calibrate = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda counts: seen.extend(counts) or calibrate(counts))
+    long = [(5000 + i, "nasty " + "x " * toxicity.SAMPLE_BYTES, "long") for i in range(6)]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string, lang string")
+    got = toxicity.classify(docs, spark.createDataFrame(labels + [(d, 1) for d, *_ in long], "doc_id long, toxic int")).toPandas()
+    learned = [i for i in [r[0] for r in rows + long] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(c[-1] for c in seen) == len(learned) and sum(c[-1] for c in seen if c[3] is None) <= 120
+    assert sum(c[-1] for c in seen if c[0] == "long" and c[3] is not None) == sum(i >= 5000 for i in learned)
+    own = got[(got.doc_id < 5000)]
+    assert abs(own.score.mean() - sum(y for _, y in labels) / 3000) < 0.03
+
+
+def test_toxicity_thresholds_from_counts():
+    counts = [("en", False, 1, None, 500), ("en", False, 0, None, 500), ("en", False, 1, 40, 100), ("en", False, 1, 0, 20), ("en", False, 0, 0, 200), ("en", False, 0, -40, 9_000), ("few", False, 1, 0, 3), ("few", False, 0, 0, 90)]
+    scale, thresholds = toxicity.calibrate(counts)
+    chance = [float(toxicity._score(np.array([k * toxicity.BIN]), scale)[0]) for k in (-40, 0, 40)]
+    assert chance == sorted(chance) and chance[0] < 0.05 and chance[2] > 0.5
+    assert thresholds["few"] == toxicity.THRESHOLD and chance[1] < thresholds["en"] < chance[2]
+
+
 def test_toxicity_without_labels(none, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.classify(none, labels).count() == 0
