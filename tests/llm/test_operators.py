@@ -303,6 +303,14 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false"), F.col("path")).count() == 0
 
 
+def test_licenses_of_wrapped_notices(spark):
+    gpl = "# This program is free software: you can redistribute\n#\n# it and/or modify it under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation"
+    mit = " * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files,\n * to deal in the Software without restriction"
+    df = spark.createDataFrame([(i, "code one\n" + t + "\nmore code") for i, t in enumerate((gpl, mit))] + [(i, "lorem ipsum dolor") for i in range(2, 9)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df, F.concat(F.lit("a/"), F.col("doc_id"))).collect()}
+    assert got[0][0] == "GPL-3.0" and got[1][0] == "MIT" and got[2] in ((None, "none"), ("MIT", "inherited"), ("GPL-3.0", "inherited"))
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules", 9), (1, 1, "ann", "hello", 9), (1, 2, "bob", None, 9), (1, 3, "ann", "bye", 9), (1, None, None, "early", 9), (2, 0, "system", "only", 9), (None, 0, "ann", "x", 9), (1, 3, "ann", "bye", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start int")

@@ -29,6 +29,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
 )
 THRESHOLD = 0.7
+#: A notice may be wrapped over so many lines.
+WRAPPED = 4
 _SPLIT = "[^a-z0-9]+"
 
 
@@ -102,7 +104,8 @@ def _lookup(table: dict[str, float], key: Column) -> Column:
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """One row per row of files: doc_id, path, own_license, own_score, is_license_file, inherited_from, license, origin.
 
-    own_license: of the line most like a template, at a cosine of threshold or more (ties: the greater name). A license
+    own_license: of the line, or the up to WRAPPED adjacent lines, most like a template (lines without words, as of comment
+    marks alone, do not count), at a cosine of threshold or more (ties: the greater name). A license
     file is one whose whole text is that like a template. Others without a license of their own take that of the nearest
     directory at or above theirs that has a license file (there, the best score decides, then the greater name). origin:
     file, header, inherited or none. Null and empty texts have no license of their own but inherit; a null path is the
@@ -115,8 +118,10 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     known = _known(templates)
     pattern = "(^|[^a-z0-9])(" + "|".join(telling(idf, threshold, templates)) + ")($|[^a-z0-9])"
     score = lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: _best(tokens, hits, idf, templates))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
-    own = F.array_max(F.transform(lines, lambda x: _let(_split(x), score)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-z0-9]"))
+    runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))
+    runs_of = _let(lines, lambda x: F.concat(*(runs(x, n) for n in range(1, WRAPPED + 1))))
+    own = F.array_max(F.transform(F.filter(runs_of, lambda x: x.rlike(pattern)), lambda x: _let(_split(x), score)))
     # of a whole text, known tokens must outweigh the others, which only lengthen its vector
     outweighs = lambda tokens, hits: F.pow(_sum(hits, idf), F.lit(2.0)) >= (F.size(tokens) - F.size(hits)) * F.lit((threshold * idf[""]) ** 2)
     whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, templates))))
