@@ -126,10 +126,10 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("spread", [1, 20_000])
-def test_suffix_dedup(docs, texts, monkeypatch, spread):
-    monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", 5)
+@pytest.mark.parametrize("stretches", [(24, 6, 1), (1,), (70, 2, 1)])
+def test_suffix_dedup(docs, texts, monkeypatch, stretches):
+    monkeypatch.setattr(suffix_dedup, "STRETCHES", stretches)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 5)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == removed(texts, 100)
 

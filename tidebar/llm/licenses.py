@@ -137,7 +137,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     up = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(above)).alias("a")).select("dir", "a.depth", "a.up")
     near = up.join(at.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "file"), "depth").alias("near"))
-    rows = rows.join(small(written(near, "near"), 100_000), "dir", "left")
+    rows = rows.join(small(written(near, "near")), "dir", "left")
     own_one = F.coalesce("own", "file")
     return rows.select(
         "doc_id", "path", own_one["license"].alias("own_license"), own_one["score"].alias("own_score"), F.col("file").isNotNull().alias("is_license_file"),

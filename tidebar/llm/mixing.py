@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17
     tables give no rows. Column names of docs stay inside the struct, so they cannot clash.
     """
     table = rates(docs, weights, source_col=source_col, text_col=text_col, **kw)
-    table = small(written(table, "rates"), 10_000).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    table = small(written(table, "rates")).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
     rows = docs.select(F.struct("*").alias("mix_doc"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
     u = uniform(F.col("mix_id"), seed)
     copies = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))

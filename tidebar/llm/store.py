@@ -10,8 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two long columns up to which a side may be broadcast (some 32 MB); larger sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side may be broadcast, as counted rows times the width of their columns; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a value takes: numbers with their share of a hash table, and what texts of this package's tables are at most.
+_WIDTH, _TEXT_WIDTH = 8, 96
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,9 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (already written, of few narrow columns) with a broadcast hint where its counted rows are within the bound; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def width(df: DataFrame) -> int:
+    """Bytes of a row in a broadcast table: of its columns, and of the table's own pointers."""
+    return 8 + sum(_WIDTH if f.dataType.simpleString() in ("bigint", "int", "double", "boolean", "date", "timestamp") else _TEXT_WIDTH for f in df.schema.fields)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already written, of few columns, texts of which are keys or names) with a broadcast hint where its counted rows are within the bound; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() * width(df) <= most else df
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:

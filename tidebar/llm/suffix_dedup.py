@@ -1,10 +1,11 @@
 """Repeated substrings by distributed prefix doubling.
 
-Positions of all texts are ranked by what they begin with, at growing lengths: rank pairs of a position and of the
-position an offset further are sorted and ranked again, and positions whose rank is unique are left out, until the
-length asked for is reached. The first ranking is sparse. Every window of that length has an anchor, the k-gram of least
-hash in it, and equal windows have equal anchors at equal places; so Spark sorts anchors, lets go those that are unique,
-and brings the windows of each other anchor together, where the doubling goes on.
+Positions are ranked by what they begin with, at growing lengths: Spark sorts pairs of a position's rank and the bytes that
+follow at the next offset, ranks them anew, and lets positions go whose rank is unique, until the length asked for is
+reached. The first ranking is sparse. Every window of that length has an anchor, the k-gram of least hash in it, and equal
+windows have equal anchors at equal places; so anchors are ranked first, and of each anchor that is not unique the windows
+around it are ranked together, in ever shorter stretches of neighbours: what all windows of a stretch have in common grows
+as the stretch gets shorter, until it is one window. A stretch that is a copy as a whole needs no further ranking.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import hashing
-from tidebar.llm.store import partitions_for, small, written
+from tidebar.llm.store import scope, small, written
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 100, 28
-#: Anchors that occur more often than this have their windows spread by content instead of being ranked together.
-SPREAD = 20_000
+#: Windows of a stretch, by round, after the first round, in which it has all windows of an anchor; each is a multiple of the next.
+STRETCHES = (24, 6, 1)
+#: Rows made at a time, at least.
+AT_ONCE = 50_000
 _BITS = np.uint64((1 << 21) - 1)
-#: Rows of contexts ranked at a time, at least.
-TOGETHER = 20_000
 
 _ANCHORS = "anchor long, doc_id long, rid long, pos int, first int, last int"
 
@@ -76,114 +77,78 @@ def _find(length: int):
 
 
 def _contexts(length: int):
-    """The bytes of each anchor's windows."""
+    """Of each anchor the bytes of all its windows, and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
             for k in range(batch.num_rows):
                 found = batch.column("found")[k].values  # array of structs
-                first, last = (found.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
-                lo = at[k]
-                text = raw[lo : at[k + 1]].tobytes()
+                pos, first, last = (found.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "first", "last"))
+                text = raw[at[k] : at[k + 1]].tobytes()
                 context = [text[a : b + length] for a, b in zip(first, last, strict=True)]
-                n = len(context)
+                before = (pos - first).astype("<i4").tobytes()  # with the number of bytes, this fixes which windows there are
+                digest = [hashlib.blake2b(before[4 * i : 4 * i + 4] + c, digest_size=16).digest() for i, c in enumerate(context)]
+                same = [pa.array([batch.column(c)[k].as_py()] * len(context), type=pa.int64()) for c in ("doc_id", "rid")]
                 yield pa.RecordBatch.from_arrays(
-                    [found.field("anchor"), pa.array([batch.column("doc_id")[k].as_py()] * n, type=pa.int64()), pa.array([batch.column("rid")[k].as_py()] * n, type=pa.int64()), found.field("pos"), found.field("first"), found.field("many"), pa.array(context, type=pa.binary())],
-                    names=["anchor", "doc_id", "rid", "pos", "first", "many", "context"],
+                    [*same, *(pa.array(x.astype(np.int32)) for x in (pos, first, last)), pa.array(digest, type=pa.binary()), pa.array(context, type=pa.binary())], names=["doc_id", "rid", "pos", "first", "last", "digest", "context"]
                 )
 
     return run
 
 
-def _rerank(rank: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts rank pairs: their order, where a new rank begins in it, and the size of each."""
-    key = hashing.mix(rank * np.uint64(0x9E3779B97F4A7C15) + piece)
-    order = np.argsort(key)
-    new = np.concatenate([[True], np.diff(key[order]) != 0])
-    begin = np.flatnonzero(new)
-    return order, begin, np.diff(np.concatenate([begin, [len(key)]]))
-
-
-def repeats(anchor: np.ndarray, pos: np.ndarray, first: np.ndarray, raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (in order of their documents) with the bytes of their windows: row and number of each window that an earlier one equals."""
-    windows = np.maximum(np.diff(at) - length + 1, 0)
-    row = np.repeat(np.arange(len(windows)), windows)
-    number = hashing.ranges(np.zeros(len(windows), dtype=np.int64), windows)
-    start = at[row] + number
-    rank = hashing.mix(anchor[row].view(np.uint64)) + (pos[row] - first[row] - number).astype(np.uint64)  # equal windows have their anchor at the same place
-    q = hashing.prefix_sums(raw)
-    live = np.arange(len(row))
-    done, offset = 0, length // 4
-    while len(live):
-        size = min(offset, length - done) if done else offset
-        piece = hashing.mix(hashing.window_hash(q, start[live] + done, start[live] + done + size))
-        order, begin, sizes = _rerank(rank[live], piece)
-        done += size
-        offset = done  # the next offset is the length ranked so far
-        shared = np.repeat(sizes > 1, sizes)
-        if done == length:
-            later = order != np.repeat(np.minimum.reduceat(order, begin), sizes)  # all but the earliest of a rank
-            live = live[np.sort(order[later])]
-            break
-        rank[live[order]] = np.repeat(begin, sizes).astype(np.uint64)
-        live = live[np.sort(order[shared])]
-    return row[live], number[live]
-
-
-def _rank(length: int):
-    """Rows sorted by anchor; ranks the windows of complete groups together and yields runs of repeated bytes."""
-
-    def settle(t: pa.Table) -> pa.RecordBatch:
-        t = t.sort_by([("doc_id", "ascending"), ("rid", "ascending"), ("first", "ascending")]).combine_chunks()
-        none = pa.compute.is_null(t.column("doc_id")).to_numpy()
-        if none.any():  # null ids come first
-            t = t.take(pa.array(np.concatenate([np.flatnonzero(none), np.flatnonzero(~none)]))).combine_chunks()
-        anchor, pos, first, rid = (t.column(c).to_numpy() for c in ("anchor", "pos", "first", "rid"))
-        raw, at = hashing.utf8(t.column("context"))
-        raw = raw[int(at[0]) : int(at[-1])]
-        row, number = repeats(anchor, pos.astype(np.int64), first.astype(np.int64), raw, at - at[0], length)
-        if len(row):
-            new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(number) != 1)])
-            begin = np.flatnonzero(new)
-            end = np.concatenate([begin[1:], [len(row)]]) - 1
-            return pa.RecordBatch.from_arrays([pa.array(rid[row[begin]]), pa.array((first[row[begin]] + number[begin]).astype(np.int32)), pa.array((first[row[end]] + number[end] + length).astype(np.int32))], names=["rid", "start", "end"])
-        return pa.RecordBatch.from_arrays([pa.array([], type=x) for x in (pa.int64(), pa.int32(), pa.int32())], names=["rid", "start", "end"])
+_CONTEXTS = "doc_id long, rid long, pos int, first int, last int, digest binary, context binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column("anchor").to_numpy()
-            if held and sum(b.num_rows for b in held) >= TOGETHER:
-                tail = held[-1].column("anchor")[-1].as_py()
-                cut = int(np.argmax(key != tail)) if (key != tail).any() else len(key)
-                held.append(batch.slice(0, cut))
-                batch = batch.slice(cut)
-                if batch.num_rows:
-                    yield settle(pa.Table.from_batches(held))
-                    held = []
-            if batch.num_rows:
-                held.append(batch)
-        if held:
-            yield settle(pa.Table.from_batches(held))
 
-    return run
+def _common(node: int, size: int, length: int) -> tuple[int, int]:
+    """What all windows of a stretch share, from and to, with the anchor at 0: those that begin node * size to node * size + size - 1 bytes before it."""
+    return -node * size, length - min(node * size + size - 1, length - ANCHOR)
 
 
-def _windows(length: int):
-    """Each window of frequent anchors by itself."""
+def _pieces(length: int, size: int, parent: int):
+    """Rows of contexts with their stretches of the round before (struct of node and rank): each shorter stretch, with the bytes it has in common beyond the longer one's."""
+
+    def rows(batch: pa.RecordBatch, row: list[int], nodes: list[int], ranks: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+        take = pa.array(row, type=pa.int64())
+        own = [batch.column(c).take(take) for c in ("cid", "doc_id", "rid", "pos")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(nodes, type=pa.int32()), pa.array(ranks, type=pa.int64()), pa.array(pieces, type=pa.binary())], names=["cid", "doc_id", "rid", "pos", "node", "rank", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = [_common(n, size, length) for n in range((length - ANCHOR) // size + 1)]
+        wide = [_common(n, parent, length) for n in range((length - ANCHOR) // parent + 1)] if parent else []
         for batch in batches:
-            for r in batch.select(["doc_id", "rid", "first", "context"]).to_pylist():
-                n = len(r["context"]) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["context"][k : k + length] for k in range(n)], type=pa.binary()), pa.array([r["doc_id"]] * n, type=pa.int64()), pa.array([r["rid"]] * n, type=pa.int64()), pa.array(range(r["first"], r["first"] + n), type=pa.int32())], names=["window", "doc_id", "rid", "start"]
-                )
+            row, nodes, ranks, pieces = [], [], [], []
+            pos, first, last = (batch.column(c).to_pylist() for c in ("pos", "first", "last"))
+            context = batch.column("context").to_pylist()
+            known = batch.column("known").to_pylist() if parent else None
+            for k, text in enumerate(context):
+                least, most, at = pos[k] - last[k], pos[k] - first[k], pos[k] - first[k]
+                if not parent:
+                    row.append(k)
+                    nodes.append(0)
+                    ranks.append(0)
+                    pieces.append(text[at : at + ANCHOR])
+                    continue
+                for x in known[k]:
+                    over, rank = x["node"], x["rank"]
+                    c, d = wide[over]
+                    for n in range(max(over * parent, least) // size, min(over * parent + parent - 1, most) // size + 1):
+                        a, b = spans[n]
+                        row.append(k)
+                        nodes.append(n)
+                        ranks.append(rank)
+                        pieces.append(text[at + a : at + c] + text[at + d : at + b])
+                if len(row) > AT_ONCE:
+                    yield rows(batch, row, nodes, ranks, pieces)
+                    row, nodes, ranks, pieces = [], [], [], []
+            yield rows(batch, row, nodes, ranks, pieces)
 
     return run
 
 
+_PIECES = "cid long, doc_id long, rid long, pos int, node int, rank long, piece binary"
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs covered by spans."""
     out: list[tuple[int, int]] = []
@@ -208,50 +173,78 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
 
+def _order():
+    """The order of occurrences of a string whose place to its anchor is given; null ids come first."""
+    return F.struct("doc_id", "rid", "pos")
+
+
 def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans rid, start, end that cover, per row of base (doc_id, rid, text), all bytes of strings of that length which also start earlier."""
+    """Spans rid, start, end that cover, per row of base (doc_id, rid, text), all bytes of strings of that length which also start earlier.
+
+    Ranks are made of bytes: that of the anchor, then pairs of a rank and the next bytes. Only whole stretches of windows
+    are told to be copies by a digest (BLAKE2b, 128 bits). Groups of any size are counted with map-side combining and
+    joined, and the join can be split.
+    """
     found = base.mapInArrow(_find(length), _ANCHORS)
-    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
-    shared = found.join(again.hint("shuffle_hash"), "anchor").withColumn("many", F.col("n") > SPREAD)
-    per = shared.groupBy("rid").agg(F.collect_list(F.struct("anchor", "pos", "first", "last", "many")).alias("found"))  # of one document
-    per = written(per, "anchors")
-    known = per.select("rid")
-    texts = base.join(small(known), "rid", "left_semi")
-    contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found")
-    contexts = contexts.mapInArrow(_contexts(length), "anchor long, doc_id long, rid long, pos int, first int, many boolean, context binary")
-    contexts = written(contexts, "contexts")
-    parts = partitions_for(base.sparkSession, contexts.count(), 100_000)
-    few = contexts.where("not many").drop("many").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(_rank(length), "rid long, start int, end int")
-    windows = contexts.where("many").mapInArrow(_windows(length), "window binary, doc_id long, rid long, start int")
-    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "rid", "start")).alias("least"))
-    late = windows.join(least, "window").where(~F.struct("doc_id", "rid", "start").eqNullSafe(F.col("least"))).select("rid", "start", (F.col("start") + length).alias("end"))
-    return spans.unionByName(late)
+    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    shared = found.join(again.hint("shuffle_hash"), "anchor")
+    per = written(shared.groupBy("rid").agg(F.collect_list(F.struct("pos", "first", "last")).alias("found")), "anchors")  # of one document
+    texts = base.join(small(per.select("rid")), "rid", "left_semi")
+    contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
+    contexts = written(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")
+    # all windows of an anchor at once
+    whole = contexts.groupBy("digest").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
+    state = contexts.drop("context").join(whole.hint("merge"), "digest", "left").withColumn("later", F.col("least").isNotNull() & ~_order().eqNullSafe(F.col("least")))
+    state = written(state.select("cid", "rid", "first", "last", "later"), "wholes")
+    spans = state.where("later").select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    rows = contexts.join(small(state.where("later").select("cid")), "cid", "left_anti")
+    met, parent = None, 0
+    for size in (length - ANCHOR + 1, *STRETCHES):
+        if met is not None:
+            known = met.groupBy("cid").agg(F.collect_list(F.struct("node", "rank")).alias("known"))  # of one anchor
+            rows = contexts.join(known.hint("merge"), "cid")
+        pieces = written(rows.mapInArrow(_pieces(length, size, parent), _PIECES), "pieces")
+        groups = pieces.groupBy("rank", "node", "piece").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
+        groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "ranks")
+        kept = pieces.join(groups.hint("merge"), ["rank", "node", "piece"])
+        if size == 1:
+            late = kept.where(~_order().eqNullSafe(F.col("least"))).select("rid", (F.col("pos") - F.col("node")).alias("start"))
+            return spans.unionByName(late.withColumn("end", F.col("start") + length))
+        met, parent = written(kept.select("cid", "node", F.col("id").alias("rank")), "met"), size
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with keep_text, kept: the bytes left).
 
     Removed is each byte covered by a string of length bytes that also starts earlier: in a row of smaller id (null is
-    smallest, rows that share an id count in stored order), or earlier in the same text. Null text is empty; shorter
-    texts keep all. Empty tables give no rows; further columns are not looked at. docs should be a stored table. Rows of
-    equal texts are settled first: all but the earliest lose everything. Texts of any length are hashed in parts.
+    smallest, rows that share an id count in the order in which they are read), or earlier in the same text. Null text is
+    empty; shorter texts keep all. Empty tables give no rows; further columns are not looked at. Rows of equal texts are
+    settled first: all but those of the least id lose everything. Rows are numbered once, in a written table of the other
+    texts. Texts of any length are hashed in parts.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    thin = written(base.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
-    groups = thin.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = written(thin.join(groups, ["sha", "n_bytes"]).where(F.col("rid") != F.col("least.rid")).select("rid"), "copies")
-    own = base.where(F.octet_length("text") >= length).join(small(copies), "rid", "left_anti").select("doc_id", "rid", "text")
-    spans = written(repeated_spans(own, length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    if any(a % b for a, b in zip(STRETCHES, STRETCHES[1:], strict=False)) or STRETCHES[-1] != 1 or length <= ANCHOR:
+        raise ValueError("each of STRETCHES must be a multiple of the next and the last one 1; length must exceed ANCHOR")
+    keep: list[DataFrame] = []
+    with scope(docs.sparkSession, keep):
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        base = base.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+        groups = base.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        copy = F.col("least").isNotNull() & ~F.struct("doc_id").eqNullSafe(F.col("least"))
+        text = F.when(~F.col("copy") & (F.col("n_bytes") >= length), F.col("text"))
+        rows = base.join(small(written(groups, "groups")), ["sha", "n_bytes"], "left").withColumn("copy", copy)
+        rows = written(rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), "n_bytes", "sha", "copy", text.alias("text"), *([F.col("text").alias("all")] if keep_text else [])), "texts")
+        own = rows.where("text is not null").select("doc_id", "rid", "text")
+        spans = written(repeated_spans(own, length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+        keep += [rows, spans]
     changed = own.join(small(spans.select("rid")), "rid", "left_semi").join(spans.hint("merge"), "rid")
     changed = changed.mapInArrow(_remove, "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not keep_text:
         changed = changed.drop("kept")
-    empty = F.sha2(F.lit(""), 256)
-    whole = copies.join(thin.hint("merge"), "rid").select("rid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), *([F.lit("").cast("binary").alias("kept")] if keep_text else []))
-    out = thin.join(changed.unionByName(whole), "rid", "left")
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    out = rows.drop("text").join(changed, "rid", "left")
+    removed = lambda c, of_copy, of_other: F.when(F.col("copy"), of_copy).otherwise(F.coalesce(c, of_other))
     zero = F.lit(0).cast("long")
-    out = out.select("doc_id", "rid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if keep_text else []))
-    if keep_text:
-        out = out.join(base.select("rid", F.col("text").cast("binary").alias("text")), "rid").withColumn("kept", F.coalesce("kept", "text")).drop("text")
-    return out.drop("rid")
+    return out.select(
+        "doc_id", "n_bytes", removed("n_removed", F.col("n_bytes"), zero).alias("n_removed"), removed("n_spans", F.lit(1).cast("long"), zero).alias("n_spans"), removed("kept_sha256", empty, F.col("sha")).alias("kept_sha256"),
+        *([removed("kept", F.lit("").cast("binary"), F.col("all").cast("binary")).alias("kept")] if keep_text else []),
+    )
