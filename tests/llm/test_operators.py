@@ -135,7 +135,7 @@ def test_suffix_dedup(docs, texts, monkeypatch, stretches):
 
 
 def test_suffix_dedup_long_text_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(hashing, "CHUNK", 500)
+    monkeypatch.setattr(suffix_dedup, "PART", 500)
     rng = random.Random(2)
     text = "".join(rng.choice("ab ") for _ in range(2000))
     texts = [(0, text), (1, text[700:1500] + "x" + text[100:400]), (2, text[:90])]

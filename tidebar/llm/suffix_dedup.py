@@ -25,53 +25,81 @@ from tidebar.llm.store import scope, small, written
 LENGTH, ANCHOR = 100, 28
 #: Windows of a stretch, by round, after the first round, in which it has all windows of an anchor; each is a multiple of the next.
 STRETCHES = (24, 6, 1)
-#: Rows made at a time, at least.
-AT_ONCE = 50_000
+#: Rows made at a time, at least, and bytes hashed at a time (their hashes stay in a core's cache).
+AT_ONCE, PART = 50_000, 1 << 16
 _BITS = np.uint64((1 << 21) - 1)
 
-_ANCHORS = "anchor long, doc_id long, rid long, pos int, first int, last int"
+_ANCHORS = "anchor long, rid long, pos int, first int, last int"
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end: each anchor's hash and place, and the first and last window that it is the anchor of; places in data."""
     n = len(data)
-    if n < length:
+    inside = np.diff(bounds) >= length
+    if not inside.any():
         return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
-    at = np.arange(n - ANCHOR + 1)
-    h = hashing.mix(hashing.window_hash(hashing.prefix_sums(data), at, at + ANCHOR))
-    least = (h & ~_BITS) | at.astype(np.uint64)  # the leftmost of equal ones
+    h = hashing.mix(hashing.all_windows(data, ANCHOR))
+    least = (h & ~_BITS) | np.arange(n - ANCHOR + 1, dtype=np.uint64)  # the leftmost of equal ones
     span, width = 1, length - ANCHOR + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: span - width], least[width - span :])
-    windows = hashing.ranges(bounds[:-1], np.maximum(np.diff(bounds) - length + 1, 0))
-    pos = (least[windows] & _BITS).astype(np.int64)
-    if not len(pos):
-        return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(pos) != 0) | (np.diff(windows) != 1)]))
-    last = np.concatenate([new[1:], [len(pos)]]) - 1
-    return h[pos[new]], pos[new], windows[new], windows[last]
+    pos = (least & _BITS).astype(np.int64)
+    # runs of windows with the same anchor, then cut to windows inside one text
+    new = np.flatnonzero(pos[1:] != pos[:-1]) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(pos)]]) - 1
+    begin, end = bounds[:-1][inside], bounds[1:][inside] - length
+    i, j = (np.searchsorted(first, x, side="right") - 1 for x in (begin, end))
+    run, text = hashing.ranges(i, j - i + 1), np.repeat(np.arange(len(begin)), j - i + 1)
+    at = pos[first[run]]
+    return h[at], at, np.maximum(first[run], begin[text]), np.minimum(last[run], end[text])
+
+
+def _parts(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts in parts of about PART bytes: first row, bytes, and where each row begins and ends in them; a long text in overlapping parts."""
+    for i, j in hashing.chunks(at, PART):
+        if j > i + 1:
+            yield i, raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i]
+            continue
+        for lo in range(int(at[i]), max(int(at[j]) - length + 1, int(at[i]) + 1), PART):
+            hi = min(lo + PART + length - 1, int(at[j]))
+            yield i, raw[lo:hi], np.array([0, hi - lo])
+
+
+def _count(length: int):
+    """Hashes of anchors, and how often each occurs in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = hashing.utf8(batch.column("text"))
+            found = [anchors(data, bounds, length)[0] for _, data, bounds in _parts(raw, at, length)]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    return run
 
 
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
-            for i, j in hashing.chunks(at):
-                parts = [(int(at[i]), int(at[j]))]
-                if j == i + 1:  # a long text in overlapping parts
-                    parts = [(s, min(s + hashing.CHUNK + length - 1, int(at[j]))) for s in range(int(at[i]), max(int(at[j]) - length + 1, int(at[i]) + 1), hashing.CHUNK)]
-                for lo, hi in parts:
-                    bounds = at[i : j + 1] - lo if j > i + 1 else np.array([0, hi - lo])
-                    h, pos, first, last = anchors(raw[lo:hi], bounds, length)
-                    row = i + np.searchsorted(bounds, first, side="right") - 1
-                    base = at[row] - lo
-                    row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), batch.column("doc_id").take(row), batch.column("rid").take(row), *(pa.array((x - base).astype(np.int32)) for x in (pos, first, last))], names=["anchor", "doc_id", "rid", "pos", "first", "last"]
-                    )
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            done = 0  # where the next part of a long text begins
+            for i, data, bounds in _parts(raw, at, length):
+                h, pos, first, last = anchors(data, bounds, length)
+                row = np.searchsorted(bounds, first, side="right") - 1
+                base = bounds[row]
+                if len(bounds) == 2:
+                    base, done = -done, done + PART
+                    if done >= int(at[i + 1] - at[i]) - length + 1:
+                        done = 0
+                for column, x in zip(columns, (h.view(np.int64), row + i, *((x - base).astype(np.int32) for x in (pos, first, last))), strict=True):
+                    column.append(x)
+            h, row, pos, first, last = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in columns)
+            rid = np.asarray(batch.column("rid"))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], names=["anchor", "rid", "pos", "first", "last"])
 
     return run
 
@@ -149,28 +177,26 @@ def _pieces(length: int, size: int, parent: int):
 _PIECES = "cid long, doc_id long, rid long, pos int, node int, rank long, piece binary"
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs covered by spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by spans: their starts and ends."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return start[new], end[np.concatenate([new[1:], [True]])]
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
     for batch in batches:
         rows = []
         raw, at = hashing.utf8(batch.column("text"))
         for k in range(batch.num_rows):
             text = raw[at[k] : at[k + 1]].tobytes()
-            gone = merged([(s["start"], s["end"]) for s in batch.column("spans")[k].as_py()])
-            ends = [0, *(b for _, b in gone)]
-            kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(text)], strict=True))
-            rows.append({"rid": batch.column("rid")[k].as_py(), "n_removed": len(text) - len(kept), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+            spans = batch.column("spans")[k].values
+            start, end = merged(*(spans.field(c).to_numpy() for c in ("start", "end")))
+            kept = b"".join(text[a:b] for a, b in zip([0, *end], [*start, len(text)], strict=True))
+            rows.append({"rid": batch.column("rid")[k].as_py(), "n_removed": len(text) - len(kept), "n_spans": len(start), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept})
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _order():
@@ -185,9 +211,9 @@ def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     are told to be copies by a digest (BLAKE2b, 128 bits). Groups of any size are counted with map-side combining and
     joined, and the join can be split.
     """
-    found = base.mapInArrow(_find(length), _ANCHORS)
-    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-    shared = found.join(again.hint("shuffle_hash"), "anchor")
+    counts = base.select("text").mapInArrow(_count(length), "anchor long, n long")
+    again = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "again")
+    shared = base.select("rid", "text").mapInArrow(_find(length), _ANCHORS).join(again.hint("shuffle_hash"), "anchor")
     per = written(shared.groupBy("rid").agg(F.collect_list(F.struct("pos", "first", "last")).alias("found")), "anchors")  # of one document
     texts = base.join(small(per.select("rid")), "rid", "left_semi")
     contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
