@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,12 @@ _WIDTH, _TEXT_WIDTH = 8, 96
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of this machine serves a local master, and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all machines share")
         base = getattr(spark.sparkContext, "_tidebar_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -31,24 +35,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidebar-{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables written inside each open scope, innermost last.
-_SCOPES: list[list[str]] = []
+#: Paths of the tables written inside the innermost open scope of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scope(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterator[list[str]]:
     """Tables written inside are deleted at its end, but for those that were added to keep: use it where only these are read later. Without keep all stay, and their paths are given."""
-    _SCOPES.append([])
+    outer, paths = _SCOPE.get(), []
+    token = _SCOPE.set(paths)
     try:
-        yield _SCOPES[-1]
+        yield paths
     finally:
-        paths = _SCOPES.pop()
+        _SCOPE.reset(token)
         if keep is not None:
-            kept = {p for df in keep for p in (df._tidebar_path,)}
+            kept = {df._tidebar_path for df in keep}
             delete(spark, [p for p in paths if p not in kept])
-            paths = [p for p in paths if p in kept]
-        if _SCOPES:
-            _SCOPES[-1] += paths
+            paths[:] = [p for p in paths if p in kept]
+        if outer is not None:
+            outer += paths
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -57,13 +62,23 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: With this, Spark drops a query's shuffle files at its end.
+_LEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    before = spark.conf.get(_LEAN, None)
+    spark.conf.set(_LEAN, "true")  # the table is what is read from now on
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_LEAN) if before is None else spark.conf.set(_LEAN, before)
+    paths = _SCOPE.get()
+    if paths is not None:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidebar_path = path
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import hashing
-from tidebar.llm.store import scope, small, written
+from tidebar.llm.store import delete, scope, small, written
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 100, 28
@@ -29,7 +29,8 @@ STRETCHES = (24, 6, 1)
 AT_ONCE, PART = 50_000, 1 << 16
 _BITS = np.uint64((1 << 21) - 1)
 
-_ANCHORS = "anchor long, rid long, pos int, first int, last int"
+#: Place of an anchor: its position, how far before it its first window begins, and how many more windows there are, the latter two in so many bits.
+_ANCHORS, _SHORT = "anchor long, rid long, place long", 15
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -85,7 +86,7 @@ def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[], [], []]
             done = 0  # where the next part of a long text begins
             for i, data, bounds in _parts(raw, at, length):
                 h, pos, first, last = anchors(data, bounds, length)
@@ -95,11 +96,11 @@ def _find(length: int):
                     base, done = -done, done + PART
                     if done >= int(at[i + 1] - at[i]) - length + 1:
                         done = 0
-                for column, x in zip(columns, (h.view(np.int64), row + i, *((x - base).astype(np.int32) for x in (pos, first, last))), strict=True):
+                for column, x in zip(columns, (h.view(np.int64), row + i, ((pos - base) << 2 * _SHORT) + ((pos - first) << _SHORT) + last - first), strict=True):
                     column.append(x)
-            h, row, pos, first, last = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in columns)
+            h, row, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in columns)
             rid = np.asarray(batch.column("rid"))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], names=["anchor", "rid", "pos", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid), pa.array(place)], names=["anchor", "rid", "place"])
 
     return run
 
@@ -111,8 +112,10 @@ def _contexts(length: int):
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
             for k in range(batch.num_rows):
-                found = batch.column("found")[k].values  # array of structs
-                pos, first, last = (found.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "first", "last"))
+                found = batch.column("found")[k].values.to_numpy()
+                pos = found >> 2 * _SHORT
+                first = pos - (found >> _SHORT & (1 << _SHORT) - 1)
+                last = first + (found & (1 << _SHORT) - 1)
                 text = raw[at[k] : at[k + 1]].tobytes()
                 context = [text[a : b + length] for a, b in zip(first, last, strict=True)]
                 before = (pos - first).astype("<i4").tobytes()  # with the number of bytes, this fixes which windows there are
@@ -211,13 +214,16 @@ def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     are told to be copies by a digest (BLAKE2b, 128 bits). Groups of any size are counted with map-side combining and
     joined, and the join can be split.
     """
-    counts = base.select("text").mapInArrow(_count(length), "anchor long, n long")
-    again = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "again")
-    shared = base.select("rid", "text").mapInArrow(_find(length), _ANCHORS).join(again.hint("shuffle_hash"), "anchor")
-    per = written(shared.groupBy("rid").agg(F.collect_list(F.struct("pos", "first", "last")).alias("found")), "anchors")  # of one document
-    texts = base.join(small(per.select("rid")), "rid", "left_semi")
-    contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
-    contexts = written(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")
+    spark, keep = base.sparkSession, []
+    with scope(spark, keep):
+        counts = base.select("text").mapInArrow(_count(length), "anchor long, n long")
+        again = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "again")
+        shared = base.select("rid", "text").mapInArrow(_find(length), _ANCHORS).join(again.hint("shuffle_hash"), "anchor")
+        per = written(shared.groupBy("rid").agg(F.collect_list("place").alias("found")), "anchors")  # of one document
+        texts = base.join(small(per.select("rid")), "rid", "left_semi")
+        contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
+        contexts = written(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")
+        keep.append(contexts)
     # all windows of an anchor at once
     whole = contexts.groupBy("digest").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
     state = contexts.drop("context").join(whole.hint("merge"), "digest", "left").withColumn("later", F.col("least").isNotNull() & ~_order().eqNullSafe(F.col("least")))
@@ -229,14 +235,23 @@ def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
         if met is not None:
             known = met.groupBy("cid").agg(F.collect_list(F.struct("node", "rank")).alias("known"))  # of one anchor
             rows = contexts.join(known.hint("merge"), "cid")
-        pieces = written(rows.mapInArrow(_pieces(length, size, parent), _PIECES), "pieces")
-        groups = pieces.groupBy("rank", "node", "piece").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
-        groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "ranks")
-        kept = pieces.join(groups.hint("merge"), ["rank", "node", "piece"])
-        if size == 1:
-            late = kept.where(~_order().eqNullSafe(F.col("least"))).select("rid", (F.col("pos") - F.col("node")).alias("start"))
-            return spans.unionByName(late.withColumn("end", F.col("start") + length))
-        met, parent = written(kept.select("cid", "node", F.col("id").alias("rank")), "met"), size
+        keep = []
+        with scope(spark, keep):
+            pieces = written(rows.mapInArrow(_pieces(length, size, parent), _PIECES), "pieces")
+            if met is not None:
+                delete(spark, [met._tidebar_path])
+            groups = pieces.groupBy("rank", "node", "piece").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
+            if size > 1:
+                groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "ranks")
+            kept = pieces.join(groups.hint("merge"), ["rank", "node", "piece"])
+            if size > 1:
+                met, parent = written(kept.select("cid", "node", F.col("id").alias("rank")), "met"), size
+                keep.append(met)
+            else:
+                late = kept.where(~_order().eqNullSafe(F.col("least"))).select("rid", (F.col("pos") - F.col("node")).alias("start"))
+                spans = spans.unionByName(late.withColumn("end", F.col("start") + length))
+                keep.append(pieces)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -248,8 +263,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled first: all but those of the least id lose everything. Rows are numbered once, in a written table of the other
     texts. Texts of any length are hashed in parts.
     """
-    if any(a % b for a, b in zip(STRETCHES, STRETCHES[1:], strict=False)) or STRETCHES[-1] != 1 or length <= ANCHOR:
-        raise ValueError("each of STRETCHES must be a multiple of the next and the last one 1; length must exceed ANCHOR")
+    if any(a % b for a, b in zip(STRETCHES, STRETCHES[1:], strict=False)) or STRETCHES[-1] != 1 or not ANCHOR < length < 1 << _SHORT:
+        raise ValueError("each of STRETCHES must be a multiple of the next and the last one 1; length must exceed ANCHOR and be under 32768")
     keep: list[DataFrame] = []
     with scope(docs.sparkSession, keep):
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
