@@ -33,6 +33,18 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), zero, step, lambda acc: acc["all"])
 
 
+#: Means above this are drawn in equal parts, so that no table of probabilities is longer than some 800.
+PART_MEAN = 500.0
+
+
+def poisson_draw(mean: Column, cdf: Column, id_text: Column, seed: int) -> Column:
+    """A Poisson number of that mean: inverted at uniform values fixed by id and seed, one for each part of the mean; cdf: poisson_cdf of one part."""
+    below = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    parts = F.ceil(mean / PART_MEAN).cast("int")
+    more = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0), lambda a, i: a + F.aggregate(F.array(uniform(id_text, seed, i)), F.lit(0), lambda b, u: b + below(u)))
+    return below(F.col("mix_u")) + F.when(parts > 1, more).otherwise(0)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, source_col: str = "source", text_col: str = "text", epochs: float = 1.0) -> DataFrame:
     """Per source: n_bytes, target_weight and rate, the mean number of copies of its documents.
 
@@ -54,15 +66,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
     """docs replicated to the target weights: columns mix_doc (a struct of all columns), mix_rate, mix_copies, mix_copy (from 1) and mix_key, in order of mix_key.
 
-    A row with a null id draws as the id ''. Rows of equal ids draw equally. Sources with no text have rate 0. Empty
+    Means over PART_MEAN are sums of draws of equal parts. A row with a null id draws as the id ''. Rows of equal ids draw equally. Sources with no text have rate 0. Empty
     tables give no rows. Column names of docs stay inside the struct, so they cannot clash.
     """
     table = rates(docs, weights, source_col=source_col, text_col=text_col, **kw)
-    table = small(written(table, "rates")).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    table = small(written(table, "rates")).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate") / F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART_MEAN))).alias("mix_cdf"))
     rows = docs.select(F.struct("*").alias("mix_doc"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
     u = uniform(F.col("mix_id"), seed)
-    copies = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
+    copies = poisson_draw(F.col("mix_rate"), F.col("mix_cdf"), F.col("mix_id"), seed)
     rows = rows.join(table, "mix_source").withColumn("mix_u", u).withColumn("mix_copies", copies).where("mix_copies > 0")
     rows = rows.select("mix_doc", "mix_id", "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     rows = rows.withColumn("mix_key", uniform(F.col("mix_id"), F.col("mix_copy"), seed + 1)).drop("mix_id")
-    return rows.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are uniform, so equal ranges hold equal numbers and nothing is sampled first
+    return rows.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key")
