@@ -32,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidebar-{name}-{uuid.uuid4().hex}"
+    """A new path there, with its scheme, so that tasks that open files themselves find the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidebar-{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 #: Paths of the tables written inside the innermost open scope of this thread.

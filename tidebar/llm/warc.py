@@ -33,8 +33,8 @@ INDEX = "path string, page_id long, frame int, start int, length int"
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return pafs.LocalFileSystem(), folder
+    if ":/" not in folder:
+        raise ValueError(f"{folder!r} needs a scheme, as file:// or hdfs://")
     if folder.startswith("file:"):
         return pafs.LocalFileSystem(), urlsplit(folder).path
     return pafs.FileSystem.from_uri(folder)
@@ -64,30 +64,37 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(entries) + 9) + entries + struct.pack("<IBI", len(sizes), 0, SEEKABLE)
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
-    """Offset, compressed and uncompressed size of each frame, from the footer."""
-    frames, _, magic = struct.unpack("<IBI", bundle[-9:])
-    if magic != SEEKABLE:
-        raise ValueError("no seek table")
-    at, out = 0, []
-    table = bundle[-9 - 8 * frames : -9]
-    for k in range(frames):
-        packed, plain = struct.unpack_from("<II", table, 8 * k)
-        out.append((at, packed, plain))
-        at += packed
-    return out
-
-
 def index_frame(records: list[tuple[int | None, int, int, int]]) -> bytes:
     body = json.dumps(records).encode()
     return struct.pack("<II", INDEX_FRAME, len(body) + 4) + body + struct.pack("<I", len(body))
 
 
-def read_index(bundle: bytes) -> list[tuple[int | None, int, int, int]]:
-    """(record, frame, start, length) of every record, from the frame before the seek table."""
-    end = len(bundle) - 17 - 8 * struct.unpack("<IBI", bundle[-9:])[0]
-    size = struct.unpack("<I", bundle[end - 4 : end])[0]
-    return [tuple(x) for x in json.loads(bytes(bundle[end - 4 - size : end - 4]))]
+class BundleFile:
+    """A bundle opened for reading by ranges: its footer, its index, and single frames."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        fs, base = _open(folder)
+        self.file = fs.open_input_file(f"{base}/{name}")
+        size = self.file.size()
+        frames, _, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
+        if magic != SEEKABLE:
+            raise ValueError(f"{name}: no seek table")
+        self.end = size - 17 - 8 * frames
+        self.frames: list[tuple[int, int, int]] = []  # offset, compressed and uncompressed size
+        at, table = 0, self.file.read_at(8 * frames, size - 9 - 8 * frames)
+        for k in range(frames):
+            packed, plain = struct.unpack_from("<II", table, 8 * k)
+            self.frames.append((at, packed, plain))
+            at += packed
+
+    def index(self) -> list[tuple[int | None, int, int, int]]:
+        """(record, frame, start, length) of every record, from the frame before the seek table."""
+        size = struct.unpack("<I", self.file.read_at(4, self.end - 4))[0]
+        return [tuple(x) for x in json.loads(self.file.read_at(size, self.end - 4 - size))]
+
+    def frame(self, k: int) -> bytes:
+        at, packed, plain = self.frames[k]
+        return zstandard.ZstdDecompressor().decompress(self.file.read_at(packed, at), max_output_size=plain)
 
 
 class _Bundle:
@@ -150,16 +157,17 @@ def _writer(folder: str):
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for every row into bundles in folder, and returns the written index: path, page_id, frame, start, length.
 
-    Payload: the html in UTF-8 (null: empty). Among equal payloads of at least 1000 bytes the largest id is the response
+    Payload: the html in UTF-8 (null: empty). Payloads are equal if their sizes and SHA-256 are (the digest written is SHA-1). Among equal payloads of at least 1000 bytes the largest id is the response
     and the others revisit it; all shorter ones, and rows of that same id, are responses. Null ids are smaller than any
     and are kept as null. Empty tables give an empty index and no file. A group of copies is met by counting with
     map-side combining and a join that adaptive execution can split.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    base = base.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
-    first = base.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = base.join(first.hint("merge"), ["digest", "size"], "left")
+    base = base.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
+    first = base.where(F.col("size") >= REVISIT_BYTES).groupBy("same", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = small(written(first, "copies"))
+    rows = base.join(first, ["same", "size"], "left")  # payloads move only where the groups of copies are too many to broadcast
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select(
         "page_id", "url", "size", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"),
@@ -171,47 +179,47 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 
 def read_bundles(spark, folder: str, index: DataFrame, take=None) -> DataFrame:
-    """Reads records back: seeks each one's frame by the bundle's own table, then its place in the frame.
+    """Reads records back: of each bundle the footer, then, by ranges of the file, the frames of the records, one at a time.
 
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to and payload (null for a revisit). take:
-    a condition on index rows; frames that hold none of the asked records are not decompressed.
+    a condition on index rows; frames that hold none of the asked records are not read. An empty index, or a condition that
+    no record meets, gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    if take is None:  # all records, by the bundles' own indexes; a retried task may have left bundles that are not listed
-        rows = files.join(small(index.select("path").distinct()), "path", "left_semi").withColumn("records", F.lit(None).cast("array<struct<frame:int,start:int,length:int>>"))
-    else:
-        per = index.where(take).groupBy("path").agg(F.collect_list(F.struct("frame", "start", "length")).alias("records"))  # of one bundle
-        rows = files.join(small(per), "path")
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return rows.mapInArrow(_reader, schema)
+    per = index if take is None else index.where(take)
+    spots = F.lit(None).cast("array<struct<frame:int,start:int,length:int>>") if take is None else F.collect_list(F.struct("frame", "start", "length"))  # of one bundle
+    per = per.groupBy("path").agg(F.count("*").alias("n"), *([] if take is None else [spots.alias("records")]))
+    rows = per.select("path", spots.alias("records") if take is None else "records")
+    rows = rows.repartition("path")  # bundles are opened by name, so that each row is one bundle's work
+    return rows.mapInArrow(_reader(folder), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(folder: str):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     number = lambda urn: int(x) if (x := urn[len("<urn:page:") : -1]) else None
-    for batch in batches:
-        for k in range(batch.num_rows):
-            bundle = memoryview(batch.column("content")[k].as_buffer())
-            table = read_seek_table(bundle)
-            unpack = zstandard.ZstdDecompressor()
-            held, plain, out = -1, b"", []
-            asked = batch.column("records")[k].as_py()
-            places = [x[1:] for x in read_index(bundle)] if asked is None else [(r["frame"], r["start"], r["length"]) for r in asked]
-            for frame, start, length in sorted(places):
-                if frame != held:
-                    at, packed, size = table[held := frame]
-                    plain = unpack.decompress(bundle[at : at + packed], max_output_size=size)
-                x = parse(plain[start : start + length])
-                own = x["warc-type"] == "response"
-                out.append({
-                    "page_id": number(x["warc-record-id"]), "url": x["warc-target-uri"], "record_type": x["warc-type"], "payload_bytes": len(x[""]) if own else int(x["x-payload-length"]),
-                    "payload_digest": hashlib.sha1(x[""]).hexdigest() if own else x["warc-payload-digest"].removeprefix("sha1:"), "refers_to": None if own else number(x["warc-refers-to"]), "payload": x[""] if own else None,
-                })
-                if len(out) >= 256:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, asked in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                bundle = BundleFile(folder, name)
+                held, plain, out, size = -1, b"", [], 0
+                places = [x[1:] for x in bundle.index()] if asked is None else [(r["frame"], r["start"], r["length"]) for r in asked]
+                for frame, start, length in sorted(places):
+                    if frame != held:
+                        held, plain = frame, bundle.frame(frame)
+                    x = parse(plain[start : start + length])
+                    own = x["warc-type"] == "response"
+                    out.append({
+                        "page_id": number(x["warc-record-id"]), "url": x["warc-target-uri"], "record_type": x["warc-type"], "payload_bytes": len(x[""]) if own else int(x["x-payload-length"]),
+                        "payload_digest": hashlib.sha1(x[""]).hexdigest() if own else x["warc-payload-digest"].removeprefix("sha1:"), "refers_to": None if own else number(x["warc-refers-to"]), "payload": x[""] if own else None,
+                    })
+                    size += length
+                    if size >= 4 * FRAME_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, size = [], 0
+                if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
 
 
 def archive_and_read(pages: DataFrame, **columns: str) -> DataFrame:
