@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def harmless(text: Column) -> Column:
+    """text with a blank inside every opening of a mark, so that no turn can write one."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def render(role: Column, name: Column, text: Column) -> tuple[Column, Column]:
     """Opening mark, and text with the closing mark, of one turn."""
     return F.concat(F.lit("<|im_start|>"), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(""), F.lit("\n")), F.concat(text, F.lit("<|im_end|>\n"))
@@ -27,7 +32,8 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     text and its closing mark. Roles in context belong to nobody: they are rendered by their own name and never trained
     on. Null text is empty; a null role is the participant 'unknown'; null turns come first; ties are ordered by role,
     then text, and repeated rows are repeated turns. Null conversation ids are one conversation. A conversation of
-    context only has no perspective. Empty tables give no rows; further columns are not looked at. Each block of turns is
+    context only has no perspective. Texts, names and roles that write a mark (<|im_...) have a blank put into it, and line
+    ends in names and roles become blanks. Empty tables give no rows; further columns are not looked at. Each block of turns is
     numbered and measured by itself and the blocks' sums are added up, so no task needs a whole conversation.
     """
     base = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("who"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -37,7 +43,7 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     own, aside = F.col("who") == F.col("speaker"), F.col("who").isin(*context)
     role = F.when(own, "assistant").when(aside, F.col("who")).otherwise("user")
     name = F.when(~own & ~aside, F.col("who"))
-    head, body = render(role, name, F.col("text"))
+    head, body = render(harmless(F.translate(role, "\r\n", "  ")), harmless(F.translate(name, "\r\n", "  ")), harmless(F.col("text")))
     rows = rows.select("conv_id", "speaker", "turn", "block", "who", role.alias("role"), name.alias("name"), own.alias("own"), F.concat(head, body).alias("segment"), F.length(head).alias("head"), F.length(F.concat(head, body)).cast("long").alias("size"))
     sums = rows.groupBy("conv_id", "speaker", "block").agg(F.sum("size").alias("chars"), F.count("*").alias("turns"))
     before = Window.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
