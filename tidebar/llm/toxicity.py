@@ -182,11 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     long = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) > SAMPLE_BYTES
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), long.alias("long")).where("not long").join(F.broadcast(sample), "id")  # at most sum(SAMPLE) rows
-    rows = rows.select("id", "y", _hashed("text").alias("tokens")).orderBy(F.xxhash64("id"), "id").limit(sum(SAMPLE)).collect()
-    y = np.array([r["y"] for r in rows], dtype=np.float64)
+    rows = rows.select("id", "y", _hashed("text").alias("tokens")).orderBy(F.xxhash64("id"), "id").limit(sum(SAMPLE)).toArrow()
+    y = rows.column("y").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None, {}, None
-    model = train([np.array(r["tokens"], dtype=np.int32).reshape(-1, 2) for r in rows], y)
+    model = train([x.values.to_numpy().reshape(-1, 2) for x in rows.column("tokens")], y)
     table = written(docs.select(F.col(id_col).alias("id"), lang.alias("lang"), long.alias("long"), logit_of(docs, model, text_col).alias("logit")), "logits")
     trained = F.coalesce(F.col("in_sample") & ~F.col("long"), F.lit(False))
     known = known.join(F.broadcast(sample.select("id", F.lit(True).alias("in_sample"))), "id", "left")
@@ -275,7 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those at or over their language's threshold; all columns as they were."""
+    """docs without those at or over their language's threshold; all columns as they were. Nulls, repeated rows, empty tables and missing labels as in classify; without a model, all stay."""
     model, thresholds, _ = fit(docs, labels)
     if model is None:
         return docs
