@@ -11,14 +11,14 @@ from tidebar.llm.store import scope, written
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour greater than a node is linked to the least one around that node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # read as a table, so that a node of very many edges can be split in the join
+    return both.join(least.hint("merge"), "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours are linked to the least one of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    joined = edges.join(least.hint("merge"), "u")
     return joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +40,7 @@ def _converged(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("m")
     last = edges.agg(mark).first()["m"]
     while last["n"]:
-        edges = written(_small(_large(edges)), "edges")
+        edges = written(_small(written(_large(edges), "stars")), "edges")
         now = edges.agg(mark).first()["m"]
         if now == last:
             break

@@ -20,6 +20,7 @@ from tidebar.llm import hashing
 from tidebar.llm.components import components
 from tidebar.llm.store import scope, small, written
 
+#: Words of a shingle. A shingle is its 64-bit hash: nothing is compared with fewer bits.
 WORDS = 5
 #: Similarity 0.8: two sets of a and b tokens link if they share at least 4 * (a + b) / 9.
 NEED, OF = 4, 9
@@ -29,24 +30,23 @@ FREQUENT = 64
 FREQUENT_MOST = 500_000
 #: The largest boundary considered, and sets compared at a time on either side.
 LIGHT_MOST, BLOCK = 12, 256
-TOKEN_BYTES = 5
 
 _SETS = "doc_id long, n long, sig1 long, sig2 long, tokens binary"
 
 
-def _make_sets(words: int):
+def _make_sets(words: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = hashing.utf8(batch.column(1))
             for i, j in hashing.chunks(at):
                 h, counts = hashing.shingles(*hashing.words(raw, at[i : j + 1]), words)
                 ends = np.cumsum(counts)
-                sets = [np.unique(h[e - c : e]) for e, c in zip(ends, counts, strict=True)]
-                some = [x if len(x) else np.zeros(1, dtype=np.uint64) for x in sets]
-                flat, starts = np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])])[:-1]
+                sets = [np.unique(h[e - c : e].view(np.int64)) for e, c in zip(ends, counts, strict=True)]
+                some = [x if len(x) else np.zeros(1, dtype=np.int64) for x in sets]
+                flat, starts = np.concatenate(some).view(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in some])])[:-1]
                 sig1 = np.add.reduceat(hashing.mix(flat), starts).view(np.int64)
                 sig2 = np.add.reduceat(hashing.mix(flat ^ np.uint64(0xD6E8FEB86659FD93)), starts).view(np.int64)
-                packed = [(x >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes() for x in sets]
+                packed = [(x if whole else x[: max(LIGHT_MOST, region_size(len(x)))]).tobytes() for x in sets]
                 n = pa.array([len(x) for x in sets], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), n, pa.array(sig1), pa.array(sig2), pa.array(packed, type=pa.binary())], names=["doc_id", "n", "sig1", "sig2", "tokens"])
 
@@ -54,10 +54,7 @@ def _make_sets(words: int):
 
 
 def _tokens(raw: bytes) -> np.ndarray:
-    """The first 40 bits of each hash, ascending."""
-    out = np.zeros((len(raw) // TOKEN_BYTES, 8), dtype=np.uint8)
-    out[:, :TOKEN_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.reshape(-1).view(np.int64)
+    return np.frombuffer(raw, dtype=np.int64)
 
 
 def prefix_size(n):
@@ -67,11 +64,11 @@ def prefix_size(n):
 
 def region_size(n):
     """How many tokens, in order of hash, are looked at before frequent ones are known: the prefix and a margin."""
-    return np.minimum(n, (n + 3) // 4 + 4)
+    return np.minimum(n, (n + 3) // 4 + 4) if isinstance(n, np.ndarray) else min(n, (n + 3) // 4 + 4)
 
 
 def _post(whole: bool):
-    """Postings token, doc_id, n, idx of each set's region, or of all its tokens."""
+    """Postings token, doc_id, n, idx of each set's region, or of all its tokens (of whole sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +139,7 @@ def _enumerate(most: int):
         for batch in batches:
             keys, ids, small_side = [], [], []
             for doc_id, n, raw in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                token = hashing.mix(_tokens(raw).astype(np.uint64))
+                token = hashing.mix(_tokens(raw).view(np.uint64))
                 for a, b, need in partners(n, most):
                     pick = np.array(list(itertools.combinations(range(n), need)))
                     keys.append(hashing.mix(token[pick].sum(axis=1, dtype=np.uint64) + np.uint64(64 * a + b)).view(np.int64))
@@ -155,7 +152,7 @@ def _enumerate(most: int):
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each pair of sets shares."""
+    """How many tokens each pair of sets (without repeats) shares."""
     n = len(sets)
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
     _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -187,31 +184,6 @@ def spanning(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> list[tup
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label) if i != k]
 
 
-def shorten(raw: bytes) -> bytes:
-    """A set's tokens as differences of three bytes, for sending: as many bits as make two tokens of a pair of sets equal by chance once in 2**21 / n."""
-    token = _tokens(raw)
-    bits = min(8 * TOKEN_BYTES, 21 + len(token).bit_length())
-    step = np.diff(token >> (8 * TOKEN_BYTES - bits), prepend=0)
-    width = 3 if not len(step) or step.max() < 1 << 24 else TOKEN_BYTES
-    return bytes([bits, width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def expand(sets: list[bytes]) -> list[np.ndarray]:
-    """Sets sent by shorten, cut to as many bits as all of them have."""
-    bits = min(raw[0] for raw in sets)
-    out = []
-    for raw in sets:
-        step = np.zeros(((len(raw) - 2) // raw[1], 8), dtype=np.uint8)
-        step[:, : raw[1]] = np.frombuffer(raw, dtype=np.uint8, offset=2).reshape(-1, raw[1])
-        out.append(np.cumsum(step.reshape(-1).view(np.int64)) >> (raw[0] - bits))
-    return out
-
-
-def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([shorten(raw) for raw in batch.column("tokens").to_pylist()], type=pa.binary())], names=["doc_id", "n", "tokens"])
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit; compares each unit's sets when its last row has come."""
     unit, ids, n, sets, seen = None, [], [], [], set()
@@ -220,7 +192,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish() -> None:
         if len(ids) > 1:
             order = np.argsort(ids)
-            out.extend(spanning(np.array(ids)[order], np.array(n, dtype=np.float64)[order], expand([sets[i] for i in order])))
+            out.extend(e for e in spanning(np.array(ids)[order], np.array(n, dtype=np.float64)[order], [_tokens(sets[i]) for i in order]) if e[0] != e[1])
 
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -231,12 +203,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != unit:
                 finish()
                 unit, ids, n, sets, seen = now, [], [], [], set()
-            doc = batch.column("doc_id")[k].as_py()
-            if doc not in seen:
-                seen.add(doc)
+            doc, raw = batch.column("doc_id")[k].as_py(), batch.column("tokens")[k].as_py()
+            if (doc, hash(raw)) not in seen:  # rows that share an id may differ
+                seen.add((doc, hash(raw)))
                 ids.append(doc)
                 n.append(batch.column("n")[k].as_py())
-                sets.append(batch.column("tokens")[k].as_py())
+                sets.append(raw)
         if len(out) > 100_000:
             yield rows()
             out.clear()
@@ -244,12 +216,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n, two signatures of the whole set, and its tokens packed in order of hash."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_make_sets(words), _SETS)
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each set is linked with its unit's head."""
+    for batch in batches:
+        own, head = batch.column("tokens").to_pylist(), batch.column("head_tokens").to_pylist()
+        linked = [OF * len(np.intersect1d(_tokens(a), _tokens(b), assume_unique=True)) >= NEED * (len(a) + len(b)) // 8 for a, b in zip(own, head, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("doc_id"), pa.array(linked, type=pa.bool_())], names=["head", "doc_id", "linked"])
+
 
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, whole: bool = True) -> DataFrame:
+    """doc_id, n, two signatures of the whole set, and its tokens packed in order of hash: all, or as many as LIGHT_MOST or its region."""
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_make_sets(words, whole), _SETS)
 
-def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
+
+def _prefixes(sets: DataFrame, whole) -> tuple[DataFrame, float]:
     """Postings token, doc_id, n of every set's prefix, as far as another set may post the same token; and entries met for each posting."""
     of_p = lambda n: n - F.floor((4 * n + 4) / 5) + 1
     of_region = lambda n: F.least(n, F.floor((n + 3) / 4) + 4)
@@ -272,7 +252,7 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     near = found.where("not frequent").join(small(moved), "doc_id", "left").where((F.col("idx") < p + own) & ~F.coalesce("beyond", F.lit(False))).select("token", "doc_id", "n")
     # sets with too many frequent tokens for the margin: ordered in full
     frequent = written(counts.where(F.col("df") > FREQUENT).select("token", F.lit(True).alias("frequent")), "frequent")
-    full = sets.join(small(beyond), "doc_id", "left_semi")
+    full = whole(beyond)
     if 0 < frequent.count() <= FREQUENT_MOST:
         known = np.sort(np.array([r["token"] for r in frequent.select("token").collect()], dtype=np.int64))
         full = full.mapInArrow(_ordered(sets.sparkSession.sparkContext.broadcast(known)), "token long, doc_id long, n int")
@@ -289,14 +269,58 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, float]:
     return near.unionByName(full).unionByName(late), met
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Edges u, v between sets, none with the same signature: all of them are links, and they join what any links join."""
-    postings, met = _prefixes(sets)
-    sizes = {r["n"]: r["k"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("k")).collect()}  # LIGHT_MOST rows
-    most = boundary(sizes, met)
-    keys = sets.where(F.col("n") <= most).mapInArrow(_enumerate(most), "key long, doc_id long, lesser boolean")
-    least = keys.where("lesser").groupBy("key").agg(F.min("doc_id").alias("v"))
-    light = keys.join(least, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+def links(sets: DataFrame, whole) -> DataFrame:
+    """Edges u, v between sets, none with the same signature: all of them are links, and they join what any links join.
+
+    sets: with tokens of their regions. whole: gives the sets of a written table of doc_id with all their tokens.
+    """
+    spark, keep = sets.sparkSession, []
+    with scope(spark, keep):
+        postings, met = _prefixes(sets, whole)
+        sizes = {r["n"]: r["k"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("k")).collect()}  # LIGHT_MOST rows
+        most = boundary(sizes, met)
+        keys = sets.where(F.col("n") <= most).mapInArrow(_enumerate(most), "key long, doc_id long, lesser boolean")
+        least = keys.where("lesser").groupBy("key").agg(F.min("doc_id").alias("v"))
+        light = written(keys.join(least, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "light")
+        unit = written(_units(postings, most), "units")
+        keep += [light, unit]
+    many = unit.groupBy("head", "band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    many = written(many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "large-units")
+    one = F.lit(0).alias
+    few = unit.join(small(many), ["head", "band"], "left_anti").select("head", "band", one("left"), one("right"), "doc_id")
+    return light.unionByName(_compared(few, whole)).unionByName(_large_units(unit, many, whole))
+
+
+def _compared(rows: DataFrame, whole) -> DataFrame:
+    """Links within each unit of rows (head, band, left, right, doc_id) of at most two blocks of sets."""
+    needed = written(rows.select("doc_id").distinct(), "needed")
+    rows = rows.join(whole(needed).select("doc_id", "n", "tokens").hint("merge"), "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
+    rows = rows.repartition("head", "band", "left", "right").sortWithinPartitions("head", "band", "left", "right")
+    return rows.mapInArrow(_compare, "u long, v long").distinct()
+
+
+def _large_units(unit: DataFrame, many: DataFrame, whole) -> DataFrame:
+    """Links of units of more than a block of sets. All sets are compared with the unit's head, which joins what is linked with it; the others are compared with all, in blocks."""
+    unit = written(unit.join(small(many), ["head", "band"]), "large")
+    pairs = written(unit.where("doc_id <> head").select("head", "doc_id").distinct(), "pairs")
+    heads, members = (written(pairs.select(F.col(c).alias("doc_id")).distinct(), "ids") for c in ("head", "doc_id"))
+    rows = pairs.join(whole(members).select("doc_id", "tokens").hint("merge"), "doc_id")
+    rows = rows.join(whole(heads).select(F.col("doc_id").alias("head"), F.col("tokens").alias("head_tokens")).hint("merge"), "head")
+    star = written(rows.select("head", "doc_id", "tokens", "head_tokens").mapInArrow(_star, "head long, doc_id long, linked boolean"), "star")
+    near = star.where("linked").select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct()
+    far = star.groupBy("head", "doc_id").agg(F.bool_or("linked").alias("linked")).where("not linked").select("head", "doc_id")
+    far = written(unit.join(small(written(far, "far")), ["head", "doc_id"], "left_semi"), "far")
+    rest = written(far.groupBy("head", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far_blocks")), "far-blocks")
+    turn = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = far.join(small(rest), ["head", "band"]).withColumn("left", turn("far_blocks")).withColumn("right", every("blocks"))
+    b = unit.join(small(rest), ["head", "band"]).withColumn("right", turn("blocks")).withColumn("left", every("far_blocks"))
+    columns = ("head", "band", "left", "right", "doc_id")
+    return near.unionByName(_compared(a.select(*columns).unionByName(b.select(*columns)), whole))
+
+
+def _units(postings: DataFrame, most: int) -> DataFrame:
+    """head, band, doc_id: the sets to compare, all lists with the same head as one unit."""
     # lists by token and band of sizes: linked sets are of the same band or of neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     entries = postings.where(5 * F.col("n") >= 4 * (most + 1)).withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
@@ -305,17 +329,7 @@ def links(sets: DataFrame) -> DataFrame:
     heads = heads.where("head < last and most = band").select("token", "band", "head")
     heads = written(heads, "heads")  # without the greater band, the list of the band below has it all
     # all lists with the same head are one unit, so sets that share many tokens are compared once
-    unit = entries.join(heads.hint("merge"), ["token", "band"]).select("head", "band", "doc_id").distinct()
-    unit = written(unit, "units")
-    blocks = unit.groupBy("head", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    unit = unit.join(blocks.hint("merge"), ["head", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    unit = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = unit.select("head", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id")
-    needed = written(unit.select("doc_id").distinct(), "needed")
-    brief = sets.join(small(needed), "doc_id", "left_semi").select("doc_id", "n", "tokens").mapInArrow(_brief, "doc_id long, n long, tokens binary")
-    rows = unit.join(brief.hint("merge"), "doc_id").select("head", "band", "left", "right", "doc_id", "n", "tokens")
-    rows = rows.repartition("head", "band", "left", "right").sortWithinPartitions("head", "band", "left", "right")
-    return light.unionByName(rows.mapInArrow(_compare, "u long, v long").distinct())
+    return entries.join(heads.hint("merge"), ["token", "band"]).select("head", "band", "doc_id").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -329,13 +343,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, keep = docs.sparkSession, []
     with scope(spark, keep):
-        sets = written(shingle_sets(docs, id_col, text_col, words), "sets")
+        sets = written(shingle_sets(docs, id_col, text_col, words, whole=False), "sets")
+        source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        whole = lambda ids: shingle_sets(source.join(small(ids), "doc_id", "left_semi"), words=words).where("n > 0")  # noqa: E731  hashed again, which is cheaper than to keep them
         thin = written(sets.select("doc_id", "n", "sig1", "sig2"), "signatures")
         classes = written(thin.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
         again = thin.where("doc_id is not null and n > 0").join(classes.where("rep < last"), ["n", "sig1", "sig2"]).where("doc_id <> rep").select("doc_id", "rep")
         again = written(again, "members")
         reps = sets.where("n > 0 and doc_id is not null").join(small(again.select("doc_id")), "doc_id", "left_anti")
-        edges = written(links(reps).unionByName(again.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "links")
+        edges = written(links(reps, whole).unionByName(again.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "links")
         found = written(components(edges), "components")
         keep += [thin, found]
     return thin.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
