@@ -64,20 +64,29 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: With this, Spark drops a query's shuffle files at its end.
-_LEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings under which tables are written: shuffle files go at a query's end, as the table is what is read from then on; and
+#: batches sent to Python are of bounded size, whatever the texts.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_LEAN, None)
-    spark.conf.set(_LEAN, "true")  # the table is what is read from now on
-    try:
+    with _settings(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_LEAN) if before is None else spark.conf.set(_LEAN, before)
     paths = _SCOPE.get()
     if paths is not None:
         paths.append(path)
