@@ -24,7 +24,7 @@ from tidebar.llm.store import delete, scope, small, written
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 100, 28
 #: Windows of a stretch, by round, after the first round, in which it has all windows of an anchor; each is a multiple of the next.
-STRETCHES = (24, 6, 1)
+STRETCHES = (8, 1)
 #: Rows made at a time, at least, and bytes hashed at a time (their hashes stay in a core's cache).
 AT_ONCE, PART = 50_000, 1 << 16
 _BITS = np.uint64((1 << 21) - 1)
@@ -120,15 +120,13 @@ def _contexts(length: int):
                 context = [text[a : b + length] for a, b in zip(first, last, strict=True)]
                 before = (pos - first).astype("<i4").tobytes()  # with the number of bytes, this fixes which windows there are
                 digest = [hashlib.blake2b(before[4 * i : 4 * i + 4] + c, digest_size=16).digest() for i, c in enumerate(context)]
-                same = [pa.array([batch.column(c)[k].as_py()] * len(context), type=pa.int64()) for c in ("doc_id", "rid")]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, *(pa.array(x.astype(np.int32)) for x in (pos, first, last)), pa.array(digest, type=pa.binary()), pa.array(context, type=pa.binary())], names=["doc_id", "rid", "pos", "first", "last", "digest", "context"]
-                )
+                same = pa.array(np.full(len(context), batch.column("ord")[k].as_py()))
+                yield pa.RecordBatch.from_arrays([same, *(pa.array(x.astype(np.int32)) for x in (pos, first, last)), pa.array(digest, type=pa.binary()), pa.array(context, type=pa.binary())], names=["ord", "pos", "first", "last", "digest", "context"])
 
     return run
 
 
-_CONTEXTS = "doc_id long, rid long, pos int, first int, last int, digest binary, context binary"
+_CONTEXTS = "ord long, pos int, first int, last int, digest binary, context binary"
 
 
 def _common(node: int, size: int, length: int) -> tuple[int, int]:
@@ -141,8 +139,8 @@ def _pieces(length: int, size: int, parent: int):
 
     def rows(batch: pa.RecordBatch, row: list[int], nodes: list[int], ranks: list[int], pieces: list[bytes]) -> pa.RecordBatch:
         take = pa.array(row, type=pa.int64())
-        own = [batch.column(c).take(take) for c in ("cid", "doc_id", "rid", "pos")]
-        return pa.RecordBatch.from_arrays([*own, pa.array(nodes, type=pa.int32()), pa.array(ranks, type=pa.int64()), pa.array(pieces, type=pa.binary())], names=["cid", "doc_id", "rid", "pos", "node", "rank", "piece"])
+        own = [batch.column(c).take(take) for c in ("ord", "pos")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(nodes, type=pa.int32()), pa.array(ranks, type=pa.int64()), pa.array(pieces, type=pa.binary())], names=["ord", "pos", "node", "rank", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [_common(n, size, length) for n in range((length - ANCHOR) // size + 1)]
@@ -177,7 +175,7 @@ def _pieces(length: int, size: int, parent: int):
     return run
 
 
-_PIECES = "cid long, doc_id long, rid long, pos int, node int, rank long, piece binary"
+_PIECES = "ord long, pos int, node int, rank long, piece binary"
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +201,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _order():
-    """The order of occurrences of a string whose place to its anchor is given; null ids come first."""
-    return F.struct("doc_id", "rid", "pos")
+    """The order of occurrences of a string whose place to its anchor is given."""
+    return F.struct("ord", "pos")
 
 
-def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans rid, start, end that cover, per row of base (doc_id, rid, text), all bytes of strings of that length which also start earlier.
+def _ranked(rows: DataFrame, *key: str) -> DataFrame:
+    """Groups of rows with the same key, of which there are several, and the earliest of each. For joins that can be split, as each group is one row."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
+
+
+def repeated_spans(base: DataFrame, order: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans ord, start, end that cover, per row of base (rid, text), all bytes of strings of that length which also start earlier. order: rid and ord, the rows' order.
 
     Ranks are made of bytes: that of the anchor, then pairs of a rank and the next bytes. Only whole stretches of windows
     are told to be copies by a digest (BLAKE2b, 128 bits). Groups of any size are counted with map-side combining and
@@ -219,36 +222,35 @@ def repeated_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
         counts = base.select("text").mapInArrow(_count(length), "anchor long, n long")
         again = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "again")
         shared = base.select("rid", "text").mapInArrow(_find(length), _ANCHORS).join(again.hint("shuffle_hash"), "anchor")
-        per = written(shared.groupBy("rid").agg(F.collect_list("place").alias("found")), "anchors")  # of one document
+        per = written(shared.groupBy("rid").agg(F.collect_list("place").alias("found")).join(order, "rid"), "anchors")  # of one document
         texts = base.join(small(per.select("rid")), "rid", "left_semi")
-        contexts = texts.join(per.hint("merge"), "rid").select("doc_id", "rid", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
-        contexts = written(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")
-        keep.append(contexts)
-    # all windows of an anchor at once
-    whole = contexts.groupBy("digest").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
-    state = contexts.drop("context").join(whole.hint("merge"), "digest", "left").withColumn("later", F.col("least").isNotNull() & ~_order().eqNullSafe(F.col("least")))
-    state = written(state.select("cid", "rid", "first", "last", "later"), "wholes")
-    spans = state.where("later").select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    rows = contexts.join(small(state.where("later").select("cid")), "cid", "left_anti")
-    met, parent = None, 0
+        contexts = texts.join(per.hint("shuffle_hash"), "rid").select("ord", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
+        contexts = written(contexts, "contexts")
+        # all windows of an anchor at once
+        state = contexts.select("ord", "pos", "first", "last", "digest").join(_ranked(contexts, "digest").hint("shuffle_hash"), "digest", "left")
+        state = written(state.select("ord", "pos", "first", "last", (F.col("least").isNotNull() & (_order() != F.col("least"))).alias("later")), "wholes")
+        spans = state.where("later").select("ord", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+        rest = written(contexts.drop("digest").join(state.where("not later").select("ord", "pos").hint("shuffle_hash"), ["ord", "pos"], "left_semi"), "rest")
+        keep += [state, rest]
+    rows, met, parent = rest, None, 0
     for size in (length - ANCHOR + 1, *STRETCHES):
         if met is not None:
-            known = met.groupBy("cid").agg(F.collect_list(F.struct("node", "rank")).alias("known"))  # of one anchor
-            rows = contexts.join(known.hint("merge"), "cid")
+            known = met.groupBy("ord", "pos").agg(F.collect_list(F.struct("node", "rank")).alias("known"))  # of one anchor
+            rows = rest.join(known.hint("shuffle_hash"), ["ord", "pos"])
         keep = []
         with scope(spark, keep):
             pieces = written(rows.mapInArrow(_pieces(length, size, parent), _PIECES), "pieces")
             if met is not None:
                 delete(spark, [met._tidebar_path])
-            groups = pieces.groupBy("rank", "node", "piece").agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
+            groups = _ranked(pieces, "rank", "node", "piece")
             if size > 1:
-                groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "ranks")
-            kept = pieces.join(groups.hint("merge"), ["rank", "node", "piece"])
+                groups = written(groups.drop("least").withColumn("id", F.monotonically_increasing_id()), "ranks")
+            kept = pieces.join(groups.hint("shuffle_hash"), ["rank", "node", "piece"])
             if size > 1:
-                met, parent = written(kept.select("cid", "node", F.col("id").alias("rank")), "met"), size
+                met, parent = written(kept.select("ord", "pos", "node", F.col("id").alias("rank")), "met"), size
                 keep.append(met)
             else:
-                late = kept.where(~_order().eqNullSafe(F.col("least"))).select("rid", (F.col("pos") - F.col("node")).alias("start"))
+                late = kept.where(_order() != F.col("least")).select("ord", (F.col("pos") - F.col("node")).alias("start"))
                 spans = spans.unionByName(late.withColumn("end", F.col("start") + length))
                 keep.append(pieces)
     return spans
@@ -259,33 +261,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte covered by a string of length bytes that also starts earlier: in a row of smaller id (null is
     smallest, rows that share an id count in the order in which they are read), or earlier in the same text. Null text is
-    empty; shorter texts keep all. Empty tables give no rows; further columns are not looked at. Rows of equal texts are
-    settled first: all but those of the least id lose everything. Rows are numbered once, in a written table of the other
-    texts. Texts of any length are hashed in parts.
+    empty; shorter texts keep all. Empty tables give no rows; further columns are not looked at. Rows are numbered once, in
+    a written table. Of equal texts all but those of the least id lose everything, before any others are looked at. Texts
+    of any length are hashed in parts.
     """
     if any(a % b for a, b in zip(STRETCHES, STRETCHES[1:], strict=False)) or STRETCHES[-1] != 1 or not ANCHOR < length < 1 << _SHORT:
         raise ValueError("each of STRETCHES must be a multiple of the next and the last one 1; length must exceed ANCHOR and be under 32768")
     keep: list[DataFrame] = []
     with scope(docs.sparkSession, keep):
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        base = base.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-        groups = base.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        copy = F.col("least").isNotNull() & ~F.struct("doc_id").eqNullSafe(F.col("least"))
-        text = F.when(~F.col("copy") & (F.col("n_bytes") >= length), F.col("text"))
-        rows = base.join(small(written(groups, "groups")), ["sha", "n_bytes"], "left").withColumn("copy", copy)
-        rows = written(rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), "n_bytes", "sha", "copy", text.alias("text"), *([F.col("text").alias("all")] if keep_text else [])), "texts")
-        own = rows.where("text is not null").select("doc_id", "rid", "text")
-        spans = written(repeated_spans(own, length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-        keep += [rows, spans]
-    changed = own.join(small(spans.select("rid")), "rid", "left_semi").join(spans.hint("merge"), "rid")
+        base = base.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "text")
+        base = written(base, "texts")
+        thin = base.drop("text").where(F.col("n_bytes") >= length)
+        groups = thin.groupBy("sha", "n_bytes").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        copies = written(thin.join(groups.hint("shuffle_hash"), ["sha", "n_bytes"]).where(~F.struct("doc_id").eqNullSafe(F.col("least"))).select("rid"), "copies")
+        order = written(thin.select("rid", "doc_id").orderBy(F.asc_nulls_first("doc_id"), "rid").select("rid", F.monotonically_increasing_id().alias("ord")), "order")
+        own = base.where(F.col("n_bytes") >= length).join(small(copies), "rid", "left_anti").select("rid", "text")
+        spans = repeated_spans(own, order, length).groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = written(spans.join(order, "ord").drop("ord"), "spans")
+        keep += [base, copies, spans]
+    changed = own.join(small(spans.select("rid")), "rid", "left_semi").join(spans.hint("shuffle_hash"), "rid")
     changed = changed.mapInArrow(_remove, "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not keep_text:
         changed = changed.drop("kept")
-    empty = F.lit(hashlib.sha256(b"").hexdigest())
-    out = rows.drop("text").join(changed, "rid", "left")
+    out = (base if keep_text else base.drop("text")).join(copies.withColumn("copy", F.lit(True)), "rid", "left").join(changed, "rid", "left")
     removed = lambda c, of_copy, of_other: F.when(F.col("copy"), of_copy).otherwise(F.coalesce(c, of_other))
-    zero = F.lit(0).cast("long")
+    zero, empty = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
         "doc_id", "n_bytes", removed("n_removed", F.col("n_bytes"), zero).alias("n_removed"), removed("n_spans", F.lit(1).cast("long"), zero).alias("n_spans"), removed("kept_sha256", empty, F.col("sha")).alias("kept_sha256"),
-        *([removed("kept", F.lit("").cast("binary"), F.col("all").cast("binary")).alias("kept")] if keep_text else []),
+        *([removed("kept", F.lit("").cast("binary"), F.col("text").cast("binary")).alias("kept")] if keep_text else []),
     )
