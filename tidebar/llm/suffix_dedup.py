@@ -11,6 +11,7 @@ as the stretch gets shorter, until it is one window. A stretch that is a copy as
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ LENGTH, ANCHOR = 100, 28
 STRETCHES = (8, 1)
 #: Rows made at a time, at least, and bytes hashed at a time (their hashes stay in a core's cache).
 AT_ONCE, PART = 50_000, 1 << 16
+#: Anchors that are counted together in a task, and about how many hashes a bucket of them has.
+TOGETHER, IN_BUCKET = 500_000, 500_000
 _BITS = np.uint64((1 << 21) - 1)
 
 #: Place of an anchor: its position, how far before it its first window begins, and how many more windows there are, the latter two in so many bits.
@@ -69,19 +72,51 @@ def _parts(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int,
             yield i, raw[lo:hi], np.array([0, hi - lo])
 
 
-def _count(length: int):
-    """Hashes of anchors, and how often each occurs in a batch."""
+def _count(length: int, bits: int):
+    """Hashes of anchors, packed by their first bits: those met once, and those met again, in some megabytes of text."""
+
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        spans = [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(cuts.tolist())) if a < b]
+        packed = [[h[a:b][(n[a:b] > 1) == again].tobytes() for _, a, b in spans] for again in (False, True)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in spans], type=pa.int32()), *(pa.array(x, type=pa.binary()) for x in packed)], names=["bucket", "once", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
-            found = [anchors(data, bounds, length)[0] for _, data, bounds in _parts(raw, at, length)]
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+            found += [anchors(data, bounds, length)[0] for _, data, bounds in _parts(raw, at, length)]
+            if sum(map(len, found)) > TOGETHER:
+                yield rows(found)
+                found = []
+        if found:
+            yield rows(found)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: the hashes that are met more than once."""
+    bucket, once, again = None, [], []
+
+    def finish() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(once + again), return_counts=True)
+        twice = np.unique(np.concatenate([h[n > 1], *again]))
+        return pa.RecordBatch.from_arrays([pa.array(twice.view(np.int64))], names=["anchor"])
+
+    for batch in batches:
+        for now, a, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "again")), strict=True):
+            if now != bucket and once:
+                yield finish()
+                once, again = [], []
+            bucket = now
+            once.append(np.frombuffer(a, dtype=np.uint64))
+            again.append(np.frombuffer(b, dtype=np.uint64))
+    if once:
+        yield finish()
+
+
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +245,8 @@ def _ranked(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(_order()).alias("least")).where("n > 1").drop("n")
 
 
-def repeated_spans(base: DataFrame, order: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans ord, start, end that cover, per row of base (rid, text), all bytes of strings of that length which also start earlier. order: rid and ord, the rows' order.
+def repeated_spans(base: DataFrame, order: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
+    """Spans ord, start, end that cover, per row of base (rid, text), all bytes of strings of that length which also start earlier. order: rid and ord, the rows' order; n_bytes: of all texts, about.
 
     Ranks are made of bytes: that of the anchor, then pairs of a rank and the next bytes. Only whole stretches of windows
     are told to be copies by a digest (BLAKE2b, 128 bits). Groups of any size are counted with map-side combining and
@@ -219,8 +254,9 @@ def repeated_spans(base: DataFrame, order: DataFrame, length: int = LENGTH) -> D
     """
     spark, keep = base.sparkSession, []
     with scope(spark, keep):
-        counts = base.select("text").mapInArrow(_count(length), "anchor long, n long")
-        again = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "again")
+        bits = max(6, (n_bytes // (length // 3 * IN_BUCKET)).bit_length())
+        buckets = base.select("text").mapInArrow(_count(length, bits), "bucket int, once binary, again binary").repartition("bucket").sortWithinPartitions("bucket")
+        again = written(buckets.mapInArrow(_shared, "anchor long"), "again")
         shared = base.select("rid", "text").mapInArrow(_find(length), _ANCHORS).join(again.hint("shuffle_hash"), "anchor")
         per = written(shared.groupBy("rid").agg(F.collect_list("place").alias("found")).join(order, "rid"), "anchors")  # of one document
         texts = base.join(small(per.select("rid")), "rid", "left_semi")
@@ -277,7 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         copies = written(thin.join(groups.hint("shuffle_hash"), ["sha", "n_bytes"]).where(~F.struct("doc_id").eqNullSafe(F.col("least"))).select("rid"), "copies")
         order = written(thin.select("rid", "doc_id").orderBy(F.asc_nulls_first("doc_id"), "rid").select("rid", F.monotonically_increasing_id().alias("ord")), "order")
         own = base.where(F.col("n_bytes") >= length).join(small(copies), "rid", "left_anti").select("rid", "text")
-        spans = repeated_spans(own, order, length).groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        n_bytes = thin.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        spans = repeated_spans(own, order, n_bytes, length).groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         spans = written(spans.join(order, "ord").drop("ord"), "spans")
         keep += [base, copies, spans]
     changed = own.join(small(spans.select("rid")), "rid", "left_semi").join(spans.hint("shuffle_hash"), "rid")
