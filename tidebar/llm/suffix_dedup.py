@@ -263,7 +263,7 @@ def repeated_spans(base: DataFrame, order: DataFrame, n_bytes: int, length: int
         contexts = texts.join(per.hint("shuffle_hash"), "rid").select("ord", "text", "found").mapInArrow(_contexts(length), _CONTEXTS)
         contexts = written(contexts, "contexts")
         # all windows of an anchor at once
-        state = contexts.select("ord", "pos", "first", "last", "digest").join(_ranked(contexts, "digest").hint("shuffle_hash"), "digest", "left")
+        state = contexts.select("ord", "pos", "first", "last", "digest").join(written(_ranked(contexts, "digest"), "copies").hint("shuffle_hash"), "digest", "left")
         state = written(state.select("ord", "pos", "first", "last", (F.col("least").isNotNull() & (_order() != F.col("least"))).alias("later")), "wholes")
         spans = state.where("later").select("ord", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
         rest = written(contexts.drop("digest").join(state.where("not later").select("ord", "pos").hint("shuffle_hash"), ["ord", "pos"], "left_semi"), "rest")
@@ -276,11 +276,9 @@ def repeated_spans(base: DataFrame, order: DataFrame, n_bytes: int, length: int
         keep = []
         with scope(spark, keep):
             pieces = written(rows.mapInArrow(_pieces(length, size, parent), _PIECES), "pieces")
-            if met is not None:
-                delete(spark, [met._tidebar_path])
-            groups = _ranked(pieces, "rank", "node", "piece")
-            if size > 1:
-                groups = written(groups.drop("least").withColumn("id", F.monotonically_increasing_id()), "ranks")
+            delete(spark, [] if met is None else [met._tidebar_path, *([rest._tidebar_path] if size == 1 else [])])
+            groups = _ranked(pieces, "rank", "node", "piece").withColumn("id", F.monotonically_increasing_id())
+            groups = written(groups.drop("least" if size > 1 else "id"), "ranks")
             kept = pieces.join(groups.hint("shuffle_hash"), ["rank", "node", "piece"])
             if size > 1:
                 met, parent = written(kept.select("ord", "pos", "node", F.col("id").alias("rank")), "met"), size
@@ -288,7 +286,7 @@ def repeated_spans(base: DataFrame, order: DataFrame, n_bytes: int, length: int
             else:
                 late = kept.where(_order() != F.col("least")).select("ord", (F.col("pos") - F.col("node")).alias("start"))
                 spans = spans.unionByName(late.withColumn("end", F.col("start") + length))
-                keep.append(pieces)
+                keep += [pieces, groups]
     return spans
 
 
