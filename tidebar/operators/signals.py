@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
 
 
+def fold(rows: DataFrame, order: list[str], start: Callable, step: Callable, schema: pa.Schema, spark_schema: str, end: Callable | None = None) -> DataFrame:
+    """For rules whose state depends on what came before: step(state, row) is called for a symbol's rows in order and gives rows.
+
+    Rows are sorted by Spark and read one after the other, so a task holds one state, not a symbol's history. The state is a
+    dict that start() begins and, after a symbol's last row, end(state) may turn into rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, state = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if state is None or row["symbol"] != symbol:
+                    out += end(state) if end and state is not None else []
+                    symbol, state = row["symbol"], start()
+                    state["symbol"] = symbol
+                out += step(state, row)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if end and state is not None:
+            yield pa.RecordBatch.from_pylist(end(state), schema=schema)
+
+    return rows.repartition("symbol").sortWithinPartitions("symbol", *order).mapInArrow(run, spark_schema)
+
+
 def _in_session() -> WindowSpec:
     return Window.partitionBy("symbol", "session_id").orderBy("ts")
 
@@ -261,50 +288,184 @@ def bracket_label(candidates: DataFrame, bars: DataFrame, mult: float = 3.0, sha
 
 
 def select_trades(candidates: DataFrame, cooldown_seconds: int = 0) -> DataFrame:
-    """Of labelled candidates (symbol, entry_ts, exit_ts, ...), those taken one at a time: each enters after the last one taken has exited.
-
-    Candidates of a symbol are few next to its bars; they are folded in order as one array of (entry, exit).
+    """Of labelled candidates (symbol, entry_ts, exit_ts, ...), those taken one at a time: each enters after the last one taken has exited. entry_ts and exit_ts are times, or numbers of bars."""
+    number = (lambda c: F.unix_micros(c)) if candidates.schema["entry_ts"].dataType.simpleString() == "timestamp" else (lambda c: F.col(c).cast("long"))
+    rows = candidates.select("symbol", number("entry_ts").alias("a"), number("exit_ts").alias("b"))
+    wait = cooldown_seconds * 1_000_000
+
+    def step(state: dict, row: dict) -> list[dict]:
+        if state.get("until") is not None and row["a"] <= state["until"]:
+            return []
+        state["until"] = row["b"] + wait
+        return [row]
+
+    kept = pa.schema([("symbol", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    taken = fold(rows, ["a", "b"], dict, step, kept, "symbol string, a long, b long")
+    return candidates.withColumns({"a": number("entry_ts"), "b": number("exit_ts")}).join(taken, ["symbol", "a", "b"], "left_semi").drop("a", "b")
+
+
+class _Cooling:
+    """Whether a strategy cools down: begun by a structure break or the losses-th stop in a row in one direction, ended by calm equal days that are not neutral."""
+
+    def __init__(self, losses: int, calm: int) -> None:
+        self.losses, self.calm = losses, calm
+        self.on, self.same, self.state, self.stops, self.side = False, 0, None, 0, 0
+
+    def arm(self) -> None:
+        self.on, self.same, self.state, self.stops, self.side = True, 0, None, 0, 0
+
+    def day(self, state: int, broke: bool) -> bool:
+        """A new closed day; whether cooling begins or ends on it."""
+        if not self.on:
+            if broke:
+                self.arm()
+            return broke
+        self.same = self.same + 1 if state != 0 and state == self.state else int(state != 0)
+        self.state = state
+        if self.same >= self.calm:
+            self.on, self.same, self.state = False, 0, None
+        return not self.on
+
+    def stopped(self, side: int) -> bool:
+        """A pure stop; whether cooling begins with it."""
+        self.stops = self.stops + 1 if side == self.side else 1
+        self.side = side
+        if self.stops >= self.losses:
+            self.arm()
+            return True
+        return False
+
+    def took(self) -> None:
+        self.stops, self.side = 0, 0
+
+
+def cooldown_spans(daily: DataFrame, exits: DataFrame, losses: int = 3, calm: int = 3) -> DataFrame:
+    """Spans (symbol, start, end) of cooling down, over days (symbol, trading_date, state, broke) and exits (symbol, trading_date, direction, n, and at, their order within a day, if there is one).
+
+    n: pure stops in a row in that direction; 0: a target was taken, which sets the count of stops back, as a stop the other
+    way does. It begins on a structure break or at the losses-th stop in a row, and ends after calm equal non-neutral days.
+    end is NULL while it lasts. A day is read before its exits.
     """
-    rows = candidates.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("entry_ts", "exit_ts"))).alias("all"))
-    kind = rows.schema["all"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast(candidates.schema["exit_ts"].dataType).alias("until"), F.array().cast(kind).alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = acc["until"].isNull() | (x["entry_ts"] > acc["until"])
-        until = x["exit_ts"] + F.make_dt_interval(secs=F.lit(cooldown_seconds)) if cooldown_seconds else x["exit_ts"]
-        return F.struct(F.when(free, until).otherwise(acc["until"]).alias("until"), F.when(free, F.array_append(acc["taken"], x)).otherwise(acc["taken"]).alias("taken"))
-
-    taken = rows.select("symbol", F.explode(F.aggregate("all", zero, step, lambda acc: acc["taken"])).alias("t")).select("symbol", "t.entry_ts", "t.exit_ts")
-    return candidates.join(taken, ["symbol", "entry_ts", "exit_ts"], "left_semi")
-
-
-def cooldown_spans(daily: DataFrame, stops: DataFrame, losses: int = 3, calm: int = 3) -> DataFrame:
-    """Spans (symbol, start, end) of cooling down, over days (symbol, trading_date, state, broke) and pure stops (symbol, trading_date, direction, n).
-
-    It begins on a structure break or at the losses-th stop in one direction, and ends after calm equal non-neutral
-    days. end is NULL while it lasts.
+    days = daily.select("symbol", "trading_date", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.coalesce(F.col("state").cast("int"), F.lit(0)).alias("x"), F.coalesce("broke", F.lit(False)).alias("broke"))
+    at = (F.unix_micros("at") if exits.schema["at"].dataType.simpleString() == "timestamp" else F.col("at").cast("long")) if "at" in exits.columns else F.lit(0).cast("long")
+    outs = exits.select("symbol", "trading_date", F.lit(1).alias("kind"), at.alias("at"), (F.col("direction") * F.col("n")).cast("int").alias("x"), F.lit(False).alias("broke"))
+
+    def step(state: dict, row: dict) -> list[dict]:
+        c: _Cooling = state["cooling"]
+        was = c.on
+        if row["kind"] == 0:
+            c.day(row["x"], row["broke"])
+        elif row["x"] == 0:
+            c.took()
+        else:
+            for _ in range(abs(row["x"])):
+                if not c.on:
+                    c.stopped(1 if row["x"] > 0 else -1)
+        if c.on and not was:
+            state["since"] = row["trading_date"]
+        elif was and not c.on:
+            return [{"symbol": state["symbol"], "start": state.pop("since"), "end": row["trading_date"]}]
+        return []
+
+    end = lambda state: [{"symbol": state["symbol"], "start": state["since"], "end": None}] if "since" in state else []
+    schema = pa.schema([("symbol", pa.string()), ("start", pa.date32()), ("end", pa.date32())])
+    return fold(days.unionByName(outs), ["trading_date", "kind", "at"], lambda: {"cooling": _Cooling(losses, calm)}, step, schema, "symbol string, start date, end date", end)
+
+
+def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, calm: int = 3, breaks_arm: bool = True, fast_atr: bool = False, k: int = 2, **bracket) -> tuple[DataFrame, DataFrame]:
+    """The pullback strategy: legs of the trades taken (as of bracket_label, with signal), and the spans (symbol, start, end) of cooling down, in bars' times, end being the bar that ended it.
+
+    features: as for pullback_candidates, with DAY (any name of the last closed day, e.g. its date) and DBREAK. One trade at
+    a time; while one is open or the strategy cools down no confirmation counts and the bias is not looked at. What was
+    confirmed when a structure break began to cool it down still counts afterwards if the bias is the same. Every entry that
+    can follow is labelled by itself; only days and these entries are then read in order, with the state of one symbol.
     """
-    per = daily.join(stops.groupBy("symbol", "trading_date").agg(F.sum(F.when(F.col("direction") == 1, F.col("n")).otherwise(0)).alias("long_n"), F.sum(F.when(F.col("direction") == -1, F.col("n")).otherwise(0)).alias("short_n")), ["symbol", "trading_date"], "left")
-    day = F.struct("trading_date", F.col("state").cast("int").alias("state"), F.coalesce("broke", F.lit(False)).alias("broke"), F.coalesce("long_n", F.lit(0)).cast("int").alias("long_n"), F.coalesce("short_n", F.lit(0)).cast("int").alias("short_n"))
-    rows = per.groupBy("symbol").agg(F.array_sort(F.collect_list(day)).alias("days"))
-    none, zero = F.lit(None).cast("date"), F.lit(0)
-    start = F.struct(none.alias("since"), zero.alias("l"), zero.alias("s"), zero.alias("same"), zero.alias("state"), F.array().cast("array<struct<start:date,end:date>>").alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        same = F.when((x["state"] != 0) & (x["state"] == a["state"]), a["same"] + 1).when(x["state"] != 0, F.lit(1)).otherwise(F.lit(0))
-        cooling = a["since"].isNotNull()
-        l, s = a["l"] + x["long_n"], a["s"] + x["short_n"]
-        arms = ~cooling & (x["broke"] | (l >= losses) | (s >= losses))
-        ends = cooling & (same >= calm) & ~x["broke"]
-        reset = arms | ends
-        span = F.struct(a["since"].alias("start"), x["trading_date"].alias("end"))
-        return F.struct(
-            F.when(arms, x["trading_date"]).when(ends, none).otherwise(a["since"]).alias("since"), F.when(reset | cooling, zero).otherwise(l).alias("l"), F.when(reset | cooling, zero).otherwise(s).alias("s"),
-            F.when(arms, zero).otherwise(same).alias("same"), x["state"].alias("state"), F.when(ends, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"),
-        )
-
-    last = lambda a: F.when(a["since"].isNotNull(), F.array_append(a["spans"], F.struct(a["since"].alias("start"), none.alias("end")))).otherwise(a["spans"])
-    return rows.select("symbol", F.explode(F.aggregate("days", start, step, last)).alias("x")).select("symbol", "x.start", "x.end")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    atr = F.lag("ATR1").over(w) if fast_atr else F.col("ATR30")
+    df = features.withColumns({"_i": F.row_number().over(w).cast("long"), "_s1": F.lag("S1").over(w), "_atr": atr, "_day": F.col("DAY").isNotNull() & ~F.col("DAY").eqNullSafe(F.lag("DAY").over(w)), "_at": F.unix_micros("ts")})
+    df = pullback_events(df, s1="_s1")
+    ready = F.coalesce((F.col("DSTATE") != 0) & ~F.col("confirm") & (F.col("_s1") == F.col("DSTATE")) & (F.col("S5") == F.col("DSTATE")) & F.col("tradable") & ~F.coalesce("is_session_last", F.lit(True)), F.lit(False))
+    days = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_ready": ready, "_dayno": F.sum(F.col("_day").cast("int")).over(days)})
+    run = Window.partitionBy("symbol", "bias_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    confirmed = F.max(F.when(F.col("confirm"), F.col("_at"))).over(run)
+    last = F.last(F.when(F.col("confirm"), 1).when(F.col("_ready"), 0), ignorenulls=True).over(run)
+    first_of_day = F.max(F.col("_ready").cast("int")).over(Window.partitionBy("symbol", "_dayno").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumns({"_confirmed": confirmed, "_may": F.col("_ready") & ((last == 1) | (F.coalesce(first_of_day, F.lit(0)) == 0))})
+    upto = F.greatest("_confirmed", F.when(F.col("confirm"), F.col("_at")))
+    df = df.withColumns({"_run_before": F.lag("bias_run").over(w), "_confirmed_before": F.lag(upto).over(w)})
+    entries = df.where("_may and _atr is not null").select(
+        "symbol", "session_id", F.col("_i").alias("entry_id"), (F.col("DSTATE") == 1).alias("is_long"), F.col("ts").alias("entry_ts"), F.col("open").alias("price"), F.col("_atr").alias("atr"), F.col("P30").alias("closed_idx"),
+    )
+    entries = nearest_platform(entries, swings, k).drop("closed_idx").withColumnRenamed("price", "entry_price")
+    entries = entries.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", "platform"))
+    entries = entries.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop"))
+    legs = bracket_label(entries, features, atr_now=F.lag("ATR1").over(w) if fast_atr else F.col("ATR30"), **bracket)
+    ends = legs.groupBy("symbol", "entry_id").agg(F.max(F.unix_micros("exit_ts")).alias("exit_at"), F.bool_or(F.col("reason") == "SL").alias("stopped"), F.bool_or(F.col("reason") == "TP").alias("took"))
+    none = lambda kind: F.lit(None).cast(kind)
+    moves = df.where("_may").select("symbol", F.col("_at").alias("at"), F.lit(1).alias("kind"), "bias_run", F.col("DSTATE").cast("int").alias("bias"), F.col("_confirmed").alias("confirmed"), F.col("_i").alias("entry_id"), F.col("_atr").isNull().alias("spent"), none("long").alias("run_before"), none("boolean").alias("broke"))
+    moves = moves.join(ends, ["symbol", "entry_id"], "left")
+    edges = df.where("_day").select(
+        "symbol", F.col("_at").alias("at"), F.lit(0).alias("kind"), "bias_run", F.coalesce(F.col("DSTATE").cast("int"), F.lit(0)).alias("bias"), F.col("_confirmed_before").alias("confirmed"), none("long").alias("entry_id"), none("boolean").alias("spent"),
+        F.col("_run_before").cast("long").alias("run_before"), (F.coalesce(F.col("DBREAK"), F.lit(False)) & F.lit(breaks_arm)).alias("broke"), none("long").alias("exit_at"), none("boolean").alias("stopped"), none("boolean").alias("took"),
+    )
+    schema = pa.schema([("symbol", pa.string()), ("entry_id", pa.int64()), ("since", pa.int64()), ("until", pa.int64()), ("signal", pa.string())])
+    done = fold(moves.unionByName(edges), ["at", "kind"], lambda: _pullback_state(losses, calm), _pullback_step, schema, "symbol string, entry_id long, since long, until long, signal string", _pullback_end)
+    spans = done.where("entry_id is null").select("symbol", F.timestamp_micros("since").alias("start"), F.timestamp_micros("until").alias("end"))
+    return legs.join(done.where("entry_id is not null").select("symbol", "entry_id", "signal"), ["symbol", "entry_id"]), spans
+
+
+def _pullback_state(losses: int, calm: int) -> dict:
+    """since: from when on confirmations count. held: the bias run in which one from before a cooling still counts; frozen: the bias it had when the cooling began."""
+    return {"cooling": _Cooling(losses, calm), "bias_before": 0, "since": -(1 << 62), "held": None, "frozen": None, "trade": None, "signal": "open", "began": None}
+
+
+def _settled(s: dict, at: int) -> None:
+    """The open trade is closed if it ended before at."""
+    t, c = s["trade"], s["cooling"]
+    if t is None or t["exit_at"] >= at:
+        return
+    s["trade"], s["since"] = None, t["exit_at"] + 1
+    if t["took"]:
+        c.took()
+    elif t["stopped"]:
+        was = c.on
+        if c.stopped(t["bias"]) and not was:
+            s["began"], s["frozen"] = t["exit_at"], None
+
+
+def _pullback_step(s: dict, row: dict) -> list[dict]:
+    _settled(s, row["at"])
+    c: _Cooling = s["cooling"]
+    if row["kind"] == 0:
+        seen = s["trade"] is None and ((s["held"] is not None and s["held"] == row["run_before"]) or (row["confirmed"] is not None and row["confirmed"] >= s["since"]))
+        if not c.on:
+            if c.day(row["bias"], row["broke"]):
+                s["began"], s["frozen"] = row["at"], s["bias_before"] if seen else None
+        elif c.day(row["bias"], row["broke"]):
+            s["held"] = row["bias_run"] if s["frozen"] is not None and s["frozen"] == row["bias"] else None
+            s["since"] = max(s["since"], row["at"])
+            out = [{"symbol": s["symbol"], "entry_id": None, "since": s["began"], "until": row["at"], "signal": None}]
+            s["began"], s["bias_before"] = None, row["bias"]
+            return out
+        s["bias_before"] = row["bias"]
+        return []
+    if s["trade"] is not None or c.on:
+        return []
+    if not (s["held"] == row["bias_run"] or (row["confirmed"] is not None and row["confirmed"] >= s["since"])):
+        return []
+    s["held"] = None
+    if row["spent"] or row["exit_at"] is None:
+        s["since"] = row["at"] + 1
+        return []
+    s["trade"] = row
+    signal, s["signal"] = s["signal"], "reentry"
+    return [{"symbol": s["symbol"], "entry_id": row["entry_id"], "since": None, "until": None, "signal": signal}]
+
+
+def _pullback_end(s: dict) -> list[dict]:
+    _settled(s, 1 << 62)
+    return [] if s["began"] is None else [{"symbol": s["symbol"], "entry_id": None, "since": s["began"], "until": None, "signal": None}]
 
 
 def in_spans(rows: DataFrame, spans: DataFrame, time: str = "trading_date") -> DataFrame:

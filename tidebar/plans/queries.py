@@ -683,8 +683,8 @@ def _features(spark, d) -> DataFrame:
     for minutes, name in ((5, "S5"), (30, "S30")):
         tf = _averages(TF.resample_segment(bars, minutes)).withColumn(name, N.ma_state2("f", "m"))
         df = TF.asof_closed(df, _thirty(tf) if minutes == 30 else tf, [name] + ["ATR30", "P30"] * (minutes == 30), prefix="")
-    day = _averages(TF.resample_daily(bars)).select("symbol", "ts", N.ma_state3("f", "m", "s").alias("DSTATE"), N.structure_break("f", "m", "s").alias("DBREAK"))
-    return TF.asof_closed(df, day, ["DSTATE", "DBREAK"], prefix="")
+    day = _averages(TF.resample_daily(bars)).select("symbol", "ts", F.col("trading_date").alias("DAY"), N.ma_state3("f", "m", "s").alias("DSTATE"), N.structure_break("f", "m", "s").alias("DBREAK"))
+    return TF.asof_closed(df, day, ["DSTATE", "DBREAK", "DAY"], prefix="")
 
 
 @query("g7_cascade")
@@ -724,6 +724,23 @@ def _(spark, d):
     return G.select_trades(P.batch_pnl(_legs(spark, d))).select("symbol", "entry_id", "entry_ts", "exit_ts", *r("pnl", digits=8))
 
 
+def _pullback(spark, d) -> tuple[DataFrame, DataFrame]:
+    bars = _features(spark, d)
+    swings = N.with_swings(_thirty(TF.resample_segment(S.session_mode(_bars(spark, d)), 30))).withColumnRenamed("P30", "idx")
+    return G.pullback_trades(bars, swings)
+
+
+@query("g12_pullback_trades")
+def _(spark, d):
+    """The pullback strategy with its whole state; g12_one_at_a_time takes all triggers as if none were open."""
+    return _pullback(spark, d)[0].select("symbol", "entry_id", "signal", "leg", "reason", "entry_ts", "exit_ts", *r("exit_price"), "fraction", *r("pnl", digits=8))
+
+
+@query("g11_pullback_cooling")
+def _(spark, d):
+    return _pullback(spark, d)[1]
+
+
 @query("a14_batches")
 def _(spark, d):
     return P.batch_pnl(_legs(spark, d)).select("symbol", "entry_id", "is_long", "legs", *r("pnl", "fraction", digits=8))
