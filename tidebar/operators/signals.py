@@ -287,9 +287,13 @@ def bracket_label(candidates: DataFrame, bars: DataFrame, mult: float = 3.0, sha
     return one.unionByName(two).withColumn("pnl", X.trade_return(long, "entry_price", "exit_price"))
 
 
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
 def select_trades(candidates: DataFrame, cooldown_seconds: int = 0) -> DataFrame:
     """Of labelled candidates (symbol, entry_ts, exit_ts, ...), those taken one at a time: each enters after the last one taken has exited. entry_ts and exit_ts are times, or numbers of bars."""
-    number = (lambda c: F.unix_micros(c)) if candidates.schema["entry_ts"].dataType.simpleString() == "timestamp" else (lambda c: F.col(c).cast("long"))
+    number = _micros if candidates.schema["entry_ts"].dataType.simpleString().startswith("timestamp") else (lambda c: F.col(c).cast("long"))
     rows = candidates.select("symbol", number("entry_ts").alias("a"), number("exit_ts").alias("b"))
     wait = cooldown_seconds * 1_000_000
 
@@ -347,7 +351,7 @@ def cooldown_spans(daily: DataFrame, exits: DataFrame, losses: int = 3, calm: in
     end is NULL while it lasts. A day is read before its exits.
     """
     days = daily.select("symbol", "trading_date", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.coalesce(F.col("state").cast("int"), F.lit(0)).alias("x"), F.coalesce("broke", F.lit(False)).alias("broke"))
-    at = (F.unix_micros("at") if exits.schema["at"].dataType.simpleString() == "timestamp" else F.col("at").cast("long")) if "at" in exits.columns else F.lit(0).cast("long")
+    at = (_micros("at") if exits.schema["at"].dataType.simpleString().startswith("timestamp") else F.col("at").cast("long")) if "at" in exits.columns else F.lit(0).cast("long")
     outs = exits.select("symbol", "trading_date", F.lit(1).alias("kind"), at.alias("at"), (F.col("direction") * F.col("n")).cast("int").alias("x"), F.lit(False).alias("broke"))
 
     def step(state: dict, row: dict) -> list[dict]:
@@ -382,7 +386,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     """
     w = Window.partitionBy("symbol").orderBy("ts")
     atr = F.lag("ATR1").over(w) if fast_atr else F.col("ATR30")
-    df = features.withColumns({"_i": F.row_number().over(w).cast("long"), "_s1": F.lag("S1").over(w), "_atr": atr, "_day": F.col("DAY").isNotNull() & ~F.col("DAY").eqNullSafe(F.lag("DAY").over(w)), "_at": F.unix_micros("ts")})
+    df = features.withColumns({"_i": F.row_number().over(w).cast("long"), "_s1": F.lag("S1").over(w), "_atr": atr, "_day": F.col("DAY").isNotNull() & ~F.col("DAY").eqNullSafe(F.lag("DAY").over(w)), "_at": _micros("ts")})
     df = pullback_events(df, s1="_s1")
     ready = F.coalesce((F.col("DSTATE") != 0) & ~F.col("confirm") & (F.col("_s1") == F.col("DSTATE")) & (F.col("S5") == F.col("DSTATE")) & F.col("tradable") & ~F.coalesce("is_session_last", F.lit(True)), F.lit(False))
     days = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -401,7 +405,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     entries = entries.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", "platform"))
     entries = entries.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop"))
     legs = bracket_label(entries, features, atr_now=F.lag("ATR1").over(w) if fast_atr else F.col("ATR30"), **bracket)
-    ends = legs.groupBy("symbol", "entry_id").agg(F.max(F.unix_micros("exit_ts")).alias("exit_at"), F.bool_or(F.col("reason") == "SL").alias("stopped"), F.bool_or(F.col("reason") == "TP").alias("took"))
+    ends = legs.groupBy("symbol", "entry_id").agg(F.max(_micros("exit_ts")).alias("exit_at"), F.bool_or(F.col("reason") == "SL").alias("stopped"), F.bool_or(F.col("reason") == "TP").alias("took"))
     none = lambda kind: F.lit(None).cast(kind)
     moves = df.where("_may").select("symbol", F.col("_at").alias("at"), F.lit(1).alias("kind"), "bias_run", F.col("DSTATE").cast("int").alias("bias"), F.col("_confirmed").alias("confirmed"), F.col("_i").alias("entry_id"), F.col("_atr").isNull().alias("spent"), none("long").alias("run_before"), none("boolean").alias("broke"))
     moves = moves.join(ends, ["symbol", "entry_id"], "left")
