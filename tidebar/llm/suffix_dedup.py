@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base = written(base, "texts")
         thin = base.drop("text").where(F.col("n_bytes") >= length)
         groups = thin.groupBy("sha", "n_bytes").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        copies = written(thin.join(groups.hint("shuffle_hash"), ["sha", "n_bytes"]).where(~F.struct("doc_id").eqNullSafe(F.col("least"))).select("rid"), "copies")
+        copies = written(thin.join(written(groups, "groups").hint("shuffle_hash"), ["sha", "n_bytes"]).where(~F.struct("doc_id").eqNullSafe(F.col("least"))).select("rid"), "copies")
         order = written(thin.select("rid", "doc_id").orderBy(F.asc_nulls_first("doc_id"), "rid").select("rid", F.monotonically_increasing_id().alias("ord")), "order")
         own = base.where(F.col("n_bytes") >= length).join(small(copies), "rid", "left_anti").select("rid", "text")
         n_bytes = thin.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
