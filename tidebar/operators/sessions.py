@@ -60,28 +60,40 @@ def night_flag(bars: DataFrame) -> DataFrame:
     return bars.withColumn("night", F.col("segment_id") < F.max("segment_id").over(w))
 
 
+def _with_sessions(bars: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """Segments and nights, and for each of modes a struct of its session columns; all windows share one order by symbol."""
+    df = night_flag(segments(bars))
+    rank = F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date"))
+    keys = {"night_day": rank, "day_night": F.when(F.col("night"), rank - 1).otherwise(rank)}
+    tradable = {"night": F.col("night"), "day": ~F.col("night")}
+    key_of = {m: m if m in keys else "segment" for m in modes}
+    used = sorted(set(key_of.values()))
+    df = df.withColumns({f"_{k}": keys.get(k, F.col("segment_id")) for k in used})
+    firsts = {f"_{k}_first": F.coalesce(F.col(f"_{k}") != F.lag(f"_{k}").over(by_time()), F.lit(True)) for k in used}
+    lasts = {f"_{k}_last": F.coalesce(F.col(f"_{k}") != F.lead(f"_{k}").over(by_time()), F.lit(True)) for k in used}
+    df = df.withColumns(firsts | lasts)
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_{k}_id": F.sum(F.col(f"_{k}_first").cast("int")).over(so_far).cast("long") for k in used})
+    sessions = {
+        f"_in_{m}": F.struct(tradable.get(m, F.lit(True)).alias("tradable"), F.col(f"_{k}_first").alias("is_session_first"), F.col(f"_{k}_last").alias("is_session_last"), F.col(f"_{k}_id").alias("session_id"), F.lit(m).alias("mode"))
+        for m, k in key_of.items()
+    }
+    return df.withColumns(sessions).drop(*(f"_{k}{end}" for k in used for end in ("", "_first", "_last", "_id")))
+
+
 def session_mode(bars: DataFrame, mode: str = "split") -> DataFrame:
     """session_id, is_session_first, is_session_last and tradable under one of MODES."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
-    df = night_flag(segments(bars))
-    rank = F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date"))
-    key = {"night_day": rank, "day_night": F.when(F.col("night"), rank - 1).otherwise(rank)}.get(mode, F.col("segment_id"))
-    tradable = {"night": F.col("night"), "day": ~F.col("night")}.get(mode, F.lit(True))
-    df = df.withColumns({"key": key, "tradable": tradable})
-    before, after = F.lag("key").over(by_time()), F.lead("key").over(by_time())
-    df = df.withColumns({"is_session_first": F.coalesce(F.col("key") != before, F.lit(True)), "is_session_last": F.coalesce(F.col("key") != after, F.lit(True))})
-    count = F.sum(F.col("is_session_first").cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("session_id", count.cast("long")).drop("key")
+    df = _with_sessions(bars, (mode,))
+    return df.withColumns({c: F.col(f"_in_{mode}.{c}") for c in ("tradable", "is_session_first", "is_session_last", "session_id")}).drop(f"_in_{mode}")
 
 
 def all_modes(bars: DataFrame) -> DataFrame:
-    """All five modes as one table with a column mode."""
-    out = None
-    for m in MODES:
-        part = session_mode(bars, m).withColumn("mode", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All five modes as one table with a column mode; segments and nights are worked out once."""
+    df = _with_sessions(bars, MODES)
+    kept = [c for c in df.columns if not c.startswith("_in_")]
+    return df.select(*kept, F.inline(F.array(*(f"_in_{m}" for m in MODES))))
 
 
 def daily_ohlc(bars: DataFrame) -> DataFrame:

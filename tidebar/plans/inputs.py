@@ -1,19 +1,29 @@
-"""Bars derived from the events table, by the same SQL text for both engines.
+"""Bars derived from the events table.
 
-Every event is a tick of its type and of the symbol ALL; prices walk in whole hundredths, so that both agree exactly.
+Every event is a tick of its type and of the symbol ALL; prices walk in whole hundredths, so that both engines agree exactly.
+The SQL for comparison walks over a symbol at once. Spark sums each day first and walks inside days, since ALL holds half of all ticks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BARS_CTE = """
+_TICKS = """
 ev AS (SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) % 201 - 100 AS d FROM {events}
   WHERE hour(ts) >= 21 OR hour(ts) <= 2 OR (hour(ts) >= 9 AND hour(ts) <= 14)),
 ticks AS (SELECT event_id, ts, user_id, d, event_type AS symbol FROM ev UNION ALL SELECT event_id, ts, user_id, d, 'ALL' AS symbol FROM ev),
-walk AS (SELECT *, 100000 + sum(d) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS px FROM ticks),
+"""
+_WALK = """walk AS (SELECT *, 100000 + sum(d) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS px FROM ticks),
 opened AS (SELECT *, coalesce(lag(px) OVER (PARTITION BY symbol ORDER BY ts, event_id), 100000) AS op, date_trunc('minute', ts) AS bar_start FROM walk),
-mins AS (SELECT symbol, bar_start, min_by(op, event_id) AS o, max(greatest(op, px) + user_id % 17) AS h, min(least(op, px) - event_id % 17) AS l, max_by(px, event_id) AS c, sum(user_id) AS v
+"""
+#: The same walk by days: a day starts at the sum of the days before it, and a tick opens where the one before it ended.
+_WALK_BY_DAY = """dated AS (SELECT *, CAST(ts AS DATE) AS day FROM ticks),
+totals AS (SELECT symbol, day, sum(d) AS d FROM dated GROUP BY symbol, day),
+starts AS (SELECT symbol, day, 100000 + coalesce(sum(d) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM totals),
+steps AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY symbol, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS step FROM dated),
+opened AS (SELECT symbol, event_id, ts, user_id, start + step AS px, start + step - coalesce(d, 0) AS op, date_trunc('minute', ts) AS bar_start FROM steps JOIN starts USING (symbol, day)),
+"""
+_MINUTES = """mins AS (SELECT symbol, bar_start, min_by(op, event_id) AS o, max(greatest(op, px) + user_id % 17) AS h, min(least(op, px) - event_id % 17) AS l, max_by(px, event_id) AS c, sum(user_id) AS v
   FROM opened GROUP BY symbol, bar_start),
 bars AS (SELECT symbol, bar_start, bar_start + INTERVAL 1 MINUTE AS ts, CAST(bar_start + INTERVAL 3 HOUR AS DATE) AS trading_date,
   CAST(o AS DOUBLE) / 100 AS open, CAST(h AS DOUBLE) / 100 AS high, CAST(l AS DOUBLE) / 100 AS low, CAST(c AS DOUBLE) / 100 AS close, CAST(v AS DOUBLE) AS volume,
@@ -23,6 +33,9 @@ bars AS (SELECT symbol, bar_start, bar_start + INTERVAL 1 MINUTE AS ts, CAST(bar
   FROM mins)
 """
 
+BARS_CTE = _TICKS + _WALK + _MINUTES
+_SPARK_CTE = (_TICKS + _WALK_BY_DAY + _MINUTES).replace("VARCHAR(9)", "STRING")
+
 #: Bars with faults of every kind, by rules on their volume.
 DIRTY_CTE = """
 dirty AS (SELECT symbol, bar_start, ts, trading_date, CASE WHEN CAST(volume AS BIGINT) % 97 = 5 THEN 0 ELSE open END AS open,
@@ -33,11 +46,11 @@ dirty AS (SELECT symbol, bar_start, ts, trading_date, CASE WHEN CAST(volume AS B
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH " + BARS_CTE.replace("VARCHAR(9)", "STRING") + " SELECT * FROM bars", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql("WITH " + _SPARK_CTE + " SELECT * FROM bars", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "WITH " + BARS_CTE.replace("VARCHAR(9)", "STRING") + "," + DIRTY_CTE.replace(" 1.1 ", " CAST(1.1 AS DOUBLE) ").replace("THEN 0 ", "THEN CAST(0 AS DOUBLE) ") + " SELECT * FROM dirty"
+    text = "WITH " + _SPARK_CTE + "," + DIRTY_CTE.replace(" 1.1 ", " CAST(1.1 AS DOUBLE) ").replace("THEN 0 ", "THEN CAST(0 AS DOUBLE) ") + " SELECT * FROM dirty"
     return spark.sql(text.replace("close * 1.1", "close * CAST(1.1 AS DOUBLE)"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 

@@ -255,10 +255,10 @@ def _(spark, d):
     return TF.asof_closed_open(bars.select("symbol", "bar_start"), tf, 30, ["bar_start", "close"])
 
 
-@query("j12_snap", with_bars(_SEG + _BIN + " SELECT symbol, ts, max(ts) OVER (PARTITION BY symbol, segment_id, bin) AS bin_ts FROM b1 WHERE symbol = 'purchase'"))
+@query("j12_snap", with_bars(_SEG + _BIN + " SELECT symbol, ts, max(ts) OVER (PARTITION BY symbol, segment_id, bin) AS bin_ts FROM b1"))
 def _(spark, d):
     bars = _bars(spark, d)
-    return TF.snap_to_bin(bars.where("symbol = 'purchase'").select("symbol", "ts"), bars, 5)
+    return TF.snap_to_bin(bars.select("symbol", "ts"), bars, 5)
 
 
 _FORM = ", f AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, bar_start, TIMESTAMP '1970-01-01') AS ws FROM bars), live AS (SELECT *, first_value(open) OVER w AS live_open, max(high) OVER w AS live_high, min(low) OVER w AS live_low FROM f WINDOW w AS (PARTITION BY symbol, ws ORDER BY ts ROWS UNBOUNDED PRECEDING))"
@@ -468,9 +468,12 @@ def _(spark, d):
     return T.distinct_counts(_bars(spark, d))
 
 
-@query("a11_year_pivot", with_days(' SELECT symbol, median(bars) FILTER (year(trading_date) = 1995) AS "1995", median(bars) FILTER (year(trading_date) = 1996) AS "1996" FROM days GROUP BY 1'))
+_YEARS = range(1992, 1999)
+
+
+@query("a11_year_pivot", with_days(" SELECT symbol, " + ", ".join(f'median(bars) FILTER (year(trading_date) = {y}) AS "{y}"' for y in _YEARS) + " FROM days GROUP BY 1"))
 def _(spark, d):
-    return T.bars_per_day_by_year(order_days(spark, d), [1995, 1996])
+    return T.bars_per_day_by_year(order_days(spark, d), list(_YEARS))
 
 
 @query("a12_variants", with_days(", n AS (SELECT symbol, bars, count(*) AS k FROM days GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k DESC, bars) AS i FROM n) SELECT symbol, max(bars) FILTER (i = 1) AS mode_bars, count(*) AS variants, min(bars) AS min_bars, max(bars) AS max_bars FROM o GROUP BY 1"))
@@ -493,11 +496,11 @@ def _(spark, d):
     return T.last_close(_bars(spark, d))
 
 
-@query("t1_rank", with_days(" SELECT symbol, sum(turnover)::DECIMAL(20,2)::DOUBLE AS turnover, row_number() OVER (ORDER BY sum(turnover) DESC)::INTEGER AS rank FROM days WHERE trading_date >= DATE '1997-01-01' GROUP BY 1"))
+@query("t1_rank", with_days(" SELECT symbol, sum(turnover)::DECIMAL(20,2)::DOUBLE AS turnover, row_number() OVER (ORDER BY sum(turnover) DESC)::INTEGER AS rank FROM days GROUP BY 1"))
 def _(spark, d):
     from pyspark.sql import Window
 
-    t = order_days(spark, d).where("trading_date >= DATE '1997-01-01'").groupBy("symbol").agg(F.round(F.sum("turnover"), 2).alias("turnover"))
+    t = order_days(spark, d).groupBy("symbol").agg(F.round(F.sum("turnover"), 2).alias("turnover"))
     return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("turnover"))))
 
 
@@ -763,20 +766,16 @@ def _(spark, d):
     return G.macd_trades(df).select("symbol", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", *r("pnl", digits=8))
 
 
-@query("j11_platform", with_bars(_SEG + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), sw AS (SELECT symbol, i, high, low, count(*) OVER w = 5 AND high = max(high) OVER w AS sh, count(*) OVER w = 5 AND low = min(low) OVER w AS sl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-e AS (SELECT symbol, i AS entry_id, i % 200 = 0 AS is_long, open AS price FROM n WHERE i % 100 = 0)
-SELECT e.symbol, entry_id, is_long, price, CASE WHEN is_long THEN max(CASE WHEN sl AND i <= entry_id - 3 AND low < price THEN low END) ELSE min(CASE WHEN sh AND i <= entry_id - 3 AND high > price THEN high END) END AS platform FROM e LEFT JOIN sw ON e.symbol = sw.symbol GROUP BY 1, 2, 3, 4"""))
-def _(spark, d):
-    from pyspark.sql import Window
-
-    bars = N.with_swings(_bars(spark, d)).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
-    entries = bars.where("idx % 100 = 0").select("symbol", F.col("idx").alias("entry_id"), (F.col("idx") % 200 == 0).alias("is_long"), F.col("open").alias("price"), (F.col("idx") - 1).alias("closed_idx"))
-    return G.nearest_platform(entries, bars).select("symbol", "entry_id", "is_long", "price", "platform")
+_PLATFORM = with_bars(""", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), sw AS (SELECT symbol, i, high, low, count(*) OVER w = 5 AND high = max(high) OVER w AS sh, count(*) OVER w = 5 AND low = min(low) OVER w AS sl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+e AS (SELECT symbol, i AS entry_id, is_long, open AS price FROM n CROSS JOIN (VALUES (true), (false)) AS sides(is_long))
+SELECT e.symbol, entry_id, is_long, price, CASE WHEN is_long THEN max(CASE WHEN sl AND low < price THEN low END) ELSE min(CASE WHEN sh AND high > price THEN high END) END AS platform
+FROM e LEFT JOIN sw ON e.symbol = sw.symbol AND (sl OR sh) AND i <= entry_id - 3 GROUP BY 1, 2, 3, 4""")
 
 
-@query("j11_platform_all")
+@query("j11_platform_all", _PLATFORM)
+@query("j11_platform", _PLATFORM)
 def _(spark, d):
-    """Every bar as a long and as a short entry; j11_platform takes a few, as its SQL compares all with all."""
+    """Every bar as a long and as a short entry."""
     from pyspark.sql import Window
 
     bars = N.with_swings(_bars(spark, d)).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
