@@ -311,6 +311,62 @@ def test_licenses_of_wrapped_notices(spark):
     assert got[0][0] == "GPL-3.0" and got[1][0] == "MIT" and got[2] in ((None, "none"), ("MIT", "inherited"), ("GPL-3.0", "inherited"))
 
 
+def plain_scores(texts, path_names):
+    """Own license and license file of each text, by every run and template, without shortcuts."""
+    import re
+    from collections import Counter
+
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    everything = (*licenses.TEMPLATES, *licenses.FULL_TEXTS)
+    known = {t for _, x in everything for t in words(x)}
+    total = len(texts)
+    idf = {t: math.log((1 + total) / (1 + sum(t in set(words(x)) for x in texts))) + 1 for t in known}
+    other = math.log(1 + total) + 1
+
+    def best(text, ones):
+        tf = Counter(words(text))
+        length = math.sqrt(sum((n * idf[t]) ** 2 if t in known else n * other**2 for t, n in tf.items()))
+        out = []
+        for name, x in ones:
+            v = Counter(words(x))
+            dot = sum(n * idf[t] * tf[t] * idf[t] for t, n in v.items() if t in tf)
+            out.append((round(dot / (length or 1) / math.sqrt(sum((n * idf[t]) ** 2 for t, n in v.items())), 6), name))
+        return max(out)
+
+    result = []
+    for text, named in zip(texts, path_names, strict=True):
+        units = [u for u in re.split(r"\n|(?<=[.;!?])\s+", text.lower()) if re.search("[a-z0-9]", u)]
+        runs = {" ".join(units[i : i + n]) for n in range(1, licenses.WRAPPED + 1) for i in range(max(len(units) - n + 1, 1))}
+        found = [b for b in (best(r, licenses.TEMPLATES) for r in runs) if b[0] >= licenses.THRESHOLD]
+        own = max([b for b in found if b[1] not in licenses.GENERIC] or found, default=None)
+        whole = best(text, everything)
+        file = whole if whole[0] >= licenses.THRESHOLD else own if named else None
+        result.append((file or own, file is not None))
+    return result
+
+
+def test_licenses_against_plain_cosine(spark):
+    full = dict(licenses.FULL_TEXTS)
+    filler = "lorem ipsum dolor sit amet, the of and this is not any. "
+    texts = [
+        full["MIT"].replace("Copyright (c).", "Copyright (c) 2024 Ann Example\n"), full["BSD-3-Clause"], full["BSD-2-Clause"], full["ISC"], "/*\n * " + full["Apache-2.0"].replace("\n", "\n * ") + "\n */\ncode one two",
+        filler * 20 + "Released under the MIT License. " + filler * 20, "Copyright 2020 X. All rights reserved.\n" + licenses.TEMPLATES[6][1], "Copyright 2020 X. All rights reserved.\n" + filler,
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n" + filler * 100, filler, "", "...", "license software public", filler * 2000, "Released under the MIT License.",
+    ]
+    texts += [" ".join(x.split()[k : k + 9 + 4 * k]) for k in range(0, 12, 3) for _, x in (*licenses.TEMPLATES, *licenses.FULL_TEXTS)]
+    paths = [f"d{i}/{'LICENSE.txt' if i == 8 else 'x.py'}" for i in range(len(texts))]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(zip(paths, texts, strict=True))], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, F.col("path")).collect()}
+    want = plain_scores(texts, [i == 8 for i in range(len(texts))])
+    for i, (own, is_file) in enumerate(want):
+        r = got[i]
+        assert r["is_license_file"] == is_file and (r["own_score"] is None) == (own is None), (i, r, own)
+        if own:
+            assert abs(r["own_score"] - own[0]) < 2e-6 and r["own_license"] == own[1], (i, r, own)
+    assert [got[i]["license"] for i in range(9)] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "MIT", "BSD-3-Clause", "Proprietary", "Apache-2.0"]
+    assert all(got[i]["origin"] == "file" for i in (0, 1, 2, 3, 8)) and got[9]["origin"] == "none"
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules", 9), (1, 1, "ann", "hello", 9), (1, 2, "bob", None, 9), (1, 3, "ann", "bye", 9), (1, None, None, "early", 9), (2, 0, "system", "only", 9), (None, 0, "ann", "x", 9), (1, 3, "ann", "bye", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start int")

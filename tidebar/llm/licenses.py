@@ -1,7 +1,8 @@
 """License scans with DataFrame functions only.
 
-Sparse TF-IDF cosine of every line, and of every whole file, to license templates; files without a header of their own
-inherit from the license file of their nearest ancestor directory, found by joins on directory paths.
+Sparse TF-IDF cosine of runs of adjacent lines and sentences to usual notices, and of every whole file to notices and full
+license texts; files without a header of their own inherit from the license file of their nearest ancestor directory, found
+by joins on directory paths.
 """
 
 from __future__ import annotations
@@ -26,11 +27,57 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
 )
+#: Names that count only where no other license is found, as such lines stand beside other notices.
+GENERIC = ("Proprietary",)
+
+# Public license texts.
+_AS_IS = """ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE"""
+#: Texts that whole files are compared with, beside the notices.
+FULL_TEXTS: tuple[tuple[str, str], ...] = (
+    ("MIT", """MIT License Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """ISC License Copyright (c). Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
+is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c). {_BSD_2} {_BSD_END} {_AS_IS}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c). {_BSD_2} {_BSD_3} {_BSD_END} {_AS_IS}"),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+)
 THRESHOLD = 0.7
-#: A notice may be wrapped over so many lines.
-WRAPPED = 4
+#: A notice may be wrapped over so many lines and sentences.
+WRAPPED = 5
+#: Names of license files, whatever their ending.
+_NAMES = r"(?i)(^|/)(un)?(licen[cs]e|copying)[^/]*$"
+_UNITS = r"\n|(?<=[.;!?])\s+"
 _SPLIT = "[^a-z0-9]+"
 
 
@@ -101,12 +148,13 @@ def _lookup(table: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0.0))
 
 
-def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, full_texts=FULL_TEXTS) -> DataFrame:
     """One row per row of files: doc_id, path, own_license, own_score, is_license_file, inherited_from, license, origin.
 
-    own_license: of the line, or the up to WRAPPED adjacent lines, most like a template (lines without words, as of comment
-    marks alone, do not count), at a cosine of threshold or more (ties: the greater name). A license
-    file is one whose whole text is that like a template. Others without a license of their own take that of the nearest
+    own_license: of the up to WRAPPED adjacent lines or sentences most like a template (those without words, as of comment
+    marks alone, do not count), at a cosine of threshold or more (ties: the greater name; names of GENERIC count where there
+    is no other). Words of no template count as words of their own that no file has. A license file is one whose whole text is
+    that like a template or full text, or one that has a license and the name of a license file; the whole text's license counts more than one inside it. Others without a license of their own take that of the nearest
     directory at or above theirs that has a license file (there, the best score decides, then the greater name). origin:
     file, header, inherited or none. Null and empty texts have no license of their own but inherit; a null path is the
     root. Repeated rows get equal results; empty tables give none; further columns are not looked at. All lines of whole
@@ -114,22 +162,22 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     """
     path = F.coalesce(path, F.lit(""))
     base = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.regexp_replace(path, "(^|/)[^/]*$", "").alias("dir"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    idf = idf_table(base, templates)
-    known = _known(templates)
-    pattern = "(^|[^a-z0-9])(" + "|".join(telling(idf, threshold, templates)) + ")($|[^a-z0-9])"
+    whole_ones = (*templates, *full_texts)
+    idf = idf_table(base, whole_ones)
+    known = _known(whole_ones)
+    has = lambda x, ones: x.rlike("(^|[^a-z0-9])(" + "|".join(telling(idf, threshold, ones)) + ")($|[^a-z0-9])")
     score = lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: _best(tokens, hits, idf, templates))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-z0-9]"))
+    lines = F.filter(F.split("text", _UNITS), lambda x: x.rlike("[a-z0-9]"))
     runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))
     runs_of = _let(lines, lambda x: F.concat(*(runs(x, n) for n in range(1, WRAPPED + 1))))
-    own = F.array_max(F.transform(F.filter(runs_of, lambda x: x.rlike(pattern)), lambda x: _let(_split(x), score)))
+    scores = F.filter(F.transform(F.filter(runs_of, lambda x: has(x, templates)), lambda x: _let(_split(x), score)), lambda m: m["score"] >= threshold)
+    own = _let(scores, lambda x: F.coalesce(F.array_max(F.filter(x, lambda m: ~m["license"].isin(*GENERIC))), F.array_max(x)))
     # of a whole text, known tokens must outweigh the others, which only lengthen its vector
     outweighs = lambda tokens, hits: F.pow(_sum(hits, idf), F.lit(2.0)) >= (F.size(tokens) - F.size(hits)) * F.lit((threshold * idf[""]) ** 2)
-    whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, templates))))
-    likely = F.col("text").rlike(pattern)
-    rows = base.withColumns({"own": F.when(likely, own), "file": F.when(likely, whole)})
+    whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, whole_ones))))
+    rows = base.withColumns({"own": F.when(has(F.col("text"), templates), own), "file": F.when(has(F.col("text"), whole_ones), whole)})
     rows = rows.select("doc_id", "path", "dir", "own", "file")
-    good = lambda c: F.when(F.col(f"{c}.score") >= threshold, F.col(c))
-    rows = rows.withColumns({"own": good("own"), "file": good("file")})
+    rows = rows.withColumn("file", F.coalesce(F.when(F.col("file.score") >= threshold, F.col("file")), F.when(F.col("path").rlike(_NAMES), F.col("own"))))
     rows = written(rows, "licenses")
     at = rows.where("file is not null").groupBy("dir").agg(F.max("file").alias("file"))
     dirs = rows.select("dir").distinct()
@@ -138,7 +186,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     up = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(above)).alias("a")).select("dir", "a.depth", "a.up")
     near = up.join(at.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "file"), "depth").alias("near"))
     rows = rows.join(small(written(near, "near")), "dir", "left")
-    own_one = F.coalesce("own", "file")
+    own_one = F.coalesce("file", "own")
     return rows.select(
         "doc_id", "path", own_one["license"].alias("own_license"), own_one["score"].alias("own_score"), F.col("file").isNotNull().alias("is_license_file"),
         F.when(own_one.isNull(), F.col("near.up")).alias("inherited_from"), F.coalesce(own_one["license"], F.col("near.file.license")).alias("license"),
