@@ -20,7 +20,7 @@ def duck():
 
 def shown(df):
     cols = sorted(df.columns)
-    text = lambda v: "" if v is None or v is pd.NaT or v != v else f"{v:.8g}" if isinstance(v, float) else str(pd.Timestamp(v)) if hasattr(v, "year") else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{v:.8g}" if isinstance(v, float) else str(pd.Timestamp(v)) if hasattr(v, "year") else str(v)
     return sorted(tuple(text(v) for v in row) for row in df[cols].astype(object).itertuples(index=False)), cols
 
 

@@ -95,11 +95,11 @@ def state_name(state: Column | str) -> Column:
 
 
 def percent(x: Column | str, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%+.{digits}f%%", c(x) * 100), F.lit("n/a"))
+    return F.when(c(x).isNotNull(), F.format_string(f"%+.{digits}f%%", c(x) * 100)).otherwise("n/a")
 
 
 def ratio(x: Column | str, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c(x)), F.lit("n/a"))
+    return F.when(c(x).isNotNull(), F.format_string(f"%.{digits}f", c(x))).otherwise("n/a")
 
 
 def price_decimals(price: Column | str) -> Column:

@@ -126,7 +126,7 @@ def fake_survivors(bars: DataFrame, jump: float = 0.01) -> DataFrame:
     from tidebar.operators.sessions import with_dead
 
     df = with_dead(bars).withColumns({"r": F.col("close") / F.lag("close").over(by_time()) - 1, "next_open": F.lead("open").over(by_time())})
-    return df.where((F.abs("r") >= jump) & F.col("dead") & (F.abs(F.col("close") / F.col("next_open") - 1) < jump / 10)).select("symbol", "ts", "r", "run")
+    return df.where((F.abs("r") >= jump) & F.col("dead") & (F.abs(F.try_divide("close", "next_open") - 1) < jump / 10)).select("symbol", "ts", "r", "run")
 
 
 def tail_evidence(bars: DataFrame, night_minute: int, open_minute: int, close_minute: int) -> DataFrame:

@@ -10,8 +10,6 @@ def _by_day() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("trading_date")
 
 
-
-
 def trade_stats(trades: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
     """Per keys: trades, wins (pnl > 0), win rate, average win and loss (pnl <= 0), and payoff where both sides exist."""
     p = F.col(pnl)
@@ -19,8 +17,16 @@ def trade_stats(trades: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFra
     return df.withColumns({"win_rate": F.try_divide("wins", "n"), "payoff": F.when(F.col("avg_loss") != 0, F.col("avg_win") / -F.col("avg_loss"))})
 
 
+def with_spans(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """trades with bars: how many bars of their session lie after the entry bar, up to the exit's."""
+    at = bars.select("symbol", "ts", F.row_number().over(Window.partitionBy("symbol", "session_id").orderBy("ts")).alias("_i"))
+    on = lambda t, name: at.select("symbol", F.col("ts").alias(t), F.col("_i").alias(name))
+    df = trades.join(on("entry_ts", "_a"), ["symbol", "entry_ts"], "left").join(on("exit_ts", "_b"), ["symbol", "exit_ts"], "left")
+    return df.select(*trades.columns, (F.col("_b") - F.col("_a")).alias("bars"))
+
+
 def batch_pnl(legs: DataFrame) -> DataFrame:
-    """Per entry the pnl of its legs by their fractions, and how many bars it spans."""
+    """Per entry the pnl of its legs by their fractions; how many bars it spans is told by with_spans."""
     return legs.groupBy("symbol", "entry_id", "is_long").agg(F.sum(F.col("fraction") * F.col("pnl")).alias("pnl"), F.count("*").alias("legs"), F.sum("fraction").alias("fraction"), F.min("entry_ts").alias("entry_ts"), F.max("exit_ts").alias("exit_ts"))
 
 
@@ -58,21 +64,24 @@ def sharpe(returns: DataFrame, periods: int = 252, risk_free: float = 0.0) -> Da
 
 
 def strategy_stats(trades: DataFrame, equity: DataFrame, periods: int = 243) -> DataFrame:
-    """One row for each symbol: trades by direction, total return, drawdown, win rate, payoff, Sharpe ratio and exits."""
-    t = trades.groupBy("symbol").agg(F.count_if(F.col("direction") == "long").alias("longs"), F.count_if(F.col("direction") == "short").alias("shorts"), F.count_if("gapped").alias("gapped"), F.exp(F.sum(F.log1p("pnl"))).alias("growth"))
+    """One row for each symbol: trades by direction, total return, drawdown, win rate, payoff, Sharpe ratio, exits by reason and the average of bars held."""
+    t = trades.groupBy("symbol").agg(F.count_if(F.col("direction") == "long").alias("longs"), F.count_if(F.col("direction") == "short").alias("shorts"), F.count_if("gapped").alias("gapped"), F.count_if(F.col("reason") == "TRAIL").alias("trails"), F.count_if(F.col("reason") == "SESSION_END").alias("session_ends"), F.exp(F.sum(F.log1p("pnl"))).alias("growth"))
     base = trade_stats(trades, ["symbol"]).join(t, "symbol").withColumn("total_return", F.col("growth") - 1).drop("growth")
+    held = equity.groupBy("symbol").agg(F.count_if(F.col("position") != 0).alias("held"))
+    base = base.join(held, "symbol", "left").withColumn("avg_bars", F.try_divide("held", "n")).drop("held")
     return base.join(max_drawdown(equity), "symbol", "left").join(sharpe(session_returns(equity), periods), "symbol", "left")
 
 
-def benchmark_stats(daily: DataFrame) -> DataFrame:
-    """Buy and hold per symbol: return, up, down and flat days, and average moves; the first day is against its own open."""
+def benchmark_stats(daily: DataFrame, periods: int = 252) -> DataFrame:
+    """Buy and hold per symbol: return, Sharpe ratio, up, down and flat days, and average moves; the first day is against its own open."""
     ret = F.col("close") / F.coalesce(F.lag("close").over(_by_day()), F.col("open")) - 1
     df = daily.withColumn("ret", ret)
     r = F.col("ret")
-    return df.groupBy("symbol").agg(
+    out = df.groupBy("symbol").agg(
         (F.max_by("close", "trading_date") / F.min_by("open", "trading_date") - 1).alias("total_return"), F.count_if(r > 0).alias("up_days"), F.count_if(r < 0).alias("down_days"), F.count_if(r == 0).alias("flat_days"),
         F.avg(F.when(r > 0, r)).alias("avg_up"), F.avg(F.when(r < 0, r)).alias("avg_down"), F.avg(r).alias("avg_all"),
     )
+    return out.join(sharpe(df, periods), "symbol")
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -95,6 +104,15 @@ def compound(returns: DataFrame, capital: float = 1.0) -> DataFrame:
     return returns.withColumn("equity", F.when(alive, capital * F.exp(F.sum(F.log1p(F.when(F.col("ret") > -1, F.col("ret")))).over(w))).otherwise(0.0))
 
 
+def portfolio_report(weights: DataFrame, returns: DataFrame, held: DataFrame, fee: float = 0.0, periods: int = 252) -> DataFrame:
+    """Two rows, the strategy (returns, less fees) and its benchmark (held, the same weights on the symbols themselves): return, drawdown, Sharpe ratio and days."""
+    curve = lambda name, rets, cost: compound(portfolio_returns(weights, rets, cost)).select(F.lit(name).alias("symbol"), "trading_date", F.col("trading_date").alias("ts"), "equity")
+    both = curve("strategy", returns, fee).unionByName(curve("benchmark", held, 0.0))
+    total = both.groupBy("symbol").agg((F.max_by("equity", "ts") - 1).alias("total_return"), F.count("*").alias("days"))
+    out = total.join(max_drawdown(both), "symbol").join(sharpe(session_returns(both), periods), "symbol", "left")
+    return out.withColumnRenamed("symbol", "series")
+
+
 def portfolio_calendar(vols: DataFrame) -> DataFrame:
     """Every date of any symbol with every symbol's vol, missing where it has none."""
     grid = vols.select("trading_date").distinct().crossJoin(F.broadcast(vols.select("symbol").distinct()))

@@ -324,7 +324,16 @@ def _(spark, d):
     return N.macd_cross(_daily_macd(spark, d), 5).select("symbol", "trading_date", "cross")
 
 
-@query("w24_live_indicators")
+_LIVE = _SEG + _BIN.replace("INTERVAL 5", "INTERVAL 30") + _FORM + """,
+n AS MATERIALIZED (SELECT *, row_number() OVER w AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM tf WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+rec AS (SELECT symbol, i, close AS e12, close AS e26, 0::DOUBLE AS sig FROM n WHERE i = 1
+  UNION ALL SELECT n.symbol, n.i, e12 + (n.close - e12) * 2 / 13, e26 + (n.close - e26) * 2 / 27, sig + ((e12 + (n.close - e12) * 2 / 13) - (e26 + (n.close - e26) * 2 / 27) - sig) * 2 / 10 FROM rec JOIN n ON n.symbol = rec.symbol AND n.i = rec.i + 1),
+st AS (SELECT n.symbol, n.ts, n.close, e12, e26, sig, CASE WHEN count(tr) OVER w = 13 THEN sum(tr) OVER w END AS trs FROM n JOIN rec ON n.symbol = rec.symbol AND n.i = rec.i WINDOW w AS (PARTITION BY n.symbol ORDER BY n.ts ROWS 12 PRECEDING)),
+j AS (SELECT l.symbol, l.ts, l.close AS x, live_high AS h, live_low AS lo, s.close AS c0, trs, sig, e12 * (11 / 13::DOUBLE) + l.close * (2 / 13::DOUBLE) - (e26 * (25 / 27::DOUBLE) + l.close * (2 / 27::DOUBLE)) AS m FROM live l ASOF LEFT JOIN st s ON l.symbol = s.symbol AND l.bar_start >= s.ts)
+SELECT symbol, ts, round(m, 6) AS live_macd, round(sig * 0.8::DOUBLE + m * 0.2::DOUBLE, 6) AS live_signal, round((trs + greatest(h - lo, abs(h - c0), abs(lo - c0))) / 14, 6) AS live_atr FROM j"""
+
+
+@query("w24_live_indicators", with_bars(_LIVE).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     bars = _bars(spark, d)
     tf = TF.resample_segment(bars, 30).select("symbol", "ts", "open", "high", "low", "close")
@@ -650,10 +659,18 @@ def _(spark, d):
     return _stats(P.pooled_stats(G.breakout_trades(_lined(spark, d))))
 
 
-@query("a15_strategy_stats")
+_PAGE = _RET + """, ts0 AS (SELECT symbol, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl <= 0) AS avg_loss, count(*) FILTER (direction = 'long') AS longs, count(*) FILTER (direction = 'short') AS shorts,
+  count(*) FILTER (gapped) AS gapped, count(*) FILTER (reason = 'TRAIL') AS trails, count(*) FILTER (reason = 'SESSION_END') AS session_ends, exp(sum(ln(1 + pnl))) - 1 AS total_return FROM trades GROUP BY 1),
+dd AS (SELECT symbol, position, equity / max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS x FROM eq), dm AS (SELECT symbol, min(x) AS max_drawdown, count(*) FILTER (position <> 0) AS held FROM dd GROUP BY 1),
+nx AS (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS ret FROM le), sh AS (SELECT symbol, CASE WHEN count(ret) >= 2 AND stddev_samp(ret) > 1e-15 THEN avg(ret) / stddev_samp(ret) * sqrt(243) END AS sharpe FROM nx GROUP BY 1),
+page AS (SELECT t.*, wins / n::DOUBLE AS win_rate, avg_win / -avg_loss AS payoff, held / n::DOUBLE AS avg_bars, max_drawdown, sharpe FROM ts0 t LEFT JOIN dm ON dm.symbol = t.symbol LEFT JOIN sh ON sh.symbol = t.symbol)"""
+_PAGE_FLOATS = ("avg_win", "avg_loss", "win_rate", "payoff", "total_return", "avg_bars", "max_drawdown", "sharpe")
+
+
+@query("a15_strategy_stats", with_bars(_PAGE + " SELECT symbol, n, wins, longs, shorts, gapped, trails, session_ends, " + ", ".join(f"round({x}, 6) AS {x}" for x in _PAGE_FLOATS) + " FROM page"))
 def _(spark, d):
     _, trades, equity = _equity(spark, d)
-    return P.strategy_stats(trades, equity)
+    return P.strategy_stats(trades, equity).select("symbol", "n", "wins", "longs", "shorts", "gapped", "trails", "session_ends", *r(*_PAGE_FLOATS))
 
 
 @query("a22_exits", with_bars(_TRADES + ' SELECT symbol, count(*) FILTER (reason = \'TRAIL\') AS "TRAIL", count(*) FILTER (reason = \'SESSION_END\') AS "SESSION_END" FROM trades GROUP BY 1'))
@@ -661,9 +678,9 @@ def _(spark, d):
     return P.exit_counts(G.breakout_trades(_lined(spark, d)), ["TRAIL", "SESSION_END"])
 
 
-@query("a18_benchmark", with_bars(_DAILY + ", x AS (SELECT *, close / coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trading_date), open) - 1 AS rr FROM daily) SELECT symbol, round(max_by(close, trading_date) / min_by(open, trading_date) - 1, 8) AS total_return, count(*) FILTER (rr > 0) AS up_days, count(*) FILTER (rr < 0) AS down_days, count(*) FILTER (rr = 0) AS flat_days, round(avg(rr), 8) AS avg_all FROM x GROUP BY 1"))
+@query("a18_benchmark", with_bars(_DAILY + ", x AS (SELECT *, close / coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trading_date), open) - 1 AS rr FROM daily) SELECT symbol, round(max_by(close, trading_date) / min_by(open, trading_date) - 1, 8) AS total_return, count(*) FILTER (rr > 0) AS up_days, count(*) FILTER (rr < 0) AS down_days, count(*) FILTER (rr = 0) AS flat_days, round(avg(rr), 8) AS avg_all, round(avg(rr) / stddev_samp(rr) * sqrt(252), 6) AS sharpe FROM x GROUP BY 1"))
 def _(spark, d):
-    return P.benchmark_stats(S.daily_ohlc(_bars(spark, d))).select("symbol", *r("total_return", digits=8), "up_days", "down_days", "flat_days", *r("avg_all", digits=8))
+    return P.benchmark_stats(S.daily_ohlc(_bars(spark, d))).select("symbol", *r("total_return", digits=8), "up_days", "down_days", "flat_days", *r("avg_all", digits=8), *r("sharpe"))
 
 
 @query("g14_variants", with_bars(_TRADES + " SELECT variant, symbol, session_id, direction, entry_ts, exit_ts, round(CASE WHEN variant = 'exact' AND reason = 'TRAIL' THEN stop ELSE px END, 6) AS exit_price FROM (SELECT symbol, session_id::BIGINT AS session_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, ts AS exit_ts, reason, stop, px FROM bf WHERE i = 1), (VALUES ('base'), ('exact')) v(variant)"))
@@ -690,12 +707,35 @@ def _features(spark, d) -> DataFrame:
     return TF.asof_closed(df, day, ["DSTATE", "DBREAK", "DAY"], prefix="")
 
 
-@query("g7_cascade")
+def _state_sql(name: str, source: str, third: str = "") -> str:
+    """name: the rows of source with f, m and s, their averages."""
+    mean = lambda n, c: f"CASE WHEN count(*) OVER {c} = {n} THEN round(avg(close) OVER {c}, 6) END AS {c[1]}"
+    frame = lambda n, c: f"{c} AS (PARTITION BY symbol ORDER BY ts ROWS {n - 1} PRECEDING)"
+    sizes = ((3, "wf"), (6, "wm"), (12, "ws"))
+    return f", {name} AS (SELECT *, {', '.join(mean(*x) for x in sizes)} FROM {source} WINDOW {', '.join(frame(*x) for x in sizes)})"
+
+
+_TWO = "CASE WHEN {0}.f > {0}.m THEN 1 WHEN {0}.f < {0}.m THEN -1 ELSE 0 END::TINYINT"
+_CUT = " + ".join(f"coalesce({x} BETWEEN least(open, close) AND greatest(open, close), false)::INT" for x in "fms")
+_CASCADE = (
+    _SEG + _BIN + _BIN.replace("INTERVAL 5", "INTERVAL 30").replace("b0", "c0").replace("b1", "c1").replace("tf AS", "tf30 AS") + _DAILY + ", dl AS (SELECT d.*, x.ts FROM daily d JOIN (SELECT symbol, trading_date, max(ts) AS ts FROM bars GROUP BY 1, 2) x ON x.symbol = d.symbol AND x.trading_date = d.trading_date)"
+    + _ATR + _state_sql("m1", "atr") + _state_sql("m5", "tf") + _state_sql("m30", "tf30") + _state_sql("md0", "dl")
+    + f", md AS (SELECT symbol, ts, CASE WHEN f > m AND m > s THEN 1 WHEN f < m AND m < s THEN -1 ELSE 0 END::TINYINT AS DSTATE, ({_CUT}) >= 2 AS DBREAK FROM md0)"
+    + f", casc AS (SELECT m1.symbol, m1.ts, {_TWO.format('m1')} AS S1, CASE WHEN m5.ts IS NOT NULL THEN {_TWO.format('m5')} END AS S5, CASE WHEN m30.ts IS NOT NULL THEN {_TWO.format('m30')} END AS S30, md.DSTATE, md.DBREAK, round(m1.atr, 6) AS ATR1"
+    + " FROM m1 ASOF LEFT JOIN m5 ON m1.symbol = m5.symbol AND m1.bar_start >= m5.ts ASOF LEFT JOIN m30 ON m1.symbol = m30.symbol AND m1.bar_start >= m30.ts ASOF LEFT JOIN md ON m1.symbol = md.symbol AND m1.bar_start >= md.ts)"
+)
+_PULLBACK = _CASCADE + """, br AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS bias_run FROM (SELECT *, coalesce(DSTATE <> lag(DSTATE) OVER (PARTITION BY symbol ORDER BY ts), true)::INT AS e FROM casc)),
+pc AS (SELECT *, DSTATE <> 0 AND S30 = -DSTATE AND (S1 = -DSTATE OR S5 = -DSTATE) AS cf FROM br), pr AS (SELECT *, DSTATE <> 0 AND NOT cf AND S1 = DSTATE AND S5 = DSTATE AS rd FROM pc),
+pe AS (SELECT *, coalesce(cf, false) AS confirm, coalesce(rd AND last_value(CASE WHEN cf THEN 1 WHEN rd THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol, bias_run ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS "trigger" FROM pr)
+SELECT symbol, ts, bias_run, confirm, "trigger" FROM pe WHERE "trigger" OR confirm"""
+
+
+@query("g7_cascade", with_bars(_CASCADE + " SELECT * FROM casc"))
 def _(spark, d):
     return _features(spark, d).select("symbol", "ts", "S1", "S5", "S30", "DSTATE", "DBREAK", *r("ATR1"))
 
 
-@query("g8_pullback_events")
+@query("g8_pullback_events", with_bars(_PULLBACK))
 def _(spark, d):
     return G.pullback_events(_features(spark, d)).where("confirm or trigger").select("symbol", "ts", "bias_run", "confirm", "trigger")
 
@@ -786,16 +826,29 @@ def _(spark, d):
 def _cooling(spark, d) -> tuple[DataFrame, DataFrame]:
     daily = S.daily_ohlc(_bars(spark, d)).withColumn("ts", F.col("trading_date"))
     daily = _averages(daily).withColumns({"state": N.ma_state2("f", "m"), "broke": N.structure_break("f", "m", "s")})
-    stops = G.breakout_trades(_lined(spark, d)).where("pnl < 0").select("symbol", F.to_date("entry_ts").alias("trading_date"), F.when(F.col("direction") == "long", 1).otherwise(-1).alias("direction"), F.lit(1).alias("n"))
+    stops = G.breakout_trades(_lined(spark, d)).where("pnl < 0").select("symbol", F.to_date("entry_ts").alias("trading_date"), F.when(F.col("direction") == "long", 1).otherwise(-1).alias("direction"), F.lit(1).alias("n"), F.col("entry_ts").alias("at"))
     return daily, G.cooldown_spans(daily, stops)
 
 
-@query("g11_cooldown")
+_COOLING = _TRADES + _state_sql("cd", "(SELECT *, trading_date AS ts FROM daily)") + f""",
+ce AS (SELECT symbol, trading_date, 0 AS kind, NULL::TIMESTAMP AS moment, {_TWO.format("cd")}::INT AS x, ({_CUT}) >= 2 AS broke FROM cd UNION ALL SELECT symbol, CAST(entry_ts AS DATE), 1, entry_ts, CASE WHEN direction = 'long' THEN 1 ELSE -1 END, false FROM trades WHERE pnl < 0),
+cn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date, kind, moment) AS i FROM ce),
+cr AS (SELECT symbol, 0::BIGINT AS i, NULL::DATE AS day, false AS cool, 0 AS same, NULL::INT AS st, 0 AS stops, 0 AS side FROM cn WHERE i = 1
+  UNION ALL SELECT symbol, i, trading_date, CASE WHEN cool THEN NOT done ELSE arms END, CASE WHEN cool AND kind = 0 AND NOT done THEN run ELSE CASE WHEN cool AND kind = 1 THEN same ELSE 0 END END,
+    CASE WHEN cool AND kind = 0 AND NOT done THEN x WHEN cool AND kind = 1 THEN st END, CASE WHEN arms THEN 0 WHEN kind = 1 AND NOT cool THEN k ELSE stops END, CASE WHEN arms THEN 0 WHEN kind = 1 AND NOT cool THEN x ELSE side END
+  FROM (SELECT *, cool AND kind = 0 AND run >= 3 AS done, NOT cool AND CASE WHEN kind = 0 THEN broke ELSE k >= 3 END AS arms FROM (
+    SELECT cr.* EXCLUDE (i, day), cn.i, cn.trading_date, kind, x, broke, CASE WHEN x <> 0 AND x = st THEN same + 1 ELSE (x <> 0)::INT END AS run, CASE WHEN x = side THEN stops + 1 ELSE 1 END AS k FROM cr JOIN cn ON cn.symbol = cr.symbol AND cn.i = cr.i + 1))),
+ct AS (SELECT symbol, day, i, cool FROM (SELECT *, lag(cool) OVER (PARTITION BY symbol ORDER BY i) AS was FROM cr) WHERE cool <> was), spans AS (SELECT symbol, day AS start, till AS "end" FROM (SELECT *, lead(day) OVER (PARTITION BY symbol ORDER BY i) AS till FROM ct) WHERE cool)
+"""
+_IN_SPANS = "EXISTS (SELECT 1 FROM spans s WHERE s.symbol = {0}.symbol AND {0}.trading_date > s.start AND ({0}.trading_date <= s.\"end\" OR s.\"end\" IS NULL))"
+
+
+@query("g11_cooldown", with_bars(_COOLING + " SELECT * FROM spans").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     return _cooling(spark, d)[1]
 
 
-@query("j9_in_spans")
+@query("j9_in_spans", with_bars(_COOLING + f" SELECT symbol, trading_date, close, {_IN_SPANS.format('daily')} AS cooling FROM daily").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     daily, spans = _cooling(spark, d)
     return G.in_spans(daily.select("symbol", "trading_date", "close"), spans)
@@ -806,13 +859,29 @@ def _(spark, d):
     return P.direction_by_day(G.breakout_trades(_lined(spark, d)))
 
 
-@query("g16_portfolio")
+_FOLIO = _RET + _IVW.removeprefix(_DAILY) + _TURN + """, fr AS (SELECT w.trading_date, coalesce(sum(weight * ret), 0) - 0.0005 * any_value(turnover) AS ret, any_value(turnover) AS turnover, coalesce(sum(weight * change), 0) AS held
+  FROM weights w JOIN turn t ON t.trading_date = w.trading_date LEFT JOIN rets r ON r.symbol = w.symbol AND r.trading_date = w.trading_date GROUP BY 1)"""
+_FOLIO = _FOLIO.replace("sum(weight * change)", "sum(weight * v.change)").replace(" AND r.trading_date = w.trading_date GROUP", " AND r.trading_date = w.trading_date LEFT JOIN vols v ON v.symbol = w.symbol AND v.trading_date = w.trading_date GROUP")
+
+
+@query("g16_report", with_bars(_FOLIO + """, cv AS (SELECT series, trading_date, exp(sum(ln(1 + x)) OVER (PARTITION BY series ORDER BY trading_date ROWS UNBOUNDED PRECEDING)) AS e FROM (SELECT 'strategy' AS series, trading_date, ret AS x FROM fr UNION ALL SELECT 'benchmark', trading_date, held FROM fr)),
+cx AS (SELECT *, e / max(e) OVER (PARTITION BY series ORDER BY trading_date ROWS UNBOUNDED PRECEDING) - 1 AS dn, e / lag(e) OVER (PARTITION BY series ORDER BY trading_date) - 1 AS rt FROM cv)
+SELECT series, count(*) AS days, round(max_by(e, trading_date) - 1, 6) AS total_return, round(min(dn), 6) AS max_drawdown, round(avg(rt) / stddev_samp(rt) * sqrt(252), 6) AS sharpe FROM cx GROUP BY 1"""))
+def _(spark, d):
+    held = _vols(spark, d).withColumn("ret", F.col("change"))
+    return P.portfolio_report(_weights(spark, d), P.session_returns(_equity(spark, d)[2], 1.0), held, 0.0005).select("series", "days", *r("total_return", "max_drawdown", "sharpe"))
+
+
+@query("g16_portfolio", with_bars(_FOLIO + " SELECT trading_date, round(ret, 8) AS ret, round(turnover, 8) AS turnover, round(exp(sum(ln(1 + ret)) OVER (ORDER BY trading_date ROWS UNBOUNDED PRECEDING)), 8) AS equity FROM fr"))
 def _(spark, d):
     rets = P.session_returns(_equity(spark, d)[2], 1.0)
     return P.compound(P.portfolio_returns(_weights(spark, d), rets, 0.0005)).select("trading_date", *r("ret", "turnover", "equity", digits=8))
 
 
-@query("g17_rebalance")
+@query("g17_rebalance", with_bars(_FOLIO.replace("- 0.0005 * any_value(turnover) AS ret", "AS ret") + """, fe AS (SELECT trading_date, 1e6 * exp(sum(ln(1 + ret)) OVER (ORDER BY trading_date ROWS UNBOUNDED PRECEDING)) AS e FROM fr),
+tg AS (SELECT d.symbol, d.trading_date, coalesce(weight, 0) * e / d.open AS target FROM daily d JOIN fe ON fe.trading_date = d.trading_date LEFT JOIN weights w ON w.symbol = d.symbol AND w.trading_date = d.trading_date),
+rz AS (SELECT *, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY trading_date), 0) AS resize FROM tg)
+SELECT symbol, trading_date, round(target, 6) AS target, round(resize, 6) AS resize, CASE WHEN target = 0 AND resize <> 0 THEN 'close' WHEN resize <> 0 THEN 'resize' END AS event FROM rz"""))
 def _(spark, d):
     _, trades, equity = _equity(spark, d)
     folio = P.compound(P.portfolio_returns(_weights(spark, d), P.session_returns(equity, 1.0)), 1e6)
@@ -822,7 +891,9 @@ def _(spark, d):
 
 
 # --- frames
-@query("c1_step_points")
+@query("c1_step_points", with_bars(_SEG + _LINES + _SESSION + """, p0 AS (SELECT symbol, ts, CASE WHEN valid THEN Bbreak END AS v, NOT valid AS hidden FROM lined WHERE is_first),
+p1 AS (SELECT symbol, ts, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS v, hidden FROM p0)
+SELECT symbol, ts, round(v, 6) AS value, hidden FROM p1 UNION ALL SELECT b.symbol, b.ts, round(v, 6), true FROM (SELECT symbol, max(ts) AS ts FROM bars GROUP BY 1) b JOIN (SELECT symbol, max_by(v, ts) AS v FROM p1 GROUP BY 1) p ON p.symbol = b.symbol"""))
 def _(spark, d):
     return C.step_points(_lined(spark, d), "Bbreak").select("symbol", "ts", *r("value"), "hidden")
 
@@ -839,7 +910,7 @@ def _(spark, d):
     return C.tiles(N.with_atr(_bars(spark, d)), "2024-01-10").select("symbol", "ts", "close", *r("atr"))
 
 
-@query("c5_shaded_bins")
+@query("c5_shaded_bins", with_bars(_COOLING + _BIN.replace("INTERVAL 5", "INTERVAL 30") + f" SELECT symbol, max(ts) AS ts, bool_or({_IN_SPANS.format('b1')}) AS shaded FROM b1 GROUP BY symbol, segment_id, bin").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     daily, spans = _cooling(spark, d)
     bars = S.segments(_bars(spark, d))
@@ -847,15 +918,30 @@ def _(spark, d):
     return C.shaded_bins(flagged, TF.bin_start(bars, 30)).select("symbol", "ts", "shaded")
 
 
-@query("c3_markers")
+@query("c3_markers", with_bars(_TRADES + """ SELECT symbol, entry_ts AS ts, 'entry' AS kind, upper(direction) || ' ' || printf('%.2f', entry_price) AS text, direction AS colour FROM trades
+UNION ALL SELECT symbol, exit_ts, 'exit', reason || ' ' || printf('%.2f', exit_price) || ' ' || printf('%+.2f%%', pnl * 100), CASE WHEN pnl > 0 THEN 'win' ELSE 'loss' END FROM trades"""))
 def _(spark, d):
     return C.markers(G.breakout_trades(_lined(spark, d)))
 
 
-@query("c7_statistics")
+_ITEMS = lambda source, percents, ratios: " UNION ALL ".join([f"SELECT symbol, '{x}' AS item, coalesce(printf('%+.2f%%', {x} * 100), 'n/a') AS value FROM {source}" for x in percents] + [f"SELECT symbol, '{x}' AS item, coalesce(printf('%.2f', {x}), 'n/a') AS value FROM {source}" for x in ratios])
+
+
+@query("c7_statistics", with_bars(_PAGE + " " + _ITEMS("page", ["total_return", "max_drawdown", "win_rate"], ["payoff", "sharpe", "avg_bars"])))
 def _(spark, d):
     _, trades, equity = _equity(spark, d)
-    return C.statistics_page(P.strategy_stats(trades, equity), ["total_return", "max_drawdown", "win_rate"], ["payoff", "sharpe"])
+    return C.statistics_page(P.strategy_stats(trades, equity), ["total_return", "max_drawdown", "win_rate"], ["payoff", "sharpe", "avg_bars"])
+
+
+@query("c7_directions", with_bars(_TRADES + f", ds AS (SELECT symbol || ' ' || direction AS symbol, {_STATS} FROM trades GROUP BY symbol, direction) " + _ITEMS("ds", ["win_rate", "avg_win", "avg_loss"], ["payoff"])))
+def _(spark, d):
+    stats = _stats(P.direction_stats(G.breakout_trades(_lined(spark, d))), "symbol", "direction").withColumn("symbol", F.concat_ws(" ", "symbol", "direction"))
+    return C.statistics_page(stats, ["win_rate", "avg_win", "avg_loss"], ["payoff"])
+
+
+@query("c7_benchmark", with_bars(_DAILY + ", x AS (SELECT *, close / coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trading_date), open) - 1 AS rr FROM daily), bm AS (SELECT symbol, max_by(close, trading_date) / min_by(open, trading_date) - 1 AS total_return, avg(rr) FILTER (rr > 0) AS avg_up, avg(rr) FILTER (rr < 0) AS avg_down, avg(rr) / stddev_samp(rr) * sqrt(252) AS sharpe FROM x GROUP BY 1) " + _ITEMS("bm", ["total_return", "avg_up", "avg_down"], ["sharpe"])))
+def _(spark, d):
+    return C.statistics_page(P.benchmark_stats(S.daily_ohlc(_bars(spark, d))), ["total_return", "avg_up", "avg_down"], ["sharpe"])
 
 
 # --- audit
@@ -884,7 +970,9 @@ query("q13_fake_nights", with_bars(_NIGHTS + " SELECT CASE WHEN symbol = 'ALL' T
 audit_query("q16_year_edges", ", y AS (SELECT symbol, trading_date, count(*) AS bars, count(*) FILTER (volume = 0) AS idle FROM dirty GROUP BY 1, 2), m AS (SELECT symbol, median(bars) AS u FROM y GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, year(trading_date) ORDER BY trading_date) AS i FROM y) SELECT symbol, trading_date, bars, idle, round(bars / u, 6) AS times_usual FROM n JOIN m USING (symbol) WHERE i = 1", lambda b: Q.year_edges(b).select("symbol", "trading_date", "bars", "idle", *r("times_usual")), True)
 audit_query("q16_misdated", " SELECT symbol, count(*) FILTER (hour(ts) BETWEEN 3 AND 20 AND trading_date <> CAST(ts AS DATE)) AS day_bars, count(*) FILTER (hour(ts) BETWEEN 3 AND 20 AND trading_date <> CAST(ts AS DATE) AND volume = 0) AS day_idle, count(*) FILTER (hour(ts) <= 2 AND trading_date <> CAST(ts AS DATE) AND dayofweek(ts) <> 6) AS early_bars, count(*) FILTER (hour(ts) <= 2 AND trading_date <> CAST(ts AS DATE) AND dayofweek(ts) <> 6 AND volume = 0) AS early_idle FROM dirty GROUP BY 1", Q.misdated_bars, True)
 audit_query("q14_fake_segments", " SELECT symbol, trading_date, CAST(ts AS DATE) AS calendar_date, hour(ts) >= 21 OR hour(ts) <= 2 AS night, count(*) AS bars FROM dirty GROUP BY 1, 2, 3, 4 HAVING sum(volume) = 0", Q.fake_segments, True)
-query("q15_survivors")(lambda spark, d: Q.fake_survivors(dirty_bars(spark, d)))
+query("q15_survivors", with_bars(_SEG.replace("FROM bars", "FROM dirty") + ", dr AS (SELECT symbol, run, count(*) AS n, count(*) FILTER (volume > 0) AS traded, sum(volume) AS v FROM seg GROUP BY 1, 2), sv AS (SELECT *, close / lag(close) OVER w - 1 AS rr, lead(open) OVER w AS nx FROM seg WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT sv.symbol, ts, round(rr, 8) AS r, sv.run::BIGINT AS run FROM sv JOIN dr ON sv.symbol = dr.symbol AND sv.run = dr.run WHERE ((n >= 20 AND traded <= 2) OR v = 0) AND abs(rr) >= 0.01 AND nx <> 0 AND abs(close / nx - 1) < 0.001", True))(
+    lambda spark, d: Q.fake_survivors(dirty_bars(spark, d)).select("symbol", "ts", *r("r", digits=8), "run")
+)
 audit_query("q17_tail", ", y AS (SELECT symbol, trading_date, max(close) FILTER (hour(ts) * 60 + minute(ts) = 150) AS tail, max(open) FILTER (hour(ts) * 60 + minute(ts) = 560) AS am, max(close) FILTER (hour(ts) * 60 + minute(ts) = 890) AS shut FROM bars GROUP BY 1, 2), z AS (SELECT *, lag(shut) OVER (PARTITION BY symbol ORDER BY trading_date) AS sb FROM y) SELECT symbol, count(tail) AS nights, count(*) FILTER (tail = am) AS as_morning, count(*) FILTER (tail = sb) AS as_close_before FROM z GROUP BY 1", lambda b: Q.tail_evidence(b, 150, 560, 890))
 audit_query("q18_auction", " SELECT symbol, year(ts)::INTEGER AS year, count(*) AS n, avg((high = low)::INT) AS flat_rate, round(avg((high - low) / close), 8) AS range, median(volume) AS median_volume FROM bars WHERE hour(ts) * 60 + minute(ts) IN (541, 1261) GROUP BY 1, 2", lambda b: Q.auction_shape(b, [541, 1261]).withColumn("range", F.round("range", 8)))
 _ROLL = ", o AS (SELECT *, lag(contract) OVER w AS c0, lag(close) OVER w AS p0, lag(K) OVER w AS k0, lag(trading_date) OVER w AS d0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), rolls AS (SELECT *, ln(open / p0) AS jump, ln(K / k0) AS kr FROM o WHERE contract <> c0)"
@@ -910,7 +998,18 @@ query("w31_last_padded", with_days(", a AS (SELECT *, quantile_cont(bars / 10.0:
 audit_query("q37_single_day", _SEG + f", y AS (SELECT *, run - min(run) OVER () AS rn FROM seg WHERE symbol = 'ALL' AND trading_date = DATE '2024-01-10') SELECT symbol, trading_date, rn::BIGINT AS run, min(ts) AS start, max(ts) AS \"end\", count(*) AS bars, count(*) FILTER ({_BAD}) AS errors, sum(volume) AS volume FROM y GROUP BY 1, 2, 3", lambda b: Q.single_day(b, "ALL", "2024-01-10"))
 
 
-@query("j13_scorecard")
+def _dirty_part(name: str) -> str:
+    """The SQL of a check without its bars, over the dirty ones."""
+    text = SQL[name].removeprefix(with_bars("", True)).removeprefix(with_bars("")).strip().replace("FROM bars", "FROM dirty")
+    return "(WITH" + text.removeprefix(",") + ")" if text.startswith(",") else f"({text})"
+
+
+_CARD = " SELECT *, concat_ws('; ', CASE WHEN too_short THEN 'too short' END, CASE WHEN not_positive > 10 THEN 'prices not positive' END, CASE WHEN volume_negative > 10 THEN 'negative volume' END) AS reasons, NOT (too_short OR not_positive > 10 OR volume_negative > 10) AS keep FROM " + " LEFT JOIN ".join(
+    ("(SELECT * EXCLUDE (bars) FROM " + _dirty_part(x) + ")" if x == "q6_padding" else _dirty_part(x)) + f" t{k}" + (" USING (symbol)" if k else "") for k, x in enumerate(("q2_coverage", "q3_ohlc", "q4_amounts", "q6_padding", "q5_k"))
+)
+
+
+@query("j13_scorecard", with_bars(_CARD, True))
 def _(spark, d):
     bars = dirty_bars(spark, d)
     card = Q.scorecard([Q.coverage(bars, "2024-03-01"), Q.ohlc_violations(bars), Q.amount_violations(bars), Q.padding(bars).drop("bars"), Q.k_availability(bars)])
