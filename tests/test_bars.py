@@ -451,3 +451,69 @@ def test_cooldown_needs_stops_in_a_row(spark):
     spans = lambda sides: G.cooldown_spans(daily, spark.createDataFrame([("A", d(k + 1), side, int(side != 0)) for k, side in enumerate(sides)], "symbol string, trading_date date, direction int, n int")).collect()
     assert spans((1, -1, 1, -1, 1)) == [] and spans((1, 1, 0, 1, 1)) == []
     assert [tuple(r)[1:] for r in spans((-1, 1, 1, 1))] == [(d(4), None)]
+
+
+def test_csv_and_reports(spark, tmp_path):
+    path = str(tmp_path / "five.csv")
+    with open(path, "w") as f:
+        f.write("timestamp,symbol,sector,open,high,low,close,volume\n2024-01-02 14:30:00,X,Tech,1,2,0.5,1.5,100\n2024-01-02 14:35:00,X,,1.5,,1,2,\n")
+    df = B.read_bars_csv(spark, path)
+    a, b = df.orderBy("timestamp").collect()
+    assert (a["timestamp"], a["sector"], a["close"], a["volume"]) == (dt.datetime(2024, 1, 2, 14, 30), "Tech", 1.5, 100.0)
+    assert b["sector"] is None and b["high"] is None and b["volume"] is None
+    for kind in ("csv", "parquet"):
+        for _ in range(2):  # a second report replaces the first
+            B.write_report(df, str(tmp_path / kind), kind)
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+
+
+def test_custom_rule_sees_sessions(spark, bars):
+    def rule(pdf):
+        return pdf.assign(n=len(pdf)).groupby(["symbol", "session_id"], as_index=False)["n"].max()
+
+    sessions = S.session_mode(bars)
+    got = {tuple(x) for x in G.custom_rule(sessions.select("symbol", "session_id", "ts"), rule, "symbol string, session_id long, n long").collect()}
+    assert got == {tuple(x) for x in sessions.groupBy("symbol", "session_id").count().collect()}
+
+
+def test_spans_count_bars_of_the_session(spark, bars):
+    rows = S.session_mode(bars)
+    one = rows.where("symbol = 'A' and session_id = 2").orderBy("ts").collect()
+    trades = spark.createDataFrame([("A", one[3]["ts"], one[10]["ts"], 1.0), ("A", one[5]["ts"], one[5]["ts"], 2.0), ("A", one[5]["ts"], None, 3.0)], "symbol string, entry_ts timestamp, exit_ts timestamp, pnl double")
+    assert sorted((r["pnl"], r["bars"]) for r in P.with_spans(trades, rows).collect()) == [(1.0, 7), (2.0, 0), (3.0, None)]
+
+
+def test_polluted_locked_and_changed(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    bar = lambda d, ts, volume=5.0, high=2.0: ("A", ts, day(d), 1.0, high, 1.0, 1.0, volume)
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = [bar(2, at(2, 9)), bar(3, at(3, 9), high=1.0), bar(4, at(4, 10)), bar(5, at(4, 21), 0.0), bar(5, at(5, 10)), bar(8, at(7, 22)), bar(8, at(8, 10))]
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp, trading_date date, open double, high double, low double, close double, volume double")
+    assert [tuple(r) for r in Q.polluted_dates(b).collect()] == [("A", day(5), 2)]  # the 8th is real
+    assert [r["trading_date"] for r in Q.locked_days(S.daily_ohlc(b)).collect()] == [day(3)]
+    assert Q.first_night(b).first()["first_night"] == day(5)
+    change = Q.fingerprint_changes(b, "2024-01-04").first()
+    assert change["changed"] and change["before"] == "09:00-09:00"
+
+
+def test_missing_items_are_not_available(spark):
+    df = spark.createDataFrame([(None, 0.125)], "a double, b double").select(X.percent("a").alias("a"), X.ratio("a").alias("ra"), X.percent("b").alias("b"))
+    assert tuple(df.first()) == ("n/a", "n/a", "+12.50%")
+
+
+def test_report_of_a_portfolio(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    w = spark.createDataFrame([("A", day(d), 0.5) for d in (2, 3, 4)] + [("B", day(d), 0.5) for d in (2, 3, 4)], "symbol string, trading_date date, weight double")
+    rets = {"A": (0.1, -0.2, 0.0), "B": (0.0, 0.1, 0.3)}
+    r = spark.createDataFrame([(s, day(2 + k), x) for s, v in rets.items() for k, x in enumerate(v)], "symbol string, trading_date date, ret double")
+    fee, curve, e = 0.01, [], 1.0
+    for k in range(3):
+        e *= 1 + sum(v[k] for v in rets.values()) / 2 - fee * (1.0 if k == 0 else 0.0)
+        curve.append(e)
+    got = {x["series"]: x for x in P.portfolio_report(w, r, r.withColumn("ret", F.lit(0.0)), fee).collect()}
+    steps = [curve[1] / curve[0] - 1, curve[2] / curve[1] - 1]
+    mean = sum(steps) / 2
+    sharpe = mean / (sum((x - mean) ** 2 for x in steps)) ** 0.5 * 252**0.5
+    s = got["strategy"]
+    assert s["days"] == 3 and abs(s["total_return"] - (curve[-1] - 1)) < 1e-9 and abs(s["max_drawdown"] - (curve[1] / curve[0] - 1)) < 1e-9 and abs(s["sharpe"] - sharpe) < 1e-9
+    assert got["benchmark"]["total_return"] == 0 and got["benchmark"]["sharpe"] is None

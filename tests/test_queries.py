@@ -7,7 +7,7 @@ import pytest
 from tidebar.plans import queries
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("io3_clean_bars", "w5_modes", "j1_attach_lines", "a3_resample_segment", "j2_asof_closed", "w9_macd", "w12_ma_states", "a21_portfolio_returns", "a8_liquidity", "g2_breakout_trades", "g4_reversal_trades", "g5_mark_to_market", "q8_fingerprint", "q19_roll_continuity", "q30_stale_runs", "j11_platform")
+CHECKED = ("io3_clean_bars", "w5_modes", "j1_attach_lines", "a3_resample_segment", "j2_asof_closed", "w9_macd", "w12_ma_states", "a21_portfolio_returns", "a8_liquidity", "g2_breakout_trades", "g4_reversal_trades", "g5_mark_to_market", "q8_fingerprint", "q19_roll_continuity", "q30_stale_runs", "j11_platform", "w24_live_indicators", "g8_pullback_events", "g11_cooldown", "g16_report", "c7_directions", "q8_changed", "j13_scorecard")
 
 
 @pytest.fixture(scope="module")

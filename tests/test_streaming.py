@@ -28,6 +28,12 @@ def test_tick_bars(spark, tmp_path):
     assert [(r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in got] == [(100, 102, 100, 102, 3), (103, 105, 103, 105, 3), (106, 108, 106, 108, 3)]
 
 
+def test_forming_bars_come_in_update_mode(spark, tmp_path):
+    tick = lambda s, price: ("A", T0 + dt.timedelta(seconds=s), price, 1.0)
+    got = run(spark, tmp_path, [[tick(5, 10.0), tick(20, 12.0)], [tick(40, 9.0)]], "symbol string, ts timestamp, price double, volume double", L.tick_bars, "update")
+    assert sorted((r["ticks"], r["open"], r["high"], r["low"], r["close"]) for r in got) == [(2, 10, 12, 10, 12), (3, 10, 12, 9, 9)]
+
+
 def test_gap_sessions_and_duplicates(spark, tmp_path):
     day = T0.date()
     bar = lambda h: ("A", T0 + dt.timedelta(hours=h), day, 2.0, 1.0)

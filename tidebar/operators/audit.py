@@ -38,8 +38,11 @@ def amount_violations(bars: DataFrame) -> DataFrame:
 
 
 def k_availability(bars: DataFrame) -> DataFrame:
+    """How many factors are missing, infinite or not positive; median, least and greatest of the finite ones."""
     k = F.col("K")
-    return bars.groupBy("symbol").agg(F.count_if(k.isNull() | F.isnan(k)).alias("k_missing"), F.count_if(k <= 0).alias("k_not_positive"), F.percentile("K", F.lit(0.5)).alias("k_median"), F.min("K").alias("k_min"), F.max("K").alias("k_max"))
+    infinite = k.isin(float("inf"), float("-inf"))
+    finite = F.when(~F.isnan(k) & ~infinite, k)
+    return bars.groupBy("symbol").agg(F.count_if(k.isNull() | F.isnan(k)).alias("k_missing"), F.count_if(infinite).alias("k_infinite"), F.count_if(finite <= 0).alias("k_not_positive"), F.percentile(finite, F.lit(0.5)).alias("k_median"), F.min(finite).alias("k_min"), F.max(finite).alias("k_max"))
 
 
 def padding(bars: DataFrame) -> DataFrame:
@@ -54,6 +57,13 @@ def calendar_spread(bars: DataFrame) -> DataFrame:
     return per.groupBy("symbol", "n").agg(F.count("*").alias("days")).groupBy("symbol").agg(F.max_by("n", F.struct("days", -F.col("n"))).alias("mode_days"), F.max("n").alias("max_days"))
 
 
+def polluted_dates(bars: DataFrame) -> DataFrame:
+    """Trading dates over more calendar dates than is usual for their symbol that have a stretch without volume."""
+    per = bars.groupBy("symbol", "trading_date").agg(F.countDistinct(F.to_date("ts")).alias("n"))
+    many = per.join(calendar_spread(bars), "symbol").where(F.col("n") > F.col("mode_days")).select("symbol", "trading_date", "n")
+    return many.join(fake_segments(bars), ["symbol", "trading_date"], "left_semi")
+
+
 def session_fingerprint(bars: DataFrame, share: float = 0.2) -> DataFrame:
     """Minutes that at least a share of dates have, as text of their runs; whether there are night minutes, and some past midnight."""
     minute = (F.hour("ts") * 60 + F.minute("ts")).alias("m")
@@ -66,6 +76,14 @@ def session_fingerprint(bars: DataFrame, share: float = 0.2) -> DataFrame:
     return runs.groupBy("symbol").agg(text.alias("sessions"), F.bool_or((F.col("b") >= 21 * 60) | (F.col("a") < 180)).alias("has_night"), F.bool_or(F.col("a") < 180).alias("crosses_midnight"))
 
 
+def fingerprint_changes(bars: DataFrame, since: str) -> DataFrame:
+    """Symbols with sessions before and from a date on, and whether they differ."""
+    day = F.lit(since).cast("date")
+    part = lambda rows, name: session_fingerprint(bars.where(rows)).select("symbol", F.col("sessions").alias(name))
+    both = part(F.col("trading_date") < day, "before").join(part(F.col("trading_date") >= day, "since"), "symbol", "full")
+    return both.withColumn("changed", ~F.col("before").eqNullSafe(F.col("since")))
+
+
 def bars_in_breaks(bars: DataFrame) -> DataFrame:
     m = F.hour("ts") * 60 + F.minute("ts")
     return bars.groupBy("symbol").agg(F.count_if((m >= 616) & (m <= 630)).alias("morning"), F.count_if((m >= 691) & (m <= 810)).alias("noon"))
@@ -193,6 +211,11 @@ def large_moves(daily: DataFrame, th: float = 0.15) -> DataFrame:
     return daily.withColumn("r", F.col("close") / F.lag("close").over(_by_day()) - 1).where(F.abs("r") > th).select("symbol", "trading_date", "r")
 
 
+def first_night(bars: DataFrame) -> DataFrame:
+    """Per symbol the first trading date with night bars; NULL where there is none."""
+    return bars.groupBy("symbol").agg(F.min(F.when(is_night("ts"), F.col("trading_date"))).alias("first_night"))
+
+
 def night_by_week(bars: DataFrame) -> DataFrame:
     per = bars.groupBy("symbol", "trading_date").agg(F.max(is_night("ts").cast("double")).alias("night"))
     return per.groupBy("symbol", F.date_trunc("week", "trading_date").cast("date").alias("week")).agg(F.avg("night").alias("night_share"), F.count("*").alias("dates"))

@@ -786,7 +786,9 @@ def _(spark, d):
 
 @query("a14_batches")
 def _(spark, d):
-    return P.batch_pnl(_legs(spark, d)).select("symbol", "entry_id", "is_long", "legs", *r("pnl", "fraction", digits=8))
+    bars, cands = _candidates(spark, d)
+    legs = G.bracket_label(cands, bars, atr_now=F.col("ATR30"))
+    return P.with_spans(P.batch_pnl(legs), bars).select("symbol", "entry_id", "is_long", "legs", "bars", *r("pnl", "fraction", digits=8))
 
 
 @query("q38_invariants")
@@ -949,16 +951,21 @@ def audit_query(name: str, sql: str, run, dirty: bool = False):
     query(name, with_bars(sql, dirty))(lambda spark, d: run((dirty_bars if dirty else _bars)(spark, d)))
 
 
-audit_query("q1_duplicates", " SELECT symbol, count(*) AS bars, count(*) - count(DISTINCT ts) AS duplicates FROM bars GROUP BY 1", Q.duplicates)
+audit_query("q1_duplicates", " SELECT symbol, count(*) AS bars, count(*) - count(DISTINCT ts) AS duplicates FROM (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE volume % 7 = 0) GROUP BY 1", lambda b: Q.duplicates(b.unionByName(b.where("volume % 7 = 0"))))
 audit_query("q2_coverage", " SELECT symbol, count(*) AS bars, min(trading_date) AS first, max(trading_date) AS last, count(DISTINCT trading_date) AS dates, (DATE '2024-03-01' - max(trading_date))::INTEGER AS stale_days, count(*) < 1000 AS too_short FROM bars GROUP BY 1", lambda b: Q.coverage(b, "2024-03-01"))
 audit_query("q3_ohlc", " SELECT symbol, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_below_body, count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS not_positive, 0::BIGINT AS missing FROM dirty GROUP BY 1", Q.ohlc_violations, True)
 audit_query("q4_amounts", " SELECT symbol, count(*) FILTER (volume < 0) AS volume_negative, count(*) FILTER (total_turnover < 0) AS turnover_negative, count(*) FILTER (open_interest < 0) AS oi_negative, count(*) FILTER ((volume = 0) <> (total_turnover = 0)) AS contradicting, avg((open_interest = 0)::INT) AS oi_zero_share FROM dirty GROUP BY 1", Q.amount_violations, True)
-audit_query("q5_k", " SELECT symbol, count(*) FILTER (K IS NULL OR isnan(K)) AS k_missing, count(*) FILTER (K <= 0) AS k_not_positive, quantile_cont(K, 0.5) AS k_median, min(K) AS k_min, max(K) AS k_max FROM bars GROUP BY 1", Q.k_availability)
+audit_query("q5_k", ", kb AS (SELECT symbol, CASE WHEN volume % 13 = 0 THEN NULL WHEN volume % 17 = 0 THEN 'inf'::DOUBLE WHEN volume % 19 = 0 THEN -K ELSE K END AS K FROM bars) SELECT symbol, count(*) FILTER (K IS NULL OR isnan(K)) AS k_missing, count(*) FILTER (isinf(K)) AS k_infinite, count(*) FILTER (K <= 0) AS k_not_positive, quantile_cont(K, 0.5) FILTER (isfinite(K)) AS k_median, min(K) FILTER (isfinite(K)) AS k_min, max(K) FILTER (isfinite(K)) AS k_max FROM kb GROUP BY 1",
+    lambda b: Q.k_availability(b.withColumn("K", F.when(F.col("volume") % 13 == 0, F.lit(None)).when(F.col("volume") % 17 == 0, float("inf")).when(F.col("volume") % 19 == 0, -F.col("K")).otherwise(F.col("K")))))
+audit_query("q7_polluted", ", p AS (SELECT symbol, trading_date, count(DISTINCT CAST(ts AS DATE)) AS n FROM dirty GROUP BY 1, 2), k AS (SELECT symbol, n, count(*) AS c FROM p GROUP BY 1, 2), o AS (SELECT symbol, n AS usual FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, n) AS i FROM k) WHERE i = 1), f AS (SELECT symbol, trading_date FROM dirty GROUP BY symbol, trading_date, CAST(ts AS DATE), hour(ts) >= 21 OR hour(ts) <= 2 HAVING sum(volume) = 0) SELECT p.symbol, p.trading_date, n FROM p JOIN o ON o.symbol = p.symbol WHERE n > usual AND (p.symbol, p.trading_date) IN (SELECT (symbol, trading_date) FROM f)", Q.polluted_dates, True)
 audit_query("q6_padding", ", p AS (SELECT symbol, CAST(ts AS DATE) AS d, sum(volume) AS v, count(*) FILTER (open = high AND high = low AND low = close AND volume = 0) AS pads, count(*) AS n FROM dirty GROUP BY 1, 2) SELECT symbol, sum(pads)::BIGINT AS padding, sum(n)::BIGINT AS bars, count(*) FILTER (v = 0) AS dead_dates FROM p GROUP BY 1", Q.padding, True)
 audit_query("q7_calendar", ", p AS (SELECT symbol, trading_date, count(DISTINCT CAST(ts AS DATE)) AS n FROM bars GROUP BY 1, 2), k AS (SELECT symbol, n, count(*) AS c FROM p GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, n) AS i FROM k) SELECT symbol, max(n) FILTER (i = 1) AS mode_days, max(n) AS max_days FROM o GROUP BY 1", Q.calendar_spread)
 audit_query("q8_fingerprint", """, m AS (SELECT DISTINCT symbol, trading_date, hour(ts) * 60 + minute(ts) AS m FROM bars), u AS (SELECT symbol, m FROM m GROUP BY 1, 2 HAVING count(*) >= 0.2 * (SELECT count(DISTINCT trading_date) FROM bars b WHERE b.symbol = m.symbol)),
 g AS (SELECT *, m - row_number() OVER (PARTITION BY symbol ORDER BY m) AS run FROM u), q AS (SELECT symbol, min(m) AS a, max(m) AS b FROM g GROUP BY symbol, run)
 SELECT symbol, string_agg(lpad((a // 60)::VARCHAR, 2, '0') || ':' || lpad((a % 60)::VARCHAR, 2, '0') || '-' || lpad((b // 60)::VARCHAR, 2, '0') || ':' || lpad((b % 60)::VARCHAR, 2, '0'), ' ' ORDER BY a) AS sessions, bool_or(b >= 1260 OR a < 180) AS has_night, bool_or(a < 180) AS crosses_midnight FROM q GROUP BY 1""", Q.session_fingerprint)
+_FINGER = SQL["q8_fingerprint"].removeprefix(with_bars("")).strip().removeprefix(",")
+audit_query("q8_changed", ", early AS (SELECT * FROM bars WHERE trading_date < DATE '2024-01-15'), late AS (SELECT * FROM bars WHERE trading_date >= DATE '2024-01-15') SELECT coalesce(a.symbol, b.symbol) AS symbol, a.sessions AS before, b.sessions AS since, a.sessions IS DISTINCT FROM b.sessions AS changed"
+    + f" FROM (WITH {_FINGER.replace('FROM bars', 'FROM early')}) a FULL JOIN (WITH {_FINGER.replace('FROM bars', 'FROM late')}) b ON a.symbol = b.symbol", lambda b: Q.fingerprint_changes(b, "2024-01-15"))
 audit_query("q9_breaks", " SELECT symbol, count(*) FILTER (hour(ts) * 60 + minute(ts) BETWEEN 616 AND 630) AS morning, count(*) FILTER (hour(ts) * 60 + minute(ts) BETWEEN 691 AND 810) AS noon FROM bars GROUP BY 1", Q.bars_in_breaks)
 audit_query("q10_night_tier", ", m AS (SELECT symbol, max(CASE WHEN hour(ts) < 3 THEN hour(ts) * 60 + minute(ts) + 1440 ELSE hour(ts) * 60 + minute(ts) END)::INTEGER AS last FROM bars WHERE hour(ts) >= 21 OR hour(ts) <= 2 GROUP BY 1) SELECT symbol, last, CASE WHEN last > 1560 THEN '02:30' WHEN last > 1380 THEN '01:00' ELSE '23:00' END AS tier FROM m", Q.night_close_tier)
 audit_query("q11_attribution", " SELECT symbol, count(*) FILTER (hour(ts) >= 21 AND trading_date <= CAST(ts AS DATE)) AS not_forward, count(*) FILTER (hour(ts) >= 21 AND dayofweek(ts) = 5 AND dayofweek(trading_date) <> 1) AS friday_not_monday, count(*) FILTER (dayofweek(trading_date) IN (0, 6)) AS weekend FROM bars GROUP BY 1", Q.night_attribution)
@@ -983,6 +990,8 @@ audit_query("q20_k_changes", _ROLL + ", b AS (SELECT symbol, contract, count(*)
 audit_query("q21_turnover", ", i AS (SELECT *, year(trading_date)::INTEGER AS y, total_turnover / volume / close AS im FROM bars WHERE volume > 0 AND close > 0), m AS (SELECT symbol, y, median(im) AS im FROM i GROUP BY 1, 2) SELECT symbol, y AS year, round(im, 6) AS implied, 10::DOUBLE AS multiplier, false AS changed FROM m", lambda b: Q.turnover_identity(b).select("symbol", "year", *r("implied"), "multiplier", "changed"))
 query("q22_steps", with_days(", l AS (SELECT *, ln(volume / lag(volume) OVER (PARTITION BY symbol ORDER BY trading_date)) AS rr FROM days WHERE volume > 0) SELECT trading_date, count(*) AS n, round(median(rr), 8) AS median_change, round(avg((rr < ln(0.6::DOUBLE))::INT), 6) AS share_dropping FROM l WHERE rr IS NOT NULL GROUP BY 1"))(lambda spark, d: Q.cross_section_steps(order_days(spark, d)).select("trading_date", "n", *r("median_change", digits=8), *r("share_dropping")))
 audit_query("q24_large_moves", _DAILY + ", m AS (SELECT symbol, trading_date, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS rr FROM daily) SELECT symbol, trading_date, round(rr, 8) AS r FROM m WHERE abs(rr) > 0.01", lambda b: Q.large_moves(S.daily_ohlc(b), 0.01).select("symbol", "trading_date", *r("r", digits=8)))
+audit_query("q24_locked", _DAILY + " SELECT symbol, trading_date, close, volume FROM daily WHERE high = low", lambda b: Q.locked_days(S.daily_ohlc(b)))
+audit_query("q25_first_night", " SELECT symbol, min(trading_date) FILTER (hour(ts) >= 21 OR hour(ts) <= 2) AS first_night FROM bars GROUP BY 1", Q.first_night)
 audit_query("q25_night_by_week", ", p AS (SELECT symbol, trading_date, max((hour(ts) >= 21 OR hour(ts) <= 2)::INT)::DOUBLE AS n FROM bars GROUP BY 1, 2) SELECT symbol, date_trunc('week', trading_date)::DATE AS week, round(avg(n), 6) AS night_share, count(*) AS dates FROM p GROUP BY 1, 2", lambda b: Q.night_by_week(b).select("symbol", "week", *r("night_share"), "dates"))
 query("q27_dead_or_cut", with_days(", m AS (SELECT symbol, median(volume) AS mv, median(oi_end) AS mo, max_by(oi_end, trading_date) AS ol FROM days GROUP BY 1), f AS (SELECT symbol, avg(volume) AS v5 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date DESC) AS n FROM days) WHERE n <= 5 GROUP BY 1) SELECT symbol, round(ol / mo, 6) AS oi_ratio, round(v5 / mv, 6) AS volume_ratio FROM m JOIN f USING (symbol)"))(lambda spark, d: Q.dead_or_cut(order_days(spark, d)).select("symbol", *r("oi_ratio", "volume_ratio")))
 query("q28_thin_days", with_days(" SELECT symbol, count(*) FILTER (volume = 0) AS zero_days, count(*) FILTER (volume < 50) AS thin_days, max(trading_date) FILTER (volume < 50) AS last_thin FROM days GROUP BY 1"))(lambda spark, d: Q.thin_days(order_days(spark, d), 50))
@@ -1005,17 +1014,18 @@ def _dirty_part(name: str) -> str:
 
 
 _CARD = " SELECT *, concat_ws('; ', CASE WHEN too_short THEN 'too short' END, CASE WHEN not_positive > 10 THEN 'prices not positive' END, CASE WHEN volume_negative > 10 THEN 'negative volume' END) AS reasons, NOT (too_short OR not_positive > 10 OR volume_negative > 10) AS keep FROM " + " LEFT JOIN ".join(
-    ("(SELECT * EXCLUDE (bars) FROM " + _dirty_part(x) + ")" if x == "q6_padding" else _dirty_part(x)) + f" t{k}" + (" USING (symbol)" if k else "") for k, x in enumerate(("q2_coverage", "q3_ohlc", "q4_amounts", "q6_padding", "q5_k"))
+    ("(SELECT * EXCLUDE (bars) FROM " + _dirty_part(x) + ")" if x == "q6_padding" else _dirty_part(x)) + f" t{k}" + (" USING (symbol)" if k else "") for k, x in enumerate(("q2_coverage", "q3_ohlc", "q4_amounts", "q6_padding", "q7_calendar", "q9_breaks", "q11_attribution", "q16_misdated", "q30_stale_runs", "q32_traded_share", "q39_k_deviation"))
 )
 
 
 @query("j13_scorecard", with_bars(_CARD, True))
 def _(spark, d):
     bars = dirty_bars(spark, d)
-    card = Q.scorecard([Q.coverage(bars, "2024-03-01"), Q.ohlc_violations(bars), Q.amount_violations(bars), Q.padding(bars).drop("bars"), Q.k_availability(bars)])
+    card = Q.scorecard([Q.coverage(bars, "2024-03-01"), Q.ohlc_violations(bars), Q.amount_violations(bars), Q.padding(bars).drop("bars"), Q.calendar_spread(bars), Q.bars_in_breaks(bars), Q.night_attribution(bars), Q.misdated_bars(bars),
+        Q.stale_runs(bars).select("symbol", "longest_run", *r("traded_share"), "longest_idle", *r("p99_idle")), Q.traded_share_quantiles(bars).select("symbol", *r("p10", "p50", "dead_share")), Q.k_deviation(bars).select("symbol", *r("deviation", digits=8), "k_first", "k_last", "k_runs")])
     return Q.verdict(card, {"too short": F.col("too_short"), "prices not positive": F.col("not_positive") > 10, "negative volume": F.col("volume_negative") > 10})
 
 
-@query("x_scalars", with_bars(", t AS (SELECT symbol, ts, close, volume FROM bars) SELECT symbol, ts, CASE WHEN close >= 1000 THEN 1 WHEN close >= 100 THEN 2 WHEN close >= 1 THEN 3 ELSE 5 END AS decimals, round(least(close, 990), 6) AS filled, CASE WHEN volume <= 0 THEN NULL WHEN volume / 10 > 7.0710678118654755 THEN 10 WHEN volume / 10 > 2.23606797749979 THEN 5 ELSE 1 END::DOUBLE AS snapped FROM t"))
+@query("x_scalars", with_bars(", t AS (SELECT symbol, ts, close, volume, contract FROM bars) SELECT symbol, ts, (length(contract) - length(symbol))::INTEGER AS digits, CASE WHEN close >= 1000 THEN 1 WHEN close >= 100 THEN 2 WHEN close >= 1 THEN 3 ELSE 5 END AS decimals, round(least(close, 990), 6) AS filled, CASE WHEN volume <= 0 THEN NULL WHEN volume / 10 > 7.0710678118654755 THEN 10 WHEN volume / 10 > 2.23606797749979 THEN 5 ELSE 1 END::DOUBLE AS snapped FROM t"))
 def _(spark, d):
-    return _bars(spark, d).select("symbol", "ts", X.price_decimals("close").alias("decimals"), F.round(X.gap_fill(F.lit(True), "close", F.lit(990.0)), 6).alias("filled"), X.snap(F.col("volume") / 10, [1, 5, 10]).alias("snapped"))
+    return _bars(spark, d).select("symbol", "ts", X.price_decimals("close").alias("decimals"), F.round(X.gap_fill(F.lit(True), "close", F.lit(990.0)), 6).alias("filled"), X.snap(F.col("volume") / 10, [1, 5, 10]).alias("snapped"), X.contract_digits("contract", "symbol").alias("digits"))
