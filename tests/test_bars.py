@@ -517,3 +517,16 @@ def test_report_of_a_portfolio(spark):
     s = got["strategy"]
     assert s["days"] == 3 and abs(s["total_return"] - (curve[-1] - 1)) < 1e-9 and abs(s["max_drawdown"] - (curve[1] / curve[0] - 1)) < 1e-9 and abs(s["sharpe"] - sharpe) < 1e-9
     assert got["benchmark"]["total_return"] == 0 and got["benchmark"]["sharpe"] is None
+
+
+def test_mean_with_missing_values(spark):
+    rng = random.Random(5)
+    xs = [None if k in (0, 1, 7, 60, 61) else rng.uniform(1, 9) for k in range(120)]
+    df = spark.createDataFrame([("A", dt.datetime(2024, 1, 2) + dt.timedelta(minutes=k), x) for k, x in enumerate(xs)] + [("B", dt.datetime(2024, 1, 2), None)], "symbol string, ts timestamp, x double")
+    want, e = [], None
+    for x in xs:
+        e = e if x is None else x if e is None else e + (x - e) * 2 / 4
+        want.append(e)
+    got = [r["e"] for r in N.with_ema(df, "x", 3, "e").where("symbol = 'A'").orderBy("ts").collect()]
+    assert got[:2] == [None, None] and max(abs(a - b) for a, b in zip(got[2:], want[2:])) < 1e-9
+    assert N.with_ema(df, "x", 3, "e").where("symbol = 'B'").first()["e"] is None

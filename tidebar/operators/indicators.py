@@ -31,13 +31,14 @@ def with_atr(df: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
 def with_ema(df: DataFrame, x: str, span: int, name: str) -> DataFrame:
     """Exponential mean that begins at the first value: e = (1 - a) * e + a * x, a = 2 / (span + 1).
 
+    It is NULL before the first value; later rows without a value keep the mean as it is.
     Rows are cut in blocks so long that a block's start weighs under 1e-7 at its end. Blocks are summed by themselves, and
     what comes before is three earlier blocks' sums at most: beyond them it is under a double's resolution.
     """
     a = 2 / (span + 1)
     b = 1 - a
     size = max(8, math.ceil(math.log(1e-7) / math.log(b)))
-    df = df.withColumn("_at", F.row_number().over(by_time()) - 1)
+    df = df.withColumn("_at", F.count(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     df = df.withColumns({"_block": F.floor(F.col("_at") / size), "_j": F.col("_at") % size})
     weight = F.when(F.col("_at") == 0, F.lit(1.0)).otherwise(F.lit(a))
     inside = Window.partitionBy("symbol", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
