@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, suffix_dedup, topk, toxicity, warc
+from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, prefix_trie, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_heads(rows), rows.select("conv_id").distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup, op11_prefix_trie)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,6 +135,30 @@ g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g ON t.x = g.x
 """
 
+_OP11 = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT DISTINCT c, flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] for x in string_split(c::VARCHAR, '')]) AS steps FROM t),
+crc AS (SELECT c, (xor(list_reduce(list_prepend(4294967295, steps::BIGINT[]), lambda x, y: xor(xor(x, y) >> 1, CASE WHEN xor(x, y) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 4)::INTEGER AS h FROM bits),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+i AS (SELECT crc.c, h, crc.c - crc.c % 20 AS head, least(h, coalesce(n.n, 0)) AS got FROM crc LEFT JOIN n ON n.c = crc.c - crc.c % 20),
+r AS (SELECT i.c, t.p, role, text FROM i JOIN t ON t.c = i.head AND t.p <= h UNION ALL SELECT i.c, t.p - h + got, role, text FROM i JOIN t ON t.c = i.c AND t.p > h),
+k AS (SELECT role, text, row_number() OVER () AS id, len([x for x in regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') if x <> '']) AS w FROM (SELECT DISTINCT role, text FROM r)),
+s AS (SELECT r.c, list(k.id ORDER BY p) AS ids, list(k.w ORDER BY p) AS ws FROM r JOIN k USING (role, text) GROUP BY r.c),
+a AS (SELECT i.c, coalesce(ids, []) AS ids, coalesce(ws, []) AS ws FROM i LEFT JOIN s ON s.c = i.c),
+e AS (SELECT c, ids, ws, unnest(range(0, len(ids) + 1)) AS d FROM a),
+m AS (SELECT d, ids[1:d] AS p, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE any_value(ws[d]) END AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(ids) = d), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+ch AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM m WHERE d > 0 GROUP BY 1, 2),
+x AS (SELECT m.*, coalesce(ch.n, 0) AS n_children FROM m LEFT JOIN ch ON ch.d = m.d AND ch.p = m.p),
+u AS (SELECT unnest(range(0, d + 1)) AS d, p, n_children, (n_convs - 1) * w AS saves FROM x),
+v AS (SELECT d, p[1:d] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saves) AS saved_tokens FROM u GROUP BY 1, 2)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, v.n_leaves::BIGINT AS n_leaves, v.saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN v ON v.d = x.d AND v.p = x.p LEFT JOIN m up ON up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10}
+    return {"op1_ngram_join": _OP1, "op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10, "op11_prefix_trie": _OP11}
