@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, prefix_trie, suffix_dedup, topk, toxicity, warc
+from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, prefix_trie, suffix_dedup, superkmers, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_heads(rows), rows.select("conv_id").distinct())
 
 
+def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.remove_windows(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup, op11_prefix_trie, op12_super_kmers)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,6 +163,16 @@ SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_chi
 FROM x JOIN v ON v.d = x.d AND v.p = x.p LEFT JOIN m up ON up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]
 """
 
+_OP12 = """
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS ws FROM documents),
+t AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT g, min(doc_id) AS least FROM t GROUP BY g),
+c AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i, unnest(range(0, 13)) AS k FROM t JOIN f ON t.g = f.g WHERE t.doc_id > f.least)),
+x AS (SELECT r, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+k AS (SELECT x.r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x LEFT JOIN c ON c.r = x.r AND c.p = x.i WHERE c.p IS NULL GROUP BY x.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.r = w.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10, "op11_prefix_trie": _OP11}
+    return {"op1_ngram_join": _OP1, "op3_mixing": _OP3, "op4_topk": _OP4, "op5_warc": _OP5, "op8_chat": _OP8, "op10_exact_dedup": _OP10, "op11_prefix_trie": _OP11, "op12_super_kmers": _OP12}
