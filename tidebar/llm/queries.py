@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, prefix_trie, suffix_dedup, superkmers, topk, toxicity, warc
+from tidebar.llm import alignment, chat, exact_dedup, licenses, mixing, ngram_join, packing, prefix_trie, suffix_dedup, superkmers, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,14 @@ def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_windows(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup, op11_prefix_trie, op12_super_kmers)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_mixing, op4_topk, op5_warc, op6_packing, op7_licenses, op8_chat, op9_toxicity, op10_exact_dedup, op11_prefix_trie, op12_super_kmers, op13_alignment)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
