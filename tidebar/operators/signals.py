@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
+from tidebar.operators import passage, ranking
+from tidebar.sources.scratch import settled
 
 
 def fold(rows: DataFrame, order: list[str], start: Callable, step: Callable, schema: pa.Schema, spark_schema: str, end: Callable | None = None) -> DataFrame:
@@ -128,18 +130,30 @@ def reversal_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, arm_
 
 def reentry_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, fill_gaps: bool = True, cost_bps: float = 0.0) -> DataFrame:
     """Breakout trades that may follow one another in a session: every bar that could enter is labelled with its exit, then they are taken one at a time."""
+    keys = ["symbol", "session_id"]
+    df = passage.positions(bars, keys)
     high, low = F.lag("high" if on_range else "close").over(_in_session()), F.lag("low" if on_range else "close").over(_in_session())
-    hits = bars.withColumn("side", F.when(_allowed() & (high > F.col("Bbreak")), 1).when(_allowed() & (low < F.col("Sbreak")), -1)).where("side is not null")
-    hits = hits.select("symbol", "session_id", "side", F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"))
-    df = bars.join(hits, ["symbol", "session_id"]).where("ts >= entry_ts")  # within a session
-    w = Window.partitionBy("symbol", "session_id", "entry_ts").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    long = F.col("side") == 1
-    df = df.withColumn("extreme", F.when(long, F.greatest(F.max("high").over(w), F.col("Bbreak"))).otherwise(F.least(F.min("low").over(w), F.col("Sbreak"))))
-    df = df.withColumn("stop", F.when(F.col("ts") > F.col("entry_ts"), X.breakout_stop(long, "extreme", d)))
-    hit = F.coalesce(F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.lit(False))
-    df = df.withColumn("exits", F.when(hit, "TRAIL").when(F.col("is_session_last") & (F.col("ts") > F.col("entry_ts")), "SESSION_END"))
-    df = df.withColumn("exit_price", F.when(F.col("exits") == "TRAIL", X.gap_fill(long, "stop", "open", fill_gaps)).when(F.col("exits") == "SESSION_END", F.col("close")))
-    return select_trades(trades_of(df, cost_bps))
+    df = df.withColumn("side", F.when(_allowed() & (high > F.col("Bbreak")), 1).when(_allowed() & (low < F.col("Sbreak")), -1))
+    # a stop is met where what it would take to hold is not above the best price so far; prices of shorts are mirrored
+    sides = {"low": F.col("low"), "top": F.col("high"), "high": F.col("high"), "level": (F.col("low") - F.col("Senter")) * d + F.col("Ssetup"), "fall": F.lit(None).cast("double")}
+    mirrored = {"low": -F.col("high"), "top": -F.col("low"), "high": -F.col("low"), "level": (F.col("Benter") - F.col("high")) * d - F.col("Bsetup"), "fall": F.lit(None).cast("double")}
+    told = F.struct("ts", "open", "close", "Senter", "Ssetup", "Benter", "Bsetup").alias("bar")
+    nodes = passage.stretches(passage.both_sides(df, keys, sides, mirrored, False, F.col("is_session_last").alias("last"), told), keys, passage.OF_SESSION)
+    long = F.col("is_long")
+    best = F.when(F.col("side") == 1, F.greatest("high", "Bbreak")).otherwise(F.greatest(-F.col("low"), -F.col("Sbreak")))
+    starts = df.where("side is not null").select(*keys, (F.col("side") == 1).alias("is_long"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"), (F.col("pos") + 1).alias("pos"), best.alias("high"))
+    met = lambda: (F.col("level") <= F.col("_high")) | (F.col("over") >= 0)
+    df = passage.first_passage(starts, nodes, keys, [*keys, "entry_ts"], passage.OF_SESSION, lambda: met() | F.col("last")).where("found is not null")
+    x = F.col("found.bar")
+    df = df.withColumn("extreme", F.when(long, F.col("found.high")).otherwise(-F.col("found.high"))).select(*keys, "is_long", "entry_ts", "entry_price", "extreme", "found.low", x["ts"].alias("exit_ts"), *(x[c].alias(c) for c in ("open", "close", "Senter", "Ssetup", "Benter", "Bsetup")))
+    need = F.when(long, (F.col("low") - F.col("Senter")) * d + F.col("Ssetup") <= F.col("extreme")).otherwise((F.col("Benter") + F.col("low")) * d - F.col("Bsetup") <= -F.col("extreme"))
+    df = df.withColumns({"reason": F.when(need, "TRAIL").otherwise("SESSION_END"), "stop": X.breakout_stop(long, "extreme", d)})
+    df = df.withColumn("exit_price", F.when(need, X.gap_fill(long, "stop", "open", fill_gaps)).otherwise(F.col("close")))
+    trades = df.select(
+        *keys, F.when(long, "long").otherwise("short").alias("direction"), "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", "extreme", F.col("stop").alias("stop_at_exit"),
+        ((F.col("reason") == "TRAIL") & (F.col("exit_price") != F.col("stop"))).alias("gapped"), X.trade_return(long, "entry_price", "exit_price", cost_bps).alias("pnl"),
+    )
+    return select_trades(trades)
 
 
 def macd_trades(df: DataFrame, take: float = 2.0, stop: float = 1.0, hold: int = 2, cooldown: int = 5) -> DataFrame:
@@ -252,60 +266,66 @@ def pullback_candidates(features: DataFrame, swings: DataFrame, on_completed: bo
     return df.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop"))
 
 
-def bracket_label(candidates: DataFrame, bars: DataFrame, mult: float = 3.0, share: float = 0.5, on_range: bool = True, fill_gaps: bool = True, extreme_before: bool = True, atr_now: Column | None = None) -> DataFrame:
-    """Legs of each candidate (symbol, session_id, entry_id, is_long, entry_ts, entry_price, stop, target, atr) in its session.
+def bracket_label(
+    candidates: DataFrame, bars: DataFrame, mult: float = 3.0, share: float = 0.5, on_range: bool = True, fill_gaps: bool = True, extreme_before: bool = True, atr_now: Column | None = None,
+    pessimistic: bool = True, forces_flat: bool = True, cost_bps: float = 0.0,
+) -> DataFrame:
+    """Legs of each candidate (symbol, session_id, entry_id, is_long, entry_ts, entry_price, stop, target, atr), entered on the bar of entry_ts.
 
     From the entry bar on: the stop (also if the target is met on the same bar) closes all; the target closes share, and
     a chandelier stop with the first stop as floor the rest, from the next bar on; what is open at the session's end is
     closed at its close. Leg columns: entry_id, reason (SL, TP, TRAIL, END), exit_ts, exit_price, fraction, pnl.
     on_range=False: closes alone hit; fill_gaps=False: stops fill at their level; extreme_before=False: the chandelier's
-    best price has the bar's own; atr_now: over bars, the ATR that the chandelier reads at each, where not the entry's.
+    best price has the bar's own; atr_now: over bars, the ATR that the chandelier reads at each, where it is NULL or not
+    given the entry's; pessimistic=False: a target met with the stop on one bar comes first; forces_flat=False: trades
+    outlive their session, and what is open after a symbol's last bar has no leg. Searched by stretches of bars: a candidate
+    meets some hundred rows at most, however long it stays open.
     """
-    b = bars.select("symbol", "session_id", "ts", "open", "high", "low", "close", "is_session_last", (F.lit(None).cast("double") if atr_now is None else atr_now).alias("atr_now"))
-    df = candidates.join(b, ["symbol", "session_id"]).where("ts >= entry_ts")
-    long = F.col("is_long")
+    keys, levels = (["symbol", "session_id"], passage.OF_SESSION) if forces_flat else (["symbol"], passage.OF_SYMBOL)
+    b = passage.positions(bars.withColumn("_atr_now", F.lit(None).cast("double") if atr_now is None else atr_now), keys)
+    none = F.lit(None).cast("double")
+
+    def side(low: Column, top: Column, high: Column) -> dict[str, Column]:
+        known = F.col("_atr_now").isNotNull()
+        return {"low": low, "top": top, "high": high, "level": F.when(known, low + mult * F.col("_atr_now")).otherwise(none), "fall": F.when(~known, low).otherwise(none)}
+
     down, up = (F.col("low"), F.col("high")) if on_range else (F.col("close"), F.col("close"))
-    sl = F.when(long, down <= F.col("stop")).otherwise(up >= F.col("stop"))
-    tp = F.when(long, up >= F.col("target")).otherwise(down <= F.col("target"))
-    first = F.when(sl, "SL").when(tp, "TP").when(F.col("is_session_last"), "END")
-    w = Window.partitionBy("symbol", "entry_id").orderBy("ts")
-    df = df.withColumn("_e", first).withColumn("tp_ts", F.min(F.when(F.col("_e").isNotNull(), F.struct("ts", "_e"))).over(Window.partitionBy("symbol", "entry_id")))
-    df = df.withColumns({"first_ts": F.col("tp_ts.ts"), "first": F.col("tp_ts._e")}).drop("tp_ts", "_e")
-    w = w.rowsBetween(Window.unboundedPreceding, -1 if extreme_before else 0)
-    extreme = F.when(long, F.max("high").over(w)).otherwise(F.min("low").over(w))
-    df = df.withColumn("trail", X.chandelier(long, extreme, F.coalesce("atr_now", "atr"), "stop", mult))
-    trail_hit = F.when(long, down <= F.col("trail")).otherwise(up >= F.col("trail"))
-    second = F.when((F.col("ts") > F.col("first_ts")) & trail_hit, "TRAIL").when((F.col("ts") >= F.col("first_ts")) & F.col("is_session_last"), "END")
-    df = df.withColumn("second", F.when(F.col("first") == "TP", second))
-    df = df.withColumn("second_ts", F.min(F.when(F.col("second").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol", "entry_id")))
-    price1 = F.when(F.col("first") == "SL", X.gap_fill(long, "stop", "open", fill_gaps)).when(F.col("first") == "TP", F.col("target")).otherwise(F.col("close"))
-    price2 = F.when(F.col("second") == "TRAIL", X.gap_fill(long, "trail", "open", fill_gaps)).otherwise(F.col("close"))
-    whole = F.when(F.col("first") == "TP", F.lit(share)).otherwise(F.lit(1.0))
-    keys = ["symbol", "entry_id", "is_long", "entry_ts", "entry_price"]
-    one = df.where("ts = first_ts").select(*keys, F.lit(1).alias("leg"), F.col("first").alias("reason"), F.col("ts").alias("exit_ts"), price1.alias("exit_price"), whole.alias("fraction"))
-    two = df.where("ts = second_ts and first = 'TP'").select(*keys, F.lit(2).alias("leg"), F.col("second").alias("reason"), F.col("ts").alias("exit_ts"), price2.alias("exit_price"), F.lit(1 - share).alias("fraction"))
-    return one.unionByName(two).withColumn("pnl", X.trade_return(long, "entry_price", "exit_price"))
-
-
-def _micros(time: str) -> Column:
-    return F.unix_micros(F.col(time).cast("timestamp"))
+    last = (F.col("is_session_last") if forces_flat else F.lit(False)).alias("last")
+    told = F.struct("ts", "open", "close", last, F.col("_atr_now").alias("atr_now")).alias("bar")
+    lowest = passage.both_sides(b, keys, side(down, up, F.col("high")), side(-up, -down, -F.col("low")), not extreme_before, last, told)
+    nodes = passage.stretches(lowest, keys, levels)
+    long, sign = F.col("is_long"), F.when(F.col("is_long"), 1.0).otherwise(-1.0)
+    starts = candidates.select(*keys, "entry_id", "is_long", "entry_ts", "entry_price", "stop", (F.col("stop") * sign).alias("floor"), (F.col("target") * sign).alias("aim"), "target", "atr")
+    starts = starts.join(b.select(*keys, F.col("ts").alias("entry_ts"), "pos"), [*keys, "entry_ts"]).withColumn("high", none)
+    sl, tp = F.col("low") <= F.col("floor"), F.col("top") >= F.col("aim")
+    one = passage.first_passage(starts, nodes, keys, ["symbol", "entry_id"], levels, lambda: F.coalesce(sl, F.lit(False)) | F.coalesce(tp, F.lit(False)) | F.col("last")).where("found is not null")
+    met = lambda c, level: F.coalesce(c <= level, F.lit(False))
+    stopped, aimed = met(F.col("found.low"), F.col("floor")), F.coalesce(F.col("found.top") >= F.col("aim"), F.lit(False))
+    first = F.when(stopped & (F.lit(pessimistic) | ~aimed), "SL").when(aimed, "TP").otherwise("END")
+    one = one.withColumn("one", F.struct("found.*", first.alias("first"))).drop("found")
+    more = (F.col("one.first") == "TP") & ~F.col("one.bar.last")
+    best = F.greatest("one.high", "one.own")
+    one = one.drop("pos").withColumns({"pos": F.when(more, F.col("one.pos") + 1), "high": best})
+    trail = lambda: met(F.col("low"), F.col("floor")) | met(F.col("level"), F.col("_high")) | F.coalesce(F.col("over") >= 0, F.lit(False)) | F.coalesce((F.col("_high") - F.col("fall")) >= mult * F.col("atr"), F.lit(False)) | F.coalesce(F.col("fell") >= mult * F.col("atr"), F.lit(False))
+    two = passage.first_passage(one, nodes, keys, ["symbol", "entry_id"], levels, lambda: trail() | F.col("last"))
+    x, y = F.col("one"), F.col("found")
+    peak = y["high"] if extreme_before else F.greatest(y["high"], y["own"])
+    two = two.withColumn("trail", X.chandelier(long, peak * sign, F.coalesce(y["bar"]["atr_now"], F.col("atr")), "stop", mult))
+    low, atr = y["low"], y["bar"]["atr_now"]
+    trailed = met(low, F.col("floor")) | F.coalesce(F.when(atr.isNotNull(), low + mult * atr <= peak).otherwise(peak - low >= mult * F.col("atr")), F.lit(False))
+    price1 = F.when(x["first"] == "SL", X.gap_fill(long, "stop", x["bar"]["open"], fill_gaps)).when(x["first"] == "TP", F.col("target")).otherwise(x["bar"]["close"])
+    leg = lambda n, reason, ts, price, part: F.struct(F.lit(n).alias("leg"), reason.alias("reason"), ts.alias("exit_ts"), price.alias("exit_price"), part.alias("fraction"))
+    leg1 = leg(1, x["first"], x["bar"]["ts"], price1, F.when(x["first"] == "TP", F.lit(share)).otherwise(F.lit(1.0)))
+    leg2 = F.when((x["first"] == "TP") & x["bar"]["last"], leg(2, F.lit("END"), x["bar"]["ts"], x["bar"]["close"], F.lit(1 - share))).when(
+        y.isNotNull(), leg(2, F.when(trailed, "TRAIL").otherwise("END"), y["bar"]["ts"], F.when(trailed, X.gap_fill(long, "trail", y["bar"]["open"], fill_gaps)).otherwise(y["bar"]["close"]), F.lit(1 - share))
+    )
+    rows = two.select("symbol", "entry_id", "is_long", "entry_ts", "entry_price", F.explode(F.array_compact(F.array(leg1, leg2))).alias("x")).select("symbol", "entry_id", "is_long", "entry_ts", "entry_price", "x.*")
+    return rows.withColumn("pnl", X.trade_return(long, "entry_price", "exit_price", cost_bps))
 
 
 def select_trades(candidates: DataFrame, cooldown_seconds: int = 0) -> DataFrame:
     """Of labelled candidates (symbol, entry_ts, exit_ts, ...), those taken one at a time: each enters after the last one taken has exited. entry_ts and exit_ts are times, or numbers of bars."""
-    number = _micros if candidates.schema["entry_ts"].dataType.simpleString().startswith("timestamp") else (lambda c: F.col(c).cast("long"))
-    rows = candidates.select("symbol", number("entry_ts").alias("a"), number("exit_ts").alias("b"))
-    wait = cooldown_seconds * 1_000_000
-
-    def step(state: dict, row: dict) -> list[dict]:
-        if state.get("until") is not None and row["a"] <= state["until"]:
-            return []
-        state["until"] = row["b"] + wait
-        return [row]
-
-    kept = pa.schema([("symbol", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-    taken = fold(rows, ["a", "b"], dict, step, kept, "symbol string, a long, b long")
-    return candidates.withColumns({"a": number("entry_ts"), "b": number("exit_ts")}).join(taken, ["symbol", "a", "b"], "left_semi").drop("a", "b")
+    return ranking.one_at_a_time(candidates, cooldown_seconds * 1_000_000)
 
 
 class _Cooling:
@@ -343,37 +363,77 @@ class _Cooling:
         self.stops, self.side = 0, 0
 
 
+#: Steps of cooling down: a closed day's state plus 1, and 3 more if it broke the structure; a target taken; a stop, plus its side.
+_TOOK, _STOPPED = 6, 8
+#: Days of a block that is worked out by itself.
+DAYS_TOGETHER = 256
+
+
+def automaton(losses: int, calm: int) -> tuple[list[list[int]], list[bool]]:
+    """Of each step the state that each state goes to, from 0, the first one; and which states cool down."""
+    fields = ("on", "same", "state", "stops", "side")
+    known = {tuple(getattr(_Cooling(losses, calm), f) for f in fields): 0}
+    todo, table = list(known), [[] for _ in range(_STOPPED + 2)]
+    for now in todo:  # grows while it is read
+        for step in range(len(table)):
+            c = _Cooling(losses, calm)
+            for f, v in zip(fields, now, strict=True):
+                setattr(c, f, v)
+            if step < _TOOK:
+                c.day(step % 3 - 1, step >= 3)
+            elif step == _TOOK:
+                c.took()
+            elif not c.on:
+                c.stopped(step - _STOPPED)
+            then = tuple(getattr(c, f) for f in fields)
+            if then not in known:
+                known[then] = len(todo)
+                todo.append(then)
+            table[step].append(known[then])
+    return table, [s[0] for s in todo]
+
+
 def cooldown_spans(daily: DataFrame, exits: DataFrame, losses: int = 3, calm: int = 3) -> DataFrame:
     """Spans (symbol, start, end) of cooling down, over days (symbol, trading_date, state, broke) and exits (symbol, trading_date, direction, n, and at, their order within a day, if there is one).
 
     n: pure stops in a row in that direction; 0: a target was taken, which sets the count of stops back, as a stop the other
     way does. It begins on a structure break or at the losses-th stop in a row, and ends after calm equal non-neutral days.
-    end is NULL while it lasts. A day is read before its exits.
+    end is NULL while it lasts. A day is read before its exits. What a run of days does to the few states there can be is
+    worked out for all of them at once, by blocks of days; blocks are put together in their order and then read again by
+    themselves, so no task reads a symbol's whole history.
     """
-    days = daily.select("symbol", "trading_date", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.coalesce(F.col("state").cast("int"), F.lit(0)).alias("x"), F.coalesce("broke", F.lit(False)).alias("broke"))
-    at = (_micros("at") if exits.schema["at"].dataType.simpleString().startswith("timestamp") else F.col("at").cast("long")) if "at" in exits.columns else F.lit(0).cast("long")
-    outs = exits.select("symbol", "trading_date", F.lit(1).alias("kind"), at.alias("at"), (F.col("direction") * F.col("n")).cast("int").alias("x"), F.lit(False).alias("broke"))
-
-    def step(state: dict, row: dict) -> list[dict]:
-        c: _Cooling = state["cooling"]
-        was = c.on
-        if row["kind"] == 0:
-            c.day(row["x"], row["broke"])
-        elif row["x"] == 0:
-            c.took()
-        else:
-            for _ in range(abs(row["x"])):
-                if not c.on:
-                    c.stopped(1 if row["x"] > 0 else -1)
-        if c.on and not was:
-            state["since"] = row["trading_date"]
-        elif was and not c.on:
-            return [{"symbol": state["symbol"], "start": state.pop("since"), "end": row["trading_date"]}]
-        return []
-
-    end = lambda state: [{"symbol": state["symbol"], "start": state["since"], "end": None}] if "since" in state else []
-    schema = pa.schema([("symbol", pa.string()), ("start", pa.date32()), ("end", pa.date32())])
-    return fold(days.unionByName(outs), ["trading_date", "kind", "at"], lambda: {"cooling": _Cooling(losses, calm)}, step, schema, "symbol string, start date, end date", end)
+    state = F.coalesce(F.signum(F.col("state").cast("double")).cast("int"), F.lit(0))
+    days = daily.select("symbol", "trading_date", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.array(state + 1 + F.when(F.col("broke"), 3).otherwise(0)).alias("steps"))
+    at = (ranking.micros("at") if exits.schema["at"].dataType.simpleString().startswith("timestamp") else F.col("at").cast("long")) if "at" in exits.columns else F.lit(0).cast("long")
+    side = F.when(F.col("direction") > 0, 1).otherwise(-1)
+    outs = exits.select("symbol", "trading_date", F.lit(1).alias("kind"), at.alias("at"), F.when(F.col("n") == 0, F.array(F.lit(_TOOK))).otherwise(F.array_repeat(F.lit(_STOPPED) + side, F.col("n").cast("int"))).alias("steps"))
+    table, cools = automaton(losses, calm)
+    move = F.array(*(F.array(*map(F.lit, row)) for row in table))
+    then = lambda state, step: F.get(F.get(move, step), state)
+    block = F.floor(F.datediff("trading_date", F.lit("1970-01-01").cast("date")) / DAYS_TOGETHER)
+    events = days.unionByName(outs).withColumn("block", block)
+    each = F.array_sort(F.collect_list(F.struct("trading_date", "kind", "at", "steps")))
+    blocks = events.groupBy("symbol", "block").agg(each.alias("events"))
+    # a block as a map of states, then the state that each block begins in, then blocks by themselves
+    steps = F.flatten(F.transform("events", lambda e: e["steps"]))
+    ends = F.aggregate(steps, F.array(*map(F.lit, range(len(cools)))), lambda states, step: F.transform(states, lambda s: then(s, step)))
+    blocks = settled(blocks.withColumn("ends", ends))
+    order = F.array_sort(F.collect_list(F.struct("block", "ends")))
+    grown = F.aggregate("maps", F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("all")), lambda x, m: F.struct(F.get(m["ends"], x["state"]).alias("state"), F.concat(x["all"], F.array(x["state"])).alias("all")))
+    starts = blocks.groupBy("symbol").agg(order.alias("maps")).select("symbol", F.explode(F.arrays_zip(F.transform("maps", lambda m: m["block"]).alias("block"), grown["all"].alias("state"))).alias("x"))
+    rows = blocks.drop("ends").join(starts.select("symbol", "x.block", "x.state"), ["symbol", "block"])
+    on = lambda state: F.get(F.array(*map(F.lit, cools)), state)
+    flips = F.array().cast("array<struct<day:date,kind:int,at:bigint,on:boolean>>")
+
+    def walk(x: Column, e: Column) -> Column:
+        state = F.aggregate(e["steps"], x["state"], then)
+        flip = F.struct(e["trading_date"].alias("day"), e["kind"].alias("kind"), e["at"].alias("at"), on(state).alias("on"))
+        return F.struct(state.alias("state"), F.when(on(state) != on(x["state"]), F.concat(x["flips"], F.array(flip))).otherwise(x["flips"]).alias("flips"))
+
+    found = F.aggregate("events", F.struct(F.col("state").alias("state"), flips.alias("flips")), walk)
+    w = Window.partitionBy("symbol").orderBy("day", "kind", "at")
+    flips = rows.select("symbol", F.explode(found["flips"]).alias("x")).select("symbol", "x.*").withColumn("end", F.lead("day").over(w))
+    return flips.where("on").select("symbol", F.col("day").alias("start"), "end")
 
 
 def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, calm: int = 3, breaks_arm: bool = True, fast_atr: bool = False, k: int = 2, **bracket) -> tuple[DataFrame, DataFrame]:
@@ -386,7 +446,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     """
     w = Window.partitionBy("symbol").orderBy("ts")
     atr = F.lag("ATR1").over(w) if fast_atr else F.col("ATR30")
-    df = features.withColumns({"_i": F.row_number().over(w).cast("long"), "_s1": F.lag("S1").over(w), "_atr": atr, "_day": F.col("DAY").isNotNull() & ~F.col("DAY").eqNullSafe(F.lag("DAY").over(w)), "_at": _micros("ts")})
+    df = features.withColumns({"_i": F.row_number().over(w).cast("long"), "_s1": F.lag("S1").over(w), "_atr": atr, "_day": F.col("DAY").isNotNull() & ~F.col("DAY").eqNullSafe(F.lag("DAY").over(w)), "_at": ranking.micros("ts")})
     df = pullback_events(df, s1="_s1")
     ready = F.coalesce((F.col("DSTATE") != 0) & ~F.col("confirm") & (F.col("_s1") == F.col("DSTATE")) & (F.col("S5") == F.col("DSTATE")) & F.col("tradable") & ~F.coalesce("is_session_last", F.lit(True)), F.lit(False))
     days = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -405,7 +465,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     entries = entries.withColumn("stop", X.entry_stop(F.col("is_long"), "entry_price", "atr", "platform"))
     entries = entries.withColumn("target", X.partial_target(F.col("is_long"), "entry_price", "stop"))
     legs = bracket_label(entries, features, atr_now=F.lag("ATR1").over(w) if fast_atr else F.col("ATR30"), **bracket)
-    ends = legs.groupBy("symbol", "entry_id").agg(F.max(_micros("exit_ts")).alias("exit_at"), F.bool_or(F.col("reason") == "SL").alias("stopped"), F.bool_or(F.col("reason") == "TP").alias("took"))
+    ends = legs.groupBy("symbol", "entry_id").agg(F.max(ranking.micros("exit_ts")).alias("exit_at"), F.bool_or(F.col("reason") == "SL").alias("stopped"), F.bool_or(F.col("reason") == "TP").alias("took"))
     none = lambda kind: F.lit(None).cast(kind)
     moves = df.where("_may").select("symbol", F.col("_at").alias("at"), F.lit(1).alias("kind"), "bias_run", F.col("DSTATE").cast("int").alias("bias"), F.col("_confirmed").alias("confirmed"), F.col("_i").alias("entry_id"), F.col("_atr").isNull().alias("spent"), none("long").alias("run_before"), none("boolean").alias("broke"))
     moves = moves.join(ends, ["symbol", "entry_id"], "left")
@@ -415,7 +475,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     )
     schema = pa.schema([("symbol", pa.string()), ("entry_id", pa.int64()), ("since", pa.int64()), ("until", pa.int64()), ("signal", pa.string())])
     done = fold(moves.unionByName(edges), ["at", "kind"], lambda: _pullback_state(losses, calm), _pullback_step, schema, "symbol string, entry_id long, since long, until long, signal string", _pullback_end)
-    spans = done.where("entry_id is null").select("symbol", F.timestamp_micros("since").alias("start"), F.timestamp_micros("until").alias("end"))
+    spans = done.where("entry_id is null").select("symbol", F.timestampranking.micros("since").alias("start"), F.timestampranking.micros("until").alias("end"))
     return legs.join(done.where("entry_id is not null").select("symbol", "entry_id", "signal"), ["symbol", "entry_id"]), spans
 
 
