@@ -1,8 +1,9 @@
 """Repeated word windows by super-k-mer partitioning.
 
-The minimiser of a window is the run of words of least hash in it. Consecutive windows mostly share theirs, so they travel
-together as one packed string (a super-k-mer) to the bucket of the minimiser; equal windows have equal minimisers and meet
-there. A bucket sorts its windows, by exact numbers of their words, and knows of each in which document it comes first.
+The minimiser of a window is the run of words of least hash in it, taken with the words next to it on the side on which
+the window has more. Consecutive windows mostly share theirs, so they travel together as one packed string (a
+super-k-mer) to the bucket of the minimiser; equal windows have equal minimisers and meet there. A bucket sorts its
+windows, by exact numbers of their words, and knows of each in which document it comes first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tidebar.llm import hashing
 from tidebar.llm.store import delete, scope, small, written
 
-#: Words of a window, and of a minimiser.
+#: Words of a window, and of a minimiser without those at its side.
 WINDOW, MINIMISER = 13, 4
 #: Distinct super-k-mers of a minimiser above which its windows travel one by one, by their own words; and about how many super-k-mers a bucket has.
 HOT, IN_BUCKET = 5_000, 20_000
@@ -95,9 +96,16 @@ def super_kmers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> t
     # windows that lie in a row, in runs with the same minimiser
     starts = hashing.ranges(begin[has], counts[has] - window + 1)
     row = np.repeat(has, counts[has] - window + 1)
-    new = np.concatenate([[True], (at[starts[1:]] != at[starts[:-1]]) | (row[1:] != row[:-1])])
+    side = (window - MINIMISER + 1) // 2
+    from_ = at[starts]
+    left = from_ - starts >= side
+    from_ = from_ - side * left
+    new = np.concatenate([[True], (from_[1:] != from_[:-1]) | (left[1:] != left[:-1]) | (row[1:] != row[:-1])])
     first = np.flatnonzero(new)
-    return row[first], starts[first] - begin[row[first]], np.diff(np.concatenate([first, [len(starts)]])), grams[at[starts[first]]]
+    key = left[first].astype(np.uint64)
+    for k in range(MINIMISER + side):
+        key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[from_[first] + k])
+    return row[first], starts[first] - begin[row[first]], np.diff(np.concatenate([first, [len(starts)]])), key
 
 
 def _find(window: int, count: bool):
@@ -135,15 +143,17 @@ def _pack(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = hashing.utf8(batch.column("text"))
-            found = batch.column("found")
-            for k in range(batch.num_rows):
-                text = raw[at[k] : at[k + 1]]
-                s, e, _ = _word_bounds(text, np.array([0, len(text)]))
-                x = found[k].values
+            for i, j in hashing.chunks(at, 16 * PART):
+                text, bounds = raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i]
+                s, e, counts = _word_bounds(text, bounds)
+                found = batch.column("found").slice(i, j - i)
+                row = np.repeat(np.arange(j - i), np.asarray(found.value_lengths()))
+                x = found.flatten()
                 place = x.field("place").to_numpy()
                 first, n = place >> _FEW, place & ((1 << _FEW) - 1)
-                same = lambda c: pa.array(np.full(len(first), batch.column(c)[k].as_py()))
-                yield pa.RecordBatch.from_arrays([same("rid"), same("ord"), pa.array(first), x.field("minimiser"), _gather(text, s[first], e[first + n + window - 2])], names=["rid", "ord", "first", "minimiser", "packed"])
+                word = np.concatenate([[0], np.cumsum(counts)])[row] + first
+                take = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rid", "ord")), pa.array(first), x.field("minimiser"), _gather(text, s[word], e[word + n + window - 2])], names=["rid", "ord", "first", "minimiser", "packed"])
 
     return run
 
@@ -239,7 +249,8 @@ def _remove(window: int):
             for k in range(batch.num_rows):
                 text = raw[at[k] : at[k + 1]]
                 s, e, _ = _word_bounds(text, np.array([0, len(text)]))
-                starts = batch.column("starts")[k].values.to_numpy()
+                first, late = (batch.column("late")[k].values.field(c).to_numpy() for c in ("first", "late"))
+                starts = np.concatenate([first[late >> b & 1 == 1] + b for b in range(int(late.max()).bit_length())])
                 edges = np.zeros(len(s) + 1, dtype=np.int64)
                 np.add.at(edges, starts, 1)
                 np.add.at(edges, starts + window, -1)
@@ -251,8 +262,13 @@ def _remove(window: int):
     return run
 
 
+def _digest() -> Column:
+    """By which occurrences of a packed string find it again: 128 bits of its SHA-256."""
+    return F.unhex(F.substring(F.sha2("packed", 256), 1, 32))
+
+
 def repeated_windows(base: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rid and start (first word) of every window of base (rid, ord, text: words joined by one space) that also starts in a row of lesser ord.
+    """Of base (rid, ord, text: words joined by one space) the windows that also start in a row of lesser ord: rid, and late, structs of a first word and the bits of those windows that begin there or after.
 
     Only super-k-mers whose minimiser is met more than once travel, as no other window can be met again. Of each distinct
     one the least ord goes to its bucket, so a passage that any number of documents share is one string there. A
@@ -268,22 +284,24 @@ def repeated_windows(base: DataFrame, window: int = WINDOW) -> DataFrame:
         per = written(shared.groupBy("rid").agg(F.collect_list(F.struct("minimiser", "place")).alias("found")), "found")  # of one document
         texts = base.select("rid", "ord", "text").join(per.hint("shuffle_hash"), "rid")
         packed = written(texts.mapInArrow(_pack(window), _PACKED), "super-kmers")
-        delete(spark, [per._tidebar_path])
+        delete(spark, [per._tidebar_path, again._tidebar_path])
         one = written(packed.groupBy("minimiser", "packed").agg(F.min("ord").alias("least"), F.max("ord").alias("most")), "distinct")
         hot = written(one.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("minimiser"), "hot")
         # the others, by buckets
         rest = one.join(small(hot), "minimiser", "left_anti")
         buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), one.count() // IN_BUCKET)
         rest = rest.withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket")
-        late = written(rest.mapInArrow(_bucket(window), "minimiser long, packed binary, firsts array<long>"), "late")
-        met = packed.join(late.hint("merge"), ["minimiser", "packed"]).select("rid", "ord", "first", F.posexplode("firsts").alias("k", "least")).where("ord > least")
-        starts = met.select("rid", (F.col("first") + F.col("k")).alias("start"))
+        late = written(rest.mapInArrow(_bucket(window), "minimiser long, packed binary, firsts array<long>").select("minimiser", _digest().alias("digest"), "firsts"), "late")
+        delete(spark, [one._tidebar_path])
+        met = packed.select("minimiser", _digest().alias("digest"), "rid", "ord", "first").join(late.hint("merge"), ["minimiser", "digest"])
+        bits = F.transform("firsts", lambda least, k: F.when(F.col("ord") > least, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(0))
+        starts = met.select("rid", "first", F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x + y).alias("late")).where("late > 0")
         if not hot.isEmpty():
             single = written(packed.join(small(hot), "minimiser", "left_semi").mapInArrow(_single(window), _PACKED), "windows")
             least = single.groupBy("packed").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("most > least").drop("most")
             met = single.join(written(least, "late-windows").hint("merge"), "packed").where("ord > least")
-            starts = starts.unionByName(met.select("rid", F.col("first").alias("start")))
-        out = written(starts.groupBy("rid").agg(F.collect_list("start").alias("starts")), "starts")  # of one document
+            starts = starts.unionByName(met.select("rid", "first", F.lit(1).cast("long").alias("late")))
+        out = written(starts.groupBy("rid").agg(F.collect_list(F.struct("first", "late")).alias("late")), "starts")  # of one document
         keep.append(out)
     return out
 
