@@ -65,11 +65,15 @@ def chandelier(is_long: Column, extreme: Column | str, atr: Column | str, floor:
     return F.when(is_long, F.greatest(c(extreme) - mult * c(atr), c(floor))).otherwise(F.least(c(extreme) + mult * c(atr), c(floor)))
 
 
-def gap_fill(is_long: Column, level: Column | str, bar_open: Column | str, enabled: bool = True) -> Column:
+def switched(on: Column | bool, yes: Column, no: Column) -> Column:
+    """yes or no, by a switch that is given, or is a column of its own."""
+    return F.when(on, yes).otherwise(no) if isinstance(on, Column) else yes if on else no
+
+
+def gap_fill(is_long: Column, level: Column | str, bar_open: Column | str, enabled: Column | bool = True) -> Column:
     """A stop fills at the worse of its level and the bar's open."""
-    if not enabled:
-        return c(level)
-    return F.when(is_long, F.least(c(level), c(bar_open))).otherwise(F.greatest(c(level), c(bar_open)))
+    worse = F.when(is_long, F.least(c(level), c(bar_open))).otherwise(F.greatest(c(level), c(bar_open)))
+    return switched(enabled, worse, c(level))
 
 
 def trade_return(is_long: Column, entry: Column | str, exit_: Column | str, cost_bps: float = 0.0) -> Column:
@@ -117,7 +121,7 @@ def zero_pattern() -> Column:
     return F.concat_ws("", *(F.when(F.col(x) == 0, x[0].upper()) for x in ("open", "high", "low", "close")))
 
 
-def floor_time(ts: Column | str, minutes: int) -> Column:
+def floor_time(ts: Column | str, minutes: int | Column) -> Column:
     """ts (without zone) floored to a multiple of minutes since midnight of 1970."""
     seconds = F.unix_seconds(c(ts).cast("timestamp"))
-    return F.timestamp_seconds(seconds - seconds % (60 * minutes))
+    return F.timestamp_seconds(seconds - seconds % (minutes * 60))

@@ -1,4 +1,8 @@
-"""Runs, segments, trading sessions and calendars of bars. Windows are by symbol, or by (symbol, trading date) where a lag allows it."""
+"""Runs, segments, trading sessions and calendars of bars.
+
+Windows over bars are by symbol and trading date: dates do not overlap in time, and each begins a run, a segment and, in
+most modes, a session, so what a date must know of others is in one row for each of them.
+"""
 
 from __future__ import annotations
 
@@ -24,20 +28,28 @@ def new_date() -> Column:
     return F.coalesce(F.col("trading_date") != F.lag("trading_date").over(by_time()), F.lit(True))
 
 
-def _numbered(df: DataFrame, name: str, edge: Column) -> DataFrame:
-    """0-based running number of edges."""
-    running = F.sum("edge").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("edge", F.when(edge, 1).otherwise(0)).withColumn(name, (running - 1).cast("long")).drop("edge")
+def _of_date() -> WindowSpec:
+    return Window.partitionBy("symbol", "trading_date").orderBy("ts")
+
+
+def _numbered(df: DataFrame, name: str, gap: int) -> DataFrame:
+    """Running number, from 0, of stretches that end with a trading date or where more than gap seconds pass: inside dates, plus those of the dates before."""
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    edge = F.coalesce(seconds(F.col("ts")) - seconds(F.lag("ts").over(_of_date())) > gap, F.lit(True))
+    df = df.withColumn("_edge", edge.cast("long")).withColumn("_own", F.sum("_edge").over(_of_date().rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("symbol").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, -1)
+    dates = df.groupBy("symbol", "trading_date").agg(F.sum("_edge").alias("_n")).select("symbol", "trading_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return df.join(dates, ["symbol", "trading_date"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_edge", "_own", "_before")
 
 
 def contiguous_runs(bars: DataFrame) -> DataFrame:
     """run: broken where more than a minute passes or the trading date changes."""
-    return _numbered(bars, "run", new_date() | (gap_seconds() > 60))
+    return _numbered(bars, "run", 60)
 
 
 def segments(bars: DataFrame) -> DataFrame:
     """segment_id: broken where the trading date changes or more than three hours pass."""
-    return _numbered(bars, "segment_id", new_date() | (gap_seconds() > SPLIT_GAP_SECONDS))
+    return _numbered(bars, "segment_id", SPLIT_GAP_SECONDS)
 
 
 def with_dead(bars: DataFrame, min_bars: int = 20, max_traded: int = 2) -> DataFrame:
@@ -61,24 +73,31 @@ def night_flag(bars: DataFrame) -> DataFrame:
 
 
 def _with_sessions(bars: DataFrame, modes: tuple[str, ...]) -> DataFrame:
-    """Segments and nights, and for each of modes a struct of its session columns; all windows share one order by symbol."""
-    df = night_flag(segments(bars))
-    rank = F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date"))
-    keys = {"night_day": rank, "day_night": F.when(F.col("night"), rank - 1).otherwise(rank)}
-    tradable = {"night": F.col("night"), "day": ~F.col("night")}
-    key_of = {m: m if m in keys else "segment" for m in modes}
-    used = sorted(set(key_of.values()))
-    df = df.withColumns({f"_{k}": keys.get(k, F.col("segment_id")) for k in used})
-    firsts = {f"_{k}_first": F.coalesce(F.col(f"_{k}") != F.lag(f"_{k}").over(by_time()), F.lit(True)) for k in used}
-    lasts = {f"_{k}_last": F.coalesce(F.col(f"_{k}") != F.lead(f"_{k}").over(by_time()), F.lit(True)) for k in used}
-    df = df.withColumns(firsts | lasts)
-    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_{k}_id": F.sum(F.col(f"_{k}_first").cast("int")).over(so_far).cast("long") for k in used})
-    sessions = {
-        f"_in_{m}": F.struct(tradable.get(m, F.lit(True)).alias("tradable"), F.col(f"_{k}_first").alias("is_session_first"), F.col(f"_{k}_last").alias("is_session_last"), F.col(f"_{k}_id").alias("session_id"), F.lit(m).alias("mode"))
-        for m, k in key_of.items()
+    """Segments and nights, and for each of modes a struct of its session columns. Windows over bars are by trading date; what crosses dates (the day's session that the next night prolongs) is told by how many segments dates have."""
+    df = bars if {"segment_id", "night"} <= set(bars.columns) else night_flag(segments(bars))
+    by_symbol = Window.partitionBy("symbol").orderBy("trading_date")
+    dates = df.groupBy("symbol", "trading_date").agg(F.countDistinct("segment_id").alias("_segments"))
+    dates = dates.withColumns({"_rank": F.row_number().over(by_symbol), "_next": F.lead("_segments").over(by_symbol)})
+    dates = dates.withColumn("_early", (F.first("_segments").over(by_symbol) > 1).cast("int"))  # the first date begins with a night
+    df = df.join(dates, ["symbol", "trading_date"])
+    w = _of_date()
+    df = df.withColumns({"_b": F.lag("segment_id").over(w), "_a": F.lead("segment_id").over(w), "_an": F.lead("night").over(w), "_bn": F.lag("night").over(w)})
+    opens, closes = F.col("_b").isNull(), F.col("_a").isNull()
+    night = F.col("night")
+    edges = {
+        "segment": (opens | (F.col("_b") != F.col("segment_id")), closes | (F.col("_a") != F.col("segment_id")), F.col("segment_id") + 1),
+        "night_day": (opens, closes, F.col("_rank").cast("long")),
+        "day_night": (
+            F.when(opens, ~night | (F.col("_rank") == 1)).otherwise(F.col("_bn") & ~night), F.when(closes, F.coalesce(F.col("_next") == 1, F.lit(True))).otherwise(night & ~F.col("_an")),
+            (F.col("_rank") - night.cast("int") + F.col("_early")).cast("long"),
+        ),
     }
-    return df.withColumns(sessions).drop(*(f"_{k}{end}" for k in used for end in ("", "_first", "_last", "_id")))
+    tradable = {"night": night, "day": ~night}
+    sessions = {}
+    for m in modes:
+        first, last, session = edges.get(m, edges["segment"])
+        sessions[f"_in_{m}"] = F.struct(tradable.get(m, F.lit(True)).alias("tradable"), first.alias("is_session_first"), last.alias("is_session_last"), session.alias("session_id"), F.lit(m).alias("mode"))
+    return df.withColumns(sessions).drop("_segments", "_rank", "_next", "_early", "_b", "_a", "_an", "_bn")
 
 
 def session_mode(bars: DataFrame, mode: str = "split") -> DataFrame:
@@ -121,8 +140,9 @@ def attach_lines(bars: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def adjust_prices(bars: DataFrame) -> DataFrame:
-    """Prices over K times the K of each symbol's first bar; volume as it is."""
-    k0 = bars.groupBy("symbol").agg(F.min_by("K", "ts").alias("k0"))
+    """Prices over K times the K of each symbol's first bar, of those in the window where window_cut has marked one (its warm-up days are adjusted to the same base); volume as it is."""
+    shown = F.when(F.col("in_window"), F.col("ts")) if "in_window" in bars.columns else F.col("ts")
+    k0 = bars.groupBy("symbol").agg(F.min_by("K", shown).alias("k0"))
     df = bars.join(k0, "symbol")
     return df.withColumns({x: F.col(x) / F.col("K") * F.col("k0") for x in ("open", "high", "low", "close")})
 

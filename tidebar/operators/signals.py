@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
-from tidebar.operators import passage, ranking
+from tidebar.operators import passage, ranking, sessions
+from tidebar.operators.timeframes import asof, resample_segment
 from tidebar.sources.scratch import settled
 
 
@@ -52,9 +54,15 @@ def _allowed() -> Column:
     return F.col("valid") & F.col("tradable") & ~F.col("is_session_first") & ~F.col("is_session_last")
 
 
-def breakout_entries(bars: DataFrame, on_range: bool = True) -> DataFrame:
-    """bars (with lines) with signal: 1 or -1 on the one bar of a session that enters, at its open, as the bar before broke a line."""
-    up, down = (F.lag("high" if on_range else "close").over(_in_session()) > F.col("Bbreak")), (F.lag("low" if on_range else "close").over(_in_session()) < F.col("Sbreak"))
+def _broke(on_range: Column | bool, lag: Column | int, most: int = 3) -> tuple[Column, Column]:
+    """Whether the bar before (lag: that many bars earlier still) broke the upper and the lower line."""
+    ago = lambda c: F.lag(c, 1 + lag).over(_in_session()) if isinstance(lag, int) else reduce(lambda x, k: F.when(lag == k, F.lag(c, 1 + k).over(_in_session())).otherwise(x), range(most, -1, -1), F.lit(None).cast("double"))
+    return X.switched(on_range, ago("high"), ago("close")) > F.col("Bbreak"), X.switched(on_range, ago("low"), ago("close")) < F.col("Sbreak")
+
+
+def breakout_entries(bars: DataFrame, on_range: Column | bool = True, lag: Column | int = 0) -> DataFrame:
+    """bars (with lines) with signal: 1 or -1 on the one bar of a session that enters, at its open, as the bar before (lag: up to three bars earlier) broke a line. Switches may be columns."""
+    up, down = _broke(on_range, lag)
     df = bars.withColumn("hit", F.when(_allowed() & up, 1).when(_allowed() & down, -1))
     first = F.min(F.when(F.col("hit").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol", "session_id"))
     return df.withColumn("signal", F.when(F.col("ts") == first, F.col("hit"))).drop("hit")
@@ -85,7 +93,7 @@ def reversal_entries(bars: DataFrame, on_range: bool = True, arm_first: bool = F
     return df.withColumn("signal", F.when(F.col("ts") == first, F.col("hit"))).drop("hit")
 
 
-def trade_path(entered: DataFrame, kind: str = "breakout", d: float = 2.0, fill_gaps: bool = True) -> DataFrame:
+def trade_path(entered: DataFrame, kind: str = "breakout", d: Column | float = 2.0, fill_gaps: Column | bool = True) -> DataFrame:
     """Every bar from entry on, with side, the extreme up to the bar before, and the stop tested on this bar (NULL on the entry bar).
 
     Needs signal. The extreme of a breakout is seeded at the broken line; that of a reversal is its excursion, from 0.
@@ -120,8 +128,8 @@ def trades_of(path: DataFrame, cost_bps: float = 0.0) -> DataFrame:
     )
 
 
-def breakout_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, fill_gaps: bool = True, cost_bps: float = 0.0) -> DataFrame:
-    return trades_of(trade_path(breakout_entries(bars, on_range), "breakout", d, fill_gaps), cost_bps)
+def breakout_trades(bars: DataFrame, d: Column | float = 2.0, on_range: Column | bool = True, fill_gaps: Column | bool = True, cost_bps: float = 0.0, lag: Column | int = 0) -> DataFrame:
+    return trades_of(trade_path(breakout_entries(bars, on_range, lag), "breakout", d, fill_gaps), cost_bps)
 
 
 def reversal_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, arm_first: bool = False, fill_gaps: bool = True, cost_bps: float = 0.0) -> DataFrame:
@@ -138,7 +146,7 @@ def reentry_trades(bars: DataFrame, d: float = 2.0, on_range: bool = True, fill_
     sides = {"low": F.col("low"), "top": F.col("high"), "high": F.col("high"), "level": (F.col("low") - F.col("Senter")) * d + F.col("Ssetup"), "fall": F.lit(None).cast("double")}
     mirrored = {"low": -F.col("high"), "top": -F.col("low"), "high": -F.col("low"), "level": (F.col("Benter") - F.col("high")) * d - F.col("Bsetup"), "fall": F.lit(None).cast("double")}
     told = F.struct("ts", "open", "close", "Senter", "Ssetup", "Benter", "Bsetup").alias("bar")
-    nodes = passage.stretches(passage.both_sides(df, keys, sides, mirrored, False, F.col("is_session_last").alias("last"), told), keys, passage.OF_SESSION)
+    nodes = settled(passage.stretches(passage.both_sides(df, keys, sides, mirrored, False, F.col("is_session_last").alias("last"), told), keys, passage.OF_SESSION))
     long = F.col("is_long")
     best = F.when(F.col("side") == 1, F.greatest("high", "Bbreak")).otherwise(F.greatest(-F.col("low"), -F.col("Sbreak")))
     starts = df.where("side is not null").select(*keys, (F.col("side") == 1).alias("is_long"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"), (F.col("pos") + 1).alias("pos"), best.alias("high"))
@@ -184,18 +192,20 @@ def macd_trades(df: DataFrame, take: float = 2.0, stop: float = 1.0, hold: int =
 
 
 def mark_to_market(bars: DataFrame, trades: DataFrame, start_capital: float = 1.0, cost_bps: float = 0.0) -> DataFrame:
-    """Per bar: position and equity, the product of closed trades times the open one's move less cost."""
+    """Per bar: position and equity, the product of closed trades times the open one's move less cost.
+
+    Trades of a symbol do not overlap; there may be several in a session, or one over several. A bar belongs to the last
+    trade that has been entered by then, which is carried forward as in an as-of join, so bars are never repeated.
+    """
     w = Window.partitionBy("symbol").orderBy("entry_ts")
     t = trades.withColumn("before", F.coalesce(F.exp(F.sum(F.log1p("pnl")).over(w.rowsBetween(Window.unboundedPreceding, -1))), F.lit(1.0)))
-    t = t.select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", "pnl", "before")
-    df = bars.join(t, ["symbol", "session_id"], "left")
-    order = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    closed = F.last(F.when(F.col("ts") >= F.col("exit_ts"), F.col("before") * (1 + F.col("pnl"))), ignorenulls=True).over(order)
-    capital = F.coalesce(closed, F.lit(1.0)) * start_capital
-    open_ = (F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts"))
-    move = X.trade_return(F.col("direction") == "long", "entry_price", "close", cost_bps)
-    df = df.withColumns({"position": F.when(open_ & (F.col("direction") == "long"), 1).when(open_, -1).otherwise(0), "equity": F.when(open_, F.col("before") * start_capital * (1 + move)).otherwise(capital)})
-    return df.select("symbol", "ts", "trading_date", "session_id", "close", "position", "equity")
+    own = ["direction", "entry_ts", "entry_price", "exit_ts", "pnl", "before"]
+    df = asof(bars.select("symbol", "ts", "trading_date", "session_id", "close"), t.select("symbol", *own), F.col("ts"), F.col("entry_ts"), own, prefix="_")
+    open_ = F.col("ts") < F.col("_exit_ts")
+    move = X.trade_return(F.col("_direction") == "long", "_entry_price", "close", cost_bps)
+    position = F.when(open_ & (F.col("_direction") == "long"), 1).when(open_, -1).otherwise(0)
+    equity = F.coalesce(F.col("_before") * (1 + F.when(open_, move).otherwise(F.col("_pnl"))), F.lit(1.0)) * start_capital
+    return df.select("symbol", "ts", "trading_date", "session_id", "close", position.alias("position"), equity.alias("equity"))
 
 
 def bias_runs(features: DataFrame, bias: str) -> DataFrame:
@@ -293,7 +303,7 @@ def bracket_label(
     last = (F.col("is_session_last") if forces_flat else F.lit(False)).alias("last")
     told = F.struct("ts", "open", "close", last, F.col("_atr_now").alias("atr_now")).alias("bar")
     lowest = passage.both_sides(b, keys, side(down, up, F.col("high")), side(-up, -down, -F.col("low")), not extreme_before, last, told)
-    nodes = passage.stretches(lowest, keys, levels)
+    nodes = settled(passage.stretches(lowest, keys, levels))
     long, sign = F.col("is_long"), F.when(F.col("is_long"), 1.0).otherwise(-1.0)
     starts = candidates.select(*keys, "entry_id", "is_long", "entry_ts", "entry_price", "stop", (F.col("stop") * sign).alias("floor"), (F.col("target") * sign).alias("aim"), "target", "atr")
     starts = starts.join(b.select(*keys, F.col("ts").alias("entry_ts"), "pos"), [*keys, "entry_ts"]).withColumn("high", none)
@@ -475,7 +485,7 @@ def pullback_trades(features: DataFrame, swings: DataFrame, losses: int = 3, cal
     )
     schema = pa.schema([("symbol", pa.string()), ("entry_id", pa.int64()), ("since", pa.int64()), ("until", pa.int64()), ("signal", pa.string())])
     done = fold(moves.unionByName(edges), ["at", "kind"], lambda: _pullback_state(losses, calm), _pullback_step, schema, "symbol string, entry_id long, since long, until long, signal string", _pullback_end)
-    spans = done.where("entry_id is null").select("symbol", F.timestampranking.micros("since").alias("start"), F.timestampranking.micros("until").alias("end"))
+    spans = done.where("entry_id is null").select("symbol", F.timestamp_micros("since").alias("start"), F.timestamp_micros("until").alias("end"))
     return legs.join(done.where("entry_id is not null").select("symbol", "entry_id", "signal"), ["symbol", "entry_id"]), spans
 
 
@@ -541,13 +551,31 @@ def in_spans(rows: DataFrame, spans: DataFrame, time: str = "trading_date") -> D
     return both.withColumn("open", F.sum("step").over(w)).where("row is not null").select("row.*", (F.col("open") > 0).alias("cooling"))
 
 
-def variants(bars: DataFrame, table: DataFrame, run) -> DataFrame:
-    """run(bars, d, on_range, fill_gaps) for every row (variant, d, on_range, fill_gaps) of a table of named switches; rows carry the variant."""
-    out = None
-    for v in table.collect():  # a few named switches, not data
-        part = run(bars, d=v["d"], on_range=v["on_range"], fill_gaps=v["fill_gaps"]).withColumn("variant", F.lit(v["variant"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Switches of a variant, and the most variants of a sweep.
+SWITCHES, MOST_VARIANTS = ("mode", "minutes", "lag", "d", "on_range", "fill_gaps"), 1000
+
+
+def sweep(bars: DataFrame, lines: DataFrame, table: DataFrame, cost_bps: float = 0.0) -> DataFrame:
+    """Breakout trades of every row of a table of named switches: variant, mode (of session_mode), minutes (1 or a longer rule), lag (0 to 3), d, on_range, fill_gaps.
+
+    bars: minute bars; lines: as of prev_day_lines. Variants are data: bars are brought to all timeframes and modes in one
+    pass, meet the variants of each in one join, and a symbol's variant is part of every key from then on; switches are
+    columns. The plan is the same for any number of variants, of which there may be MOST_VARIANTS.
+    """
+    if table.count() > MOST_VARIANTS:
+        raise ValueError(f"at most {MOST_VARIANTS} variants at once")
+    seg = bars if "segment_id" in bars.columns else sessions.segments(bars)
+    rules = F.broadcast(table.select("minutes").distinct().agg(F.collect_set("minutes").alias("_rules")).withColumn("_k", F.lit(1)))  # one row
+    timed = seg.withColumn("_k", F.lit(1)).join(rules, "_k").withColumn("_m", F.explode("_rules")).drop("_k", "_rules").withColumn("symbol", F.struct("symbol", F.col("_m").alias("minutes")))
+    tf = sessions.night_flag(resample_segment(timed, F.col("symbol.minutes"), F.col("symbol.minutes") > 1))
+    moded = sessions.all_modes(tf.select("symbol", "segment_id", "night", "ts", "trading_date", "open", "high", "low", "close"))
+    named = table.select("variant", *SWITCHES)
+    df = moded.withColumn("minutes", F.col("symbol.minutes")).join(F.broadcast(named), ["minutes", "mode"]).withColumn("symbol", F.struct(F.col("symbol.symbol").alias("symbol"), "variant"))
+    first = F.first("trading_date").over(Window.partitionBy("symbol", "session_id").orderBy("ts"))
+    own = lines.select(F.col("symbol").alias("_s"), F.col("trading_date").alias("line_date"), *X.LINES, "valid")
+    df = df.withColumns({"line_date": first, "_s": F.col("symbol.symbol")}).join(own, ["_s", "line_date"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    trades = breakout_trades(df, F.col("d"), F.col("on_range"), F.col("fill_gaps"), cost_bps, F.col("lag"))
+    return trades.select(F.col("symbol.variant").alias("variant"), F.col("symbol.symbol").alias("symbol"), *TRADE[1:])
 
 
 def custom_rule(bars: DataFrame, rule, schema: str) -> DataFrame:

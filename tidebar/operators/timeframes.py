@@ -17,18 +17,19 @@ def _in_segment() -> WindowSpec:
 _OHLCV = ("open", "high", "low", "close", "volume")
 
 
-def bin_start(bars: DataFrame, minutes: int, merge_leading: bool = True) -> DataFrame:
-    """bars (with segment_id) with bin: the floored start of each bar, inside its segment; a segment's first bar alone in its bin joins the next one."""
+def bin_start(bars: DataFrame, minutes: int | Column, merge_leading: Column | bool = True) -> DataFrame:
+    """bars (with segment_id) with bin: the floored start of each bar, inside its segment; a segment's first bar alone in its bin joins the next one. minutes and merge_leading may be columns."""
     start = floor_time(F.col("ts") - F.expr("INTERVAL 1 MINUTE"), minutes)
     df = bars.withColumn("bin", start)
-    if merge_leading:
+    if merge_leading is not False:
+        merge = F.lit(True) if merge_leading is True else merge_leading
         first = F.lag("bin").over(_in_segment()).isNull()
         after = F.lead("bin").over(_in_segment())
-        df = df.withColumn("bin", F.when(first & after.isNotNull() & (after != F.col("bin")), after).otherwise(F.col("bin")))
+        df = df.withColumn("bin", F.when(merge & first & after.isNotNull() & (after != F.col("bin")), after).otherwise(F.col("bin")))
     return df
 
 
-def resample_segment(bars: DataFrame, minutes: int, merge_leading: bool = True) -> DataFrame:
+def resample_segment(bars: DataFrame, minutes: int | Column, merge_leading: Column | bool = True) -> DataFrame:
     """Bars of a longer rule that never cross a segment; stamped with their last member's ts."""
     df = bin_start(bars if "segment_id" in bars.columns else segments(bars), minutes, merge_leading)
     return df.groupBy("symbol", "segment_id", "bin").agg(
@@ -53,14 +54,20 @@ def resample_session(bars: DataFrame, minutes: int, date: str = "trading_date",
 def asof(left: DataFrame, right: DataFrame, left_time: Column, right_time: Column, columns: list[str], key: str = "symbol", prefix: str = "tf_") -> DataFrame:
     """For each left row the columns of the last right row of its key with right_time <= left_time; NULL if there is none.
 
-    Both sides are laid into one order and the last right row is carried forward: linear, with no range join.
+    Both sides are laid into one order and the last right row is carried forward: linear, with no range join. Days are
+    laid out by themselves, and each begins with the last right row of the days before it.
     """
     names = left.columns
     a = left.select(key, F.struct(*names).alias("row"), left_time.alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("seen"))
     b = right.select(key, F.lit(None).cast(a.schema["row"].dataType).alias("row"), right_time.alias("at"), F.lit(0).alias("side"), F.struct(*columns).alias("seen"))
-    w = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("seen", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
-    return both.select(*(F.col(f"row.{x}").alias(x) for x in names), *(F.col(f"seen.{x}").alias(f"{prefix}{x}") for x in columns))
+    both = a.unionByName(b).withColumn("day", F.to_date("at"))
+    earlier = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(key, "day").agg(F.max_by("seen", F.when(F.col("side") == 0, F.col("at"))).alias("seen"))
+    days = days.select(key, "day", F.last("seen", ignorenulls=True).over(earlier).alias("before"))
+    w = Window.partitionBy(key, "day").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("seen", F.last("seen", ignorenulls=True).over(w)).where("side = 1").join(days, [key, "day"])
+    seen = F.coalesce("seen", "before")
+    return both.select(*(F.col(f"row.{x}").alias(x) for x in names), *(seen[x].alias(f"{prefix}{x}") for x in columns))
 
 
 def asof_closed(bars: DataFrame, tf: DataFrame, columns: list[str], prefix: str = "tf_") -> DataFrame:

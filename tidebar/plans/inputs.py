@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebar.sources.scratch import prepared
+
 _TICKS = """
 ev AS (SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) % 201 - 100 AS d FROM {events}
   WHERE hour(ts) >= 21 OR hour(ts) <= 2 OR (hour(ts) >= 9 AND hour(ts) <= 14)),
@@ -46,12 +48,14 @@ dirty AS (SELECT symbol, bar_start, ts, trading_date, CASE WHEN CAST(volume AS B
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH " + _SPARK_CTE + " SELECT * FROM bars", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The bars, derived once in an application and read from then on as a table partitioned by symbol."""
+    derive = lambda: spark.sql("WITH " + _SPARK_CTE + " SELECT * FROM bars", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return prepared(spark, "bars", sf_dir, derive, "symbol")
 
 
 def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "WITH " + _SPARK_CTE + "," + DIRTY_CTE.replace(" 1.1 ", " CAST(1.1 AS DOUBLE) ").replace("THEN 0 ", "THEN CAST(0 AS DOUBLE) ") + " SELECT * FROM dirty"
-    return spark.sql(text.replace("close * 1.1", "close * CAST(1.1 AS DOUBLE)"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    text = "WITH " + DIRTY_CTE.replace(" 1.1 ", " CAST(1.1 AS DOUBLE) ").replace("THEN 0 ", "THEN CAST(0 AS DOUBLE) ").replace("FROM bars", "FROM {bars}") + " SELECT * FROM dirty"
+    return spark.sql(text.replace("close * 1.1", "close * CAST(1.1 AS DOUBLE)"), bars=bars_from_events(spark, sf_dir))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from tidebar.operators import tables as T
 from tidebar.operators import timeframes as TF
 from tidebar.plans.inputs import bars_from_events, dirty_bars, order_days, with_bars, with_days
 from tidebar.sources import bars as B
+from tidebar.sources.scratch import prepared, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,8 +71,7 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lined(spark: SparkSession, d: str, mode: str = "split") -> DataFrame:
-    bars = _bars(spark, d)
-    return S.attach_lines(S.session_mode(bars, mode), S.prev_day_lines(S.daily_ohlc(bars), MIN_REF))
+    return S.attach_lines(S.session_mode(_segmented(spark, d), mode), S.prev_day_lines(S.daily_ohlc(_bars(spark, d)), MIN_REF))
 
 
 # --- sources and filters
@@ -685,8 +685,40 @@ def _(spark, d):
 
 @query("g14_variants", with_bars(_TRADES + " SELECT variant, symbol, session_id, direction, entry_ts, exit_ts, round(CASE WHEN variant = 'exact' AND reason = 'TRAIL' THEN stop ELSE px END, 6) AS exit_price FROM (SELECT symbol, session_id::BIGINT AS session_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, ts AS exit_ts, reason, stop, px FROM bf WHERE i = 1), (VALUES ('base'), ('exact')) v(variant)"))
 def _(spark, d):
-    table = spark.createDataFrame([("base", 2.0, True, True), ("exact", 2.0, True, False)], "variant string, d double, on_range boolean, fill_gaps boolean")
-    return G.variants(_lined(spark, d), table, G.breakout_trades).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"))
+    return _swept(spark, d, [("base", "split", 1, 0, 2.0, True, True), ("exact", "split", 1, 0, 2.0, True, False)]).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"))
+
+
+def _swept(spark, d, rows: list[tuple]) -> DataFrame:
+    table = spark.createDataFrame(rows, "variant string, mode string, minutes int, lag int, d double, on_range boolean, fill_gaps boolean")
+    return G.sweep(_segmented(spark, d), S.prev_day_lines(S.daily_ohlc(_bars(spark, d)), MIN_REF), table)
+
+
+#: Named switches: session mode, minutes of a bar, entry lag, divisor of the trail, range or close triggers, fills at the worse of stop and open.
+_SWEEP = [
+    ("base", "split", 1, 0, 2.0, True, True), ("lag1", "split", 1, 1, 2.0, True, True), ("lag3", "night_day", 1, 3, 2.0, True, True), ("wide", "day", 1, 0, 4.0, True, True), ("night", "night", 1, 2, 2.0, True, True),
+    ("close", "day_night", 1, 0, 3.0, False, True), ("five", "split", 5, 0, 2.0, True, True), ("quarter", "night_day", 15, 0, 2.0, True, False), ("half", "day_night", 30, 0, 1.5, True, True), ("hour", "night_day", 60, 0, 2.0, False, False),
+]
+
+
+def _variant_sql(name: str, mode: str, minutes: int, lag: int, d: float, on_range: bool, fill: bool) -> str:
+    key = {"night_day": "dense_rank() OVER v", "day_night": "dense_rank() OVER v - night::INT"}.get(mode, "segment_id")
+    may = {"night": "night", "day": "NOT night"}.get(mode, "true")
+    source = _BIN.replace("INTERVAL 5", f"INTERVAL {minutes}") + ", own AS (SELECT symbol, segment_id, ts, open, high, low, close, trading_date FROM tf)" if minutes > 1 else ", own AS (SELECT symbol, segment_id, ts, open, high, low, close, trading_date FROM seg)"
+    up, down = ("high", "low") if on_range else ("close", "close")
+    text = _SEG + _LINES + source + f""",
+n0 AS (SELECT *, segment_id < max(segment_id) OVER (PARTITION BY symbol, trading_date) AS night FROM own), n1 AS (SELECT *, {key} AS k, {may} AS may FROM n0 WINDOW v AS (PARTITION BY symbol ORDER BY trading_date)),
+n2 AS (SELECT *, coalesce(k <> lag(k) OVER w, true) AS is_first, coalesce(k <> lead(k) OVER w, true) AS is_last FROM n1 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+n3 AS (SELECT *, sum(is_first::INT) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_id FROM n2),
+lined AS (SELECT s.*, l.* EXCLUDE (symbol, trading_date, valid), coalesce(l.valid, false) AS valid FROM (SELECT *, first_value(trading_date) OVER (PARTITION BY symbol, session_id ORDER BY ts) AS ld FROM n3) s LEFT JOIN lines l ON s.symbol = l.symbol AND s.ld = l.trading_date)"""
+    trades = _TRADES[_TRADES.index(",\nbh AS") :].replace(_ALLOWED, _ALLOWED + " AND may").replace("lag(high)", f"lag({up}, {1 + lag})").replace("lag(low)", f"lag({down}, {1 + lag})").replace("(extreme - Ssetup) / 2", f"(extreme - Ssetup) / {d}::DOUBLE").replace("(Bsetup - extreme) / 2", f"(Bsetup - extreme) / {d}::DOUBLE")
+    if not fill:
+        trades = trades.replace("CASE WHEN side = 1 THEN least(stop, open) ELSE greatest(stop, open) END", "stop")
+    return f"SELECT * FROM (WITH {(text + trades).lstrip().lstrip(',')} SELECT '{name}' AS variant, symbol, session_id, direction, entry_ts, exit_ts, round(exit_price, 6) AS exit_price, reason, round(pnl, 8) AS pnl FROM trades)"
+
+
+@query("g14_sweep", with_bars(" " + " UNION ALL ".join(_variant_sql(*v) for v in _SWEEP)))
+def _(spark, d):
+    return _swept(spark, d, _SWEEP).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
 
 
 def _thirty(tf: DataFrame) -> DataFrame:
@@ -695,9 +727,18 @@ def _thirty(tf: DataFrame) -> DataFrame:
     return N.with_atr(tf, 14, "ATR30").withColumn("P30", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
 
 
+def _segmented(spark, d) -> DataFrame:
+    """The half that all session modes share, prepared: bars with their segments and nights."""
+    return prepared(spark, "segmented", d, lambda: S.night_flag(S.segments(_bars(spark, d))), "symbol")
+
+
 def _features(spark, d) -> DataFrame:
-    """Trend states of one, five and thirty minutes and of days, as known at each bar."""
-    bars = S.session_mode(_bars(spark, d))
+    """Trend states of one, five and thirty minutes and of days, as known at each bar; prepared."""
+    return prepared(spark, "features", d, lambda: _derived_features(spark, d), "symbol")
+
+
+def _derived_features(spark, d) -> DataFrame:
+    bars = S.session_mode(_segmented(spark, d))
     df = _averages(bars).withColumn("S1", N.ma_state2("f", "m")).drop("f", "m", "s")
     df = N.with_atr(df, 14, "ATR1")
     for minutes, name in ((5, "S5"), (30, "S30")):
@@ -730,6 +771,48 @@ pe AS (SELECT *, coalesce(cf, false) AS confirm, coalesce(rd AND last_value(CASE
 SELECT symbol, ts, bias_run, confirm, "trigger" FROM pe WHERE "trigger" OR confirm"""
 
 
+_FED = _CASCADE.replace("round(m1.atr, 6) AS ATR1", "round(m1.atr, 6) AS ATR1, m30.atr30 AS ATR30, m30.p30 AS P30").replace("FROM tf30 WINDOW", "FROM tfa WINDOW").replace(", m30 AS", """, tft AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM tf30 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+tfa AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr30, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p30 FROM tft WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING)), m30 AS""") + _SESSION.split("lined AS")[0].rstrip().rstrip(",") + """,
+fed AS (SELECT s.*, c.* EXCLUDE (symbol, ts) FROM sess s JOIN casc c ON c.symbol = s.symbol AND c.ts = s.ts)"""
+#: Every pullback trigger with its stop and target.
+_CANDS = _FED + """,
+q1 AS (SELECT *, row_number() OVER w AS i, lag(S1) OVER w AS was1, coalesce(DSTATE <> lag(DSTATE) OVER w, true)::INT AS edge FROM fed WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+q2 AS (SELECT *, sum(edge) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS br, DSTATE <> 0 AND S30 = -DSTATE AND (was1 = -DSTATE OR S5 = -DSTATE) AS cf FROM q1),
+q3 AS (SELECT *, DSTATE <> 0 AND NOT cf AND was1 = DSTATE AND S5 = DSTATE AND NOT is_last AS rd FROM q2),
+q4 AS (SELECT *, coalesce(rd AND last_value(CASE WHEN cf THEN 1 WHEN rd THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol, br ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS hit FROM q3),
+q5 AS (SELECT symbol, session_id, i AS entry_id, DSTATE = 1 AS is_long, ts AS entry_ts, open AS e, ATR30 AS atr, P30, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 'open' ELSE 'reentry' END AS signal FROM q4 WHERE hit AND ATR30 IS NOT NULL),
+sw AS (SELECT symbol, p30 AS i, high, low, count(*) OVER w = 5 AND high = max(high) OVER w AS sh, count(*) OVER w = 5 AND low = min(low) OVER w AS sl FROM tfa WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+pf AS (SELECT q5.symbol, entry_id, max(CASE WHEN sl AND low < e THEN low END) AS below, min(CASE WHEN sh AND high > e THEN high END) AS above FROM q5 JOIN sw ON sw.symbol = q5.symbol AND (sl OR sh) AND sw.i <= P30 - 2 GROUP BY 1, 2),
+q6 AS (SELECT q5.*, CASE WHEN is_long THEN below ELSE above END AS platform FROM q5 LEFT JOIN pf USING (symbol, entry_id)),
+q7 AS (SELECT *, CASE WHEN is_long THEN 1 ELSE -1 END AS sd, e - CASE WHEN is_long THEN 1 ELSE -1 END * 1.5::DOUBLE * atr AS by_atr FROM q6),
+q8 AS (SELECT *, CASE WHEN abs(e - platform) < abs(e - by_atr) THEN platform ELSE by_atr END - sd * e * 0.003::DOUBLE AS stop FROM q7),
+cands AS (SELECT *, e + sd * 2 * abs(e - stop) AS target FROM q8)"""
+#: Their legs, bar by bar in their sessions.
+_LEGS = _CANDS + """,
+w1 AS (SELECT c.*, b.ts, b.open AS bo, CASE WHEN is_long THEN b.low ELSE -b.high END AS dn, CASE WHEN is_long THEN b.high ELSE -b.low END AS up, b.close AS bc, b.is_last, coalesce(b.ATR30, c.atr) AS now,
+  max(CASE WHEN is_long THEN b.high ELSE -b.low END) OVER (PARTITION BY c.symbol, entry_id ORDER BY b.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM cands c JOIN fed b ON b.symbol = c.symbol AND b.session_id = c.session_id AND b.ts >= c.entry_ts),
+w2 AS (SELECT *, CASE WHEN dn <= sd * stop THEN 'SL' WHEN up >= sd * target THEN 'TP' WHEN is_last THEN 'END' END AS first, greatest(peak - 3 * now, sd * stop) AS trail FROM w1),
+w3 AS (SELECT *, min(ts) FILTER (first IS NOT NULL) OVER (PARTITION BY symbol, entry_id) AS first_ts FROM w2),
+w4 AS (SELECT *, max(CASE WHEN ts = first_ts THEN first END) OVER (PARTITION BY symbol, entry_id) AS met FROM w3),
+w5 AS (SELECT *, CASE WHEN ts > first_ts AND dn <= trail THEN 'TRAIL' WHEN ts >= first_ts AND is_last THEN 'END' END AS second FROM w4 WHERE met IS NOT NULL),
+w6 AS (SELECT *, min(ts) FILTER (met = 'TP' AND second IS NOT NULL) OVER (PARTITION BY symbol, entry_id) AS second_ts FROM w5),
+l0 AS (SELECT symbol, entry_id, is_long, sd, entry_ts, e, 1 AS leg, met AS reason, ts AS exit_ts, CASE met WHEN 'SL' THEN sd * least(sd * stop, sd * bo) WHEN 'TP' THEN target ELSE bc END AS px, CASE met WHEN 'TP' THEN 0.5 ELSE 1 END::DOUBLE AS fraction FROM w6 WHERE ts = first_ts
+  UNION ALL SELECT symbol, entry_id, is_long, sd, entry_ts, e, 2, second, ts, CASE second WHEN 'TRAIL' THEN sd * least(trail, sd * bo) ELSE bc END, 0.5 FROM w6 WHERE ts = second_ts),
+legs AS (SELECT *, sd * (px - e) / e AS pnl FROM l0),
+batches AS (SELECT symbol, entry_id, is_long, any_value(entry_ts) AS entry_ts, max(exit_ts) AS exit_ts, sum(fraction * pnl) AS pnl, count(*) AS legs, sum(fraction) AS fraction FROM legs GROUP BY 1, 2, 3)"""
+
+
+def _picked(source: str) -> str:
+    """Of source, those taken one at a time: each one's successor, then the chain from the first."""
+    return f""", nx AS MATERIALIZED (SELECT c.symbol, c.entry_ts, n.entry_ts AS then FROM {source} c ASOF LEFT JOIN {source} n ON c.symbol = n.symbol AND c.exit_ts < n.entry_ts),
+chain AS (SELECT symbol, min(entry_ts) AS entry_ts FROM {source} GROUP BY 1 UNION ALL SELECT nx.symbol, nx.then FROM chain JOIN nx ON nx.symbol = chain.symbol AND nx.entry_ts = chain.entry_ts WHERE nx.then IS NOT NULL),
+picked AS (SELECT s.* FROM {source} s SEMI JOIN chain ON chain.symbol = s.symbol AND chain.entry_ts = s.entry_ts)"""
+
+
+def _recursive(sql: str) -> str:
+    return with_bars(sql).replace("WITH", "WITH RECURSIVE", 1)
+
+
 @query("g7_cascade", with_bars(_CASCADE + " SELECT * FROM casc"))
 def _(spark, d):
     return _features(spark, d).select("symbol", "ts", "S1", "S5", "S30", "DSTATE", "DBREAK", *r("ATR1"))
@@ -743,34 +826,35 @@ def _(spark, d):
 def _candidates(spark, d) -> tuple[DataFrame, DataFrame]:
     """Bars with their features, and every pullback trigger as an entry with stop and target."""
     bars = _features(spark, d)
-    swings = N.with_swings(_thirty(TF.resample_segment(S.session_mode(_bars(spark, d)), 30))).withColumnRenamed("P30", "idx")
-    return bars, G.pullback_candidates(bars, swings)
+    return bars, G.pullback_candidates(bars, _swings(spark, d))
+
+
+def _swings(spark, d) -> DataFrame:
+    return prepared(spark, "swings", d, lambda: N.with_swings(_thirty(TF.resample_segment(_segmented(spark, d), 30))).withColumnRenamed("P30", "idx"))
 
 
 def _legs(spark, d) -> DataFrame:
     bars, cands = _candidates(spark, d)
-    return G.bracket_label(cands, bars, atr_now=F.col("ATR30"))
+    return settled(G.bracket_label(settled(cands), bars, atr_now=F.col("ATR30")))
 
 
-@query("g9_candidates")
+@query("g9_candidates", with_bars(_CANDS + " SELECT symbol, session_id::BIGINT AS session_id, entry_id, is_long, entry_ts, signal, round(e, 6) AS entry_price, round(atr, 6) AS atr, round(platform, 6) AS platform, round(stop, 6) AS stop, round(target, 6) AS target FROM cands"))
 def _(spark, d):
     return _candidates(spark, d)[1].select("symbol", "session_id", "entry_id", "is_long", "entry_ts", "signal", *r("entry_price", "atr", "platform", "stop", "target"))
 
 
-@query("g10_brackets")
+@query("g10_brackets", with_bars(_LEGS + " SELECT symbol, entry_id, leg::INTEGER AS leg, reason, exit_ts, round(px, 6) AS exit_price, fraction, round(pnl, 8) AS pnl FROM legs"))
 def _(spark, d):
     return _legs(spark, d).select("symbol", "entry_id", "leg", "reason", "exit_ts", *r("exit_price"), "fraction", *r("pnl", digits=8))
 
 
-@query("g12_one_at_a_time")
+@query("g12_one_at_a_time", _recursive(_LEGS + _picked("batches") + " SELECT symbol, entry_id, entry_ts, exit_ts, round(pnl, 8) AS pnl FROM picked"))
 def _(spark, d):
     return G.select_trades(P.batch_pnl(_legs(spark, d))).select("symbol", "entry_id", "entry_ts", "exit_ts", *r("pnl", digits=8))
 
 
 def _pullback(spark, d) -> tuple[DataFrame, DataFrame]:
-    bars = _features(spark, d)
-    swings = N.with_swings(_thirty(TF.resample_segment(S.session_mode(_bars(spark, d)), 30))).withColumnRenamed("P30", "idx")
-    return G.pullback_trades(bars, swings)
+    return G.pullback_trades(_features(spark, d), _swings(spark, d))
 
 
 @query("g12_pullback_trades")
@@ -784,10 +868,10 @@ def _(spark, d):
     return _pullback(spark, d)[1]
 
 
-@query("a14_batches")
+@query("a14_batches", with_bars(_LEGS + ", nb AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol, session_id ORDER BY ts) AS i FROM fed) SELECT b.symbol, entry_id, is_long, legs, y.i - x.i AS bars, round(pnl, 8) AS pnl, round(fraction, 8) AS fraction FROM batches b JOIN nb x ON x.symbol = b.symbol AND x.ts = entry_ts JOIN nb y ON y.symbol = b.symbol AND y.ts = exit_ts"))
 def _(spark, d):
     bars, cands = _candidates(spark, d)
-    legs = G.bracket_label(cands, bars, atr_now=F.col("ATR30"))
+    legs = G.bracket_label(settled(cands), bars, atr_now=F.col("ATR30"))
     return P.with_spans(P.batch_pnl(legs), bars).select("symbol", "entry_id", "is_long", "legs", "bars", *r("pnl", "fraction", digits=8))
 
 
@@ -797,12 +881,33 @@ def _(spark, d):
     return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)))
 
 
-@query("g6_reentry")
+_REENTRY = _ENTRY + """,
+y1 AS (SELECT l.*, e.hit AS side, e.ts AS entry_ts, e.open AS entry_price, CASE WHEN e.hit = 1 THEN greatest(max(l.high) OVER w, l.Bbreak) ELSE least(min(l.low) OVER w, l.Sbreak) END AS extreme FROM lined l JOIN bh e ON e.hit IS NOT NULL AND l.symbol = e.symbol AND l.session_id = e.session_id AND l.ts >= e.ts
+  WINDOW w AS (PARTITION BY l.symbol, l.session_id, e.ts ORDER BY l.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y2 AS (SELECT *, CASE WHEN side = 1 THEN Senter + (extreme - Ssetup) / 2 ELSE Benter - (Bsetup - extreme) / 2 END AS stop FROM y1 WHERE ts > entry_ts),
+y3 AS (SELECT *, CASE WHEN (side = 1 AND low <= stop) OR (side = -1 AND high >= stop) THEN 'TRAIL' WHEN is_last THEN 'SESSION_END' END AS reason FROM y2),
+y4 AS (SELECT *, CASE WHEN reason = 'TRAIL' THEN CASE WHEN side = 1 THEN least(stop, open) ELSE greatest(stop, open) END ELSE close END AS px, ts AS exit_ts FROM y3 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, entry_ts ORDER BY ts) = 1)"""
+
+
+@query("g6_reentry", _recursive(_REENTRY + _picked("y4") + " SELECT symbol, session_id::BIGINT AS session_id, CASE side WHEN 1 THEN 'long' ELSE 'short' END AS direction, entry_ts, entry_price, exit_ts, round(px, 6) AS exit_price, reason, round(side * (px - entry_price) / entry_price, 8) AS pnl FROM picked"))
 def _(spark, d):
-    return G.reentry_trades(_lined(spark, d)).select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
+    return G.reentry_trades(settled(_lined(spark, d))).select("symbol", "session_id", "direction", "entry_ts", "entry_price", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
+
+
+_MACD_TRADES = _ATR + """, n AS MATERIALIZED (SELECT symbol, ts, close, atr, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM atr),
+rec AS (SELECT symbol, i, close AS e12, close AS e26, 0::DOUBLE AS sig FROM n WHERE i = 1
+  UNION ALL SELECT symbol, i, e12, e26, sig + (e12 - e26 - sig) * 2 / 10 FROM (SELECT n.symbol, n.i, e12 + (n.close - e12) * 2 / 13 AS e12, e26 + (n.close - e26) * 2 / 27 AS e26, sig FROM rec JOIN n ON n.symbol = rec.symbol AND n.i = rec.i + 1)),
+md AS (SELECT n.*, e12 - e26 - sig AS dv, lag(e12 - e26 - sig) OVER (PARTITION BY n.symbol ORDER BY n.i) AS db FROM n JOIN rec USING (symbol, i)),
+mc AS (SELECT *, CASE WHEN i < 36 THEN 0 WHEN db <= 0 AND dv > 0 THEN 1 WHEN db >= 0 AND dv < 0 THEN -1 ELSE 0 END AS x FROM md),
+mr AS (SELECT *, sum((x <> 0)::INT) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM mc),
+me AS (SELECT symbol, run, any_value(x) AS side, any_value(ts) AS ets, any_value(i) AS entry_ts, any_value(close) AS price, any_value(atr) AS ea FROM mr WHERE x <> 0 GROUP BY 1, 2),
+mh AS (SELECT mr.symbol, mr.run, mr.i, mr.ts, mr.close, CASE WHEN (mr.close - price) * side >= 2 * ea THEN 'TP' WHEN (mr.close - price) * side <= -ea THEN 'SL' END AS why FROM mr JOIN me USING (symbol, run) WHERE mr.i - entry_ts >= 2),
+mf AS (SELECT symbol, run, i, ts, close, why FROM mh WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, run ORDER BY i) = 1),
+ml AS (SELECT me.*, coalesce(mf.i, f.entry_ts) AS xi, coalesce(mf.ts, f.ets) AS xts, coalesce(mf.close, f.price) AS px, coalesce(mf.why, 'FLIP') AS reason FROM me LEFT JOIN mf USING (symbol, run) LEFT JOIN me f ON f.symbol = me.symbol AND f.run = me.run + 1),
+mt AS (SELECT *, CASE reason WHEN 'FLIP' THEN xi - 1 ELSE xi + 5 END AS exit_ts FROM ml WHERE xi IS NOT NULL AND ea IS NOT NULL)"""
 
 
-@query("g13_macd_trades")
+@query("g13_macd_trades", _recursive(_MACD_TRADES + _picked("mt") + " SELECT symbol, CASE side WHEN 1 THEN 'long' ELSE 'short' END AS direction, ets AS entry_ts, price AS entry_price, xts AS exit_ts, px AS exit_price, reason, round(side * (px - price) / price, 8) AS pnl FROM picked"))
 def _(spark, d):
     df = N.macd_cross(N.with_macd(N.with_atr(_bars(spark, d), 14)))
     return G.macd_trades(df).select("symbol", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", *r("pnl", digits=8))
@@ -814,7 +919,6 @@ SELECT e.symbol, entry_id, is_long, price, CASE WHEN is_long THEN max(CASE WHEN
 FROM e LEFT JOIN sw ON e.symbol = sw.symbol AND (sl OR sh) AND i <= entry_id - 3 GROUP BY 1, 2, 3, 4""")
 
 
-@query("j11_platform_all", _PLATFORM)
 @query("j11_platform", _PLATFORM)
 def _(spark, d):
     """Every bar as a long and as a short entry."""
