@@ -149,3 +149,68 @@ def test_cooling_is_that_of_a_loop(spark, monkeypatch, losses, calm, together):
     daily = spark.createDataFrame(days, "symbol string, trading_date date, state int, broke boolean")
     outs = spark.createDataFrame(exits, "symbol string, trading_date date, direction int, n int, at long")
     assert sorted((tuple(r) for r in G.cooldown_spans(daily, outs, losses, calm).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_invariants_count_what_is_broken(spark):
+    from tidebar.operators import audit
+
+    t = lambda m: START + dt.timedelta(minutes=m)
+    bars = spark.createDataFrame([("A", t(m), m // 5) for m in range(20)], "symbol string, ts timestamp, session_id long")
+    legs = spark.createDataFrame([("A", 1, t(0), t(2), "TP", 0.5, 0.1), ("A", 1, t(0), t(3), "END", 0.5, -0.1), ("A", 2, t(4), t(6), "TP", 0.5, -0.2), ("A", 2, t(4), t(6), "SL", 0.6, -0.2)], "symbol string, entry_id long, entry_ts timestamp, exit_ts timestamp, reason string, fraction double, pnl double")
+    trades = spark.createDataFrame([("A", t(0), t(3)), ("A", t(3), t(2))], "symbol string, entry_ts timestamp, exit_ts timestamp")
+    got = audit.trade_invariants(legs, trades, bars).first().asDict()
+    assert got == {"bad_fractions": 1, "bad_legs": 1, "losing_targets": 1, "exit_before_entry": 1, "overlapping": 1, "other_session": 2}
+
+
+def test_displayed_prices_keep_the_windows_base(spark):
+    from tidebar.operators import sessions
+
+    rows = [("A", START + dt.timedelta(days=k, minutes=m), START.date() + dt.timedelta(days=k), 10.0 * (1 + k), 1.0 + k) for k in range(6) for m in range(3)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, trading_date date, close double, K double").selectExpr("*", "close AS open", "close AS high", "close AS low")
+    cut = sessions.window_cut(bars, "2024-01-04", "2024-01-05", 2)
+    got = {(r["trading_date"].day, r["in_window"], r["close"]) for r in sessions.adjust_prices(cut).collect()}
+    assert got == {(2, False, 40.0), (3, False, 40.0), (4, True, 40.0), (5, True, 40.0)}
+    assert {r["close"] for r in sessions.adjust_prices(bars).collect()} == {10.0}
+
+
+def test_equity_of_several_trades_in_a_session(spark):
+    t = lambda m: START + dt.timedelta(minutes=m)
+    close = [100.0, 101.0, 102.0, 103.0, 102.0, 101.0, 100.0, 99.0]
+    bars = spark.createDataFrame([("A", t(m), START.date(), 1, c) for m, c in enumerate(close)], "symbol string, ts timestamp, trading_date date, session_id long, close double")
+    trades = spark.createDataFrame([("A", 1, "long", t(1), 101.0, t(3), 2 / 101), ("A", 1, "short", t(4), 102.0, t(6), 2 / 102)], "symbol string, session_id long, direction string, entry_ts timestamp, entry_price double, exit_ts timestamp, pnl double")
+    got = [(r["position"], round(r["equity"], 9)) for r in G.mark_to_market(bars, trades).orderBy("ts").collect()]
+    won = 1 + 2 / 101
+    both = won * (1 + 2 / 102)
+    assert got == [(0, 1.0), (1, 1.0), (1, round(102 / 101, 9)), (0, round(won, 9)), (-1, round(won, 9)), (-1, round(won * (1 + 1 / 102), 9)), (0, round(both, 9)), (0, round(both, 9))]
+
+
+def test_stored_bars_are_pruned(spark, tmp_path):
+    from tidebar.sources import bars as B
+    from tidebar.sources.scratch import prepared
+
+    _, _, b, _ = series(spark, 30, 2)
+    stored = prepared(spark, "pruned", str(tmp_path), lambda: b, "symbol")
+    df = B.load_bars(stored, ["A"], "2024-01-01", "2024-01-01", ["symbol", "ts", "close"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
+    assert "PartitionFilters: [" in scan and "symbol" in scan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(ts" in scan.split("PushedFilters: [")[1] and "open" not in scan.split("ReadSchema")[1]
+    assert df.count() == b.where("symbol = 'A'").count() and prepared(spark, "pruned", str(tmp_path), lambda: 1 / 0, "symbol").count() == b.count()
+
+
+def test_sweep_is_each_variant_by_itself(spark):
+    from tests.test_bars import make_bars
+    from tidebar.operators import sessions
+    from tidebar.operators import timeframes as TF
+
+    bars = make_bars(spark, days=8, per=60, seed=4)
+    lines = sessions.prev_day_lines(sessions.daily_ohlc(bars), 30)
+    rows = [("a", "split", 1, 0, 2.0, True, True), ("b", "day_night", 1, 2, 3.0, False, True), ("c", "night_day", 5, 1, 2.0, True, False)]
+    table = spark.createDataFrame(rows, "variant string, mode string, minutes int, lag int, d double, on_range boolean, fill_gaps boolean")
+    seen = G.sweep(bars, lines, table)
+    one = lambda r: (r["symbol"], r["session_id"], r["entry_ts"], r["exit_ts"], round(r["exit_price"], 9), r["reason"])
+    for name, mode, minutes, lag, d, on_range, fill in rows:
+        seg = sessions.segments(bars)
+        own = seg if minutes == 1 else TF.resample_segment(seg, minutes)
+        lined = sessions.attach_lines(sessions.session_mode(sessions.night_flag(own), mode), lines)
+        want = sorted(map(one, G.breakout_trades(lined, d, on_range, fill, lag=lag).collect()))
+        assert sorted(map(one, seen.where(F.col("variant") == name).collect())) == want and want

@@ -322,9 +322,12 @@ def single_day(bars: DataFrame, symbol: str, date: str) -> DataFrame:
     return contiguous_runs(day).groupBy("symbol", "trading_date", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"), F.count_if(hard_error()).alias("errors"), F.sum("volume").alias("volume"))
 
 
-def trade_invariants(legs: DataFrame, trades: DataFrame) -> DataFrame:
-    """How many rows break what must hold: fractions that add up to 1, exits after entries, no overlap in a symbol."""
-    part = legs.groupBy("symbol", "entry_id").agg(F.sum("fraction").alias("f")).agg(F.count_if(F.abs(F.col("f") - 1) > 1e-9).alias("bad_fractions"))
+def trade_invariants(legs: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """How many rows break what must hold: fractions that add up to 1, exits not before entries, no overlap in a symbol, exits in the session of their entry, at most one stop or target-and-rest for each entry, and fills of targets that gain."""
+    part = legs.groupBy("symbol", "entry_id").agg(F.sum("fraction").alias("f"), F.count("*").alias("n"), F.count_if(F.col("reason").isin("SL", "TP")).alias("firsts"), F.count_if((F.col("reason") == "TP") & (F.col("pnl") <= 0)).alias("losing_targets"))
+    part = part.agg(F.count_if(F.abs(F.col("f") - 1) > 1e-9).alias("bad_fractions"), F.count_if((F.col("n") > 2) | (F.col("firsts") > 1)).alias("bad_legs"), F.coalesce(F.sum("losing_targets"), F.lit(0)).alias("losing_targets"))
+    at = lambda name, session: bars.select("symbol", F.col("ts").alias(name), F.col("session_id").alias(session))
+    away = legs.join(at("entry_ts", "_a"), ["symbol", "entry_ts"]).join(at("exit_ts", "_b"), ["symbol", "exit_ts"]).agg(F.count_if(F.col("_a") != F.col("_b")).alias("other_session"))
     w = Window.partitionBy("symbol").orderBy("entry_ts")
-    t = trades.withColumn("until", F.lag("exit_ts").over(w)).agg(F.count_if(F.col("exit_ts") <= F.col("entry_ts")).alias("exit_before_entry"), F.count_if(F.col("entry_ts") < F.col("until")).alias("overlapping"))
-    return part.crossJoin(t)  # two single rows
+    t = trades.withColumn("until", F.lag("exit_ts").over(w)).agg(F.count_if(F.col("exit_ts") < F.col("entry_ts")).alias("exit_before_entry"), F.count_if(F.col("entry_ts") <= F.col("until")).alias("overlapping"))
+    return part.crossJoin(t).crossJoin(away)  # three single rows

@@ -125,12 +125,17 @@ def direction_by_day(trades: DataFrame) -> DataFrame:
     return trades.select("symbol", "direction", F.explode(days).alias("day"))
 
 
-def direction_contribution(equity: DataFrame, trades: DataFrame, capital: float = 1.0) -> DataFrame:
-    """Each day's change of equity over the start capital, by the direction of the trades on that day; it adds up to the total return."""
-    day = session_returns(equity, capital).withColumn("change", (F.col("equity") - F.coalesce(F.lag("equity").over(_by_day()), F.lit(capital))) / capital)
-    sides = trades.select("symbol", "session_id", "direction")
-    dated = equity.select("symbol", "session_id", "trading_date").distinct().join(sides, ["symbol", "session_id"]).groupBy("symbol", "trading_date").agg(F.max("direction").alias("direction"))
-    return day.join(dated, ["symbol", "trading_date"], "left").groupBy("symbol", F.coalesce("direction", F.lit("none")).alias("direction")).agg(F.sum("change").alias("contribution"))
+def direction_contribution(equity: DataFrame, capital: float = 1.0) -> DataFrame:
+    """Change of equity over the start capital by the direction held (on a bar that closes a trade, that of the bar before; else none); it adds up to the total return, and a day with both sides is split between them. equity: as of mark_to_market."""
+    last = equity.groupBy("symbol", "trading_date").agg(F.max_by(F.struct("equity", "position"), "ts").alias("last"))
+    last = last.select("symbol", "trading_date", F.lag("last").over(_by_day()).alias("_last"))
+    w = Window.partitionBy("symbol", "trading_date").orderBy("ts")
+    df = equity.withColumn("_before", F.lag(F.struct("equity", "position")).over(w)).join(last, ["symbol", "trading_date"])
+    before = F.coalesce("_before", "_last")
+    change = (F.col("equity") - F.coalesce(before["equity"], F.lit(capital))) / capital
+    side = F.when(F.col("position") != 0, F.col("position")).otherwise(F.coalesce(before["position"], F.lit(0)))
+    direction = F.when(side > 0, "long").when(side < 0, "short").otherwise("none")
+    return df.groupBy("symbol", direction.alias("direction")).agg(F.sum(change).alias("contribution"))
 
 
 def rebalance_targets(weights: DataFrame, equity: DataFrame, opens: DataFrame, sides: DataFrame) -> DataFrame:

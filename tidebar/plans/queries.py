@@ -631,10 +631,9 @@ def _(spark, d):
     return P.sharpe(P.session_returns(_equity(spark, d)[2], 1.0), 243).select("symbol", *r("sharpe"))
 
 
-@query("a20_contribution", with_bars(_RET + ", dir AS (SELECT e.symbol, e.trading_date, max(t.direction) AS direction FROM (SELECT DISTINCT symbol, session_id, trading_date FROM eq) e JOIN trades t ON e.symbol = t.symbol AND e.session_id = t.session_id GROUP BY 1, 2) SELECT r.symbol, coalesce(direction, 'none') AS direction, round(sum(change), 8) AS contribution FROM rets r LEFT JOIN dir d ON r.symbol = d.symbol AND r.trading_date = d.trading_date GROUP BY 1, 2"))
+@query("a20_contribution", with_bars(_MTM + ", st AS (SELECT *, equity - coalesce(lag(equity) OVER w, 1) AS change, CASE WHEN position <> 0 THEN position ELSE coalesce(lag(position) OVER w, 0) END AS held FROM eq WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, CASE WHEN held > 0 THEN 'long' WHEN held < 0 THEN 'short' ELSE 'none' END AS direction, round(sum(change), 8) AS contribution FROM st GROUP BY 1, 2"))
 def _(spark, d):
-    _, trades, equity = _equity(spark, d)
-    return P.direction_contribution(equity, trades).select("symbol", "direction", *r("contribution", digits=8))
+    return P.direction_contribution(_equity(spark, d)[2]).select("symbol", "direction", *r("contribution", digits=8))
 
 
 _STATS = "count(*) AS n, count(*) FILTER (pnl > 0) AS wins, round(avg(pnl) FILTER (pnl > 0), 8) AS avg_win, round(avg(pnl) FILTER (pnl <= 0), 8) AS avg_loss, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate, round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl <= 0), 6) AS payoff"
@@ -875,10 +874,17 @@ def _(spark, d):
     return P.with_spans(P.batch_pnl(legs), bars).select("symbol", "entry_id", "is_long", "legs", "bars", *r("pnl", "fraction", digits=8))
 
 
-@query("q38_invariants")
+_INVARIANTS = """, i1 AS (SELECT symbol, entry_id, sum(fraction) AS f, count(*) AS n, count(*) FILTER (reason IN ('SL', 'TP')) AS firsts, count(*) FILTER (reason = 'TP' AND pnl <= 0) AS losing FROM legs GROUP BY 1, 2),
+i2 AS (SELECT entry_ts, exit_ts, lag(exit_ts) OVER (PARTITION BY symbol ORDER BY entry_ts) AS until FROM picked)
+SELECT * FROM (SELECT count(*) FILTER (abs(f - 1) > 1e-9) AS bad_fractions, count(*) FILTER (n > 2 OR firsts > 1) AS bad_legs, sum(losing)::BIGINT AS losing_targets FROM i1),
+  (SELECT count(*) FILTER (exit_ts < entry_ts) AS exit_before_entry, count(*) FILTER (entry_ts <= until) AS overlapping FROM i2),
+  (SELECT count(*) FILTER (a.session_id <> b.session_id) AS other_session FROM legs JOIN fed a ON a.symbol = legs.symbol AND a.ts = entry_ts JOIN fed b ON b.symbol = legs.symbol AND b.ts = exit_ts)"""
+
+
+@query("q38_invariants", _recursive(_LEGS + _picked("batches") + _INVARIANTS))
 def _(spark, d):
     legs = _legs(spark, d)
-    return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)))
+    return Q.trade_invariants(legs, G.select_trades(P.batch_pnl(legs)), _features(spark, d))
 
 
 _REENTRY = _ENTRY + """,
