@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm.hashing import ranges
-from tidebar.llm.store import BROADCAST_BYTES, scope, written
+from tidebar.llm.store import BROADCAST_BYTES, delete, scope, written
 
 #: Tokens of A and B that a piece has, and tokens that are worked on at once, at most (and a piece more).
 PIECE, AT_ONCE = 1 << 15, 400_000
@@ -62,7 +63,7 @@ class ByteLevel:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
             try:
-                return np.array(self.fast.encode_ordinary(text), dtype=np.int64)
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
             except BaseException as e:  # its regular expressions give up on some very long texts, by a panic
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
@@ -85,7 +86,7 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), dtype=np.int64)
+        return np.array(self.model.encode(text), dtype=np.int64)
 
 
 _LOADED: dict[tuple, object] = {}
@@ -129,7 +130,8 @@ def _encode(path_a: str, path_b: str, piece: int, at_once: int):
                 text = text.as_py() or ""
                 want = b" " + text.encode()
                 a, b = (one.encode(" " + text), two.encode(text)) if text else (np.zeros(0, dtype=np.int64),) * 2
-                if b"".join(map(one.bytes.__getitem__, a.tolist())) != want or b"".join(map(two.bytes.__getitem__, b.tolist())) != want:
+                kept = len_a[a].sum() == len(want)  # a byte-level vocabulary parts bytes, and changes none
+                if not kept or b"".join(map(two.bytes.__getitem__, b.tolist())) != want:
                     a = b = np.zeros(0, dtype=np.int64)
                 at_a, at_b = np.concatenate([[0], np.cumsum(len_a[a])]), np.concatenate([[0], np.cumsum(len_b[b])])
                 i, j = splits(at_a[1:], at_b[1:], piece) if len(a) else (np.zeros(2, dtype=np.int64),) * 2
@@ -212,10 +214,10 @@ def _pairs(path_a: str, path_b: str, at_once: int):
         len_a, len_b = _lengths(_loaded(ByteLevel, path_a)), _lengths(_loaded(Pieces, path_b))
         for batch in _slices(batches, at_once):
             m = Merged(batch, len_a, len_b)
-            pair, at = np.unique(m.pairs, return_inverse=True)
+            at, pair = pd.factorize(m.pairs)
             if not len(pair):
                 continue
-            each = np.unique(m.piece * len(pair) + at)  # once a piece
+            each = pd.unique(m.piece * len(pair) + at)  # once a piece
             piece, at = each // len(pair), each % len(pair)
             alone = batch.column("pieces").to_numpy()[piece] == 1
             n = np.bincount(at[alone], minlength=len(pair))
@@ -270,7 +272,7 @@ def _texts(m: Merged, names: tuple[list[str], int, int]) -> Iterator[tuple[str,
 def _scored(batch: pa.RecordBatch, one: ByteLevel, two: Pieces, names: tuple, pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     """Pieces with their numbers; pair is sorted."""
     m = Merged(batch, _lengths(one), _lengths(two))
-    own, at = np.unique(m.pairs, return_inverse=True)
+    at, own = pd.factorize(m.pairs)
     where = np.searchsorted(pair, own)
     count, top = (n[where][at], best[where][at]) if len(own) else (np.zeros(0, dtype=np.int64),) * 2
     sums = [np.bincount(m.piece, minlength=m.n)]
@@ -317,7 +319,7 @@ def _asked(path_a: str, path_b: str, at_once: int):
             m = Merged(batch, len_a, len_b)
             own = batch.column("batch").to_numpy()
             for number in np.unique(own):
-                pair = np.unique(m.pairs[own[m.piece] == number])
+                pair = pd.unique(m.pairs[own[m.piece] == number])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), number)), pa.array(pair)], names=["batch", "pair"])
 
     return run
@@ -346,21 +348,23 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in ("rid", "doc_id", *numbers)}
             if row["rid"] != rid:
                 if state is not None:
                     out.append(finish())
                 rid, state = row["rid"], {"doc_id": row["doc_id"], "sums": [0] * len(numbers), "hash": hashlib.sha256(), "open": ([], []), "any": False}
             state["sums"] = [x + row[c] for x, c in zip(state["sums"], numbers, strict=True)]
-            open_ = state["open"]
-            for side, c in zip(open_, ("open_a", "open_b"), strict=True):
-                side.extend(filter(None, [row[c]]))
-            if row["closed"] is None:
+            text = lambda c: list(filter(None, [batch.column(c)[k].as_py()]))  # noqa: E731, B023
+            for side, c in zip(state["open"], ("open_a", "open_b"), strict=True):
+                side.extend(text(c))
+            if not batch.column("closed")[k].is_valid:
                 continue
-            for text in (f"{','.join(open_[0])}|{','.join(open_[1])}", *filter(None, [row["closed"]])):
-                state["hash"].update((";" if state["any"] else "").encode() + text.encode())
+            for part in (f"{','.join(state['open'][0])}|{','.join(state['open'][1])}", *text("closed")):
+                state["hash"].update((";" if state["any"] else "").encode())
+                state["hash"].update(part.encode())
                 state["any"] = True
-            state["open"] = tuple(list(filter(None, [row[c]])) for c in ("rest_a", "rest_b"))
+            state["open"] = (text("rest_a"), text("rest_b"))
         yield pa.RecordBatch.from_pylist(out, schema=schema)
     if state is not None:
         yield pa.RecordBatch.from_pylist([finish()], schema=schema)
@@ -395,11 +399,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             told = written(asked.join(pairs.hint("merge"), "pair").select("batch", "pair", "n", "best"), "pairs-told")  # of a batch, few
             scored = pieces.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_score_joined(path_a, path_b, AT_ONCE), _SCORED)
         scored = written(scored, "scored")
-        keep.append(scored)
+        delete(spark, [pieces._tidebar_path])
+        parts = scored.where("pieces > 1").drop("digest", "pieces").repartition("rid").sortWithinPartitions("rid", "piece")
+        parts = written(parts.mapInArrow(_stitch, "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), "stitched")
+        keep += [scored, parts]
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     whole = scored.where("pieces = 1").select(*columns, F.col("digest").alias("groups_sha256"))
-    parts = scored.where("pieces > 1").drop("digest", "pieces").repartition("rid").sortWithinPartitions("rid", "piece")
-    parts = parts.mapInArrow(_stitch, "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return whole.unionByName(parts.drop("rid"))
 
 
