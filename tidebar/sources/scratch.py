@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -35,7 +36,7 @@ _SCHEMAS: dict[str, StructType] = {}
 
 
 def prepared(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-    """What make derives from source, as a Parquet table that is written once in this application: partitioned by by, and sorted by time in each, so that later scans prune partitions, columns and row groups. Anew if it is gone."""
+    """What make derives from source, as a Parquet table that is written once in this application: partitioned by by, and sorted by time inside months (which are dealt out one by one, so that a hot symbol is many tasks), so that later scans prune partitions, columns and row groups. Anew if it is gone."""
     key = (spark.sparkContext.applicationId, name, source)
     path = _KEPT.get(key)
     if path is not None:
@@ -47,7 +48,7 @@ def prepared(spark: SparkSession, name: str, source: str, make: Callable[[], Dat
     if by is None:
         df.write.parquet(path)
     else:
-        df.repartition(by).sortWithinPartitions(by, "ts").write.partitionBy(by).parquet(path)
+        df.repartition(by, F.date_trunc("month", F.col("ts").cast("timestamp"))).sortWithinPartitions(by, "ts").write.partitionBy(by).parquet(path)
     _KEPT[key] = path
     _SCHEMAS[path] = df.schema
     return _read(spark, path)
