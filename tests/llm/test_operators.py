@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import math
 import random
+import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -202,6 +204,35 @@ def test_top_k_few_rows(spark):
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_values(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in rng.uniform(-1, 1, 64) * 10.0 ** (6 if i < 600 else rng.integers(0, 9))]) for i in range(900)]
+    rows += [(900, [1e17] * 64), (901, [-1e17] + [1e17] * 63), (902, [1.7e308] * 64), (903, [-1.7e308, 1e300] * 32), (904, [3e200] * 64), (950, [5e-324] * 64)]
+    # two products of ends far apart, whose sums differ in their last bits only
+    rows += [(1000, [2.0**60, 1.0, -(2.0**60)]), (1001, [1.0, 3.0, 1.0]), (1002, [1.0, 4.0, 1.0]), (1003, [1.0, 4.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1, 2.0, "x") for r in rows], "vec_id long, embedding array<double>, rank int, score double, block string")
+    got = topk.top_k(df, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") > 899)).collect()
+    most = int(sys.float_info.max)
+    v = {i: [max(-most, min(most, math.floor(256 * Fraction(c)))) for c in e] for i, e in rows}
+    asked = [i for i in v if i % 50 == 0 or i > 899]
+    assert {r["query_id"] for r in got} == set(asked)
+    for q in asked:
+        best = sorted((-sum(a * b for a, b in zip(v[q], e)), c) for c, e in v.items() if c != q)[:5]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [(r["vec_id"], r["score"]) for r in mine] == [(c, max(-(2**63), min(2**63 - 1, -s))) for s, c in best], q
+
+
+def test_top_k_of_small_leaves_and_large_values():
+    rng = np.random.default_rng(12)
+    x = np.floor(rng.normal(0, 1, (2000, 8)) * 2.0**40)
+    x[::7] = x[0]
+    tree = topk.Tree(np.arange(2000), x)
+    q = np.floor(rng.normal(0, 1, (5, 8)) * 2.0**40)
+    for i, best in enumerate(tree.search(np.arange(-5, 0), q, 9, [[] for _ in q])):
+        sums = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], r)), c) for c, r in enumerate(x))[:9]
+        assert best == [(-s, -c) for s, c in sums]
+
+
 def test_kd_tree_is_exact():
     rng = np.random.default_rng(0)
     x = rng.integers(-50, 50, (1000, 4))
@@ -339,9 +370,12 @@ def plain_scores(texts, path_names):
         runs = {" ".join(units[i : i + n]) for n in range(1, licenses.WRAPPED + 1) for i in range(max(len(units) - n + 1, 1))}
         found = [b for b in (best(r, licenses.TEMPLATES) for r in runs) if b[0] >= licenses.THRESHOLD]
         own = max([b for b in found if b[1] not in licenses.GENERIC] or found, default=None)
-        whole = best(text, everything)
-        file = whole if whole[0] >= licenses.THRESHOLD else own if named else None
-        result.append((file or own, file is not None))
+        if own and own[1] == "BSD-2-Clause" and any(b[1] == "BSD-3-Clause" for b in found):
+            own = max(b for b in found if b[1] == "BSD-3-Clause")
+        whole, longest = best(text, everything), best(text, [x for x in licenses.FULL_TEXTS if x[0] != "Apache-2.0"])
+        if whole[0] >= licenses.THRESHOLD and not (whole[1] == "BSD-2-Clause" and own and own[1] == "BSD-3-Clause"):
+            own = whole
+        result.append((own, own is not None and (named or own == longest and own[0] >= licenses.WHOLE)))
     return result
 
 
@@ -363,10 +397,39 @@ def test_licenses_against_plain_cosine(spark):
         assert r["is_license_file"] == is_file and (r["own_score"] is None) == (own is None), (i, r, own)
         if own:
             assert abs(r["own_score"] - own[0]) < 2e-6 and r["own_license"] == own[1], (i, r, own)
-    assert [got[i]["license"] for i in range(9)] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "MIT", "BSD-3-Clause", "Proprietary", "Apache-2.0"]
+    assert [got[i]["license"] for i in range(9)] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "MIT", "BSD-2-Clause", "Proprietary", "Apache-2.0"]
     assert all(got[i]["origin"] == "file" for i in (0, 1, 2, 3, 8)) and got[9]["origin"] == "none"
 
 
+def test_licenses_that_are_alike(spark):
+    """Headers of related licenses keep apart, tags count, a license that is denied does not, and headers are no license files."""
+    gpl = "This {what} is free software{sep} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{sep2} either version {v} of the License, or\n(at your option) any later version."
+    head = lambda what, kind, v, old: gpl.format(what=what, kind=kind, v=v, sep=";" if old else ":", sep2=";" if old else ",")
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    neither = "Neither the name of the copyright holder nor the names of its contributors may be\nused to endorse or promote products derived from this software without specific\nprior written permission.\n"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    code = "\nvalue one two three"
+    cases = [
+        (head("program", "Affero ", "3", False), "AGPL-3.0"), (head("program", "", "2", True), "GPL-2.0"), (head("program", "", "3", False), "GPL-3.0"), (head("library", "Lesser ", "2.1", True), "LGPL-2.1"),
+        (head("library", "Lesser ", "3", False), "LGPL-3.0"), (cc.format("-NonCommercial"), "CC-BY-NC-4.0"), (cc.format("-ShareAlike"), "CC-BY-SA-4.0"), (cc.format("-NonCommercial-ShareAlike"), "CC-BY-NC-SA-4.0"), (cc.format(""), "CC-BY-4.0"),
+        (bsd, "BSD-2-Clause"), (bsd + neither, "BSD-3-Clause"), ("This is not released under the MIT License.", None), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("/* SPDX-License-Identifier: (MIT OR Zlib) */", "MIT"), ("# SPDX-License-Identifier: odd-1.0", "odd-1.0"), ("# SPDX-License-Identifier:", None), (cc.format(""), "CC-BY-4.0"),
+    ]
+    texts = [t + code for t, _ in cases] + ["plain words of file number " + "x" * i for i in range(200)] + [dict(licenses.FULL_TEXTS)["MIT"] + " value one two three" * 30]
+    paths = [f"p/{i}.c" for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), paths, texts, strict=True)), "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, F.col("path")).collect()}
+    assert [got[i]["license"] for i in range(len(cases))] == [want for _, want in cases]
+    assert got[len(texts) - 1]["license"] == "MIT" and not any(r["is_license_file"] for r in got.values())
+    assert all(got[i]["license"] is None and got[i]["origin"] == "none" for i in range(len(cases), len(texts) - 1))
+
+
+def test_licenses_of_a_very_long_text(spark):
+    long = "lorem ipsum dolor sit amet\n" * 40_000
+    df = spark.createDataFrame([(1, long + "Released under the MIT License.\n" + long), (2, long), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(df, F.lit("a/b.c")).collect()} == {1: "MIT", 2: None, 3: None}
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules", 9), (1, 1, "ann", "hello", 9), (1, 2, "bob", None, 9), (1, 3, "ann", "bye", 9), (1, None, None, "early", 9), (2, 0, "system", "only", 9), (None, 0, "ann", "x", 9), (1, 3, "ann", "bye", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start int")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -31,7 +33,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
+#: Where a text holds notices of both, the second decides: its texts hold the first's notice too.
+EXTENDED = (("BSD-2-Clause", "BSD-3-Clause"),)
+#: What an SPDX tag may name beside the names above.
+SPDX_NAMES = ("Unlicense", "CC0-1.0", "BSL-1.0", "Zlib", "EPL-2.0", "0BSD", "LGPL-2.0", "MPL-1.1", "AFL-3.0", "Artistic-2.0")
 #: Names that count only where no other license is found, as such lines stand beside other notices.
 GENERIC = ("Proprietary",)
 
@@ -72,11 +89,18 @@ License. You may obtain a copy of the License at http://www.apache.org/licenses/
 to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
 either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
 )
+#: Licenses of which the text above is the notice for files, not the license itself.
+NOTICE_ONLY = ("Apache-2.0",)
 THRESHOLD = 0.7
+#: From here on a whole text is nothing but a license text, whatever its file's name.
+WHOLE = 0.9
 #: A notice may be wrapped over so many lines and sentences.
 WRAPPED = 5
 #: Names of license files, whatever their ending.
 _NAMES = r"(?i)(^|/)(un)?(licen[cs]e|copying)[^/]*$"
+_SPDX = r"spdx-license-identifier:[ \t(]*([a-z0-9.+-]*[a-z0-9+])"
+#: Runs of lines that say that a license does not hold.
+_DENIED = r"\b(not|never|no longer)\s+(being\s+|been\s+|be\s+)?(re)?(released|licensed|distributed|covered|available|published|governed)\b"
 _UNITS = r"\n|(?<=[.;!?])\s+"
 _SPLIT = "[^a-z0-9]+"
 
@@ -131,18 +155,26 @@ def telling(idf: dict[str, float], threshold: float, templates=TEMPLATES) -> lis
     return out
 
 
-def _best(tokens: Column, hits: Column, idf: dict[str, float], templates=TEMPLATES) -> Column:
-    """(score, license) of the most similar template."""
+def _best(tokens: Column, hits: Column, idf: dict[str, float], templates=TEMPLATES, full_texts=()) -> Column:
+    """(score, license, full) of the most similar template or full text; full: it is a license's own text."""
     norm2 = F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(hits, lambda u: u == t)) * _lookup(idf, t), F.lit(2.0)))
     norm2 = norm2 + (F.size(tokens) - F.size(hits)) * F.lit(idf[""] ** 2)
-    dots = [F.struct(_sum(hits, {t: w * idf[t] for t, w in _weights(text, idf).items()}).alias("dot"), F.lit(name).alias("license")) for name, text in templates]
-    return _let(F.sqrt(norm2), lambda length: _let(F.array_max(F.array(*dots)), lambda m: F.struct(F.round(m["dot"] / length, 6).alias("score"), m["license"].alias("license"))))
+    dots = [F.struct(_sum(hits, {t: w * idf[t] for t, w in _weights(text, idf).items()}).alias("dot"), F.lit(name).alias("license"), F.lit((name, text) in full_texts and name not in NOTICE_ONLY).alias("full")) for name, text in (*templates, *full_texts)]
+    return _let(F.sqrt(norm2), lambda length: _let(F.array_max(F.array(*dots)), lambda m: F.struct(F.round(m["dot"] / length, 6).alias("score"), m["license"].alias("license"), m["full"].alias("full"))))
 
 
 def _sum(tokens: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(tokens, F.lit(0.0), lambda a, t: a + _lookup(weights, t))
 
 
+def _tagged(text: Column, templates) -> Column:
+    """(score 1, license, full) of the first SPDX tag, its license's later versions and 'only' left aside; names beside the known ones stay in small letters."""
+    names = {x.lower(): x for x in (*SPDX_NAMES, *(name for name, _ in templates))}
+    tag = F.regexp_replace(F.regexp_extract(text, _SPDX, 1), r"(-only|-or-later|\+)$", "")
+    name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), tag), tag)
+    return F.when(text.contains("spdx-license-identifier:") & (tag != ""), F.struct(F.lit(1.0).alias("score"), name.alias("license"), F.lit(False).alias("full")))
+
+
 def _lookup(table: dict[str, float], key: Column) -> Column:
     pairs = [F.lit(x) for t, v in table.items() if t for x in (t, v)]
     return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0.0))
@@ -151,13 +183,15 @@ def _lookup(table: dict[str, float], key: Column) -> Column:
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, full_texts=FULL_TEXTS) -> DataFrame:
     """One row per row of files: doc_id, path, own_license, own_score, is_license_file, inherited_from, license, origin.
 
-    own_license: of the up to WRAPPED adjacent lines or sentences most like a template (those without words, as of comment
-    marks alone, do not count), at a cosine of threshold or more (ties: the greater name; names of GENERIC count where there
-    is no other). Words of no template count as words of their own that no file has. A license file is one whose whole text is
-    that like a template or full text, or one that has a license and the name of a license file; the whole text's license counts more than one inside it. Others without a license of their own take that of the nearest
-    directory at or above theirs that has a license file (there, the best score decides, then the greater name). origin:
-    file, header, inherited or none. Null and empty texts have no license of their own but inherit; a null path is the
-    root. Repeated rows get equal results; empty tables give none; further columns are not looked at. All lines of whole
+    own_license: that of an SPDX tag (score 1), else of the whole text where that is like a template or full text, else of
+    the up to WRAPPED adjacent lines or sentences most like a template (those without words, as of comment marks alone, do
+    not count, nor do runs that deny a license), at a cosine of threshold or more (ties: the greater name; names of GENERIC
+    count where there is no other; of the pairs in EXTENDED the second counts where both are there). Words of no template
+    count as words of their own that no file has. A license file has a license and the name of a license file, or is
+    nothing but a license's full text (cosine of WHOLE or more). Others without a license of their own take that of the
+    nearest directory at or above theirs that has a license file (there, the best score decides, then the greater name).
+    origin: file, header, inherited or none. Null and empty texts have no license of their own but inherit; a null path is
+    the root. Repeated rows get equal results; empty tables give none; further columns are not looked at. All lines of whole
     texts are scored.
     """
     path = F.coalesce(path, F.lit(""))
@@ -170,14 +204,18 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     lines = F.filter(F.split("text", _UNITS), lambda x: x.rlike("[a-z0-9]"))
     runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))
     runs_of = _let(lines, lambda x: F.concat(*(runs(x, n) for n in range(1, WRAPPED + 1))))
-    scores = F.filter(F.transform(F.filter(runs_of, lambda x: has(x, templates)), lambda x: _let(_split(x), score)), lambda m: m["score"] >= threshold)
-    own = _let(scores, lambda x: F.coalesce(F.array_max(F.filter(x, lambda m: ~m["license"].isin(*GENERIC))), F.array_max(x)))
+    scores = F.filter(F.transform(F.filter(runs_of, lambda x: has(x, templates) & ~x.rlike(_DENIED)), lambda x: _let(_split(x), score)), lambda m: m["score"] >= threshold)
+    named = lambda x, *names: F.array_max(F.filter(x, lambda m: m["license"].isin(*names)))
+    top = lambda x: F.coalesce(F.array_max(F.filter(x, lambda m: ~m["license"].isin(*GENERIC))), F.array_max(x))
+    extended = lambda x, m: F.coalesce(*(F.when(m["license"] == less, named(x, more)) for less, more in EXTENDED), m)
+    own = _let(scores, lambda x: _let(top(x), lambda m: extended(x, m)))
     # of a whole text, known tokens must outweigh the others, which only lengthen its vector
     outweighs = lambda tokens, hits: F.pow(_sum(hits, idf), F.lit(2.0)) >= (F.size(tokens) - F.size(hits)) * F.lit((threshold * idf[""]) ** 2)
-    whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, whole_ones))))
-    rows = base.withColumns({"own": F.when(has(F.col("text"), templates), own), "file": F.when(has(F.col("text"), whole_ones), whole)})
-    rows = rows.select("doc_id", "path", "dir", "own", "file")
-    rows = rows.withColumn("file", F.coalesce(F.when(F.col("file.score") >= threshold, F.col("file")), F.when(F.col("path").rlike(_NAMES), F.col("own"))))
+    whole = _let(_split(F.col("text")), lambda tokens: _let(F.filter(tokens, lambda t: t.isin(known)), lambda hits: F.when(outweighs(tokens, hits), _best(tokens, hits, idf, templates, full_texts))))
+    rows = base.withColumns({"part": F.when(has(F.col("text"), templates), own), "whole": F.when(has(F.col("text"), whole_ones) & ~F.col("text").rlike(_DENIED), whole)})
+    more_inside = F.coalesce(reduce(or_, ((F.col("whole.license") == less) & (F.col("part.license") == more) for less, more in EXTENDED)), F.lit(False))
+    rows = rows.withColumn("own", F.coalesce(_tagged(F.col("text"), whole_ones), F.when((F.col("whole.score") >= threshold) & ~more_inside, F.col("whole")), F.col("part")))
+    rows = rows.select("doc_id", "path", "dir", "own", F.when(F.col("path").rlike(_NAMES) | (F.col("own.full") & (F.col("own.score") >= WHOLE)), F.col("own")).alias("file"))
     rows = written(rows, "licenses")
     at = rows.where("file is not null").groupBy("dir").agg(F.max("file").alias("file"))
     dirs = rows.select("dir").distinct()
@@ -186,7 +224,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     up = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(above)).alias("a")).select("dir", "a.depth", "a.up")
     near = up.join(at.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "file"), "depth").alias("near"))
     rows = rows.join(small(written(near, "near")), "dir", "left")
-    own_one = F.coalesce("file", "own")
+    own_one = F.col("own")
     return rows.select(
         "doc_id", "path", own_one["license"].alias("own_license"), own_one["score"].alias("own_score"), F.col("file").isNotNull().alias("is_license_file"),
         F.when(own_one.isNull(), F.col("near.up")).alias("inherited_from"), F.coalesce(own_one["license"], F.col("near.file.license")).alias("license"),
