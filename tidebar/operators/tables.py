@@ -89,7 +89,7 @@ def liquidity(daily: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
 
 
 def liquidity_medians(daily: DataFrame, least: float = 1000.0) -> DataFrame:
-    df = daily.groupBy("symbol").agg(F.median("volume").alias("median_volume"), F.median("turnover").alias("median_turnover"))
+    df = daily.groupBy("symbol").agg(F.median("volume").alias("median_volume"), F.median("turnover").alias("median_turnover"), F.median("oi_end").alias("median_oi"))
     return df.withColumn("illiquid", F.col("median_volume") < least)
 
 
@@ -124,9 +124,9 @@ def vintage(daily: DataFrame) -> DataFrame:
     return last.groupBy("last").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("symbols"))
 
 
-def top(df: DataFrame, by: Column, n: int, *ties: str) -> DataFrame:
-    """The n rows of greatest by; ties in the order of columns named."""
-    return df.orderBy(by.desc(), *ties).limit(n)
+def top(df: DataFrame, by: Column, n: int, *ties: str, ascending: bool = False) -> DataFrame:
+    """The n rows of greatest by, or of least with ascending; rows where it is NULL come last, ties in the order of columns named."""
+    return df.orderBy(by.asc_nulls_last() if ascending else by.desc_nulls_last(), *ties).limit(n)
 
 
 def first_per_symbol(df: DataFrame, n: int, order: str = "trading_date", last: bool = False) -> DataFrame:

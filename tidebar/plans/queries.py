@@ -16,6 +16,7 @@ from tidebar.operators import signals as G
 from tidebar.operators import stats as P
 from tidebar.operators import tables as T
 from tidebar.operators import timeframes as TF
+from tidebar.operators.quantiles import distinct_sketches, merged_distinct, ranked_quantiles
 from tidebar.plans.inputs import bars_from_events, dirty_bars, order_days, with_bars, with_days
 from tidebar.sources import bars as B
 from tidebar.sources.scratch import prepared, settled
@@ -467,9 +468,9 @@ def _(spark, d):
     return T.liquidity(order_days(spark, d)).select("symbol", *r("mean_250", "mean_60"), "median_traded", *r("coverage"), "dead_days")
 
 
-@query("a9_medians", with_days(" SELECT symbol, median(volume) AS median_volume, round(median(turnover), 4) AS median_turnover, median(volume) < 100 AS illiquid FROM days GROUP BY 1"))
+@query("a9_medians", with_days(" SELECT symbol, median(volume) AS median_volume, round(median(turnover), 4) AS median_turnover, round(median(oi_end), 4) AS median_oi, median(volume) < 100 AS illiquid FROM days GROUP BY 1"))
 def _(spark, d):
-    return T.liquidity_medians(order_days(spark, d), 100).select("symbol", "median_volume", *r("median_turnover", digits=4), "illiquid")
+    return T.liquidity_medians(order_days(spark, d), 100).select("symbol", "median_volume", *r("median_turnover", "median_oi", digits=4), "illiquid")
 
 
 @query("a10_distinct", with_bars(" SELECT symbol, count(DISTINCT ts) AS times, count(DISTINCT trading_date) AS dates, count(DISTINCT contract) AS contracts FROM bars GROUP BY 1"))
@@ -495,6 +496,18 @@ def _(spark, d):
     return T.quantiles(order_days(spark, d), "turnover").select("symbol", *r("p01", "p50", "p99", digits=4))
 
 
+@query("a23_by_rank", with_bars(" SELECT symbol, " + ", ".join(f"round(quantile_cont(close, {q}), 6) AS p{round(100 * q):02d}" for q in (0.01, 0.25, 0.5, 0.99)) + " FROM bars GROUP BY 1"))
+def _(spark, d):
+    """Of closes of all minute bars, a symbol's share of which has no bound."""
+    return ranked_quantiles(_bars(spark, d), "close", (0.01, 0.25, 0.5, 0.99)).select("symbol", *r("p01", "p25", "p50", "p99"))
+
+
+@query("a10_sketches")
+def _(spark, d):
+    """Estimates, from sketches of each day; a10_distinct counts exactly."""
+    return merged_distinct(distinct_sketches(_bars(spark, d)))
+
+
 @query("a25_vintage", with_days(", l AS (SELECT symbol, max(trading_date) AS last FROM days GROUP BY 1) SELECT last, count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM l GROUP BY 1"))
 def _(spark, d):
     return T.vintage(order_days(spark, d))
@@ -519,6 +532,13 @@ def _(spark, d):
     return T.top(moves, F.abs("r"), 20, "symbol", "trading_date").select("symbol", "trading_date", *r("r", digits=8))
 
 
+@query("t3_least_moves", with_bars(_DAILY + ", m AS (SELECT symbol, trading_date, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS rr FROM daily) SELECT symbol, trading_date, round(rr, 8) AS r FROM m WHERE rr IS NOT NULL ORDER BY rr, symbol, trading_date LIMIT 20"))
+def _(spark, d):
+    """The greatest falls: in ascending order."""
+    moves = Q.large_moves(S.daily_ohlc(_bars(spark, d)), 0.0)
+    return T.top(moves, F.col("r"), 20, "symbol", "trading_date", ascending=True).select("symbol", "trading_date", *r("r", digits=8))
+
+
 @query("t4_first_days", with_days(" SELECT symbol, trading_date, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date DESC) AS n FROM days) WHERE n <= 5"))
 def _(spark, d):
     return T.first_per_symbol(order_days(spark, d), 5, last=True).select("symbol", "trading_date", "volume")
