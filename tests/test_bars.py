@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
 from tidebar.operators import audit as Q
+from tidebar.operators import frames as C
 from tidebar.operators import indicators as N
 from tidebar.operators import sessions as S
 from tidebar.operators import signals as G
@@ -530,3 +531,95 @@ def test_mean_with_missing_values(spark):
     got = [r["e"] for r in N.with_ema(df, "x", 3, "e").where("symbol = 'A'").orderBy("ts").collect()]
     assert got[:2] == [None, None] and max(abs(a - b) for a, b in zip(got[2:], want[2:])) < 1e-9
     assert N.with_ema(df, "x", 3, "e").where("symbol = 'B'").first()["e"] is None
+
+
+T0 = dt.datetime(2024, 1, 2, 9)
+
+
+def test_trading_hours_from_a_database(spark, tmp_path):
+    """An embedded database; its queries carry the code, the dates and only the columns that are needed."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    hours = [(k % 2 + 1, dt.date(2024, 1, 1) + dt.timedelta(days=k), f"{9 + k % 3:02d}:00", "15:00") for k in range(60)]
+    hours = spark.createDataFrame(hours, "ContractInnerCode int, TradingDate date, StartTime string, EndTime string")
+    names = spark.createDataFrame([(1, "RB", "x"), (2, "CU", "y")], "ContractInnerCode int, ContractCode string, Remark string")
+    for df, table, types in ((hours, "TradingHours", "StartTime VARCHAR(8), EndTime VARCHAR(8)"), (names, "ContractMaster", "ContractCode VARCHAR(8), Remark VARCHAR(8)")):
+        df.write.jdbc(url, table, properties=driver | {"createTableColumnTypes": types})
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)  # whole filters in plans
+    got = B.read_trading_hours(spark, url, "RB", "2024-01-05", "2024-01-20", partitions=4, **driver)
+    want = B.load_trading_hours(hours, names, "RB", "2024-01-05", "2024-01-20")
+    rows = got.collect()
+    assert len(rows) == 8 and [tuple(r) for r in rows] == [tuple(r) for r in want.select(got.columns).collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "numPartitions=4" in plan
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert any("EqualTo(ContractCode,RB)" in line and "Remark" not in line for line in pushed)
+    assert any("TradingDate,2024-01-05" in line and "TradingDate,2024-01-20" in line for line in pushed)
+
+
+def test_manifest_tells_megabytes_and_trimmed(spark):
+    bars = spark.createDataFrame([("A", dt.datetime(2024, 1, 2, 9, k), dt.date(2024, 1, 2), 1.0 if k else None) for k in range(3)] + [("BB", None, None, 2.0)], "symbol string, ts timestamp, trading_date date, close double")
+    got = {r["symbol"]: r for r in B.manifest(bars, {"A": "2024-01-02"}).collect()}
+    assert (got["A"]["bars"], got["A"]["trimmed"], got["BB"]["trimmed"]) == (3, True, False)
+    big = B.manifest(bars.where("symbol = 'A'").crossJoin(spark.range(1000).select(F.lit(1).alias("_")))).first()
+    assert big["mb"] == round(1000 * (3 * (1 + 8 + 4 + 4) + 2 * 8) / 1e6, 3)
+
+
+def test_windows_in_blocks_are_those_of_the_whole_series(spark):
+    """Blocks of any size, symbols of very different sizes, rows without a time or a symbol, repeated times in other symbols."""
+    rnd = random.Random(11)
+    rows = [(s, T0 + dt.timedelta(minutes=37 * k), *(lambda c: (c + rnd.random(), c - rnd.random(), c))(100.0 + rnd.randint(-5, 5))) for s, n in (("A", 230), ("B", 9), (None, 12), ("C", 1)) for k in range(n)]
+    rows += [("D", None, 1.0, 1.0, 1.0), ("D", T0, 2.0, 1.0, 1.5)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double")
+    work = lambda b: N.with_swings(N.with_atr(b.withColumn("ma", N.sma("close", 4)), 5))
+    key = lambda r: tuple(str(v) for v in r)
+    want = sorted(map(key, work(bars).collect()))
+    for size in (6, 7, 64, 100_000):
+        got = S.in_blocks(bars, work, 6, 2, size)
+        assert sorted(got.columns) == sorted(work(bars).columns)
+        assert sorted(map(key, got.select(*work(bars).columns).collect())) == want
+    assert [r["n"] for r in S.numbered(bars.where("symbol = 'A'"), "n").orderBy("ts").collect()] == list(range(230))
+    assert S.in_blocks(bars.limit(0), work, 6, 2).count() == 0
+    with pytest.raises(ValueError):
+        S.in_blocks(bars, work, 6, 2, 5)
+
+
+def test_no_task_of_blocked_windows_holds_a_symbol(spark):
+    bars = spark.range(4000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.col("id").cast("double").alias("close"))
+    of = S.in_blocks(bars, lambda b: b.withColumn("seen", F.count("*").over(S.by_time().rowsBetween(-(10**6), 10**6))), 3, 3, 100)
+    assert of.agg(F.max("seen")).first()[0] == 106
+
+
+def test_arrivals_that_repeat_or_go_back(spark):
+    rows = [("A", T0, 1), ("A", T0, 2), ("A", T0 + dt.timedelta(minutes=2), 70_000), ("A", T0 + dt.timedelta(minutes=1), 70_001), ("A", T0, 140_000), ("B", T0, 5)]
+    got = {r["symbol"]: tuple(r)[1:] for r in Q.duplicates(spark.createDataFrame(rows, "symbol string, ts timestamp, n long"), "n").collect()}
+    assert got == {"A": (5, 2, 1, 2), "B": (1, 0, 0, 0)}
+
+
+def test_rows_of_dates_without_volume_are_dropped_as_fake(spark):
+    bar = lambda day, k, v, c=10.0: ("A", T0 + dt.timedelta(days=day, minutes=k), c, c, c, c, v, v * 10, 1.0)
+    rows = [bar(0, 0, 5.0), bar(0, 1, 0.0), bar(0, 2, 1.0, 12.0), bar(1, 0, 0.0), bar(1, 1, 0.0), bar(2, 0, 3.0, -1.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double, total_turnover double, open_interest double")
+    got = Q.drop_counts(df).first()
+    assert (got["drop_price"], got["drop_shape"], got["drop_amount"], got["drop_fake"], got["drop_jump"]) == (1, 0, 0, 2, 1) and abs(got["drop_share"] - 4 / 6) < 1e-12
+
+
+def test_a_flip_and_the_entry_it_makes_are_one_marker(spark):
+    at = lambda k: T0 + dt.timedelta(minutes=k)
+    rows = [("A", "long", at(0), 10.0, at(3), 11.0, "FLIP", 0.1), ("A", "short", at(3), 11.0, at(5), 12.0, "SL", -0.1), ("A", "long", at(9), 11.0, at(10), 12.0, "FLIP", 0.1), ("B", "short", at(10), 1.0, at(12), 1.0, "FLIP", 0.0)]
+    got = C.markers(spark.createDataFrame(rows, "symbol string, direction string, entry_ts timestamp, entry_price double, exit_ts timestamp, exit_price double, reason string, pnl double")).collect()
+    assert [(r["symbol"], r["ts"], r["kind"], r["colour"]) for r in got] == [("A", at(0), "entry", "long"), ("A", at(3), "flip", "flip"), ("A", at(5), "exit", "loss"), ("A", at(9), "entry", "long"), ("A", at(10), "exit", "win"), ("B", at(10), "entry", "short"), ("B", at(12), "exit", "loss")]
+    assert [r["text"] for r in got if r["kind"] == "flip"] == ["FLIP Short"]
+
+
+def test_live_cross_needs_two_known_rows(spark):
+    rows = [("A", T0 + dt.timedelta(minutes=k), m, 0.0) for k, m in enumerate((1.0, -1.0, 0.0, 2.0, None, 3.0, 0.0, -1.0))]
+    got = N.live_cross(spark.createDataFrame(rows, "symbol string, ts timestamp, live_macd double, live_signal double")).orderBy("ts").collect()
+    assert [r["cross"] for r in got] == [0, -1, 0, 1, 0, 0, 0, -1]
+
+
+def test_atr_bias_leaves_out_buckets_that_are_not_full(spark):
+    rows = [("A", T0 + dt.timedelta(minutes=k), 5.0 if k < 40 else 6.0, 5.0, 5.0) for k in range(61)]
+    raw = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double")
+    got = {r["size"]: r for r in Q.zero_atr_bias(raw, raw.where("high = 6"), (1, 2, 30), 14).collect()}
+    assert (got[1]["zero_raw"], got[1]["zero_clean"], got[1]["bias"] < 0) == (27, 0, True)
+    assert got[2]["zero_raw"] == 7 and got[30]["zero_raw"] == 0 and got[30]["bias"] is None

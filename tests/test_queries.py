@@ -7,7 +7,7 @@ import pytest
 from tidebar.plans import queries
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("io3_clean_bars", "w5_modes", "j1_attach_lines", "a3_resample_segment", "j2_asof_closed", "w9_macd", "w12_ma_states", "a21_portfolio_returns", "a8_liquidity", "g2_breakout_trades", "g4_reversal_trades", "g5_mark_to_market", "q8_fingerprint", "q19_roll_continuity", "q30_stale_runs", "j11_platform", "w24_live_indicators", "g8_pullback_events", "g11_cooldown", "g16_report", "c7_directions", "q8_changed", "j13_scorecard", "g6_reentry", "g10_brackets", "g12_one_at_a_time", "g14_sweep", "a20_contribution", "q38_invariants", "a9_medians", "a23_by_rank", "t2_top_moves", "t3_least_moves")
+CHECKED = ("io3_clean_bars", "w5_modes", "j1_attach_lines", "a3_resample_segment", "j2_asof_closed", "w9_macd", "w12_ma_states", "a21_portfolio_returns", "a8_liquidity", "g2_breakout_trades", "g4_reversal_trades", "g5_mark_to_market", "q8_fingerprint", "q19_roll_continuity", "q30_stale_runs", "j11_platform", "w24_live_indicators", "g8_pullback_events", "g11_cooldown", "g16_report", "c7_directions", "q8_changed", "j13_scorecard", "g6_reentry", "g10_brackets", "g12_one_at_a_time", "g14_sweep", "a20_contribution", "q38_invariants", "a9_medians", "a23_by_rank", "t2_top_moves", "t3_least_moves", "g7_cascade", "c3_flips", "w25_live_cross", "q1_duplicates", "q18_presence", "q23_multiplier", "q31_atr_bias", "a15_warmup", "pf9_drop_counts", "j12_snap_open", "io4_manifest")
 
 
 @pytest.fixture(scope="module")

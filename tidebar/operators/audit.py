@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as X
-from tidebar.operators.sessions import by_time, contiguous_runs, gap_seconds, new_date
+from tidebar.operators.sessions import by_time, contiguous_runs, gap_seconds, in_blocks, new_date, numbered
 from tidebar.sources.bars import hard_error, is_night
 
 
@@ -18,8 +18,16 @@ def _by_day() -> WindowSpec:
 
 
 
-def duplicates(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), (F.count("*") - F.countDistinct("ts")).alias("duplicates"))
+def duplicates(bars: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Bars and how many of them have a time that another one has. With arrival, a whole number that tells the order in which
+    bars came: also how many repeat the time of the bar that came before (adjacent), and how many go back behind it (backward)."""
+    out = bars.groupBy("symbol").agg(F.count("*").alias("bars"), (F.count("*") - F.countDistinct("ts")).alias("duplicates"))
+    if arrival is None:
+        return out
+    came = bars.select("symbol", F.col("ts").alias("stamp"), F.struct(F.col(arrival).alias("n"), "ts").alias("ts"))
+    came = in_blocks(came, lambda b: b.withColumn("last", F.lag("stamp").over(by_time())), 1, bucket=F.floor(F.col("ts.n") / 65_536))
+    steps = came.groupBy("symbol").agg(F.count_if(F.col("stamp") == F.col("last")).alias("adjacent"), F.count_if(F.col("stamp") < F.col("last")).alias("backward"))
+    return out.join(steps, "symbol")
 
 
 def coverage(bars: DataFrame, as_of: str, short_bars: int = 1000) -> DataFrame:
@@ -156,9 +164,17 @@ def tail_evidence(bars: DataFrame, night_minute: int, open_minute: int, close_mi
     return day.groupBy("symbol").agg(F.count("tail").alias("nights"), F.count_if(F.col("tail") == F.col("morning")).alias("as_morning"), F.count_if(F.col("tail") == F.col("shut_before")).alias("as_close_before"))
 
 
-def auction_shape(bars: DataFrame, minutes: Sequence[int]) -> DataFrame:
+def auction_presence(bars: DataFrame, minute: int, key: str = "symbol") -> DataFrame:
+    """Per key (symbol, or another column such as exchange), year and whether a date has a night: the share of dates that have a bar at this minute of the day."""
     m = F.hour("ts") * 60 + F.minute("ts")
-    return bars.where(m.isin(*minutes)).groupBy("symbol", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("high") == F.col("low"), 1.0).otherwise(0.0)).alias("flat_rate"), F.avg((F.col("high") - F.col("low")) / F.col("close")).alias("range"), F.median("volume").alias("median_volume"))
+    day = bars.groupBy(*dict.fromkeys((key, "symbol")), "trading_date").agg(F.bool_or(is_night("ts")).alias("night"), F.bool_or(m == minute).alias("there"))
+    return day.groupBy(key, F.year("trading_date").alias("year"), "night").agg(F.count("*").alias("dates"), F.avg(F.col("there").cast("int")).alias("share"))
+
+
+def auction_shape(bars: DataFrame, minutes: Sequence[int], key: str = "symbol") -> DataFrame:
+    """Per key (symbol, or another column such as exchange) and year, bars at these minutes of the day: how many are flat, their range over close, their median volume."""
+    m = F.hour("ts") * 60 + F.minute("ts")
+    return bars.where(m.isin(*minutes)).groupBy(key, F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("high") == F.col("low"), 1.0).otherwise(0.0)).alias("flat_rate"), F.avg((F.col("high") - F.col("low")) / F.col("close")).alias("range"), F.median("volume").alias("median_volume"))
 
 
 def rolls(bars: DataFrame) -> DataFrame:
@@ -261,6 +277,23 @@ def zero_atr(bars: DataFrame, size: int = 1, n: int = 14) -> DataFrame:
     return with_atr(df, n).groupBy("symbol").agg(F.count("atr").alias("warm"), F.count_if(F.col("atr") == 0).alias("zero"), F.median("atr").alias("median_atr"))
 
 
+def zero_atr_bias(raw: DataFrame, clean: DataFrame, sizes: Sequence[int] = (1, 5, 30), n: int = 14) -> DataFrame:
+    """Per symbol and size of bucket (rows in order; a last one that is not full does not count) how many ATRs are 0 in raw and in clean bars, their share of clean buckets, and how far the raw median lies from the clean one."""
+    from tidebar.operators.indicators import with_atr
+
+    both = raw.select(F.struct("symbol", F.lit("raw").alias("side")).alias("symbol"), "ts", "high", "low", "close")
+    both = both.unionByName(clean.select(F.struct("symbol", F.lit("clean").alias("side")).alias("symbol"), "ts", "high", "low", "close"))
+    each = F.explode(F.array(*map(F.lit, sizes)))
+    df = numbered(both, "_at").withColumn("size", each).withColumn("symbol", F.struct("symbol.symbol", "symbol.side", "size")).withColumn("_g", F.floor(F.col("_at") / F.col("size")))
+    df = df.groupBy("symbol", "_g").agg(F.count("*").alias("rows"), F.max("ts").alias("ts"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close")).where("rows = symbol.size")
+    df = in_blocks(df, lambda b: with_atr(b, n), n)
+    side = lambda x: F.col("symbol.side") == x
+    zero = lambda x: F.count_if(side(x) & (F.col("atr") == 0))
+    median = lambda x: F.median(F.when(side(x), F.col("atr")))
+    out = df.groupBy("symbol.symbol", "symbol.size").agg(zero("raw").alias("zero_raw"), zero("clean").alias("zero_clean"), (zero("clean") / F.greatest(F.count_if(side("clean")), F.lit(1))).alias("clean_share"), median("raw").alias("median_raw"), median("clean").alias("median_clean"))
+    return out.withColumn("bias", F.try_divide("median_raw", "median_clean") - 1).drop("median_raw", "median_clean")
+
+
 def jumps(bars: DataFrame, th: float = 0.05) -> DataFrame:
     """Moves of more than th from one minute to the next, but for rolls."""
     df = bars.withColumns({"r": F.col("close") / F.lag("close").over(by_time()) - 1, "gap": gap_seconds(), "c0": F.lag("contract").over(by_time())})
@@ -295,11 +328,19 @@ def last_padded_day(day_pads: DataFrame, limit: float = 0.5, window: int = 60, l
 
 
 def drop_rows_mask(bars: DataFrame, jump: float = 0.05) -> DataFrame:
-    """bars with the reason a row would be dropped for, or NULL."""
+    """bars with the reason a row would be dropped for, or NULL: a price that cannot be, a broken bar, an amount that cannot be, a calendar date of its symbol without any volume, a jump."""
     r = F.abs(F.col("close") / F.lag("close").over(by_time()) - 1)
+    fake = F.sum("volume").over(Window.partitionBy("symbol", F.to_date("ts"))) == 0
     shape = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
     price = (F.least("open", "high", "low", "close") <= 0) | F.col("close").isNull()
-    return bars.withColumn("drop_reason", F.when(price, "price").when(shape, "shape").when(hard_error(), "amount").when((r > jump) & (gap_seconds() == 60), "jump"))
+    return bars.withColumn("drop_reason", F.when(price, "price").when(shape, "shape").when(hard_error(), "amount").when(fake, "fake").when((r > jump) & (gap_seconds() == 60), "jump"))
+
+
+def drop_counts(bars: DataFrame, jump: float = 0.05) -> DataFrame:
+    """Per symbol how many rows would be dropped for each reason, and which share in all."""
+    reasons = ("price", "shape", "amount", "fake", "jump")
+    why = F.col("drop_reason")
+    return drop_rows_mask(bars, jump).groupBy("symbol").agg(*(F.count_if(why == x).alias(f"drop_{x}") for x in reasons), F.avg(why.isNotNull().cast("int")).alias("drop_share"))
 
 
 def verdict(score: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -27,10 +27,17 @@ def stop_points(path: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def markers(trades: DataFrame) -> DataFrame:
-    """Entry and exit of each trade with text and a class of colour, in order of time."""
-    entry = trades.select("symbol", F.col("entry_ts").alias("ts"), F.lit("entry").alias("kind"), F.format_string("%s %.2f", F.upper("direction"), F.col("entry_price")).alias("text"), F.col("direction").alias("colour"))
-    exit_ = trades.select("symbol", F.col("exit_ts").alias("ts"), F.lit("exit").alias("kind"), F.format_string("%s %.2f %s", F.col("reason"), F.col("exit_price"), X.percent("pnl")).alias("text"), F.when(F.col("pnl") > 0, "win").otherwise("loss").alias("colour"))
-    return entry.unionByName(exit_).orderBy("symbol", "ts", "kind")
+    """Entry and exit of each trade with text and a class of colour, in order of time. An exit by FLIP at whose time the symbol's next trade enters the other way is one marker with that entry."""
+    w = Window.partitionBy("symbol").orderBy("entry_ts", "exit_ts")
+    near = lambda f: f(F.struct("entry_ts", "exit_ts", "direction", "reason")).over(w)
+    trades = trades.withColumns({"_last": near(F.lag), "_next": near(F.lead)})
+    flips = lambda a, b: F.coalesce((a["reason"] == "FLIP") & (a["exit_ts"] == b["entry_ts"]) & (a["direction"] != b["direction"]), F.lit(False))
+    this = F.struct("entry_ts", "exit_ts", "direction", "reason")
+    trades = trades.withColumns({"_entered": flips(F.col("_last"), this), "_left": flips(this, F.col("_next"))})
+    flip = trades.where("_left").select("symbol", F.col("exit_ts").alias("ts"), F.lit("flip").alias("kind"), F.concat(F.lit("FLIP "), F.initcap("_next.direction")).alias("text"), F.lit("flip").alias("colour"))
+    entry = trades.where("not _entered").select("symbol", F.col("entry_ts").alias("ts"), F.lit("entry").alias("kind"), F.format_string("%s %.2f", F.upper("direction"), F.col("entry_price")).alias("text"), F.col("direction").alias("colour"))
+    exit_ = trades.where("not _left").select("symbol", F.col("exit_ts").alias("ts"), F.lit("exit").alias("kind"), F.format_string("%s %.2f %s", F.col("reason"), F.col("exit_price"), X.percent("pnl")).alias("text"), F.when(F.col("pnl") > 0, "win").otherwise("loss").alias("colour"))
+    return entry.unionByName(exit_).unionByName(flip).orderBy("symbol", "ts", "kind")
 
 
 def tiles(bars: DataFrame, start: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.operators.sessions import by_time
+from tidebar.operators.sessions import by_time, in_blocks
 
 
 def _rows(n: int):
@@ -122,3 +122,12 @@ def live_indicators(bars: DataFrame, tf: DataFrame, minutes: int, atr: int = 14)
     df = df.withColumn("live_signal", step("tf_e9", F.col("live_macd"), 9))
     tr = F.greatest(F.col("live_high") - F.col("live_low"), F.abs(F.col("live_high") - F.col("tf_last_close")), F.abs(F.col("live_low") - F.col("tf_last_close")))
     return df.withColumn("live_atr", (F.col("tf_tr_sum") + tr) / atr)
+
+
+def live_cross(live: DataFrame) -> DataFrame:
+    """live (live_macd, live_signal) with cross: 1 where the first rises over the second from one bar to the next, -1 where it falls under it, else 0; so too on a symbol's first bar and where either is missing."""
+    def work(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_d", F.col("live_macd") - F.col("live_signal")).withColumn("_b", F.lag("_d").over(by_time()))
+        return df.withColumn("cross", F.when((F.col("_b") <= 0) & (F.col("_d") > 0), 1).when((F.col("_b") >= 0) & (F.col("_d") < 0), -1).otherwise(0)).drop("_d", "_b")
+
+    return in_blocks(live, work, 1)

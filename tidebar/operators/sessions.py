@@ -6,6 +6,8 @@ most modes, a session, so what a date must know of others is in one row for each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,6 +18,33 @@ def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
 
+def numbered(df: DataFrame, name: str, bucket: Column | None = None) -> DataFrame:
+    """df with each row's place in its symbol in order of ts, from 0: places inside a bucket (a coarser ts, its date if none is given) and the numbers of rows before it, so that no symbol is one task. Rows without a ts come first."""
+    df = df.withColumn("_bucket", F.to_date("ts") if bucket is None else bucket)
+    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col("symbol").alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_s", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    df = df.withColumn(name, F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy("ts")) - 1)
+    df = df.join(counts, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return df.withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_s", "_b", "_before")
+
+
+def in_blocks(df: DataFrame, work: Callable[[DataFrame], DataFrame], before: int, after: int = 0, rows: int = 65_536, bucket: Column | None = None) -> DataFrame:
+    """work(df), for work that adds columns by windows over by_time() which read at most before rows ahead of a row and after rows behind it.
+
+    A symbol is cut in blocks of equal numbers of rows, each with copies of the rows around it that its windows read; work
+    sees a block as a symbol of its own. So tasks have the same size however many bars a symbol has, and results are those
+    of the whole series. Columns that df has must stay.
+    """
+    if max(before, after) > rows:
+        raise ValueError("blocks are shorter than what windows read around them")
+    df = numbered(df, "_at", bucket)
+    at, own = F.col("_at") % rows, F.floor(F.col("_at") / rows)
+    blocks = F.array_compact(F.array(own, F.when(at >= rows - before, own + 1), F.when((at < after) & (own > 0), own - 1)))
+    df = df.withColumns({"_in": own, "_block": F.explode(blocks)}).withColumn("symbol", F.struct("symbol", "_block"))
+    return work(df).where("_in = _block").withColumn("symbol", F.col("symbol.symbol")).drop("_at", "_in", "_block")
+
+
 MODES = ("night", "day", "night_day", "day_night", "split")
 SPLIT_GAP_SECONDS = 3 * 3600
 

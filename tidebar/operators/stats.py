@@ -63,12 +63,21 @@ def sharpe(returns: DataFrame, periods: int = 252, risk_free: float = 0.0) -> Da
     return df.select("symbol", F.when((F.col("n") >= 2) & (F.col("s") > 0), F.col("m") / F.col("s") * F.sqrt(F.lit(float(periods)))).alias("sharpe"))
 
 
-def strategy_stats(trades: DataFrame, equity: DataFrame, periods: int = 243) -> DataFrame:
-    """One row for each symbol: trades by direction, total return, drawdown, win rate, payoff, Sharpe ratio, exits by reason and the average of bars held."""
-    t = trades.groupBy("symbol").agg(F.count_if(F.col("direction") == "long").alias("longs"), F.count_if(F.col("direction") == "short").alias("shorts"), F.count_if("gapped").alias("gapped"), F.count_if(F.col("reason") == "TRAIL").alias("trails"), F.count_if(F.col("reason") == "SESSION_END").alias("session_ends"), F.exp(F.sum(F.log1p("pnl"))).alias("growth"))
+EXITS = {"TRAIL": "trails", "SESSION_END": "session_ends"}
+
+
+def strategy_stats(trades: DataFrame, equity: DataFrame, periods: int = 243, exits: dict[str, str] = EXITS, warmup: DataFrame | None = None, warmup_needed: int = 0) -> DataFrame:
+    """One row for each symbol: trades by direction, total return, drawdown, win rate, payoff, Sharpe ratio, exits by reason (exits names a column for each) and the average of bars held.
+
+    With warmup (symbol, warmup_days_found; of window_cut), also the days found before the window and warmup_short, whether they are fewer than warmup_needed.
+    """
+    t = trades.groupBy("symbol").agg(F.count_if(F.col("direction") == "long").alias("longs"), F.count_if(F.col("direction") == "short").alias("shorts"), F.count_if("gapped").alias("gapped"), *(F.count_if(F.col("reason") == x).alias(name) for x, name in exits.items()), F.exp(F.sum(F.log1p("pnl"))).alias("growth"))
     base = trade_stats(trades, ["symbol"]).join(t, "symbol").withColumn("total_return", F.col("growth") - 1).drop("growth")
     held = equity.groupBy("symbol").agg(F.count_if(F.col("position") != 0).alias("held"))
     base = base.join(held, "symbol", "left").withColumn("avg_bars", F.try_divide("held", "n")).drop("held")
+    if warmup is not None:
+        days = warmup.groupBy("symbol").agg(F.max("warmup_days_found").alias("warmup_days"))
+        base = base.join(days, "symbol", "left").withColumn("warmup_short", F.coalesce("warmup_days", F.lit(0)) < warmup_needed)
     return base.join(max_drawdown(equity), "symbol", "left").join(sharpe(session_returns(equity), periods), "symbol", "left")
 
 

@@ -87,6 +87,14 @@ def snap_to_bin(events: DataFrame, bars: DataFrame, minutes: int) -> DataFrame:
     return events.join(df.select("symbol", "ts", label.alias("bin_ts")), ["symbol", "ts"], "left")
 
 
+def snap_to_session_bin(events: DataFrame, bars: DataFrame, minutes: int, date: str = "trading_date", start: str = "bar_start") -> DataFrame:
+    """Events at bar times (symbol, ts) with bin_start, the open label of the stretch of minutes that holds the bar, counted from the first bar of its date (as in resample_session)."""
+    at = F.unix_seconds(F.col(start).cast("timestamp"))
+    first = F.min(at).over(Window.partitionBy("symbol", date))
+    label = F.timestamp_seconds(first + F.floor((at - first) / (60 * minutes)) * (60 * minutes))
+    return events.join(bars.select("symbol", "ts", label.alias("bin_start")), ["symbol", "ts"], "left")
+
+
 def forming_candle(bars: DataFrame, minutes: int) -> DataFrame:
     """Running open, high, low and close inside the higher window of each bar."""
     w = Window.partitionBy("symbol", "window_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

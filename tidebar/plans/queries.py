@@ -16,6 +16,7 @@ from tidebar.operators import signals as G
 from tidebar.operators import stats as P
 from tidebar.operators import tables as T
 from tidebar.operators import timeframes as TF
+from tidebar.operators.cascade import averages, cascade_features, with_places
 from tidebar.operators.quantiles import distinct_sketches, merged_distinct, ranked_quantiles
 from tidebar.plans.inputs import bars_from_events, dirty_bars, order_days, with_bars, with_days
 from tidebar.sources import bars as B
@@ -90,9 +91,10 @@ def _(spark, d):
     return B.clean_bars(dirty_bars(spark, d), usable_from={"view": "2024-01-10"}).select("symbol", "ts", "open", "close", "volume")
 
 
-@query("io4_manifest", with_bars(" SELECT symbol, count(*) AS bars, min(ts) AS first, max(ts) AS last, count(DISTINCT trading_date) AS sessions FROM bars GROUP BY 1"))
+@query("io4_manifest", with_bars(" SELECT symbol, count(*) AS bars, min(ts) AS first, max(ts) AS last, count(DISTINCT trading_date) AS sessions, round(sum(strlen(symbol) + strlen(contract) + 84) / 1e6::DOUBLE, 3) AS mb, symbol = 'view' AS trimmed FROM bars WHERE symbol <> 'view' OR trading_date >= DATE '2024-01-10' GROUP BY 1"))
 def _(spark, d):
-    return B.manifest(_bars(spark, d))
+    cuts = {"view": "2024-01-10"}
+    return B.manifest(B.trim_usable_from(_bars(spark, d), cuts), cuts)
 
 
 @query("pf1_pool", with_bars(" SELECT symbol, count(*) AS n FROM bars WHERE symbol NOT IN ('error') GROUP BY 1"))
@@ -143,8 +145,8 @@ def _(spark, d):
 
 @query(
     "pf9_drop_rows",
-    with_bars(f""", w AS (SELECT *, abs(close / lag(close) OVER x - 1) AS rr, date_diff('second', lag(ts) OVER x, ts) AS g FROM dirty WINDOW x AS (PARTITION BY symbol ORDER BY ts))
-SELECT symbol, ts, CASE WHEN least(open, high, low, close) <= 0 THEN 'price' WHEN high < greatest(open, close) OR low > least(open, close) THEN 'shape' WHEN {_BAD} THEN 'amount' WHEN rr > 0.05 AND g = 60 THEN 'jump' END AS drop_reason FROM w""", True),
+    with_bars(f""", w AS (SELECT *, abs(close / lag(close) OVER x - 1) AS rr, date_diff('second', lag(ts) OVER x, ts) AS g, sum(volume) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS dv FROM dirty WINDOW x AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, CASE WHEN least(open, high, low, close) <= 0 THEN 'price' WHEN high < greatest(open, close) OR low > least(open, close) THEN 'shape' WHEN {_BAD} THEN 'amount' WHEN dv = 0 THEN 'fake' WHEN rr > 0.05 AND g = 60 THEN 'jump' END AS drop_reason FROM w""", True),
 )
 def _(spark, d):
     return Q.drop_rows_mask(dirty_bars(spark, d)).select("symbol", "ts", "drop_reason")
@@ -262,6 +264,12 @@ def _(spark, d):
     return TF.snap_to_bin(bars.select("symbol", "ts"), bars, 5)
 
 
+@query("j12_snap_open", with_bars(", f AS (SELECT *, min(bar_start) OVER (PARTITION BY symbol, trading_date) AS a FROM bars) SELECT symbol, ts, a + to_minutes(30 * (date_diff('second', a, bar_start) // 1800)::INT) AS bin_start FROM f"))
+def _(spark, d):
+    bars = _bars(spark, d)
+    return TF.snap_to_session_bin(bars.select("symbol", "ts"), bars, 30)
+
+
 _FORM = ", f AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, bar_start, TIMESTAMP '1970-01-01') AS ws FROM bars), live AS (SELECT *, first_value(open) OVER w AS live_open, max(high) OVER w AS live_high, min(low) OVER w AS live_low FROM f WINDOW w AS (PARTITION BY symbol, ws ORDER BY ts ROWS UNBOUNDED PRECEDING))"
 
 
@@ -283,7 +291,7 @@ def _(spark, d):
 # --- indicators
 @query("w6_sma", with_bars(" SELECT symbol, ts, CASE WHEN count(close) OVER w = 10 THEN round(avg(close) OVER w, 6) END AS ma FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)"))
 def _(spark, d):
-    return _bars(spark, d).withColumn("ma", N.sma("close", 10)).select("symbol", "ts", *r("ma"))
+    return S.in_blocks(_bars(spark, d), lambda b: b.withColumn("ma", N.sma("close", 10)), 10).select("symbol", "ts", *r("ma"))
 
 
 _ATR = ", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), atr AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING))"
@@ -291,7 +299,7 @@ _ATR = ", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), ab
 
 @query("w7_atr", with_bars(_ATR + " SELECT symbol, ts, round(atr, 6) AS atr FROM atr"))
 def _(spark, d):
-    return N.with_atr(_bars(spark, d), 14).select("symbol", "ts", *r("atr"))
+    return S.in_blocks(_bars(spark, d), N.with_atr, 15).select("symbol", "ts", *r("atr"))
 
 
 _MACD = (
@@ -341,6 +349,12 @@ def _(spark, d):
     return N.live_indicators(bars, tf, 30).select("symbol", "ts", *r("live_macd", "live_signal", "live_atr"))
 
 
+@query("w25_live_cross", with_bars(_LIVE.rsplit("SELECT symbol, ts", 1)[0].rstrip() + ", y AS (SELECT symbol, ts, round(m, 6) - round(sig * 0.8::DOUBLE + m * 0.2::DOUBLE, 6) AS dv FROM j), x AS (SELECT *, lag(dv) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM y) SELECT symbol, ts, CASE WHEN b <= 0 AND dv > 0 THEN 1 WHEN b >= 0 AND dv < 0 THEN -1 ELSE 0 END::INTEGER AS \"cross\" FROM x").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    live = QUERIES["w24_live_indicators"](spark, d)
+    return N.live_cross(live).select("symbol", "ts", "cross")
+
+
 _DVOL = _DAILY + ", ch AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS change FROM daily), rv AS (SELECT *, CASE WHEN count(change) OVER w = 5 THEN stddev_samp(change) OVER w END AS v FROM ch WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS 4 PRECEDING)), vols AS (SELECT symbol, trading_date, change, lag(v) OVER (PARTITION BY symbol ORDER BY trading_date) AS vol FROM rv)"
 
 
@@ -361,22 +375,18 @@ def _(spark, d):
 _MA3 = ", ma AS (SELECT *, CASE WHEN count(*) OVER a = 3 THEN avg(close) OVER a END AS f, CASE WHEN count(*) OVER b = 6 THEN avg(close) OVER b END AS m, CASE WHEN count(*) OVER c = 12 THEN avg(close) OVER c END AS s FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING), c AS (PARTITION BY symbol ORDER BY ts ROWS 11 PRECEDING)), mr AS (SELECT * REPLACE (round(f, 6) AS f, round(m, 6) AS m, round(s, 6) AS s) FROM ma)"
 
 
-def _averages(df: DataFrame) -> DataFrame:
-    return df.withColumns({"f": F.round(N.sma("close", 3), 6), "m": F.round(N.sma("close", 6), 6), "s": F.round(N.sma("close", 12), 6)})
-
-
 @query(
     "w12_ma_states",
     with_bars(_MA3 + " SELECT symbol, ts, CASE WHEN f > m THEN 1 WHEN f < m THEN -1 ELSE 0 END::TINYINT AS state2, CASE WHEN f > m AND m > s THEN 1 WHEN f < m AND m < s THEN -1 ELSE 0 END::TINYINT AS state3, (coalesce(f BETWEEN least(open, close) AND greatest(open, close), false)::INT + coalesce(m BETWEEN least(open, close) AND greatest(open, close), false)::INT + coalesce(s BETWEEN least(open, close) AND greatest(open, close), false)::INT) >= 2 AS broke FROM mr"),
 )
 def _(spark, d):
-    df = _averages(_bars(spark, d))
+    df = S.in_blocks(_bars(spark, d), averages, 12)
     return df.select("symbol", "ts", N.ma_state2("f", "m").alias("state2"), N.ma_state3("f", "m", "s").alias("state3"), N.structure_break("f", "m", "s").alias("broke"))
 
 
 @query("w15_swings", with_bars(" SELECT symbol, ts, count(*) OVER w = 5 AND high = max(high) OVER w AS swing_high, count(*) OVER w = 5 AND low = min(low) OVER w AS swing_low FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
 def _(spark, d):
-    return N.with_swings(_bars(spark, d)).select("symbol", "ts", "swing_high", "swing_low")
+    return S.in_blocks(_bars(spark, d), N.with_swings, 2, 2).select("symbol", "ts", "swing_high", "swing_low")
 
 
 _IVW = _DVOL + ", weights AS (SELECT symbol, trading_date, (1 / vol) / sum(1 / vol) OVER (PARTITION BY trading_date) AS weight FROM vols WHERE vol > 0)"
@@ -692,6 +702,12 @@ def _(spark, d):
     return P.strategy_stats(trades, equity).select("symbol", "n", "wins", "longs", "shorts", "gapped", "trails", "session_ends", *r(*_PAGE_FLOATS))
 
 
+@query("a15_warmup", with_bars(_PAGE + ", wd AS (SELECT symbol, count(DISTINCT trading_date) AS f FROM bars WHERE trading_date < DATE '2024-01-08' GROUP BY 1) SELECT symbol, n, trails, session_ends, coalesce(least(f, 8), 0)::BIGINT AS warmup_days, coalesce(least(f, 8), 0) < 8 AS warmup_short FROM page LEFT JOIN wd USING (symbol)"))
+def _(spark, d):
+    _, trades, equity = _equity(spark, d)
+    return P.strategy_stats(trades, equity, warmup=S.window_cut(_bars(spark, d), "2024-01-08", "2024-01-15", 8), warmup_needed=8).select("symbol", "n", "trails", "session_ends", "warmup_days", "warmup_short")
+
+
 @query("a22_exits", with_bars(_TRADES + ' SELECT symbol, count(*) FILTER (reason = \'TRAIL\') AS "TRAIL", count(*) FILTER (reason = \'SESSION_END\') AS "SESSION_END" FROM trades GROUP BY 1'))
 def _(spark, d):
     return P.exit_counts(G.breakout_trades(_lined(spark, d)), ["TRAIL", "SESSION_END"])
@@ -740,12 +756,6 @@ def _(spark, d):
     return _swept(spark, d, _SWEEP).select("variant", "symbol", "session_id", "direction", "entry_ts", "exit_ts", *r("exit_price"), "reason", *r("pnl", digits=8))
 
 
-def _thirty(tf: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return N.with_atr(tf, 14, "ATR30").withColumn("P30", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
-
-
 def _segmented(spark, d) -> DataFrame:
     """The half that all session modes share, prepared: bars with their segments and nights."""
     return prepared(spark, "segmented", d, lambda: S.night_flag(S.segments(_bars(spark, d))), "symbol")
@@ -753,18 +763,7 @@ def _segmented(spark, d) -> DataFrame:
 
 def _features(spark, d) -> DataFrame:
     """Trend states of one, five and thirty minutes and of days, as known at each bar; prepared."""
-    return prepared(spark, "features", d, lambda: _derived_features(spark, d), "symbol")
-
-
-def _derived_features(spark, d) -> DataFrame:
-    bars = S.session_mode(_segmented(spark, d))
-    df = _averages(bars).withColumn("S1", N.ma_state2("f", "m")).drop("f", "m", "s")
-    df = N.with_atr(df, 14, "ATR1")
-    for minutes, name in ((5, "S5"), (30, "S30")):
-        tf = _averages(TF.resample_segment(bars, minutes)).withColumn(name, N.ma_state2("f", "m"))
-        df = TF.asof_closed(df, _thirty(tf) if minutes == 30 else tf, [name] + ["ATR30", "P30"] * (minutes == 30), prefix="")
-    day = _averages(TF.resample_daily(bars)).select("symbol", "ts", F.col("trading_date").alias("DAY"), N.ma_state3("f", "m", "s").alias("DSTATE"), N.structure_break("f", "m", "s").alias("DBREAK"))
-    return TF.asof_closed(df, day, ["DSTATE", "DBREAK", "DAY"], prefix="")
+    return prepared(spark, "features", d, lambda: cascade_features(S.session_mode(_segmented(spark, d))), "symbol")
 
 
 def _state_sql(name: str, source: str, third: str = "") -> str:
@@ -790,8 +789,9 @@ pe AS (SELECT *, coalesce(cf, false) AS confirm, coalesce(rd AND last_value(CASE
 SELECT symbol, ts, bias_run, confirm, "trigger" FROM pe WHERE "trigger" OR confirm"""
 
 
-_FED = _CASCADE.replace("round(m1.atr, 6) AS ATR1", "round(m1.atr, 6) AS ATR1, m30.atr30 AS ATR30, m30.p30 AS P30").replace("FROM tf30 WINDOW", "FROM tfa WINDOW").replace(", m30 AS", """, tft AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM tf30 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-tfa AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr30, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p30 FROM tft WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING)), m30 AS""") + _SESSION.split("lined AS")[0].rstrip().rstrip(",") + """,
+_CASC30 = _CASCADE.replace("round(m1.atr, 6) AS ATR1", "round(m1.atr, 6) AS ATR1, m30.atr30 AS ATR30, m30.p30 AS P30").replace("FROM tf30 WINDOW", "FROM tfa WINDOW").replace(", m30 AS", """, tft AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM tf30 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+tfa AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr30, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p30 FROM tft WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING)), m30 AS""")
+_FED = _CASC30 + _SESSION.split("lined AS")[0].rstrip().rstrip(",") + """,
 fed AS (SELECT s.*, c.* EXCLUDE (symbol, ts) FROM sess s JOIN casc c ON c.symbol = s.symbol AND c.ts = s.ts)"""
 #: Every pullback trigger with its stop and target.
 _CANDS = _FED + """,
@@ -832,9 +832,9 @@ def _recursive(sql: str) -> str:
     return with_bars(sql).replace("WITH", "WITH RECURSIVE", 1)
 
 
-@query("g7_cascade", with_bars(_CASCADE + " SELECT * FROM casc"))
+@query("g7_cascade", with_bars(_CASC30 + " SELECT * EXCLUDE (P30, ATR30), round(ATR30, 6) AS ATR30 FROM casc"))
 def _(spark, d):
-    return _features(spark, d).select("symbol", "ts", "S1", "S5", "S30", "DSTATE", "DBREAK", *r("ATR1"))
+    return _features(spark, d).select("symbol", "ts", "S1", "S5", "S30", "DSTATE", "DBREAK", *r("ATR1", "ATR30"))
 
 
 @query("g8_pullback_events", with_bars(_PULLBACK))
@@ -849,7 +849,7 @@ def _candidates(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _swings(spark, d) -> DataFrame:
-    return prepared(spark, "swings", d, lambda: N.with_swings(_thirty(TF.resample_segment(_segmented(spark, d), 30))).withColumnRenamed("P30", "idx"))
+    return prepared(spark, "swings", d, lambda: N.with_swings(with_places(TF.resample_segment(_segmented(spark, d), 30))).withColumnRenamed("P30", "idx"))
 
 
 def _legs(spark, d) -> DataFrame:
@@ -1056,6 +1056,15 @@ def _(spark, d):
     return C.markers(G.breakout_trades(_lined(spark, d)))
 
 
+@query("c3_flips", _recursive(_MACD_TRADES + _picked("mt") + """, tr AS (SELECT symbol, CASE side WHEN 1 THEN 'long' ELSE 'short' END AS direction, ets, price, xts, px, reason, side * (px - price) / price AS pnl FROM picked),
+nb AS (SELECT *, coalesce(lag(reason) OVER w = 'FLIP' AND lag(xts) OVER w = ets AND lag(direction) OVER w <> direction, false) AS entered, coalesce(reason = 'FLIP' AND lead(ets) OVER w = xts AND lead(direction) OVER w <> direction, false) AS lft, lead(direction) OVER w AS nd FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY ets))
+SELECT symbol, ets AS ts, 'entry' AS kind, upper(direction) || ' ' || printf('%.2f', price) AS text, direction AS colour FROM nb WHERE NOT entered
+UNION ALL SELECT symbol, xts, 'exit', reason || ' ' || printf('%.2f', px) || ' ' || printf('%+.2f%%', pnl * 100), CASE WHEN pnl > 0 THEN 'win' ELSE 'loss' END FROM nb WHERE NOT lft
+UNION ALL SELECT symbol, xts, 'flip', CASE nd WHEN 'long' THEN 'FLIP Long' ELSE 'FLIP Short' END, 'flip' FROM nb WHERE lft"""))
+def _(spark, d):
+    return C.markers(G.macd_trades(N.macd_cross(N.with_macd(N.with_atr(_bars(spark, d), 14)))))
+
+
 _ITEMS = lambda source, percents, ratios: " UNION ALL ".join([f"SELECT symbol, '{x}' AS item, coalesce(printf('%+.2f%%', {x} * 100), 'n/a') AS value FROM {source}" for x in percents] + [f"SELECT symbol, '{x}' AS item, coalesce(printf('%.2f', {x}), 'n/a') AS value FROM {source}" for x in ratios])
 
 
@@ -1081,7 +1090,8 @@ def audit_query(name: str, sql: str, run, dirty: bool = False):
     query(name, with_bars(sql, dirty))(lambda spark, d: run((dirty_bars if dirty else _bars)(spark, d)))
 
 
-audit_query("q1_duplicates", " SELECT symbol, count(*) AS bars, count(*) - count(DISTINCT ts) AS duplicates FROM (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE volume % 7 = 0) GROUP BY 1", lambda b: Q.duplicates(b.unionByName(b.where("volume % 7 = 0"))))
+_TWICE = lambda b: b.unionByName(b.where("volume % 7 = 0")).withColumn("came", F.unix_seconds(F.col("bar_start").cast("timestamp")) + F.when(F.col("volume") % 5 == 0, 180).otherwise(0))
+audit_query("q1_duplicates", ", twice AS (SELECT *, epoch(bar_start)::BIGINT + CASE WHEN volume % 5 = 0 THEN 180 ELSE 0 END AS came FROM (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE volume % 7 = 0)), st AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY came, ts) AS last FROM twice) SELECT symbol, count(*) AS bars, count(*) - count(DISTINCT ts) AS duplicates, count(*) FILTER (ts = last) AS adjacent, count(*) FILTER (ts < last) AS backward FROM st GROUP BY 1", lambda b: Q.duplicates(_TWICE(b), "came"))
 audit_query("q2_coverage", " SELECT symbol, count(*) AS bars, min(trading_date) AS first, max(trading_date) AS last, count(DISTINCT trading_date) AS dates, (DATE '2024-03-01' - max(trading_date))::INTEGER AS stale_days, count(*) < 1000 AS too_short FROM bars GROUP BY 1", lambda b: Q.coverage(b, "2024-03-01"))
 audit_query("q3_ohlc", " SELECT symbol, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_below_body, count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS not_positive, 0::BIGINT AS missing FROM dirty GROUP BY 1", Q.ohlc_violations, True)
 audit_query("q4_amounts", " SELECT symbol, count(*) FILTER (volume < 0) AS volume_negative, count(*) FILTER (total_turnover < 0) AS turnover_negative, count(*) FILTER (open_interest < 0) AS oi_negative, count(*) FILTER ((volume = 0) <> (total_turnover = 0)) AS contradicting, avg((open_interest = 0)::INT) AS oi_zero_share FROM dirty GROUP BY 1", Q.amount_violations, True)
@@ -1112,12 +1122,24 @@ query("q15_survivors", with_bars(_SEG.replace("FROM bars", "FROM dirty") + ", dr
 )
 audit_query("q17_tail", ", y AS (SELECT symbol, trading_date, max(close) FILTER (hour(ts) * 60 + minute(ts) = 150) AS tail, max(open) FILTER (hour(ts) * 60 + minute(ts) = 560) AS am, max(close) FILTER (hour(ts) * 60 + minute(ts) = 890) AS shut FROM bars GROUP BY 1, 2), z AS (SELECT *, lag(shut) OVER (PARTITION BY symbol ORDER BY trading_date) AS sb FROM y) SELECT symbol, count(tail) AS nights, count(*) FILTER (tail = am) AS as_morning, count(*) FILTER (tail = sb) AS as_close_before FROM z GROUP BY 1", lambda b: Q.tail_evidence(b, 150, 560, 890))
 audit_query("q18_auction", " SELECT symbol, year(ts)::INTEGER AS year, count(*) AS n, avg((high = low)::INT) AS flat_rate, round(avg((high - low) / close), 8) AS range, median(volume) AS median_volume FROM bars WHERE hour(ts) * 60 + minute(ts) IN (541, 1261) GROUP BY 1, 2", lambda b: Q.auction_shape(b, [541, 1261]).withColumn("range", F.round("range", 8)))
+_VENUES = "(SELECT *, CASE symbol WHEN 'ALL' THEN 'X' WHEN 'view' THEN 'Y' ELSE 'Z' END AS exchange FROM bars)"
+_AT_VENUES = lambda b: T.map_exchange(b, b.sparkSession.createDataFrame([("ALL", "X"), ("view", "Y")], "symbol string, exchange string"))[0].fillna("Z", ["exchange"])
+audit_query("q18_by_exchange", f" SELECT exchange, year(ts)::INTEGER AS year, count(*) AS n, round(avg((high = low)::INT), 8) AS flat_rate, round(avg((high - low) / close), 8) AS range, median(volume) AS median_volume FROM {_VENUES} WHERE hour(ts) * 60 + minute(ts) IN (541, 1261) GROUP BY 1, 2", lambda b: Q.auction_shape(_AT_VENUES(b), [541, 1261], "exchange").withColumns({x: F.round(x, 8) for x in ("range", "flat_rate")}))
+audit_query("q18_presence", f", p AS (SELECT exchange, symbol, trading_date, bool_or(hour(ts) >= 21 OR hour(ts) <= 2) AS night, bool_or(hour(ts) * 60 + minute(ts) = 541) AS there FROM {_VENUES} GROUP BY 1, 2, 3) SELECT exchange, year(trading_date)::INTEGER AS year, night, count(*) AS dates, round(avg(there::INT), 8) AS share FROM p GROUP BY 1, 2, 3", lambda b: Q.auction_presence(_AT_VENUES(b), 541, "exchange").withColumn("share", F.round("share", 8)))
 _ROLL = ", o AS (SELECT *, lag(contract) OVER w AS c0, lag(close) OVER w AS p0, lag(K) OVER w AS k0, lag(trading_date) OVER w AS d0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), rolls AS (SELECT *, ln(open / p0) AS jump, ln(K / k0) AS kr FROM o WHERE contract <> c0)"
 audit_query("w26_rolls", _ROLL + " SELECT symbol, ts, contract, trading_date <> d0 AS at_edge, round(open / p0 - 1, 8) AS gap FROM rolls", lambda b: Q.rolls(b).select("symbol", "ts", "contract", "at_edge", *r("gap", digits=8)))
 audit_query("q19_roll_continuity", _ROLL + ", m AS (SELECT symbol, median(abs(jump)) AS raw, median(abs(jump + kr)) AS times_k, median(abs(jump - kr)) AS over_k, count(*) AS rolls FROM rolls GROUP BY 1) SELECT symbol, round(raw, 8) AS raw, round(times_k, 8) AS times_k, round(over_k, 8) AS over_k, rolls, k_first, k_last FROM m JOIN (SELECT symbol, min_by(K, ts) AS k_first, max_by(K, ts) AS k_last FROM bars GROUP BY 1) USING (symbol)", lambda b: Q.roll_continuity(b).select("symbol", *r("raw", "times_k", "over_k", digits=8), "rolls", "k_first", "k_last"))
 audit_query("a24_roll_regression", _ROLL + " SELECT count(*) AS n, round(regr_slope(jump, kr), 6) AS slope, round(corr(jump, kr), 6) AS corr FROM rolls", lambda b: T.roll_regression(Q.rolls(b)).select("n", *r("slope", "corr")))
 audit_query("q20_k_changes", _ROLL + ", b AS (SELECT symbol, contract, count(*) AS n FROM o WHERE c0 IS NULL OR contract <> c0 GROUP BY 1, 2) SELECT o.symbol, count(*) FILTER (contract = c0 AND K <> k0) AS k_inside, count(*) FILTER (contract <> c0 AND trading_date = d0) AS intraday, any_value(z.n) AS coming_back FROM o JOIN (SELECT symbol, count(*) FILTER (n > 1) AS n FROM b GROUP BY 1) z ON z.symbol = o.symbol GROUP BY 1", Q.k_changes)
-audit_query("q21_turnover", ", i AS (SELECT *, year(trading_date)::INTEGER AS y, total_turnover / volume / close AS im FROM bars WHERE volume > 0 AND close > 0), m AS (SELECT symbol, y, median(im) AS im FROM i GROUP BY 1, 2) SELECT symbol, y AS year, round(im, 6) AS implied, 10::DOUBLE AS multiplier, false AS changed FROM m", lambda b: Q.turnover_identity(b).select("symbol", "year", *r("implied"), "multiplier", "changed"))
+_IDENTITY = """, i AS (SELECT *, year(trading_date)::INTEGER AS y, total_turnover / volume / close AS im FROM bars WHERE volume > 0 AND close > 0), m AS (SELECT symbol, y, median(im) AS im FROM i GROUP BY 1, 2),
+mu AS (SELECT m.*, (SELECT arg_min(u, abs(ln(im / u))) FROM (VALUES (1.0::DOUBLE), (5.0), (10.0), (20.0), (50.0), (100.0)) AS v(u)) AS mu FROM m),
+mm AS (SELECT mu.symbol, mu.y, any_value(mu.im) AS im, any_value(mu) AS mu, round(avg((total_turnover / volume / mu BETWEEN low * (1 - 1e-9::DOUBLE) AND high * (1 + 1e-9::DOUBLE))::INT), 6) AS inside FROM i JOIN mu ON mu.symbol = i.symbol AND mu.y = i.y GROUP BY 1, 2)
+SELECT symbol, y AS year, round(im, 6) AS implied, mu AS multiplier, coalesce(mu <> lag(mu) OVER (PARTITION BY symbol ORDER BY y), false) AS changed, inside FROM mm"""
+_IDENTIFIED = lambda b: Q.turnover_identity(b).select("symbol", "year", *r("implied"), "multiplier", "changed", *r("inside"))
+audit_query("q21_turnover", _IDENTITY, _IDENTIFIED)
+query("q23_multiplier", with_days(", bars AS (SELECT symbol, trading_date, volume, close, close * 0.9::DOUBLE AS low, close * 1.1::DOUBLE AS high, volume * close * CASE WHEN year(trading_date) % 3 = 0 THEN 5 ELSE 10 END * CASE WHEN bars % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END AS total_turnover FROM days)" + _IDENTITY))(
+    lambda spark, d: _IDENTIFIED(order_days(spark, d).withColumns({"low": F.col("close") * 0.9, "high": F.col("close") * 1.1, "total_turnover": F.col("volume") * F.col("close") * F.when(F.year("trading_date") % 3 == 0, 5).otherwise(10) * F.when(F.col("bars") % 2 == 0, 1.2).otherwise(1.0)}))
+)
 query("q22_steps", with_days(", l AS (SELECT *, ln(volume / lag(volume) OVER (PARTITION BY symbol ORDER BY trading_date)) AS rr FROM days WHERE volume > 0) SELECT trading_date, count(*) AS n, round(median(rr), 8) AS median_change, round(avg((rr < ln(0.6::DOUBLE))::INT), 6) AS share_dropping FROM l WHERE rr IS NOT NULL GROUP BY 1"))(lambda spark, d: Q.cross_section_steps(order_days(spark, d)).select("trading_date", "n", *r("median_change", digits=8), *r("share_dropping")))
 audit_query("q24_large_moves", _DAILY + ", m AS (SELECT symbol, trading_date, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS rr FROM daily) SELECT symbol, trading_date, round(rr, 8) AS r FROM m WHERE abs(rr) > 0.01", lambda b: Q.large_moves(S.daily_ohlc(b), 0.01).select("symbol", "trading_date", *r("r", digits=8)))
 audit_query("q24_locked", _DAILY + " SELECT symbol, trading_date, close, volume FROM daily WHERE high = low", lambda b: Q.locked_days(S.daily_ohlc(b)))
@@ -1128,6 +1150,12 @@ query("q28_thin_days", with_days(" SELECT symbol, count(*) FILTER (volume = 0) A
 audit_query("q29_zero_prices", ", z AS (SELECT symbol, ts, CASE WHEN open = 0 THEN 'O' ELSE '' END || CASE WHEN high = 0 THEN 'H' ELSE '' END || CASE WHEN low = 0 THEN 'L' ELSE '' END || CASE WHEN close = 0 THEN 'C' ELSE '' END AS pattern, lag(close) OVER w AS close_before, lead(open) OVER w AS open_after, volume FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT * FROM z WHERE pattern <> ''", Q.zero_prices, True)
 audit_query("q30_stale_runs", _SEG.replace("FROM bars", "FROM dirty") + ", x AS (SELECT *, CASE WHEN (volume = 0) = coalesce(lag(volume) OVER w = 0, false) THEN 0 ELSE 1 END AS e FROM seg WINDOW w AS (PARTITION BY symbol ORDER BY ts)), y AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS z FROM x), i AS (SELECT symbol, max(n) AS longest_idle, round(quantile_cont(n, 0.99), 6) AS p99_idle FROM (SELECT symbol, run, z, count(*) AS n FROM y WHERE volume = 0 GROUP BY 1, 2, 3) GROUP BY 1), a AS (SELECT symbol, max(n) AS longest_run, round(sum(t) / sum(n)::DOUBLE, 6) AS traded_share FROM (SELECT symbol, run, count(*) AS n, count(*) FILTER (volume > 0) AS t FROM y GROUP BY 1, 2) GROUP BY 1) SELECT * FROM a LEFT JOIN i USING (symbol)", lambda b: Q.stale_runs(b).select("symbol", "longest_run", *r("traded_share"), "longest_idle", *r("p99_idle")), True)
 audit_query("q31_zero_atr", _ATR + " SELECT symbol, count(atr) AS warm, count(*) FILTER (atr = 0) AS zero, round(median(atr), 6) AS median_atr FROM atr GROUP BY 1", lambda b: Q.zero_atr(b).select("symbol", "warm", "zero", *r("median_atr")))
+_BUCKETS = lambda side, source, size: f"SELECT symbol, {size} AS size, '{side}' AS side, i // {size} AS g, max(ts) AS ts, max(high) AS high, min(low) AS low, max_by(close, ts) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM {source}) GROUP BY symbol, g HAVING count(*) = {size}"
+query("q31_atr_bias", with_bars(_CLEAN + ", k AS (" + " UNION ALL ".join(_BUCKETS(side, source, size) for side, source in (("raw", "dirty"), ("clean", "clean")) for size in (1, 5, 30)) + """), t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM k WINDOW w AS (PARTITION BY symbol, size, side ORDER BY ts)),
+a AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM t WINDOW w AS (PARTITION BY symbol, size, side ORDER BY ts ROWS 13 PRECEDING))
+SELECT symbol, size, count(*) FILTER (side = 'raw' AND atr = 0) AS zero_raw, count(*) FILTER (side = 'clean' AND atr = 0) AS zero_clean, round(count(*) FILTER (side = 'clean' AND atr = 0) / greatest(count(*) FILTER (side = 'clean'), 1)::DOUBLE, 8) AS clean_share, round(median(atr) FILTER (side = 'raw') / median(atr) FILTER (side = 'clean') - 1, 6) AS bias FROM a GROUP BY 1, 2""", True))(
+    lambda spark, d: Q.zero_atr_bias(dirty_bars(spark, d), B.clean_bars(dirty_bars(spark, d), usable_from={"view": "2024-01-10"})).select("symbol", "size", "zero_raw", "zero_clean", *r("clean_share", digits=8), *r("bias"))
+)
 audit_query("q32_traded_share", ", y AS (SELECT symbol, trading_date, avg((volume > 0)::INT) AS s FROM dirty GROUP BY 1, 2) SELECT symbol, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.5), 6) AS p50, round(avg((s = 0)::INT), 6) AS dead_share FROM y GROUP BY 1", lambda b: Q.traded_share_quantiles(b).select("symbol", *r("p10", "p50", "dead_share")), True)
 audit_query("w27_jumps", ", y AS (SELECT *, close / lag(close) OVER w - 1 AS rr, date_diff('second', lag(ts) OVER w, ts) AS g, lag(contract) OVER w AS c0 FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, round(rr, 8) AS r FROM y WHERE abs(rr) > 0.05 AND g = 60 AND contract = c0", lambda b: Q.jumps(b).select("symbol", "ts", *r("r", digits=8)), True)
 audit_query("w28_spikes", ", y AS (SELECT *, close / lag(close) OVER w - 1 AS rr FROM dirty WINDOW w AS (PARTITION BY symbol ORDER BY ts)), z AS (SELECT *, lead(rr) OVER (PARTITION BY symbol ORDER BY ts) AS nr FROM y) SELECT symbol, ts, round(rr, 8) AS r, round(nr, 8) AS next_r FROM z WHERE abs(rr) > 0.03 AND sign(rr) = -sign(nr) AND abs(nr) > 0.5 * abs(rr)", lambda b: Q.spikes(b).select("symbol", "ts", *r("r", "next_r", digits=8)), True)
@@ -1137,6 +1165,13 @@ query("w31_last_padded", with_days(", a AS (SELECT *, quantile_cont(bars / 10.0:
 audit_query("q37_single_day", _SEG + f", y AS (SELECT *, run - min(run) OVER () AS rn FROM seg WHERE symbol = 'ALL' AND trading_date = DATE '2024-01-10') SELECT symbol, trading_date, rn::BIGINT AS run, min(ts) AS start, max(ts) AS \"end\", count(*) AS bars, count(*) FILTER ({_BAD}) AS errors, sum(volume) AS volume FROM y GROUP BY 1, 2, 3", lambda b: Q.single_day(b, "ALL", "2024-01-10"))
 
 
+_DROPS = SQL["pf9_drop_rows"].replace("SELECT symbol, ts, CASE", "SELECT symbol, CASE")
+_HEAD, _TAIL = _DROPS.rsplit("\nSELECT symbol, CASE", 1)
+query("pf9_drop_counts", _HEAD + ", dm AS (SELECT symbol, CASE" + _TAIL + ") SELECT symbol, " + ", ".join(f"count(*) FILTER (drop_reason = '{x}') AS drop_{x}" for x in ("price", "shape", "amount", "fake", "jump")) + ", round(avg((drop_reason IS NOT NULL)::INT), 6) AS drop_share FROM dm GROUP BY 1")(
+    lambda spark, d: Q.drop_counts(dirty_bars(spark, d)).withColumn("drop_share", F.round("drop_share", 6))
+)
+
+
 def _dirty_part(name: str) -> str:
     """The SQL of a check without its bars, over the dirty ones."""
     text = SQL[name].removeprefix(with_bars("", True)).removeprefix(with_bars("")).strip().replace("FROM bars", "FROM dirty")
@@ -1144,7 +1179,7 @@ def _dirty_part(name: str) -> str:
 
 
 _CARD = " SELECT *, concat_ws('; ', CASE WHEN too_short THEN 'too short' END, CASE WHEN not_positive > 10 THEN 'prices not positive' END, CASE WHEN volume_negative > 10 THEN 'negative volume' END) AS reasons, NOT (too_short OR not_positive > 10 OR volume_negative > 10) AS keep FROM " + " LEFT JOIN ".join(
-    ("(SELECT * EXCLUDE (bars) FROM " + _dirty_part(x) + ")" if x == "q6_padding" else _dirty_part(x)) + f" t{k}" + (" USING (symbol)" if k else "") for k, x in enumerate(("q2_coverage", "q3_ohlc", "q4_amounts", "q6_padding", "q7_calendar", "q9_breaks", "q11_attribution", "q16_misdated", "q30_stale_runs", "q32_traded_share", "q39_k_deviation"))
+    ("(SELECT * EXCLUDE (bars) FROM " + _dirty_part(x) + ")" if x == "q6_padding" else _dirty_part(x)) + f" t{k}" + (" USING (symbol)" if k else "") for k, x in enumerate(("q2_coverage", "q3_ohlc", "q4_amounts", "q6_padding", "q7_calendar", "q9_breaks", "q11_attribution", "q16_misdated", "q30_stale_runs", "q32_traded_share", "q39_k_deviation", "pf9_drop_counts"))
 )
 
 
@@ -1152,7 +1187,8 @@ _CARD = " SELECT *, concat_ws('; ', CASE WHEN too_short THEN 'too short' END, CA
 def _(spark, d):
     bars = dirty_bars(spark, d)
     card = Q.scorecard([Q.coverage(bars, "2024-03-01"), Q.ohlc_violations(bars), Q.amount_violations(bars), Q.padding(bars).drop("bars"), Q.calendar_spread(bars), Q.bars_in_breaks(bars), Q.night_attribution(bars), Q.misdated_bars(bars),
-        Q.stale_runs(bars).select("symbol", "longest_run", *r("traded_share"), "longest_idle", *r("p99_idle")), Q.traded_share_quantiles(bars).select("symbol", *r("p10", "p50", "dead_share")), Q.k_deviation(bars).select("symbol", *r("deviation", digits=8), "k_first", "k_last", "k_runs")])
+        Q.stale_runs(bars).select("symbol", "longest_run", *r("traded_share"), "longest_idle", *r("p99_idle")), Q.traded_share_quantiles(bars).select("symbol", *r("p10", "p50", "dead_share")), Q.k_deviation(bars).select("symbol", *r("deviation", digits=8), "k_first", "k_last", "k_runs"),
+        Q.drop_counts(bars).withColumn("drop_share", F.round("drop_share", 6))])
     return Q.verdict(card, {"too short": F.col("too_short"), "prices not positive": F.col("not_positive") > 10, "negative volume": F.col("volume_negative") > 10})
 
 

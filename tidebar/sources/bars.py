@@ -76,8 +76,18 @@ def ingest_bars(raw: DataFrame, path: str, **options) -> None:
     clean.repartition("symbol", F.year("trading_date")).sortWithinPartitions("symbol", "ts").write.partitionBy("symbol").option("compression", "zstd").parquet(path)
 
 
-def manifest(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.countDistinct("trading_date").alias("sessions"))
+def manifest(bars: DataFrame, cuts: dict[str, str] | None = None) -> DataFrame:
+    """One row for each symbol: bars, first and last time, sessions, megabytes of its values (widths of their types, text by its bytes), and whether it is trimmed at a usable date (cuts)."""
+    mb = F.round(F.sum(_width(bars)) / 1e6, 3)
+    trimmed = F.col("symbol").isin(*cuts) if cuts else F.lit(False)
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.countDistinct("trading_date").alias("sessions"), mb.alias("mb")).withColumn("trimmed", trimmed)
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's values; missing ones have none."""
+    widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
+    one = lambda name, kind: F.octet_length(name) if kind == "string" else F.when(F.col(name).isNotNull(), widths.get(kind, 8))
+    return sum((F.coalesce(one(f"`{name}`", kind), F.lit(0)) for name, kind in df.dtypes), F.lit(0)).cast("long")
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
@@ -91,6 +101,14 @@ def load_trading_hours(hours: DataFrame, contracts: DataFrame, code: str, start:
     return both.where((F.col("ContractCode") == code) & F.col("TradingDate").between(start, end)).orderBy("TradingDate", "StartTime")
 
 
+def read_trading_hours(spark: SparkSession, url: str, code: str, start: str, end: str, hours: str = "TradingHours", contracts: str = "ContractMaster", partitions: int = 8, **options: str) -> DataFrame:
+    """load_trading_hours on two tables of a database. The code, the dates and the columns go into the database's own queries,
+    and hours are read in stretches of dates, each by its own task and connection; options (driver, user, fetchsize) go to the JDBC source."""
+    source = lambda table: spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    stretches = source(hours).options(partitionColumn="TradingDate", lowerBound=start, upperBound=end, numPartitions=str(partitions))
+    return load_trading_hours(stretches.load(), source(contracts).load(), code, start, end)
+
+
 def list_tables(spark: SparkSession, pattern: str) -> DataFrame:
     """Tables of the current database whose name is like pattern, with row counts (one count query for each)."""
     rows = [(t.name, spark.table(t.name).count()) for t in spark.catalog.listTables() if _like(t.name, pattern)]
