@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, exact_dedup, hashing, licenses, mixing, ngram_join, packing, suffix_dedup, topk, toxicity, warc
+from tidebar.llm import chat, exact_dedup, hashing, licenses, mixing, ngram_join, packing, store, suffix_dedup, topk, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, group_size long, score double, rid long"
 
@@ -171,6 +171,21 @@ def test_mixing_small_source_of_large_corpus(spark):
     assert len(got) == 3 and all(r["mix_rate"] > 990 and abs(r["n"] - r["mix_rate"]) < 6 * math.sqrt(r["mix_rate"]) for r in got)
 
 
+def test_mixing_broadcasts_only_what_is_small_with_its_probabilities(spark, monkeypatch):
+    """Past the bound sources meet their documents by a shuffle, with the same rows."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("source"), F.lit("some words").alias("text"))
+    rows = lambda df: sorted((r["mix_doc"]["doc_id"], r["mix_copy"], r["mix_key"]) for r in df.collect())
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        near = mixing.mix(docs)
+        monkeypatch.setattr(store.small, "__defaults__", (40 * 200, None))  # 40 rows would pass without their arrays, of some 50 doubles each
+        far = mixing.mix(docs)
+        assert (joins(near), joins(far)) == (1, 0) and rows(near) == rows(far)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mixing_follows_weights(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("usual").alias("source"))
     got = {r["source"]: r["n"] for r in mixing.mix(docs, {"rare": 1.0, "usual": 3.0}).groupBy("mix_doc.source").agg(F.count("*").alias("n")).collect()}

@@ -70,7 +70,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17
     tables give no rows. Column names of docs stay inside the struct, so they cannot clash.
     """
     table = rates(docs, weights, source_col=source_col, text_col=text_col, **kw)
-    table = small(written(table, "rates")).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate") / F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART_MEAN))).alias("mix_cdf"))
+    # written with its arrays of probabilities, so that the size that is checked is the size that is broadcast
+    table = written(table.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate") / F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART_MEAN))).alias("mix_cdf")), "rates")
+    table = small(table, beside=8 * F.size("mix_cdf"))
     rows = docs.select(F.struct("*").alias("mix_doc"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
     u = uniform(F.col("mix_id"), seed)
     copies = poisson_draw(F.col("mix_rate"), F.col("mix_cdf"), F.col("mix_id"), seed)

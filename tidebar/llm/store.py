@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a side may be broadcast, as counted rows times the width of their columns; larger sides are shuffled.
@@ -100,9 +100,12 @@ def width(df: DataFrame) -> int:
     return 8 + sum(_WIDTH if f.dataType.simpleString() in ("bigint", "int", "double", "boolean", "date", "timestamp") else _TEXT_WIDTH for f in df.schema.fields)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df (already written, of few columns, texts of which are keys or names) with a broadcast hint where its counted rows are within the bound; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() * width(df) <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES, beside: Column | None = None) -> DataFrame:
+    """df (already written, of few columns, texts of which are keys or names) with a broadcast hint where its counted rows are within the bound; else as it is, to be shuffled. beside: bytes of a row's arrays, which are summed."""
+    if beside is None:
+        return F.broadcast(df) if df.count() * width(df) <= most else df
+    n, more = df.agg(F.count("*"), F.coalesce(F.sum(beside), F.lit(0))).first()
+    return F.broadcast(df) if n * width(df) + more <= most else df
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
