@@ -76,9 +76,21 @@ def gap_fill(is_long: Column, level: Column | str, bar_open: Column | str, enabl
     return switched(enabled, worse, c(level))
 
 
+def divided(a: Column | str, b: Column | str) -> Column:
+    """a / b as doubles: over zero it is infinite, or NaN where a is zero too, and no error."""
+    x, y = c(a).cast("double"), c(b).cast("double")
+    return F.coalesce(F.try_divide(x, y), F.when(y == 0, x * F.lit(float("inf"))))
+
+
+def log_growth(ret: Column | str) -> Column:
+    """ln(1 + ret), for products as sums: -inf where all is lost, and NaN where more than that is, as such a loss has no growth rate (log1p gives NULL for both, which a sum leaves out)."""
+    x = c(ret)
+    return F.when(x > -1, F.log1p(x)).when(x == -1, float("-inf")).when(x < -1, float("nan"))
+
+
 def trade_return(is_long: Column, entry: Column | str, exit_: Column | str, cost_bps: float = 0.0) -> Column:
     move = F.when(is_long, c(exit_) - c(entry)).otherwise(c(entry) - c(exit_))
-    return move / c(entry) - cost_bps / 1e4
+    return divided(move, entry) - cost_bps / 1e4
 
 
 def log_jumps(price: Column | str, before: Column | str, k: Column | str, k_before: Column | str) -> dict[str, Column]:

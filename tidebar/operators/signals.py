@@ -196,9 +196,10 @@ def mark_to_market(bars: DataFrame, trades: DataFrame, start_capital: float = 1.
 
     Trades of a symbol do not overlap; there may be several in a session, or one over several. A bar belongs to the last
     trade that has been entered by then, which is carried forward as in an as-of join, so bars are never repeated.
+    After a trade that lost more than everything (prices may fall below zero) equity is NaN.
     """
     w = Window.partitionBy("symbol").orderBy("entry_ts")
-    t = trades.withColumn("before", F.coalesce(F.exp(F.sum(F.log1p("pnl")).over(w.rowsBetween(Window.unboundedPreceding, -1))), F.lit(1.0)))
+    t = trades.withColumn("before", F.coalesce(F.exp(F.sum(X.log_growth("pnl")).over(w.rowsBetween(Window.unboundedPreceding, -1))), F.lit(1.0)))
     own = ["direction", "entry_ts", "entry_price", "exit_ts", "pnl", "before"]
     df = asof(bars.select("symbol", "ts", "trading_date", "session_id", "close"), t.select("symbol", *own), F.col("ts"), F.col("entry_ts"), own, prefix="_")
     open_ = F.col("ts") < F.col("_exit_ts")
