@@ -110,12 +110,17 @@ def state_name(state: Column | str) -> Column:
     return F.when(c(state) > 0, "long").when(c(state) < 0, "short").when(c(state) == 0, "neutral").otherwise("n/a")
 
 
+def _unbounded(x: Column, plus: str) -> Column:
+    """What printf shows of NaN and infinity; NULL for other numbers."""
+    return F.when(F.isnan(x), f"{plus}nan").when(x == float("inf"), f"{plus}inf").when(x == float("-inf"), "-inf")
+
+
 def percent(x: Column | str, digits: int = 2) -> Column:
-    return F.when(c(x).isNotNull(), F.format_string(f"%+.{digits}f%%", c(x) * 100)).otherwise("n/a")
+    return F.coalesce(F.concat(_unbounded(c(x), "+"), F.lit("%")), F.when(c(x).isNotNull(), F.format_string(f"%+.{digits}f%%", c(x) * 100)), F.lit("n/a"))
 
 
 def ratio(x: Column | str, digits: int = 2) -> Column:
-    return F.when(c(x).isNotNull(), F.format_string(f"%.{digits}f", c(x))).otherwise("n/a")
+    return F.coalesce(_unbounded(c(x), ""), F.when(c(x).isNotNull(), F.format_string(f"%.{digits}f", c(x))), F.lit("n/a"))
 
 
 def price_decimals(price: Column | str) -> Column:
