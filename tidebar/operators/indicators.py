@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.scalars import divided
 from tidebar.operators.sessions import by_time, in_blocks
 
 
@@ -88,9 +89,9 @@ def with_swings(df: DataFrame, k: int = 2) -> DataFrame:
 
 
 def rolling_vol(daily: DataFrame, n: int = 20) -> DataFrame:
-    """Standard deviation of n daily changes, as known the day before."""
+    """Standard deviation of n daily changes, as known the day before. A change from a close of 0 is infinite, or NaN where the next is 0 too."""
     w = Window.partitionBy("symbol").orderBy("trading_date")
-    df = daily.withColumn("change", F.col("close") / F.lag("close").over(w) - 1)
+    df = daily.withColumn("change", divided("close", F.lag("close").over(w)) - 1)
     frame = w.rowsBetween(-(n - 1), 0)
     df = df.withColumn("_v", F.when(F.count("change").over(frame) == n, F.stddev_samp("change").over(frame)))
     return df.withColumn("vol", F.lag("_v").over(w)).drop("_v")
